@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,16 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row.
+
+    The optimizer may copy an expression to each of its mentions, also into the
+    lambda of an array function, where it would run for each element.  A lambda
+    variable over an array of one is not copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have yet, made from ``names``."""
     have = {c.lower() for c in df.columns}

@@ -45,7 +45,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Generators of further candidates.
-AT_DOT = re.compile(r"[A-Za-z0-9._+-]{2,64}\s?[\[({<]?\s?(?:at|AT|@)\s?[\])}>]?\s?[A-Za-z0-9-]{2,63}(?:\s?[\[({<]?\s?(?:dot|DOT|\.)\s?[\])}>]?\s?[A-Za-z]{2,24}){1,3}(?![A-Za-z])")
+AT = r"(?:\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?|\s(?:at|AT)\s|@)"
+DOT = r"(?:\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s|\.)"
+AT_DOT = re.compile(rf"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{{2,64}}{AT}[A-Za-z0-9-]{{2,63}}(?:{DOT}[A-Za-z]{{2,24}}){{1,3}}(?![A-Za-z])")
 NUMBER = re.compile(r"(?<![0-9])\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,22}(?![0-9])")
 
 Span = tuple[int, int]
@@ -102,11 +104,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             out.append(("phone", m.start(), m.end()))
         if 13 <= n <= 19:
             out.append(("card", m.start(), m.end()))
-    low = text.lower() if " dot " in text or "dot" in text or "DOT" in text or "[" in text or "(at" in text else ""
-    if low and ("at" in low or "@" in low):
-        for m in AT_DOT.finditer(text):
-            if "dot" in m[0].lower() or not DOMAIN.search(m[0].partition("@")[2] or " "):
-                out.append(("email", m.start(), m.end()))
+    if any(c in text for c in "[({<") or " dot " in text or " DOT " in text or "@" in text:
+        out += [("email", *m.span()) for m in AT_DOT.finditer(text)]
     return out
 
 

@@ -31,7 +31,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, fresh, words
+from .common import SEPARATORS, fresh, let, words
 
 SYMBOLS = r"[#*$%&|<>]"
 ODD = r"[#*$%&|<>]|[!?]{2}"
@@ -80,8 +80,7 @@ def n_repeat_words(df: DataFrame, hashes: str, out: str) -> DataFrame:
 
 
 def has_stock(text: Column) -> Column:
-    one_of = lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE])
-    return F.get(F.transform(F.array(F.lower(text)), one_of), F.lit(0))
+    return let(F.lower(text), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
 
 
 def line_fails(line: Column, repeats: Column) -> Column:
@@ -93,8 +92,7 @@ def line_fails(line: Column, repeats: Column) -> Column:
         dull = repeats & (F.size(ws) >= DULL_WORDS) & (F.size(F.array_distinct(ws)) <= F.size(ws) * DULL_SHARE)
         return (odd > F.size(ws) * SYMBOL_SHARE) | ((marks >= NAV_MARKS) & (marks * NAV_WORDS >= F.size(ws))) | dull
 
-    # A lambda over an array of one binds the words, which are else split anew at each mention.
-    return F.get(F.transform(F.array(F.array_remove(F.split(line, SEPARATORS, -1), "")), by_words), F.lit(0)) | has_stock(line)
+    return let(F.array_remove(F.split(line, SEPARATORS, -1), ""), by_words) | has_stock(line)
 
 
 def suspect(text: Column, n_symbols: Column, repeats: Column) -> Column:
@@ -113,7 +111,7 @@ def judged(docs: DataFrame, prefix: str = "") -> DataFrame:
     df = df.withColumn(n("n_symbols"), (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"))
     df = df.withColumn(lines, F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn(n("n_dup_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
-    df = df.withColumn(hashes, windows(F.col(ws)))
+    df = df.withColumn(hashes, let(F.col(ws), windows))
     df = n_repeat_words(df, hashes, n("n_repeat_words"))
     total, repeated = F.col(n("n_words")), F.col(n("n_repeat_words"))
     df = df.withColumn(n("base_failed"), (total < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * total))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, secrets, sharding, urls
+from . import decontaminate, licenses, mixing, near_dup, pii, quality, secrets, sharding, substring, urls
 from .common import table
 from .oracle import ORACLES
 
@@ -22,10 +22,14 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pii": over(pii.digest),
         "op2_url_filter": over(urls.digest, "pages"),
+        "op3_decontamination": lambda spark, sf_dir: decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op4_secrets": over(secrets.digest),
+        "op5_licenses": over(licenses.digest),
         "op6_quality": over(quality.digest),
         "op7_sharding": over(sharding.digest),
+        "op8_near_duplicates": over(near_dup.digest),
         "op9_mixing": over(mixing.digest),
+        "op10_substrings": over(substring.digest),
     }
 
 
