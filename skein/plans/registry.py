@@ -1,9 +1,473 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the library and, where SQL can express them, their DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import datetime as dt
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..checkpoints import checkpointed
+from ..config import Settings
+from ..functions import text as T
+from ..operators import classify, duplicates, evaluate, relational, rules, similarity, vocabulary
+from ..sources import feeds
+from . import articles as A
+from . import prepare as P
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+AS_OF = dt.date(2024, 1, 30)
+CUTOFF = 0.5
+WHITELIST = ["the", "and", "of the", "und", "der", "que", "les", "la"]
+BLACK_WORDS = ["clown", "loser", "idiot"]
+BLACK_URLS = [r"src1\d\.example", r"/fr/", r"src2"]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+ART = """
+art as (
+  select doc_id as urlid, 'https://' || source || '.example.org/' || lang || '/' || doc_id as url, string_split(text, '.')[1] as title, text as content,
+    date '2024-01-01' + cast(n_chars % 30 as integer) as pubdate, source not in ('src18', 'src19') as processed, source in ('src0', 'src1', 'src2', 'src3') as published,
+    source, cast(substr(source, 4) as integer) as source_relevance, lang as category
+  from documents)"""
+TOK = r"list_transform(list_filter(string_split_regex(content, '[^A-Za-z0-9_]+'), lambda w: w <> ''), lambda w: lower(w))"
+TF = f"{ART}, tok as (select urlid, unnest({TOK}) as term from art), tf as (select urlid, term, count(*) as tf from tok group by all)"
+VEC = f"""{TF}, voc as (select term, count(*) as df from tf group by term), n as (select count(*) as n_docs from documents),
+raw as (select urlid, tf.term, df, log2(tf + 1) * (log2(n_docs + 1) - log2(df + 1)) as raw from tf join voc using (term), n),
+vec as (select urlid, term, df, raw / sqrt(sum(raw * raw) over (partition by urlid)) as w from raw)"""
+CAT = "cat as (select doc_id as urlid, 'good' as category from labels where quality = 1 union all select doc_id, 'toxic' from labels where toxic = 1)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def vec(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary.vectors(A.articles(spark, d).select("urlid", "content"))
+
+
+def tf(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary.term_frequency(A.articles(spark, d))
+
+
+# Similarity and duplicates.
+
+
+@query(f"with {VEC} select a.urlid as i, b.urlid as j, round(sum(a.w * b.w), 6) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {CUTOFF}")
+def near_dup_pairs(spark, d):
+    return similarity.similar_pairs(checkpointed(vec(spark, d)), CUTOFF).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+WINDOWED = f"""{VEC}, recent as (select * from art where pubdate between date '2024-01-16' and date '2024-01-30'),
+pairs as (select a.urlid as i, b.urlid as j, sum(a.w * b.w) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid
+  where a.urlid in (select urlid from recent) and b.urlid in (select urlid from recent where not processed) group by all having sum(a.w * b.w) >= 0.13)"""
+
+
+def windowed(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.window_pairs(A.articles(spark, d), vec(spark, d), 0.13, AS_OF, 14)
+
+
+@query(f"with {WINDOWED} select i, j, round(sim, 6) as sim, published as i_published from pairs join art on i = urlid")
+def near_dup_candidates_window(spark, d):
+    return windowed(spark, d).select("i", "j", F.round("sim", 6).alias("sim"), "i_published")
+
+
+@query(f"with {WINDOWED} select j as urlid, min(i) as first_i, max(i) as last_i, round(arg_max(sim, i), 6) as last_sim from pairs join art on i = urlid where published group by j")
+def near_dup_published_reject(spark, d):
+    return duplicates.reject_published(windowed(spark, d)).select("urlid", "first_i", "last_i", F.round("last_sim", 6).alias("last_sim"))
+
+
+STRONG = f"{VEC}, pairs as (select a.urlid as i, b.urlid as j from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {CUTOFF})"
+COMPONENTS = f"""recursive {STRONG}, both_ as (select i as a, j as b from pairs union select j, i from pairs),
+reach(node, seen) as (select a, a from both_ union select r.node, e.b from reach r join both_ e on r.seen = e.a), comp as (select node as urlid, min(seen) as grp from reach group by node)"""
+
+
+@query(f"with {COMPONENTS} select * from comp")
+def dup_components(spark, d):
+    return duplicates.components(checkpointed(near_dup_pairs(spark, d)))
+
+
+@query(
+    f"""with {COMPONENTS}, lists as (select urlid, count(*) as n_cats from (select doc_id as urlid from labels where quality = 1 union all select doc_id from labels where toxic = 1) group by urlid)
+    select grp, urlid, row_number() over (partition by grp order by source_relevance desc, coalesce(n_cats, 0) desc, urlid) as place from comp join art using (urlid) left join lists using (urlid)"""
+)
+def dup_winners(spark, d):
+    arts = relational.with_categories(A.articles(spark, d), A.categories(spark, d)).withColumn("n_cats", F.size("categories"))
+    return duplicates.winners(dup_components(spark, d), arts)
+
+
+@query()
+def dup_greedy_sets(spark, d):
+    return duplicates.greedy_groups(checkpointed(near_dup_pairs(spark, d)).select("i", "j"))
+
+
+# Terms.
+
+
+@query(f"with {ART} select urlid, len({TOK}) as n from art")
+def doc_tokens_count(spark, d):
+    return A.articles(spark, d).select("urlid", F.size(T.tokens(F.col("content"))).cast("long").alias("n"))
+
+
+@query(f"with {TF} select * from tf")
+def term_frequency(spark, d):
+    return tf(spark, d)
+
+
+@query(f"with {TF} select term, count(*) as df from tf group by term")
+def doc_frequency(spark, d):
+    return vocabulary.document_frequency(tf(spark, d))
+
+
+@query(f"with {TF} select term, cast(sum(tf) as bigint) as tf from tf group by term order by tf desc, term limit 1000")
+def vocab_top_terms(spark, d):
+    return vocabulary.top_terms(tf(spark, d))
+
+
+@query(f"with {VEC} select urlid, term, round(w, 6) as w from vec")
+def tfidf_weights(spark, d):
+    return vec(spark, d).select("urlid", "term", F.round("w", 6).alias("w"))
+
+
+@query(f"with {VEC}, r as (select urlid, term, round(w, 6) as w, row_number() over (partition by urlid order by round(w, 6) desc, term) as place from vec) select * from r where place <= 5")
+def tfidf_top_terms_per_doc(spark, d):
+    order = Window.partitionBy("urlid").orderBy(F.desc("w"), "term")
+    return tfidf_weights(spark, d).withColumn("place", F.row_number().over(order)).where("place <= 5")
+
+
+GRAMS = "with {art}, t as (select {tok} as ws from art), g as (select unnest(list_transform(range(1, greatest(len(ws) - {m} + 1, 1)), lambda i: array_to_string(ws[i:i+{m}], ' '))) as gram from t) select gram, count(*) as n from g group by gram order by n desc, gram limit 100"
+
+
+@query(GRAMS.format(art=ART, tok=TOK, m=1))
+def bigrams_top(spark, d):
+    return vocabulary.gram_counts(A.articles(spark, d), 2).orderBy(F.desc("n"), "gram").limit(100)
+
+
+@query(GRAMS.format(art=ART, tok=TOK, m=2))
+def trigrams_top(spark, d):
+    return vocabulary.gram_counts(A.articles(spark, d), 3).orderBy(F.desc("n"), "gram").limit(100)
+
+
+LISTED = "['" + "','".join(WHITELIST) + "']"
+
+
+@query(
+    f"""with {ART}, t as (select urlid, {TOK} as ws from art),
+    g as (select urlid, unnest(list_concat(ws, list_concat(list_transform(range(1, greatest(len(ws), 1)), lambda i: array_to_string(ws[i:i+1], ' ')), list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: array_to_string(ws[i:i+2], ' '))))) as term from t)
+    select urlid, term, count(*) as n from g where list_contains({LISTED}, term) group by all"""
+)
+def whitelist_hits(spark, d):
+    terms = vocabulary.whitelist_terms(spark, WHITELIST, stem=False)
+    return vocabulary.whitelist_hits(A.articles(spark, d), F.broadcast(terms), stem=False)
+
+
+@query()
+def stemmed_terms(spark, d):
+    return vocabulary.stem_terms(tf(spark, d))
+
+
+# Rules.
+
+
+@query(f"with {ART} select urlid from art where pubdate between date '2024-01-23' and date '2024-01-30'")
+def rule_date_window(spark, d):
+    return A.articles(spark, d).where(rules.in_window(F.col("pubdate"), AS_OF, 7)).select("urlid")
+
+
+@query(f"with {ART} select urlid from art where pubdate between date '2024-01-23' and date '2024-01-30' and not (title like '%(blog)' or title like '%(press release)' or url like '%blog%' or url like '%job%')")
+def rule_feed(spark, d):
+    return rules.feed_rules(A.articles(spark, d), AS_OF, 7).select("urlid")
+
+
+@query(r"select page_id, url like '%blog%' as blog, url like '%job%' as job from pages")
+def rule_url_contains(spark, d):
+    return A.table(spark, d, "pages").select("page_id", F.col("url").contains("blog").alias("blog"), F.col("url").contains("job").alias("job"))
+
+
+@query(rf"select doc_id as urlid, regexp_matches(text, '(?i)[^A-Za-z0-9_](?:{'|'.join(BLACK_WORDS)})[^A-Za-z0-9_]') as listed from documents")
+def rule_blacklist_words(spark, d):
+    return A.articles(spark, d).select("urlid", T.has_word(F.col("content"), BLACK_WORDS).alias("listed"))
+
+
+@query(rf"with {ART} select urlid from art where length(title) >= 5 and length(content) >= 1000 and not regexp_matches(content, '(?i)[^A-Za-z0-9_](?:{'|'.join(BLACK_WORDS)})[^A-Za-z0-9_]')")
+def rule_content(spark, d):
+    return rules.content_rules(A.articles(spark, d), BLACK_WORDS).select("urlid")
+
+
+FIRST = "case " + " ".join(f"when regexp_matches(url, '{p}') then '{p}'" for p in BLACK_URLS) + " end"
+
+
+@query(f"with {ART} select urlid, {FIRST} as pattern from art")
+def rule_url_blacklist_first_match(spark, d):
+    return A.articles(spark, d).select("urlid", T.first_pattern(F.col("url"), BLACK_URLS).alias("pattern"))
+
+
+@query(
+    f"""with {ART}, {CAT}, l as (select urlid, count(*) as n from cat group by urlid), r as (
+    select urlid, list_filter([
+      case when pubdate < date '2024-01-23' then 'Rejected because article is too old (earliest valid date is 2024-01-23 while article was published on ' || strftime(pubdate, '%Y-%m-%d') end,
+      'Rejected because url matched blacklisted url ' || {FIRST},
+      case when coalesce(n, 0) = 0 then 'Rejected due to no selected categories' end], lambda x: x is not null) as reasons from art left join l using (urlid))
+    select urlid, len(reasons) = 0 as publish, array_to_string(reasons, ' | ') as transcript from r"""
+)
+def rule_transcript(spark, d):
+    a = rules.opened(relational.with_categories(A.articles(spark, d), A.categories(spark, d)))
+    a = rules.category_rule(rules.url_rule(rules.date_rule(a, AS_OF, 7), BLACK_URLS))
+    return a.select("urlid", "publish", F.array_join("transcript", " | ").alias("transcript"))
+
+
+@query()
+def prepare_articles(spark, d):
+    settings = Settings(as_of=AS_OF, whitelist=tuple(WHITELIST), blacklist_urls=tuple(BLACK_URLS))
+    arts = relational.with_categories(A.articles(spark, d).drop("category"), A.categories(spark, d))
+    return P.prepare(arts, settings, stem=False).select("urlid", "publish", F.array_join("transcript", " | ").alias("transcript"), F.size("duplicates").alias("n_duplicates"))
+
+
+# Text functions.
+
+
+@query(
+    r"""with t as (select doc_id as urlid, text, left(text, 75) as part from documents)
+    select urlid, case when length(text) <= 75 then text when contains(part, '.') then left(part, 75 - instr(reverse(part), '.')) when contains(part, ' ') then left(part, 75 - instr(reverse(part), ' ')) else part end || '...' as cut from t"""
+)
+def trunc_content(spark, d):
+    return A.articles(spark, d).select("urlid", T.truncated(F.col("content")).alias("cut"))
+
+
+CLEAN = r"""with {art}, a as (select urlid, title, trim(replace(replace(replace(regexp_replace(content, '[ \t\n\x0b\f\r]+', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as c from art),
+b as (select urlid, regexp_replace(regexp_replace(regexp_replace(c, '[ \t\n\x0b\f\r]*Share this[ \t\n\x0b\f\r]*', '', 'g'), '[ \t\n\x0b\f\r]+,[ \t\n\x0b\f\r]+', ', ', 'g'), '[ \t\n\x0b\f\r]+\.', '.', 'g') as c from a),
+p as (select *, left(c, 5000) as part from b)
+select urlid, md5(case when length(c) <= 5000 then c when contains(part, '.') then left(part, 5000 - instr(reverse(part), '.')) when contains(part, ' ') then left(part, 5000 - instr(reverse(part), ' ')) else part end || '...') as digest from p"""
+
+
+@query(CLEAN.format(art=ART))
+def clean_content(spark, d):
+    text = T.cleaned(F.col("content"), F.lit(""), transliterate=False)
+    return A.articles(spark, d).select("urlid", F.md5(text).alias("digest"))
+
+
+@query(r"select doc_id as urlid, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as digest from documents")
+def escape_html(spark, d):
+    return A.articles(spark, d).select("urlid", F.md5(T.escape_html(F.col("content"))).alias("digest"))
+
+
+@query(r"select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title from pages")
+def html_title(spark, d):
+    return A.table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+@query()
+def html_text(spark, d):
+    return feeds.page_texts(A.table(spark, d, "pages"))
+
+
+@query(
+    r"""select page_id, case when regexp_matches(t, '^(.*) - (.+)$') then regexp_extract(t, '^(.*) - (.+)$', 1) else t end as title,
+    case when regexp_matches(t, '^(.*) - (.+)$') then regexp_extract(t, '^(.*) - (.+)$', 2) || ' via Google News' else 'Google News' end as source
+    from (select page_id, case when page_id % 2 = 0 then 'Story ' || page_id || ' - Paper ' || page_id else 'Story ' || page_id end as t from pages)"""
+)
+def google_source_split(spark, d):
+    made = F.concat(F.lit("Story "), F.col("page_id"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" - Paper "), F.col("page_id"))).otherwise(""))
+    title, source = T.google_source(made, F.lit("Google News"))
+    return A.table(spark, d, "pages").select("page_id", title.alias("title"), source.alias("source"))
+
+
+@query()
+def summary_two_sentences(spark, d):
+    return A.articles(spark, d).select("urlid", T.two_sentences(F.col("content")).alias("summary"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as found from orders")
+def parse_dates(spark, d):
+    """Dates written in one of four formats are found again."""
+    day, form = F.col("o_orderdate").cast("date"), F.pmod("o_orderkey", F.lit(4))
+    written = F.when(form == 0, F.date_format(day, "yyyy-MM-dd")).when(form == 1, F.date_format(day, "MM/dd/yyyy")).when(form == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    ambiguous = F.when((form == 2) & (F.dayofmonth(day) <= 12), F.date_format(day, "MM/dd/yyyy")).otherwise(written)
+    # The formats start at 2000 but for MM/DD/YYYY.
+    safe = F.when(F.year(day) < 2000, F.date_format(day, "MM/dd/yyyy")).otherwise(ambiguous)
+    return A.table(spark, d, "orders").select("o_orderkey", T.found_date(F.concat(F.lit("posted on "), safe, F.lit(" by us"))).cast("string").alias("found"))
+
+
+@query("select doc_id as urlid, case when n_chars % 2 = 0 then '' else 'public://newsfinder_images/' || doc_id || '.jpg' end as image_path from documents")
+def image_paths(spark, d):
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("urlid"), T.image_path(F.col("doc_id"), F.when(F.col("n_chars") % 2 == 1, "x")).alias("image_path"))
+
+
+# Tables.
+
+
+@query(f"with {ART}, {CAT}, l as (select urlid, string_agg(category, ' ' order by category) as categories from cat group by urlid) select urlid, coalesce(categories, '') as categories from art left join l using (urlid)")
+def articles_with_categories(spark, d):
+    return relational.with_categories(A.articles(spark, d), A.categories(spark, d)).select("urlid", F.array_join("categories", " ").alias("categories"))
+
+
+@query(f"with {ART}, {CAT} select urlid, string_agg(cat.category, ' ' order by cat.category) as category from art join cat using (urlid) group by urlid")
+def corpus_string_agg(spark, d):
+    return relational.training_corpus(A.articles(spark, d), A.categories(spark, d)).select("urlid", "category")
+
+
+@query(f"with {CAT} select category, count(*) as n from cat group by category")
+def category_counts(spark, d):
+    return relational.category_counts(A.categories(spark, d))
+
+
+@query(f"with {CAT} select urlid, count(*) as n from cat group by urlid")
+def categories_per_doc(spark, d):
+    return relational.categories_per_document(A.categories(spark, d))
+
+
+@query("select page_id, url from pages where url not in (select distinct url from pages where url like '%/en/%')")
+def unseen_urls_anti(spark, d):
+    pages = A.table(spark, d, "pages").select("page_id", "url")
+    return rules.unseen(pages, pages.where(F.col("url").contains("/en/"))).select("page_id", "url")
+
+
+@query(f"with {CAT} select * from cat where urlid not in (select doc_id from labels where toxic = 1) union all select doc_id, 'replaced' from labels where toxic = 1")
+def upsert_categories(spark, d):
+    new = A.table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("urlid"), F.lit("replaced").alias("category"))
+    return relational.replace_by_key(A.categories(spark, d), new)
+
+
+@query(f"with {ART} select urlid, processed or urlid in (select doc_id from labels) as processed from art")
+def mark_processed(spark, d):
+    keys = A.table(spark, d, "labels").select(F.col("doc_id").alias("urlid"))
+    return relational.mark(A.articles(spark, d).select("urlid", "processed"), keys, "processed")
+
+
+@query("with old as (select min(page_id) as urlid, url from pages where url like '%/en/%' group by url), new as (select min(page_id) as urlid, url from pages where url not in (select url from old) group by url) select * from old union all select * from new")
+def insert_if_absent(spark, d):
+    pages = A.table(spark, d, "pages").select(F.col("page_id").alias("urlid"), "url")
+    old = pages.where(F.col("url").contains("/en/")).groupBy("url").agg(F.min("urlid").alias("urlid"))
+    return relational.insert_if_absent(old, pages)
+
+
+@query(
+    """with r as (select doc_id as urlid, row_number() over (order by md5(cast(doc_id as varchar)), doc_id) - 1 as spot, count(*) over () as n from documents)
+    select urlid, case when spot < floor(n * 0.8) then 'train' else 'predict' end as part from r where spot < floor(n * 0.8) + floor(n * 0.1)"""
+)
+def train_predict_split(spark, d):
+    return relational.split_at(A.articles(spark, d), 0.8)
+
+
+@query("with r as (select doc_id, quality, row_number() over (partition by quality order by md5(cast(doc_id as varchar)), doc_id) as k from labels) select doc_id, quality from r where k <= (select min(n) from (select count(*) as n from labels group by quality))")
+def spread_subsample(spark, d):
+    return relational.spread_subsample(A.table(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id")
+
+
+# Evaluation.  Gold: documents with equal texts.
+
+
+def sweep_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    day = A.articles(spark, d).select("urlid", "pubdate")
+    pairs = checkpointed(similarity.similar_pairs(checkpointed(vec(spark, d)), CUTOFF))
+    dated = pairs.join(day.select(F.col("urlid").alias("i"), F.col("pubdate").alias("di")), "i").join(day.select(F.col("urlid").alias("j"), F.col("pubdate").alias("dj")), "j")
+    same = A.articles(spark, d).select("urlid", F.md5("content").alias("m"))
+    gold = pairs.select("i", "j").join(same.select(F.col("urlid").alias("i"), F.col("m").alias("mi")), "i").join(same.select(F.col("urlid").alias("j"), F.col("m").alias("mj")), "j").where("mi = mj").select("i", "j")
+    return dated.select("i", "j", "sim", F.abs(F.datediff("di", "dj")).alias("days_apart")), gold
+
+
+SWEEP = f"""{VEC}, pairs as (select a.urlid as i, b.urlid as j, sum(a.w * b.w) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {CUTOFF}),
+flagged as (select sim, abs(a.pubdate - b.pubdate) as apart, cast(a.content = b.content as integer) as g from pairs join art a on i = a.urlid join art b on j = b.urlid),
+ks as (select unnest(range(100)) as k),
+counted as (select cast(k as integer) as k, coalesce(cast(sum(g) filter (apart < 14 and floor(sim * 100 + 1e-9) >= k) as bigint), 0) as tp, coalesce(cast(sum(1 - g) filter (apart < 14 and floor(sim * 100 + 1e-9) >= k) as bigint), 0) as fp, sum(g) as pos from ks, flagged group by k),
+pr as (select k, tp, fp, case when tp + fp = 0 then 0.0 else tp / (tp + fp) end as p, case when pos = 0 then 0.0 else tp / pos end as r from counted),
+sweep as (select k, tp, fp, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r = 0 then 0.0 else 2 * p * r / (p + r) end, 6) as f1 from pr)"""
+
+
+@query(f"with {SWEEP} select * from sweep")
+def cutoff_sweep(spark, d):
+    out = evaluate.cutoff_sweep(*sweep_input(spark, d))
+    return out.select("k", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"with {SWEEP} select * from sweep order by f1 desc, k limit 1")
+def best_cutoff(spark, d):
+    return evaluate.best_cutoff(cutoff_sweep(spark, d))
+
+
+CENTRES = f"{VEC}, cen as (select category, term, sum(w) / max(n) as w from vec join art using (urlid) join (select category, count(*) as n from art where len({TOK}) > 0 group by category) using (category) group by category, term)"
+
+
+def centre_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = vec(spark, d)
+    return v, similarity.centroids(v, A.articles(spark, d).select("urlid", "category"))
+
+
+@query(f"with {CENTRES} select category, term, round(w, 6) as w from cen")
+def category_centroids(spark, d):
+    return centre_input(spark, d)[1].select("category", "term", F.round("w", 6).alias("w"))
+
+
+NORMS = "nc as (select category, sqrt(sum(w * w)) as nc from cen group by category)"
+
+
+@query(f"with {CENTRES}, {NORMS} select urlid, category, round(case when 1 - sum(vec.w * cen.w) / max(nc) < 1e-11 then 0 else 1 - sum(vec.w * cen.w) / max(nc) end, 6) as d from vec join cen using (term) join nc using (category) group by urlid, category")
+def doc_centroid_dissim(spark, d):
+    v, c = centre_input(spark, d)
+    return similarity.sparse_dissimilarity(v, c, "urlid", "category").select("urlid", "category", F.round("d", 6).alias("d"))
+
+
+@query(f"with {CENTRES}, {NORMS} select a.category as i, b.category as j, round(case when 1 - sum(a.w * b.w) / max(x.nc * y.nc) < 1e-11 then 0 else 1 - sum(a.w * b.w) / max(x.nc * y.nc) end, 6) as d from cen a join cen b using (term) join nc x on x.category = a.category join nc y on y.category = b.category group by a.category, b.category")
+def centroid_dissim(spark, d):
+    c = centre_input(spark, d)[1]
+    out = similarity.sparse_dissimilarity(c.withColumnRenamed("category", "i"), c.withColumnRenamed("category", "j"), "i", "j")
+    return out.select("i", "j", F.round("d", 6).alias("d"))
+
+
+@query()
+def centroid_mds(spark, d):
+    return spark.createDataFrame(evaluate.scaled(centroid_dissim(spark, d)), "category string, x double, y double")
+
+
+NEAR = """s as (select q.vec_id as query_id, v.vec_id, v.label, list_cosine_similarity(cast(v.embedding as double[]), cast(q.embedding as double[])) as sim from embeddings v, embeddings q where v.vec_id <> q.vec_id and q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by sim desc, vec_id) as place from s)"""
+
+
+def near(spark: SparkSession, d: str, k: int) -> DataFrame:
+    e = A.table(spark, d, "embeddings")
+    return classify.nearest(e, e.where("vec_id % 100 = 0"), k)
+
+
+@query(f"with {NEAR} select query_id, vec_id, label, round(sim, 6) as sim, place from r where place <= 10")
+def embedding_cosine_topk(spark, d):
+    return near(spark, d, 10).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"with {NEAR}, c as (select query_id, label, count(*) as n from r where place <= 3 group by all) select query_id, arg_min(label, (-n, label)) as label from c group by query_id")
+def knn_predict(spark, d):
+    return classify.vote(near(spark, d, 3))
+
+
+@query("select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by all")
+def events_per_day(spark, d):
+    return A.table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Models.
+
+
+def training(spark: SparkSession, d: str) -> DataFrame:
+    return A.articles(spark, d).join(A.table(spark, d, "labels").select(F.col("doc_id").alias("urlid")), "urlid").select("urlid", "title", F.col("content").alias("body"), T.two_sentences(F.col("content")).alias("summary"))
+
+
+@query()
+def predict_topics(spark, d):
+    rows = training(spark, d)
+    models = classify.train(rows, A.categories(spark, d), ["good", "toxic"], terms=200)
+    return classify.predict(models, rows).select("urlid", F.array_join("categories", " ").alias("categories"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
