@@ -139,7 +139,7 @@ DATES = [
     (rf"(?:{DAY}) (?:{MONTH}) 20\d\d", "d MMMM yyyy"),
     (rf"(?:{MON}) (?:{DAY}) 20\d\d", "MMM d yyyy"),
     (rf"(?:{MONTH}) (?:{DAY}) 20\d\d", "MMMM d yyyy"),
-    (rf"20\d\d-(?:0?[1-9]|1[012])-(?:{DAY})", "yyyy-M-d"),
+    (rf"20\d\d-(?:0?[1-9]|1[012])-(?:{DAY})(?![0-9])", "yyyy-M-d"),
     (r"(?:0[1-9]|1[012])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)\d\d", "MM/dd/yyyy"),
     (rf"(?:{DAY}) (?:{MON}) 20\d\d", "d MMM yyyy"),
     (rf"(?:{DAY})/(?:0?[1-9]|1[012])/20\d\d", "d/M/yyyy"),

@@ -1,0 +1,108 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from skein import config
+from skein.sources import arff, cluto, feeds, sinks
+from skein.streaming import crawl
+
+ARFF = """% made by hand
+@RELATION 'my rel'
+@ATTRIBUTE name STRING
+@attribute "a size" 'NUMERIC'
+@ATTRIBUTE class {yes,no}
+@DATA
+% comment
+'it\\'s, so',1.5,yes
+?,?,no
+"""
+
+
+def test_arff_reads(spark, tmp_path):
+    (tmp_path / "x.arff").write_text(ARFF)
+    header, df = arff.read(spark, str(tmp_path / "x.arff"))
+    assert header.relation == "my rel" and header.description == "made by hand"
+    assert header.attributes == [("name", "STRING"), ("a size", "NUMERIC"), ("class", ["yes", "no"])]
+    assert sorted(map(tuple, df.collect()), key=str) == [("it's, so", 1.5, "yes"), (None, None, "no")]
+
+
+def test_arff_round_trip(spark, tmp_path):
+    header = arff.Header("r", "", [("t", "STRING"), ("n", "NUMERIC"), ("c", ["a b", "it's"])])
+    df = spark.createDataFrame([("x'y\\z", 1.0, "a b"), (None, None, "it's")], "t string, n double, c string")
+    arff.write(df, header, str(tmp_path / "out"))
+    again, rows = arff.read(spark, str(tmp_path / "out"))
+    assert again.attributes == header.attributes
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+def test_arff_undeclared_value(spark):
+    header = arff.Header("r", "", [("c", ["a"])])
+    with pytest.raises(Exception, match="undeclared"):
+        arff.rows_as_text(spark.createDataFrame([("b",)], "c string"), header).collect()
+
+
+def test_arff_sparse(spark, tmp_path):
+    (tmp_path / "s.arff").write_text("@RELATION r\n@ATTRIBUTE a NUMERIC\n@ATTRIBUTE b NUMERIC\n@ATTRIBUTE c {x,y}\n@DATA\n{1 2.5}\n{0 1,2 y}\n")
+    assert sorted(map(tuple, arff.read(spark, str(tmp_path / "s.arff"))[1].collect())) == [(0.0, 2.5, "x"), (1.0, 0.0, "y")]
+
+
+def test_cluto(spark, tmp_path):
+    (tmp_path / "c.mat").write_text("2 3 3\n1 2 3 1.0\n2 4\n")
+    (tmp_path / "c.mat.rlabel").write_text("news\nsport\n")
+    (tmp_path / "c.mat.clabel").write_text("ant\nbee\ncat\n")
+    terms, labels = cluto.read(spark, str(tmp_path / "c"))
+    assert sorted(map(tuple, terms.collect())) == [(0, "ant", 2), (0, "cat", 1), (1, "bee", 4)]
+    assert sorted(map(tuple, labels.collect())) == [(0, "news"), (1, "sport")]
+
+
+def test_sources_and_feed(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("id,title,link,parser,relevance\n1,Google News AI,http://g,rss,5\n2,Other,http://o,rss,7\n")
+    path = str(tmp_path / "s.csv")
+    assert feeds.source_list(spark, path).count() == 2
+    assert feeds.source_list(spark, path, "Other").first()["relevance"] == 7
+    assert feeds.source_list(spark, path, other_options=True).count() == 0
+    (tmp_path / "f.xml").write_text("<rss><channel><item><title>Robots &amp; us - Paper</title><link>http://x/1</link><pubDate>Tue, 05 Jun 2012 10:00:00 +0000</pubDate></item><item><title>No date</title><link>http://x/2</link></item></channel></rss>")
+    got = {r["url"]: r for r in feeds.entries(feeds.rss(spark, str(tmp_path / "f.xml")), feeds.source_list(spark, path, "Google News AI"), dt.date(2012, 6, 6)).collect()}
+    assert (got["http://x/1"]["title"], got["http://x/1"]["source"], got["http://x/1"]["pubdate"]) == ("Robots &amp; us", "Paper via Google News", dt.date(2012, 6, 5))
+    assert got["http://x/2"]["pubdate"] == dt.date(2012, 6, 6)
+
+
+def test_lists_and_config(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("one\n\n  two \n")
+    assert sorted(feeds.word_list(spark, str(tmp_path / "w.txt"))) == ["one", "two"]
+    (tmp_path / "c.ini").write_text("[Duplicates]\nthreshold = 0.2\ndays_back = 3\n")
+    assert config.options(str(tmp_path / "none.ini")) == {}
+    s = config.load(str(tmp_path / "c.ini"))
+    assert (s.duplicate_cutoff, s.duplicate_days_back) == (0.2, 3)
+
+
+def test_page_text(spark):
+    page = "<html><head><title> T </title></head><body><nav>menu</nav><!-- x --><p>One &amp; <b>two</b><script>bad()</script></body></html>"
+    r = feeds.page_texts(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert (r["title"], r["text"]) == ("T", "One & two")
+
+
+def test_weekly_and_email(spark, tmp_path):
+    (tmp_path / "n.xml").write_text("<nodes><node><Title>A</Title><Source>S</Source><Topics>t</Topics><Publication_date>2012-06-05 x</Publication_date><Body>&lt;a href=\"/topic/x\"&gt;y&lt;/a&gt;</Body><Link>l</Link></node></nodes>")
+    week = feeds.weekly(spark, str(tmp_path / "n.xml"), "http://site")
+    subject, body = sinks.email_form(week, dt.date(2012, 6, 6))
+    assert subject == "AI Alert - June 06, 2012"
+    assert 'href="http://site/topic/x"' in body
+
+
+def test_matrix_and_xml(spark, tmp_path):
+    d = spark.createDataFrame([("a", "a", 0.0), ("a", "b", 0.5), ("b", "a", 0.5), ("b", "b", 0.0)], "i string, j string, d double")
+    sinks.matrix_csv(d, str(tmp_path / "m"))
+    assert spark.read.csv(str(tmp_path / "m"), header=True).columns == ["i", "a", "b"]
+    sinks.export_xml(spark.createDataFrame([(1, "A & B", False, ["no"])], "urlid long, source string, publish boolean, transcript array<string>"), str(tmp_path / "x"))
+    assert spark.read.format("xml").option("rowTag", "article").load(str(tmp_path / "x")).first()["source"] == "A &amp; B"
+
+
+def test_stream_sees_each_key_once(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 00:00:00", "u1"), ("2024-01-01 01:00:00", "u1"), ("2024-01-02 00:00:00", "u2")], "ts string, url string").withColumn("ts", F.to_timestamp("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = crawl.first_seen(crawl.read_parquet(spark, str(tmp_path / "in"), "ts timestamp, url string", 10))
+    crawl.run_batches(stream, lambda df, _: seen.extend(r["url"] for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen) == ["u1", "u2"]
