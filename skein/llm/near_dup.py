@@ -16,10 +16,19 @@ than a text's latest component.
 
 ``BANDS`` bands of ``ROWS`` components are hashed.  A pair of similarity 0.8
 shares no band with a probability of (1 - 0.8**4)**20 = 2.6e-5.  Copies of a text
-are one node.  In each band bucket the members are first checked against the
-least one; then, across buckets, all pairs whose ends are not yet in one class.
-That leaves out only pairs that cannot change a class, so classes are those of
-all links.  Every link is checked on the whole multisets.
+are one node.  Links are found in three rounds, each checked on whole multisets:
+
+1. The members of a bucket against its least one.
+2. In buckets with several classes left, a node's unique weight is that of its
+   shingles that no other such node has.  Nodes share no more than the rest of
+   them, which bounds the similarity of a pair; nodes that the bound keeps from
+   any link leave.  The others are checked against the bucket's member of least
+   unique weight, the likely origin of a group of edited copies.
+3. In buckets with several classes still, all pairs of two classes, one of them
+   not the largest, that the bound allows.
+
+Only pairs that cannot be links or cannot change a class are left out, so the
+classes are those of all links.
 
 Cases: null and empty texts are copies of one another and link to nothing else;
 repeated rows are copies; a null id counts as -1; an empty table gives an empty
@@ -32,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, shared_path
@@ -97,24 +106,25 @@ def banded(ids: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy_key, bands) of each document; bands is empty for texts without words."""
+    """(doc_id, copy_key, size, bands) of each document: shingles counted with repeats, and bands, none for texts without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, sizes = [], []
+            values, sizes, totals = [], [], []
             for piece in pieces(batch.column(2)):
                 ids = signatures(*counted(*piece.shingles(SHINGLE)), piece.docs)
                 some = np.diff(piece.bounds) > 0
                 values.append(banded(ids)[some].ravel())
                 sizes.append(np.where(some, BANDS, 0))
+                totals.append(np.where(some, np.maximum(np.diff(piece.bounds) - SHINGLE + 1, 1), 0))
             if sizes:
                 offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands], names=["doc_id", "copy_key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(totals), pa.int64()), bands], names=["doc_id", "copy_key", "size", "bands"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.md5(text).alias("copy_key"), text.alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, copy_key string, bands array<long>")
+    return rows.mapInArrow(sign, "doc_id long, copy_key string, size long, bands array<long>")
 
 
 def similar(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
@@ -146,31 +156,70 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def unique_weights(texts: DataFrame) -> DataFrame:
+    """(node, alone): the weight of the shingles that no other of the texts has, where there is some."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for piece in pieces(batch.column(1)):
+                docs, hashes, counts = counted(*piece.shingles(SHINGLE))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[piece.first + docs]), pa.array(counts)], names=["g", "node", "c"])
+
+    grams = texts.mapInArrow(split, "g long, node long, c long")
+    seen = grams.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("node").alias("node"), F.max("c").alias("c"))
+    return seen.where("k = 1").groupBy("node").agg(F.sum("c").alias("alone"))
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether two (size, alone) pairs leave room for a link: they share the lesser rest at most."""
+    shared = F.least(F.col(f"{a}.size") - F.col(f"{a}.alone"), F.col(f"{b}.size") - F.col(f"{b}.alone"))
+    return shared * LEAST[1] >= (F.col(f"{a}.size") + F.col(f"{b}.size") - shared) * LEAST[0]
+
+
+def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with their class, in buckets with several classes."""
+    joined = members.join(labels.select(F.col("node"), F.col("label").alias("l_")), "node", "left").withColumn("label", F.coalesce("l_", "node")).drop("l_")
+    several = joined.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    return joined.join(several, "h", "left_semi")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, copy_of, class_id): the least id of the same text, and of its class, for each document."""
     spark = docs.sparkSession
     marks = checkpointed(signed(docs))
     copies = marks.groupBy("copy_key").agg(F.min("doc_id").alias("copy_of"))
     heads = marks.join(copies.select(F.col("copy_of").alias("doc_id"), "copy_key"), ["doc_id", "copy_key"], "left_semi").dropDuplicates(["doc_id", "copy_key"])
-    entries = heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("h"))
+    entries = heads.select(F.col("doc_id").alias("node"), "size", F.explode("bands").alias("h"))
     buckets = entries.groupBy("h").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpointed(entries.join(buckets.select("h", "center"), "h"))
-    # Texts of the nodes that share a bucket, each once, for both checks.
+    # Texts of the nodes that share a bucket, each once, for all checks.
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     path = shared_path(spark, "near-dup-texts")
     text.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(path)
     texts = spark.read.schema("doc_id long, text string").parquet(path)
+
     stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = checkpointed(verified(stars, texts))
-    labels = components(links)
-    labelled = members.join(labels, "node", "left").select("h", "node", "center", F.coalesce("label", "node").alias("label"))
-    mixed_up = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    open_ = checkpointed(labelled.join(mixed_up, "h", "left_semi"))
-    left, right = open_.select("h", F.col("node").alias("a"), F.col("label").alias("la"), "center"), open_.select("h", F.col("node").alias("b"), F.col("label").alias("lb"))
-    across = left.join(right, "h").where("a < b and la <> lb and a <> center").select("a", "b").distinct()
-    more = checkpointed(verified(across, texts))
-    final = components(links.union(more))
+
+    open_ = checkpointed(undecided(members.drop("center"), components(links)))
+    alone = unique_weights(texts.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    weighed = open_.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    weighed = checkpointed(weighed.where((F.col("size") - F.col("alone")) * LEAST[1] >= F.col("size") * LEAST[0]))
+    centers = weighed.groupBy("h").agg(F.min(F.struct("alone", "node", "size", "label")).alias("c"))
+    spokes = weighed.alias("m").join(centers.alias("x"), "h").where(F.col("m.label") != F.col("c.label"))
+    spokes = spokes.select("m.node", "m.size", "m.alone", F.col("c.node").alias("other"), F.struct("c.size", "c.alone").alias("c"), F.struct("m.size", "m.alone").alias("m"))
+    tried = spokes.where(may_link("m", "c")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = checkpointed(links.union(verified(tried, texts)))
+
+    last = checkpointed(undecided(weighed.drop("label"), components(links)))
+    main = last.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
+    sided = last.join(main, "h")
+    rest, every = sided.where("label <> main").alias("r"), sided.alias("e")
+    across = rest.join(every, F.col("r.h") == F.col("e.h")).where((F.col("r.label") != F.col("e.label")) & ((F.col("e.label") == F.col("e.main")) | (F.col("r.node") < F.col("e.node"))) & may_link("r", "e"))
+    tried = across.select(F.least("r.node", "e.node").alias("a"), F.greatest("r.node", "e.node").alias("b")).distinct()
+    final = components(checkpointed(links.union(verified(tried, texts))))
     by_text = copies.join(final, F.col("copy_of") == F.col("node"), "left").select("copy_key", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
     return marks.select("doc_id", "copy_key").join(by_text, "copy_key").select("doc_id", "copy_of", "class_id")
 
