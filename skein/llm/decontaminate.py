@@ -18,8 +18,8 @@ of 0.8 or more to it.
    (standard deviation 2.9); the radius is four deviations beyond.
 4. The weighted similarity of each candidate is computed in full.
 
-Items' shingles are broadcast only if they are counted to be few; else narrow
-rows are shuffled.  Cases: null, empty and short texts and items without words
+Items' shingles are one scalar array, or broadcast, only if they are counted to
+be few; else narrow rows are shuffled.  Cases: null, empty and short texts and items without words
 match nothing; repeated items give a row each id; repeated documents are joined
 by id; an empty table gives an empty result; ``clean`` passes columns through.
 """
@@ -29,12 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, checkpointed, let
+from .common import broadcast_if_small, checkpointed, let
 
 SHINGLE = 5
 LEAST = (4, 5)
 RADIUS = 22
 BLOCKS = RADIUS + 1
+#: Up to so many different item shingles are looked up as one array, more by a join.
+SCALAR_SHINGLES = 20_000
 CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
@@ -75,16 +77,38 @@ def overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
 
 
-def windows(docs: DataFrame, grams: DataFrame, few: bool) -> DataFrame:
+def hits_by_array(docs: DataFrame, grams: DataFrame, most: int) -> DataFrame:
+    """(doc_id, size, p, g, before, from_, around) of shared shingles, in one pass without a row for each shingle.
+
+    The items' shingles are one scalar.  Texts that share none stop at the
+    intersection.  ``around`` holds the ``most`` shingles on either side.
+    """
+    known = docs.select("doc_id", "h", F.array_intersect("h", grams.agg(F.collect_set("g")).scalar()).alias("shared")).where(F.size("shared") > 0)
+    h = F.col("h")
+    places = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(F.col("shared"), F.get(h, i)))
+
+    def hit(p: Column) -> Column:
+        low = F.greatest(F.lit(0), p - (most - 1))
+        return F.struct(p.alias("p"), F.get(h, p).alias("g"), F.when(p > 0, F.get(h, p - 1)).alias("before"), low.alias("from_"), F.slice(h, low + 1, F.lit(2 * most)).alias("around"))
+
+    return known.select("doc_id", F.size(h).alias("size"), F.explode_outer(F.transform(places, hit)).alias("x")).select("doc_id", "size", "x.*")
+
+
+def hits_by_join(docs: DataFrame, grams: DataFrame, most: int) -> DataFrame:
+    """The same for many shingles: narrow rows are joined, then the texts with a match are."""
+    pairs = F.arrays_zip(F.col("h").alias("g"), F.concat(F.array(F.lit(None).cast("long")), F.col("h")).alias("before"))
+    narrow = docs.select("doc_id", F.posexplode_outer(pairs).alias("p", "x")).select("doc_id", "p", "x.g", "x.before").join(grams.select("g").distinct(), "g", "left_semi")
+    low = F.greatest(F.lit(0), F.col("p") - (most - 1))
+    return narrow.join(docs, "doc_id").select("doc_id", F.size("h").alias("size"), "p", "g", "before", low.alias("from_"), F.slice("h", low + 1, F.lit(2 * most)).alias("around"))
+
+
+def windows(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(doc_id, n, start, window) around shared shingles.  docs: (doc_id, h); grams: (g, o, n, prev)."""
-    if few:
-        hits = docs.select("doc_id", "h", F.posexplode_outer("h").alias("p", "g")).join(F.broadcast(grams), "g")
-    else:
-        narrow = docs.select("doc_id", F.posexplode_outer("h").alias("p", "g")).join(grams, "g")
-        hits = narrow.join(docs, "doc_id")
-    begins = F.col("prev").isNull() | (F.col("p") == 0) | (F.get("h", F.col("p") - 1) != F.col("prev"))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.size("h") - F.col("n")))
-    return hits.where(begins).withColumn("start", start).select("doc_id", "n", "start", F.slice("h", F.col("start") + 1, F.col("n")).alias("window"))
+    known, most = grams.agg(F.count_distinct("g"), F.max("n")).first()
+    hits = (hits_by_array if known <= SCALAR_SHINGLES else hits_by_join)(docs, grams, most or 1)
+    laid = hits.join(broadcast_if_small(grams), "g").where(F.col("prev").isNull() | F.col("before").isNull() | (F.col("before") != F.col("prev")))
+    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("size") - F.col("n")))
+    return laid.select("doc_id", "n", start.alias("start"), F.slice("around", start - F.col("from_") + 1, F.col("n")).alias("window"))
 
 
 def found_with(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -92,8 +116,7 @@ def found_with(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     sized = items.select("item_id", shingles(F.col("ws"), k).alias("h")).withColumn("n", F.size("h"))
     sized = checkpointed(sized.withColumn("fp", simhash(F.col("h"))))
     grams = sized.select("h", "n", F.posexplode("h").alias("o", "g")).select("g", "o", "n", F.when(F.col("o") > 0, F.get("h", F.col("o") - 1)).alias("prev")).distinct()
-    few = grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    laid = windows(docs.select("doc_id", let(F.col("ws"), lambda ws: shingles(ws, k)).alias("h")), grams, few)
+    laid = windows(docs.select("doc_id", let(F.col("ws"), lambda ws: shingles(ws, k)).alias("h")), grams)
     keyed = laid.withColumn("fp", let(F.col("window"), simhash)).select("*", F.posexplode_outer(let(F.col("fp"), blocks)).alias("block", "value"))
     index = sized.select("item_id", F.col("n"), F.col("fp").alias("item_fp"), F.posexplode(blocks(F.col("fp"))).alias("block", "value"))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
