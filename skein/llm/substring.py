@@ -17,8 +17,8 @@ or more over the runs are candidates.
 
 Verification.  Only windows whose fingerprint is a candidate are hashed in full
 (64 bits, independent of the fingerprint's 64) and grouped by both; all but the
-earliest are removed.  Rows of one fingerprint travel packed.  Fingerprints with
-``HOT`` occurrences or more are salted and take pre-aggregated minima instead.
+earliest are removed.  Rows of one fingerprint travel packed to one place, unless
+it has ``HOT`` occurrences or more: then salts are compared first.
 
 Copies of a whole text are found first and not expanded: a later copy of 20 words
 or more loses them all.
@@ -39,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import checkpointed, shared_path
 from .numeric_text import WORDS_BASE, Piece, U, pieces, spans_hashed
 
 WINDOW = 20
 GRAM = 6
 SPREAD = WINDOW - GRAM + 1
 
-#: Occurrences from which a fingerprint's rows are salted, and into how many parts.
+#: Occurrences from which a fingerprint is hot, and the salts its documents are spread over.
 HOT = 1000
 SALTS = 64
 
@@ -113,7 +113,7 @@ class FingerprintIndex:
     def append(self, docs: DataFrame) -> None:
         """Add a batch of (doc_id, text) as a run."""
         counts = fingerprints(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        self.runs.append(self._write(counts.repartition(self.buckets, "h")))
+        self.runs.append(self._write(counts))
         if len(self.runs) > self.most_runs:
             self.compact()
 
@@ -148,66 +148,61 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(h, salt, doc_id, place, windows): the full hashes of the windows that select a flagged gram.
+    """(h, doc_id, place, windows): the full hashes of the windows that select a flagged gram.
 
-    ``docs``: (doc_id, text); ``flagged``: (doc_id, places, hot), parallel arrays.
+    ``docs``: (doc_id, text); ``flagged``: (doc_id, places).
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places, hot = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
+            ids, places = batch.column(0).to_numpy(), batch.column(2)
             for piece in pieces(batch.column(1)):
                 windows, chosen, grams = selected(piece)
                 if not len(windows):
                     continue
-                state = np.zeros(len(piece.hashes), np.int8)
+                listed = np.zeros(len(piece.hashes), bool)
                 for d in range(piece.docs):
-                    at = places[piece.first + d].values.to_numpy(zero_copy_only=False) + piece.bounds[d]
-                    state[at] = 1 + hot[piece.first + d].values.to_numpy(zero_copy_only=False)
-                live = np.flatnonzero(state[chosen] > 0)
+                    listed[places[piece.first + d].values.to_numpy(zero_copy_only=False) + piece.bounds[d]] = True
+                live = np.flatnonzero(listed[chosen])
                 if not len(live):
                     continue
                 windows, chosen = windows[live], chosen[live]
                 new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (windows[1:] != windows[:-1] + 1)]))
                 full = spans_hashed(piece.hashes, windows, windows + WINDOW, WORDS_BASE)
                 doc = piece.doc_of(windows[new])
-                owner = ids[piece.first + doc]
-                salt = np.where(state[chosen[new]] == 2, 1 + owner % SALTS, 0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(grams[chosen[new]].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(owner), pa.array((windows[new] - piece.bounds[doc]).astype(np.int32)),
+                        pa.array(grams[chosen[new]].view(np.int64)), pa.array(ids[piece.first + doc]), pa.array((windows[new] - piece.bounds[doc]).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.append(new, len(windows)).astype(np.int32)), pa.array(full.view(np.int64))),
                     ],
-                    names=["h", "salt", "doc_id", "place", "windows"],
+                    names=["h", "doc_id", "place", "windows"],
                 )
 
-    rows = docs.join(flagged, "doc_id").select("doc_id", "text", "places", "hot")
-    return rows.mapInArrow(hashed, "h long, salt int, doc_id long, place int, windows array<long>")
+    rows = docs.join(flagged, "doc_id").select("doc_id", "text", "places")
+    return rows.mapInArrow(hashed, "h long, doc_id long, place int, windows array<long>")
 
 
-def later_windows(windows: DataFrame, parts: int) -> DataFrame:
+def later_windows(cold: DataFrame, hot: DataFrame) -> DataFrame:
     """(doc_id, place, mask): bit i is set if the window at place + i occurs earlier.
 
-    Both branches start at one exchange.  Cold fingerprints are compared within
-    their partition.  Hot ones, spread over salts, get the minimum of each
-    window from partial minima and are joined with it; that join is split where
-    it is skewed.
+    Cold fingerprints travel packed and are compared within their partition.  Hot
+    ones are compared within a salt of the document first; then the first place
+    of each salt is compared with those of the others, while the rest, already
+    known to be later, stay spread.
     """
-    dealt = windows.repartition(parts, "h", "salt")
     start = F.struct("doc_id", (F.col("place") + F.col("i")).alias("at"))
 
-    def opened(hot: bool) -> DataFrame:
-        # A filter would sink below the exchange and make two of it; an outer explode of null does not.
-        which = F.when((F.col("salt") > 0) == F.lit(hot), F.col("windows"))
-        return dealt.select("h", "salt", "doc_id", "place", F.posexplode_outer(which).alias("i", "w")).where("w is not null").withColumn("start", start)
+    def opened(packed: DataFrame) -> DataFrame:
+        return packed.select("h", "salt", "doc_id", "place", F.posexplode_outer("windows").alias("i", "w")).withColumn("start", start)
 
-    cold = opened(False)
-    cold = cold.withColumn("first", F.min("start").over(Window.partitionBy("h", "salt", "w")))
-    hot = opened(True)
-    firsts = hot.groupBy("h", "w").agg(F.min("start").alias("first"))
-    hot = hot.join(firsts, ["h", "w"]).select(*cold.columns)
-    bits = [x.where("first < start").groupBy("h", "salt", "doc_id", "place").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("i"))).alias("mask")) for x in (cold, hot)]
-    return bits[0].union(bits[1]).select("doc_id", "place", "mask")
+    within = F.min("start").over(Window.partitionBy("h", "salt", "w"))
+    settled = opened(cold.withColumn("salt", F.lit(0)).repartition("h")).withColumn("first", within)
+    spread = opened(hot.withColumn("salt", (1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).cast("int")).repartition("h", "salt")).withColumn("near", within)
+    side = F.when(F.col("near") == F.col("start"), F.lit(0)).otherwise(F.col("salt"))
+    spread = spread.withColumn("side", side).withColumn("first", F.least("near", F.min("start").over(Window.partitionBy("h", "w", "side")))).select(*settled.columns)
+    bit = F.call_function("shiftleft", F.lit(1), F.col("i"))
+    masks = [x.where("first < start").groupBy("h", "salt", "doc_id", "place").agg(F.bit_or(bit).alias("mask")) for x in (settled, spread)]
+    return masks[0].union(masks[1]).select("doc_id", "place", "mask")
 
 
 def kept_words(docs: DataFrame, later: DataFrame, copy_ids: DataFrame, with_texts: bool = True) -> DataFrame:
@@ -257,12 +252,14 @@ def deduplicated(docs: DataFrame, index: FingerprintIndex | None = None, batches
         index.append(part if high is None else part.where(F.col("doc_id") <= high))
     repeated = index.repeated()
     copy_ids = copies(rows)
-    found = fingerprints(rows).join(repeated.select("h", (F.col("n") >= HOT).cast("byte").alias("hot")), "h").select("doc_id", "place", "hot")
-    flagged = found.join(copy_ids, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("place", "hot")).alias("f"))
-    flagged = flagged.select("doc_id", F.col("f.place").alias("places"), F.col("f.hot").alias("hot"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "doc_id")
-    return kept_words(dealt, later_windows(candidate_windows(dealt, flagged), parts), copy_ids, with_texts)
+    found = fingerprints(rows).join(repeated.select("h", (F.col("n") >= HOT).alias("hot")), "h").select("doc_id", "place", "hot")
+    places = lambda hot: F.collect_list(F.when(F.col("hot") == F.lit(hot), F.col("place")))
+    flagged = checkpointed(found.join(copy_ids, "doc_id", "left_anti").groupBy("doc_id").agg(places(False).alias("cold"), places(True).alias("hot")))
+    cold = flagged.where(F.size("cold") > 0).select("doc_id", F.col("cold").alias("places"))
+    hot = flagged.where(F.size("hot") > 0).select("doc_id", F.col("hot").alias("places"))
+    dealt = rows.repartition("doc_id")
+    later = later_windows(candidate_windows(dealt, cold), candidate_windows(dealt, hot))
+    return kept_words(dealt, later, copy_ids, with_texts)
 
 
 def digest(docs: DataFrame) -> DataFrame:
