@@ -5,11 +5,10 @@ words of a shorter item).  A document is contaminated by an item if a window of
 the item's number of words has a weighted Jaccard similarity (counts as weights)
 of 0.8 or more to it.
 
-1. Anchors: windows are laid where a shingle of a document is one of an item's,
-   at the place at which the item's copy would start; one window for each
-   maximal run of agreeing shingles.  A window that shares no shingle with an
-   item has similarity 0, so nothing is lost.  Windows that would leave the text
-   are moved inside.
+1. Anchors: a similarity of 0.8 to an item of n shingles takes an overlap of 8 n / 9,
+   so at least so many places of the window have shingles of items of that size.
+   All windows with so many are laid, at every start, and no other: nothing is
+   lost.  A text that is shorter than the item is one window.
 2. SimHash: 64 bits from the window's shingles; bit b is set if over half of
    them, with multiplicity, have it.
 3. Multi-index blocks: fingerprints are cut into ``RADIUS`` + 1 blocks.  Two
@@ -77,45 +76,61 @@ def overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
 
 
-def hits_by_array(docs: DataFrame, grams: DataFrame, most: int) -> DataFrame:
-    """(doc_id, size, p, g, before, from_, around) of shared shingles, in one pass without a row for each shingle.
+def places_by_array(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(doc_id, h, n, places) of shared shingles, without a row for each shingle and without a shuffle.
 
     The items' shingles are one scalar.  Texts that share none stop at the
-    intersection.  ``around`` holds the ``most`` shingles on either side.
+    intersection; the others meet the shingles of each size.
     """
     known = docs.select("doc_id", "h", F.array_intersect("h", grams.agg(F.collect_set("g")).scalar()).alias("shared")).where(F.size("shared") > 0)
+    sizes = grams.groupBy("n").agg(F.collect_set("g").alias("gs"))
+    pairs = known.join(F.broadcast(sizes), F.arrays_overlap("shared", "gs"))
     h = F.col("h")
-    places = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(F.col("shared"), F.get(h, i)))
+    of_size = let(F.array_intersect("shared", "gs"), lambda gs: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(gs, F.get(h, i))))
+    return pairs.select("doc_id", "h", "n", of_size.alias("places"))
 
-    def hit(p: Column) -> Column:
-        low = F.greatest(F.lit(0), p - (most - 1))
-        return F.struct(p.alias("p"), F.get(h, p).alias("g"), F.when(p > 0, F.get(h, p - 1)).alias("before"), low.alias("from_"), F.slice(h, low + 1, F.lit(2 * most)).alias("around"))
 
-    return known.select("doc_id", F.size(h).alias("size"), F.explode_outer(F.transform(places, hit)).alias("x")).select("doc_id", "size", "x.*")
+def places_by_join(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """The same for many shingles: narrow rows are joined, then the texts with enough of them are."""
+    keyed = docs.withColumn("key", F.xxhash64("h"))
+    narrow = keyed.select("doc_id", "key", F.size("h").alias("size"), F.posexplode_outer("h").alias("p", "g")).join(grams, "g")
+    found = narrow.groupBy("doc_id", "key", "n", "size").agg(F.sort_array(F.collect_set("p")).alias("places")).where(F.size("places") >= least_shared("size", "n"))
+    found = found.withColumnsRenamed({"doc_id": "doc_", "key": "key_"}).drop("size")
+    return found.join(keyed, F.col("doc_").eqNullSafe(F.col("doc_id")) & (F.col("key_") == F.col("key"))).select("doc_id", "h", "n", "places")
 
 
-def hits_by_join(docs: DataFrame, grams: DataFrame, most: int) -> DataFrame:
-    """The same for many shingles: narrow rows are joined, then the texts with a match are."""
-    pairs = F.arrays_zip(F.col("h").alias("g"), F.concat(F.array(F.lit(None).cast("long")), F.col("h")).alias("before"))
-    narrow = docs.select("doc_id", F.posexplode_outer(pairs).alias("p", "x")).select("doc_id", "p", "x.g", "x.before").join(grams.select("g").distinct(), "g", "left_semi")
-    low = F.greatest(F.lit(0), F.col("p") - (most - 1))
-    return narrow.join(docs, "doc_id").select("doc_id", F.size("h").alias("size"), "p", "g", "before", low.alias("from_"), F.slice("h", low + 1, F.lit(2 * most)).alias("around"))
+def least_shared(size: str, n: str) -> Column:
+    """The least overlap of an item of n shingles and a window of the text for a similarity of LEAST."""
+    low, high = LEAST
+    return F.ceil((F.least(F.col(size), F.col(n)) + F.col(n)) * low / (low + high)).cast("int")
 
 
 def windows(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(doc_id, n, start, window) around shared shingles.  docs: (doc_id, h); grams: (g, o, n, prev)."""
-    known, most = grams.agg(F.count_distinct("g"), F.max("n")).first()
-    hits = (hits_by_array if known <= SCALAR_SHINGLES else hits_by_join)(docs, grams, most or 1)
-    laid = hits.join(broadcast_if_small(grams), "g").where(F.col("prev").isNull() | F.col("before").isNull() | (F.col("before") != F.col("prev")))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("size") - F.col("n")))
-    return laid.select("doc_id", "n", start.alias("start"), F.slice("around", start - F.col("from_") + 1, F.col("n")).alias("window"))
+    """(doc_id, n, start, window) of all windows that may be similar.  docs: (doc_id, h); grams: (g, n).
+
+    A start belongs to the first place at or after it; its window is long enough
+    for the ``need``-th place from there, or it is left out.
+    """
+    known = grams.agg(F.count_distinct("g")).first()[0]
+    at = (places_by_array if known <= SCALAR_SHINGLES else places_by_join)(docs, grams).withColumn("size", F.size("h"))
+    at = at.withColumn("need", least_shared("size", "n")).where(F.size("places") >= F.col("need"))
+    places, n, last = F.col("places"), F.col("n"), F.greatest(F.lit(0), F.col("size") - F.col("n"))
+
+    def starts(p: Column, j: Column) -> Column:
+        low = F.greatest(F.lit(0), F.coalesce(F.get(places, j - 1) + 1, F.lit(0)), F.get(places, j + F.col("need") - 1) - n + 1)
+        high = F.least(p, last)
+        return F.when((j + F.col("need") <= F.size(places)) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    laid = at.select("doc_id", "h", "n", F.flatten(F.transform(places, starts)).alias("starts")).where(F.size("starts") > 0)
+    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("h", s + 1, F.col("n")).alias("window")))
+    return laid.select("doc_id", "n", F.explode_outer(cut).alias("x")).select("doc_id", "n", "x.*")
 
 
 def found_with(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """Matches of the items whose shingles have k words.  docs: (doc_id, ws); items: (item_id, ws)."""
     sized = items.select("item_id", shingles(F.col("ws"), k).alias("h")).withColumn("n", F.size("h"))
     sized = checkpointed(sized.withColumn("fp", simhash(F.col("h"))))
-    grams = sized.select("h", "n", F.posexplode("h").alias("o", "g")).select("g", "o", "n", F.when(F.col("o") > 0, F.get("h", F.col("o") - 1)).alias("prev")).distinct()
+    grams = sized.select("n", F.explode("h").alias("g")).distinct()
     laid = windows(docs.select("doc_id", let(F.col("ws"), lambda ws: shingles(ws, k)).alias("h")), grams)
     keyed = laid.withColumn("fp", let(F.col("window"), simhash)).select("*", F.posexplode_outer(let(F.col("fp"), blocks)).alias("block", "value"))
     index = sized.select("item_id", F.col("n"), F.col("fp").alias("item_fp"), F.posexplode(blocks(F.col("fp"))).alias("block", "value"))

@@ -122,6 +122,22 @@ def test_decontamination_by_join(spark, docs, monkeypatch):
 PERSONAL = ["mail a.b@x.com, c@@d.e.f @ x@y.z@w.v", "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.4 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 41111111111111111111", "+1 (555) 010-9999 x +49.30.1234567 ++12", "a@b", "é😀 me@é.com me@a.bc", "1" * 500 + "@" * 50]
 
 
+@pytest.mark.parametrize("scalar", [20_000, 0])
+def test_decontamination_between_diagonals(spark, monkeypatch, scalar):
+    """Copies with words inserted inside and both ends edited: the best window lies between two alignments."""
+    monkeypatch.setattr(decontaminate, "SCALAR_SHINGLES", scalar)
+    items, docs = [], []
+    for i, (n, inserted, ends) in enumerate([(62, 2, 1), (80, 4, 1), (100, 4, 3)]):
+        ws = [f"w{i}x{k}" for k in range(n)]
+        copy = ["e"] * ends + ws[ends : n // 2] + [f"in{k}" for k in range(inserted)] + ws[n // 2 : n - ends] + ["e"] * ends
+        items.append((i, " ".join(ws)))
+        docs += [(i, " ".join(["pre"] * 30 + copy + ["post"] * 30)), (10 + i, " ".join(ws[:-2])), (20 + i, " ".join(ws + ["tail"] * 40 + ws))]
+    docs += [(None, items[0][1]), (0, "another text with the same id")]
+    found = decontaminate.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == brute.contaminated(docs, items)
+    assert {(x["doc_id"], x["similarity"]) for x in found if x["doc_id"] in (0, 1, 2)} == {(0, 0.8125), (1, 0.809524), (2, 0.811321)}
+
+
 def test_pii_base(spark):
     texts = [*PERSONAL, None, ""]
     got = by_id(pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
