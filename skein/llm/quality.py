@@ -3,15 +3,16 @@
 Line rules (a line with a word fails if any holds):
 
 * punctuation: over ``SYMBOL_SHARE`` of its words carry one of ``#*$%&|<>`` or
-  end in a doubled ``!`` or ``?``;
+  end in two marks of ``!`` and ``?``;
 * navigation: ``NAV_MARKS`` or more separators ``|``, one for ``NAV_WORDS`` words
   or fewer;
 * boilerplate: it has a stock phrase of web pages; or, in a text with repeated
   five-word windows, ``DULL_WORDS`` or more words of which at most
   ``DULL_SHARE`` are different.
 
-Lines are looked at only in texts that have a symbol, ``!!``, ``??``, a stock
-phrase or a repeated window somewhere; in others no rule can hold.
+Lines are looked at only in texts that have a symbol, two marks of ``!`` and
+``?`` in a row, a stock phrase or a repeated window somewhere; in others no rule
+can hold.
 
 Failing lines are removed.  A document is rejected if it fails the base rules
 (fewer than ``LEAST_WORDS`` words, or over ``MOST_REPEATED`` % of them in
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import SEPARATORS, fresh, let, words
 
 SYMBOLS = r"[#*$%&|<>]"
+MARKS = r"[!?]{2}"
 ODD = r"[#*$%&|<>]|[!?]{2}"
 ODD_WORD = r"[#*$%&|<>]|[!?]{2}$"
 WINDOW = 5
@@ -97,7 +99,7 @@ def line_fails(line: Column, repeats: Column) -> Column:
 
 def suspect(text: Column, n_symbols: Column, repeats: Column) -> Column:
     """Whether some line of the text can fail."""
-    return (n_symbols > 0) | repeats | F.contains(text, F.lit("!!")) | F.contains(text, F.lit("??")) | has_stock(text)
+    return (n_symbols > 0) | repeats | text.rlike(MARKS) | has_stock(text)
 
 
 def judged(docs: DataFrame, prefix: str = "") -> DataFrame:

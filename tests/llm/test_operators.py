@@ -293,6 +293,16 @@ def test_quality_lines(spark):
     assert kept[1]["text"] == f"{good}\n{more}" and kept[1]["kept"] == "x"
 
 
+def test_quality_mixed_marks(spark):
+    """Words that end in !? or ?! are odd, alone in a text too."""
+    prose = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(0, f"{prose}\nReally?! No!? What?!"), (1, "Really?! No!? What?! " * 3 + "So it goes"), (2, f"{prose}\nReally! No? What!"), (3, f"{prose}\nReally?! No!? What?!\n# a b c d")]
+    got = by_id(quality.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[d]["kept_words"] for d in range(4)] == [12, 0, 15, 17]
+    cleaned = by_id(quality.clean(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert cleaned[0]["text"] == prose
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", licenses.TEMPLATES[3][1], False), ("a/b/c/x.txt", "nothing here", False), ("a/b/y.txt", "code\n# SPDX-License-Identifier: GPL-3.0\n", False),
