@@ -2,7 +2,7 @@
 
 The base patterns find assignments to secret-like names, access key ids and long
 hex runs.  The method adds strings that look random: tokens of 20 or more key
-characters with two kinds of characters are scored by the log-likelihood ratio,
+characters, but rules of signs only, are scored by the log-likelihood ratio,
 per character, of two character Markov models of order two, one of random
 strings and one of ordinary identifiers.  Both are trained on labelled samples
 written here (``SAMPLE`` strings each, fixed seed); the threshold leaves
@@ -107,19 +107,13 @@ def model(seed: int = 23) -> tuple[tuple[np.ndarray, np.ndarray], float]:
     return models, max(0.0, held[int(len(held) * (1 - FALSE_RATE)) - 1])
 
 
-def mixed_kinds(s: str) -> bool:
-    """Whether a token has digits and letters, or both cases in a run of letters."""
-    digit, lower, upper = any(c.isdigit() for c in s), any(c.islower() for c in s), any(c.isupper() for c in s)
-    return digit and (lower or upper)
-
-
 def all_spans(text: str, fitted_model: tuple) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     models, threshold = fitted_model
     more = [
         ("random", *m.span())
         for m in CANDIDATE.finditer(text)
-        if mixed_kinds(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in base) and ratio(m[0], models) > threshold
+        if any(c.isalnum() for c in m[0]) and not any(s < m.end() and m.start() < e for _, s, e in base) and ratio(m[0], models) > threshold
     ]
     order = [*KINDS, "random"]
     return base, sorted(base + more, key=lambda s: (s[1], order.index(s[0])))

@@ -180,6 +180,16 @@ def test_secrets_model(spark):
     assert got[1]["spans"] == "random:4:28" and got[2]["spans"] == got[3]["spans"] == ""
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", secrets.ALPHABET[:62], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"])
+def test_secrets_recall_of_spans(alphabet):
+    """Keys are found by the whole search, with digits or without."""
+    r = random.Random(8)
+    found = lambda s: ("random", 4, 4 + len(s)) in secrets.all_spans(f"see {s} now", secrets.model())[1]
+    assert sum(found("".join(r.choices(alphabet, k=20))) for _ in range(1000)) >= 990
+    assert sum(found(s) for s in secrets.identifiers(r, 1000)) <= 10
+    assert not any(found(c * 30) for c in "-_=+/")
+
+
 def test_urls(spark):
     rows = ["http://A.COM/en/x?q#f", "https://example.com/en/7", "http://x.example.net/de/81", "http://example.net/de/9", "no scheme", None, "http://example.org/es/?a", "http://org", "ftp://a.notcom/en/1", "http://h?x/y", "http://.com/en/"]
     got = {r["page_id"]: r for r in urls.digest(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
