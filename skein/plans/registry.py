@@ -454,15 +454,18 @@ def events_per_day(spark, d):
 # Models.
 
 
+def worded_articles(spark: SparkSession, d: str) -> DataFrame:
+    return A.articles(spark, d).select("urlid", "title", F.col("content").alias("body"), T.two_sentences(F.col("content")).alias("summary"))
+
+
 def training(spark: SparkSession, d: str) -> DataFrame:
-    return A.articles(spark, d).join(A.table(spark, d, "labels").select(F.col("doc_id").alias("urlid")), "urlid").select("urlid", "title", F.col("content").alias("body"), T.two_sentences(F.col("content")).alias("summary"))
+    return worded_articles(spark, d).join(A.table(spark, d, "labels").select(F.col("doc_id").alias("urlid")), "urlid")
 
 
 @query()
 def predict_topics(spark, d):
-    rows = training(spark, d)
-    models = classify.train(rows, A.categories(spark, d), ["good", "toxic"], terms=200)
-    return classify.predict(models, rows).select("urlid", F.array_join("categories", " ").alias("categories"))
+    models = classify.train(training(spark, d), A.categories(spark, d), ["good", "toxic"])
+    return classify.predict(models, worded_articles(spark, d)).select("urlid", F.array_join("categories", " ").alias("categories"))
 
 
 def queries() -> dict[str, Query]:

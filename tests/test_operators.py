@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.operators import classify, duplicates, evaluate, relational, rules, similarity, vocabulary
+from skein.plans import registry
 
 DAY = dt.date(2024, 1, 30)
 
@@ -163,3 +164,20 @@ def test_nearest(spark):
 
 def test_dissimilarity_clamps(spark):
     assert spark.range(1).select(similarity.dissimilarity(F.lit(1.0)).alias("d")).first()["d"] == 0
+
+
+def test_topics_of_unlabelled_documents(spark, tmp_path, monkeypatch):
+    """Models come from the labelled rows with the default number of words; all documents get topics."""
+    rows = [(i, ("bright clear. fine fine text" if i % 2 else "dull grey. poor poor text") + f" n{i}.", "en", "src1", 30) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    train, seen = classify.train, []
+
+    def watched(rows, *args, terms=classify.TERMS):
+        seen.append((rows.count(), terms))
+        return train(rows, *args[:1], ["good"], terms=terms)
+
+    monkeypatch.setattr(classify, "train", watched)
+    got = {r["urlid"]: r["categories"] for r in registry.predict_topics(spark, str(tmp_path)).collect()}
+    assert seen == [(20, 1000)]
+    assert got == {i: "good" if i % 2 else "" for i in range(40)}
