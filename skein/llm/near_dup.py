@@ -16,32 +16,41 @@ than a text's latest component.
 
 ``BANDS`` bands of ``ROWS`` components are hashed.  A pair of similarity 0.8
 shares no band with a probability of (1 - 0.8**4)**20 = 2.6e-5.  Copies of a text
-are one node.  Links are found in three rounds, each checked on whole multisets:
+are one node.  Links among the nodes of a bucket are found in three rounds, each
+checked on whole multisets:
 
 1. The members of a bucket against its least one.
-2. In buckets with several classes left, a node's unique weight is that of its
-   shingles that no other such node has.  Nodes share no more than the rest of
-   them, which bounds the similarity of a pair; nodes that the bound keeps from
-   any link leave.  The others are checked against the bucket's member of least
-   unique weight, the likely origin of a group of edited copies.
-3. In buckets with several classes still, all pairs of two classes, one of them
-   not the largest, that the bound allows.
+2. Each bucket that still holds several classes has an origin ``o``: of its
+   largest class, the member with the most links so far.  All its members are
+   compared with ``o``; what a member has less or more than ``o`` are its
+   differences.  Let m and e be their weights and d = 5 m + 4 e; a node is linked
+   to ``o`` if and only if d <= |o|.
+3. Two nodes whose differences overlap by c share |o| - m1 - m2 + c, so they are
+   linked if and only if 9 c >= d1 + d2 - |o|.  Nodes of two classes are not both
+   linked to ``o``, so c is 1 at least: only nodes that have a difference in
+   common need a check.  They are found by a join on differences, rarest first:
+   each node enters it with so many of them that the others could not reach the
+   least c any partner asks for.  Differences that the same nodes have are one.
 
 Only pairs that cannot be links or cannot change a class are left out, so the
-classes are those of all links.
+classes are those of all links between nodes that share a bucket.
 
 Cases: null and empty texts are copies of one another and link to nothing else;
-repeated rows are copies; a null id counts as -1; an empty table gives an empty
-result; ``one_of_each`` passes the columns through.
+rows that repeat a text are copies, whatever their ids; different texts of one
+id, or without an id, are different nodes; ``copy_of`` and ``class_id`` are least
+ids, null if there is none; an empty table gives an empty result; a text of any
+length is one row; ``one_of_each`` passes the columns through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, shared_path
@@ -106,121 +115,173 @@ def banded(ids: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy_key, size, bands) of each document: shingles counted with repeats, and bands, none for texts without words."""
+    """(doc_id, copy_key, bands) of each document; no bands for texts without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, sizes, totals = [], [], []
+            values, sizes = [], []
             for piece in pieces(batch.column(2)):
                 ids = signatures(*counted(*piece.shingles(SHINGLE)), piece.docs)
                 some = np.diff(piece.bounds) > 0
                 values.append(banded(ids)[some].ravel())
                 sizes.append(np.where(some, BANDS, 0))
-                totals.append(np.where(some, np.maximum(np.diff(piece.bounds) - SHINGLE + 1, 1), 0))
             if sizes:
                 offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(totals), pa.int64()), bands], names=["doc_id", "copy_key", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands], names=["doc_id", "copy_key", "bands"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.md5(text).alias("copy_key"), text.alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, copy_key string, size long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("copy_key"), text.alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, copy_key string, bands array<long>")
 
 
-def similar(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
-    """Whether each pair of texts has a weighted Jaccard similarity of LEAST or more."""
+def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, count) of the shingles of each text."""
+    parts = [(p.first, *counted(*p.shingles(SHINGLE))) for p in pieces(texts)]
+    return tuple(np.concatenate(x) for x in ([f + d for f, d, _, _ in parts], [h for _, _, h, _ in parts], [c for *_, c in parts]))
 
-    def bag(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [(p.first, *counted(*p.shingles(SHINGLE))) for p in pieces(texts)]
-        return tuple(np.concatenate(x) for x in ([f + d for f, d, _, _ in parts], [h for _, _, h, _ in parts], [c for *_, c in parts]))
 
-    (da, ha, ca), (db, hb, cb) = bag(texts_a), bag(texts_b)
-    n = len(texts_a)
-    total = np.bincount(da, ca, n) + np.bincount(db, cb, n)
+def aligned(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, count in a, count in b) of the shingles of either text of each pair."""
+    (da, ha, ca), (db, hb, cb) = bags(texts_a), bags(texts_b)
     key_a, key_b = mixed(ha + mixed(da.astype(U) * STEP)), mixed(hb + mixed(db.astype(U) * STEP))
     _, ia, ib = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
-    shared = np.bincount(da[ia], np.minimum(ca[ia], cb[ib]), n)
-    return (shared * LEAST[1] >= (total - shared) * LEAST[0]) & (total > 0)
+    in_b, alone = np.zeros(len(da), np.int64), np.ones(len(db), bool)
+    in_b[ia], alone[ib] = cb[ib], False
+    return np.concatenate([da, db[alone]]), np.concatenate([ha, hb[alone]]), np.concatenate([ca, np.zeros(alone.sum(), np.int64)]), np.concatenate([in_b, cb[alone]])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose texts are similar.  ``texts``: (doc_id, text), an id once."""
+def similar(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
+    """Whether each pair of texts has a weighted Jaccard similarity of LEAST or more."""
+    row, _, a, b = aligned(texts_a, texts_b)
+    n = len(texts_a)
+    shared, either = np.bincount(row, np.minimum(a, b), n), np.bincount(row, np.maximum(a, b), n)
+    return (shared * LEAST[1] >= either * LEAST[0]) & (either > 0)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(similar(batch.column(2), batch.column(3))))
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b) of (a, b) pairs.  ``texts``: (node, text), a node once."""
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
 
 
-def unique_weights(texts: DataFrame) -> DataFrame:
-    """(node, alone): the weight of the shingles that no other of the texts has, where there is some."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) pairs whose texts are similar."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for piece in pieces(batch.column(1)):
-                docs, hashes, counts = counted(*piece.shingles(SHINGLE))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[piece.first + docs]), pa.array(counts)], names=["g", "node", "c"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(similar(batch.column(2), batch.column(3))))
 
-    grams = texts.mapInArrow(split, "g long, node long, c long")
-    seen = grams.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("node").alias("node"), F.max("c").alias("c"))
-    return seen.where("k = 1").groupBy("node").agg(F.sum("c").alias("alone"))
+    return with_texts(pairs, texts).mapInArrow(check, "a long, b long")
 
 
-def may_link(a: str, b: str) -> Column:
-    """Whether two (size, alone) pairs leave room for a link: they share the lesser rest at most."""
-    shared = F.least(F.col(f"{a}.size") - F.col(f"{a}.alone"), F.col(f"{b}.size") - F.col(f"{b}.alone"))
-    return shared * LEAST[1] >= (F.col(f"{a}.size") + F.col(f"{b}.size") - shared) * LEAST[0]
+def differences(spokes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(o, node, whole, d, parts) of (a, b) pairs of an origin and a node.
 
+    ``whole`` is the weight of the origin, ``d`` 5 times the weight that the node
+    lacks of it and 4 times what it has more; ``parts`` holds each (shingle, weight)
+    of these, shingles that it lacks under another hash than those it has more.
+    """
 
-def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``members`` with their class, in buckets with several classes."""
-    joined = members.join(labels.select(F.col("node"), F.col("label").alias("l_")), "node", "left").withColumn("label", F.coalesce("l_", "node")).drop("l_")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, h, a, b = aligned(batch.column(2), batch.column(3))
+            n = batch.num_rows
+            low, high = LEAST
+            whole = np.bincount(row, a, n).astype(np.int64)
+            d = np.bincount(row, np.where(a > b, (a - b) * high, (b - a) * low), n).astype(np.int64)
+            order = np.argsort(row, kind="stable")
+            order = order[a[order] != b[order]]
+            offsets = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
+            key = np.where(a > b, mixed(h ^ STEP), h)[order]
+            parts = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(np.abs(a - b)[order])], names=["g", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole), pa.array(d), pa.ListArray.from_arrays(pa.array(offsets), parts)], names=["o", "node", "whole", "d", "parts"])
+
+    return with_texts(spokes, texts).mapInArrow(compare, "o long, node long, whole long, d long, parts array<struct<g:long,c:long>>")
+
+
+def labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """``rows`` with the class of each node; a node without links is a class of its own."""
+    known = labels.select(F.col("node").alias("n_"), F.col("label").alias("l_"))
+    return rows.join(known, F.col(node) == F.col("n_"), "left").withColumn(label, F.coalesce("l_", node)).drop("n_", "l_")
+
+
+def origins(members: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): the origin and each other member of the buckets with several classes."""
+    joined = labelled(members, labels)
     several = joined.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    return joined.join(several, "h", "left_semi")
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy_of, class_id): the least id of the same text, and of its class, for each document."""
-    spark = docs.sparkSession
+    open_ = checkpointed(joined.join(several, "h", "left_semi"))
+    sizes = open_.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("h").agg(F.max(F.struct("k", (-F.col("label")).alias("l"))).alias("m")).select("h", (-F.col("m.l")).alias("main"))
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    hubs = labels.join(degree, "node", "left").groupBy(F.col("label").alias("main")).agg(F.min(F.struct((-F.coalesce("links", F.lit(0))).alias("k"), "node"))["node"].alias("hub"))
+    found = open_.join(largest.join(hubs, "main", "left").select("h", F.coalesce("hub", "main").alias("a")), "h")
+    return found.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def sharing_differences(diffs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): nodes of two classes whose differences to one origin may overlap enough for a link."""
+    rows = labelled(labelled(diffs, labels), labels, "o", "main").withColumn("rest", F.col("label") != F.col("main"))
+    # Groups with a node outside of the origin's class; any partner's d is at least low, that of one outside at least low_rest.
+    lows = rows.groupBy("o").agg(F.min("d").alias("low"), F.min(F.when(F.col("rest"), F.col("d"))).alias("low_rest")).where("low_rest is not null")
+    parts = rows.select("o", "node", "rest", F.explode("parts").alias("p")).select("o", "node", "rest", "p.*").join(lows.select("o"), "o", "left_semi")
+    shared = Window.partitionBy("o", "g")
+    posted = parts.select("o", "node", "c", F.count(F.lit(1)).over(shared).alias("n"), F.max("rest").over(shared).alias("wanted"), F.bit_xor(F.xxhash64("node", "c")).over(shared).alias("who"))
+    merged = posted.where("n > 1 and wanted").groupBy("o", "node", "n", "who").agg(F.sum("c").alias("c"))
+    by_rarity = Window.partitionBy("o", "node").orderBy("n", "who")
+    left = F.sum("c").over(by_rarity.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rest_of = merged.select("o", "node", "n", "who", F.sum("c").over(Window.partitionBy("o", "node")).alias("s"), left.alias("left"))
+    known = rows.drop("parts", "main").join(lows, "o")
+    least_c = lambda partner: F.greatest(F.lit(1), F.ceil((F.col("d") + F.col(partner) - F.col("whole")) / (LEAST[0] + LEAST[1])))
+    keyed = rest_of.join(known, ["o", "node"]).withColumns({"near": F.col("left") >= least_c("low_rest"), "far": F.col("left") >= least_c("low")})
+    keyed = keyed.select("o", "n", "who", "node", "label", "rest", "d", "s", "whole", "near", "far").where("near or (rest and far)")
+    x, y = keyed.where("rest and far").alias("x"), keyed.where("near").alias("y")
+    same = reduce(and_, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("o", "n", "who")])
+    reach = (LEAST[0] + LEAST[1]) * F.least("x.s", "y.s") >= F.col("x.d") + F.col("y.d") - F.col("x.whole")
+    once = ~F.col("y.rest") | (F.col("x.near") & (F.col("x.node") < F.col("y.node")))
+    met = x.join(y, same & (F.col("x.label") != F.col("y.label")) & reach & once)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def row_key(copy_key: Column, doc_id: Column) -> Column:
+    """A key of a text and an id, also of a null id."""
+    return F.concat(copy_key, F.lit(":"), F.coalesce(doc_id.cast("long").cast("string"), F.lit("")))
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Marks of the rows, the different texts as numbered nodes in the order of their least ids, and (node, label) of linked ones."""
     marks = checkpointed(signed(docs))
-    copies = marks.groupBy("copy_key").agg(F.min("doc_id").alias("copy_of"))
-    heads = marks.join(copies.select(F.col("copy_of").alias("doc_id"), "copy_key"), ["doc_id", "copy_key"], "left_semi").dropDuplicates(["doc_id", "copy_key"])
-    entries = heads.select(F.col("doc_id").alias("node"), "size", F.explode("bands").alias("h"))
+    heads = marks.groupBy("copy_key").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands"))
+    order = [F.asc_nulls_last("copy_of"), F.col("copy_key")]
+    heads = checkpointed(heads.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
+    entries = heads.select("node", F.explode("bands").alias("h"))
     buckets = entries.groupBy("h").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpointed(entries.join(buckets.select("h", "center"), "h"))
     # Texts of the nodes that share a bucket, each once, for all checks.
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    path = shared_path(spark, "near-dup-texts")
-    text.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(path)
-    texts = spark.read.schema("doc_id long, text string").parquet(path)
+    named = heads.join(members.select("node").distinct(), "node").select("node", row_key(F.col("copy_key"), F.col("copy_of")).alias("row_key"))
+    text = F.coalesce("text", F.lit(""))
+    path = shared_path(docs.sparkSession, "near-dup-texts")
+    docs.select(row_key(F.md5(text), F.col("doc_id")).alias("row_key"), text.alias("text")).join(named, "row_key").dropDuplicates(["row_key"]).select("node", "text").write.parquet(path)
+    texts = docs.sparkSession.read.schema("node long, text string").parquet(path)
 
     stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = checkpointed(verified(stars, texts))
+    diffs = checkpointed(differences(origins(members.select("h", "node"), links, components(links)), texts))
+    links = checkpointed(links.union(diffs.where("d <= whole").select(F.col("o").alias("a"), F.col("node").alias("b"))))
+    tried = sharing_differences(diffs, components(links))
+    return marks, heads.drop("bands"), components(checkpointed(links.union(verified(tried, texts))))
+
 
-    open_ = checkpointed(undecided(members.drop("center"), components(links)))
-    alone = unique_weights(texts.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    weighed = open_.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    weighed = checkpointed(weighed.where((F.col("size") - F.col("alone")) * LEAST[1] >= F.col("size") * LEAST[0]))
-    centers = weighed.groupBy("h").agg(F.min(F.struct("alone", "node", "size", "label")).alias("c"))
-    spokes = weighed.alias("m").join(centers.alias("x"), "h").where(F.col("m.label") != F.col("c.label"))
-    spokes = spokes.select("m.node", "m.size", "m.alone", F.col("c.node").alias("other"), F.struct("c.size", "c.alone").alias("c"), F.struct("m.size", "m.alone").alias("m"))
-    tried = spokes.where(may_link("m", "c")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links = checkpointed(links.union(verified(tried, texts)))
-
-    last = checkpointed(undecided(weighed.drop("label"), components(links)))
-    main = last.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
-    sided = last.join(main, "h")
-    rest, every = sided.where("label <> main").alias("r"), sided.alias("e")
-    across = rest.join(every, F.col("r.h") == F.col("e.h")).where((F.col("r.label") != F.col("e.label")) & ((F.col("e.label") == F.col("e.main")) | (F.col("r.node") < F.col("e.node"))) & may_link("r", "e"))
-    tried = across.select(F.least("r.node", "e.node").alias("a"), F.greatest("r.node", "e.node").alias("b")).distinct()
-    final = components(checkpointed(links.union(verified(tried, texts))))
-    by_text = copies.join(final, F.col("copy_of") == F.col("node"), "left").select("copy_key", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy_of, class_id): the least id of the same text, and of its class, for each document."""
+    marks, heads, labels = grouped(docs)
+    first = heads.select(F.col("node").alias("label"), F.col("copy_of").alias("class_id"), F.lit(True).alias("linked"))
+    by_text = heads.join(labels.join(first, "label").drop("label"), "node", "left")
+    by_text = by_text.select("copy_key", "copy_of", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("copy_of")).alias("class_id"))
     return marks.select("doc_id", "copy_key").join(by_text, "copy_key").select("doc_id", "copy_of", "class_id")
 
 
@@ -229,8 +290,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of the least id of each class, one row each; the columns stay."""
-    (head,) = fresh(docs, "head")
-    heads = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias(head)).distinct()
-    kept = docs.join(heads, F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col(head), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """A document of each class, that of the least id, then of the least digest of its text; the columns stay.
+
+    Of rows that repeat id and text, one stays.
+    """
+    (key,) = fresh(docs, "key")
+    _, heads, labels = grouped(docs)
+    kept = heads.join(labels.where("label <> node"), "node", "left_anti").select(row_key(F.col("copy_key"), F.col("copy_of")).alias(key))
+    keyed = docs.withColumn(key, row_key(F.md5(F.coalesce(F.col("text"), F.lit(""))), F.col("doc_id")))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

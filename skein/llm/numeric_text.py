@@ -2,9 +2,11 @@
 
 A batch is cut into pieces of about ``PIECE`` bytes at document boundaries, so
 memory is bounded by a piece or the longest document.  Words are separated by
-the bytes 0x20 and 0x09 to 0x0D, in UTF-8.  Word hashes are polynomials over the
-bytes, window hashes polynomials over the word hashes, modulo 2**64, from prefix
-sums and powers of an odd base and of its inverse, and then mixed.
+the bytes 0x20 and 0x09 to 0x0D, in UTF-8.  A word's hash is the mixed sum of a
+pseudo-random number for each (place, byte) of it, so no family of words has
+equal hashes by its structure, as it has for polynomials modulo 2**64.  Window
+hashes are polynomials over these word hashes, from prefix sums and powers of an
+odd base and of its inverse, and then mixed.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 PIECE = 1 << 20
 U = np.uint64
 
-# Odd bases for words and windows, and fixed constants of the splitmix64 finalizer.
-BYTES_BASE, WORDS_BASE = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95
+# An odd base for windows, and fixed constants of the splitmix64 finalizer.
+WORDS_BASE = 0xD1342543DE82EF95
 STEP, MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -51,6 +53,27 @@ def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * STEP)
 
 
+#: Places in a word whose numbers are kept in a table; those of later places are made as they come.
+PLACES = 64
+_numbers = mixed(np.arange(PLACES * 256, dtype=U) * STEP + MIX_A)
+
+
+def words_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word; the spans rise and do not overlap."""
+    if not len(starts):
+        return np.zeros(0, U)
+    begins = np.zeros(len(data), np.int64)
+    begins[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(begins)
+    key = place * 256 + data
+    numbers = _numbers[np.minimum(key, len(_numbers) - 1)]
+    far = np.flatnonzero(place >= PLACES)
+    numbers[far] = mixed(key[far].astype(U) * STEP + MIX_A)
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(numbers, out=sums[1:])
+    return mixed(sums[ends] - sums[starts] + (ends - starts).astype(U) * STEP)
+
+
 @dataclass
 class Piece:
     """Some documents: rows [first, first + docs) of a batch, and their words."""
@@ -105,8 +128,7 @@ def cut(first: int, data: np.ndarray, offsets: np.ndarray) -> Piece:
     before[1:], after[:-1] = word[:-1], word[1:]
     starts = np.flatnonzero(word & (~before | edge[:-1]))
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    hashes = spans_hashed(data.astype(U) + U(1), starts, ends, BYTES_BASE) if len(starts) else np.zeros(0, U)
-    return Piece(first, docs, hashes, np.searchsorted(starts, offsets).astype(np.int64), data, starts, ends)
+    return Piece(first, docs, words_hashed(data, starts, ends), np.searchsorted(starts, offsets).astype(np.int64), data, starts, ends)
 
 
 def counted(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

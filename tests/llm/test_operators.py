@@ -66,6 +66,61 @@ def test_near_duplicates_join_many_edits(spark):
     assert {d: (x["copy_of"], x["class_id"]) for d, x in got.items()} == brute.classes(rows)
 
 
+@pytest.mark.parametrize("origin", [True, False])
+def test_near_duplicates_in_a_large_group(spark, origin):
+    """Chains of edits, deletions and insertions on both sides of 0.8, with and without the origin in the table."""
+    r = random.Random(5)
+    base = prose(r, 140).split()
+    texts = [base] if origin else []
+    for _ in range(400):
+        ws = list(r.choice(texts[-300:]) if texts and r.random() < 0.3 else base)
+        for _ in range(r.randint(1, 7)):
+            at = r.randrange(len(ws))
+            ws[at : at + r.randint(0, 2)] = r.choice([[], [r.choice(WORDS)], [r.choice(WORDS), r.choice(WORDS)]])
+        texts.append(ws)
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(texts)]
+    got = by_id(near_dup.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = brute.classes(rows)
+    assert len({c for _, c in want.values()}) > 5
+    assert {d: (x["copy_of"], x["class_id"]) for d, x in got.items()} == want
+
+
+def test_sharing_differences_finds_all_links(spark):
+    """Whatever the origin is, no link between classes is left out."""
+    r = random.Random(12)
+    base = prose(r, 60).split()
+    rows = [(0, " ".join(base)), (1, prose(r, 60))]
+    for i in range(2, 150):
+        ws = list(base)
+        for _ in range(r.randint(1, 4)):
+            ws[r.randrange(len(ws))] = r.choice(WORDS[:4])
+        rows.append((i, " ".join(ws)))
+    texts = spark.createDataFrame(rows, "node long, text string")
+    bags = [brute.shingles(t) for _, t in rows]
+    links = {(a, b) for a in range(150) for b in range(a + 1, 150) if brute.jaccard(bags[a], bags[b]) >= 0.8}
+    assert {tuple(x) for x in near_dup.verified(spark.createDataFrame([(a, b) for a in range(150) for b in range(a + 1, 150)], "a long, b long"), texts).collect()} == links
+    for o in (0, 1, 77):
+        diffs = near_dup.differences(spark.createDataFrame([(o, x) for x in range(150) if x != o], "a long, b long"), texts).cache()
+        near = {o} | {x["node"] for x in diffs.where("d <= whole").collect()}
+        assert near == {x for x in range(150) if x == o or (min(o, x), max(o, x)) in links}
+        labels = spark.createDataFrame([(x, min(near)) for x in near], "node long, label long")
+        tried = {tuple(x) for x in near_dup.sharing_differences(diffs, labels).collect()}
+        assert {(a, b) for a, b in links if o not in (a, b) and not {a, b} <= near} <= tried
+
+
+def test_near_duplicates_without_ids(spark):
+    r = random.Random(6)
+    a, b, c = prose(r, 50), prose(r, 50), prose(r, 50)
+    rows = [(None, a), (None, b), (None, c), (None, a), (7, a), (7, b + " tail"), (7, "other"), (-1, c), (8, "other"), (8, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, near_dup.digest(df).collect()), key=str)
+    assert got == sorted([(None, 7, 7), (None, None, 7), (None, -1, -1), (None, 7, 7), (7, 7, 7), (7, 7, 7), (7, 7, 7), (-1, -1, -1), (8, 7, 7), (8, 7, 7)], key=str)
+    kept = [tuple(x) for x in near_dup.one_of_each(df).collect()]
+    assert sorted(kept) == sorted([(7, a), (7, b + " tail"), (7, "other"), (-1, c)])
+    alone = spark.createDataFrame([(None, a), (None, b), (None, "x")], "doc_id long, text string")
+    assert near_dup.one_of_each(alone).count() == 3
+
+
 def test_one_of_each_keeps_columns(docs):
     odd = docs.withColumn("class_id", F.lit("mine")).withColumn("size", F.lit(1)).union(docs.withColumn("class_id", F.lit("mine")).withColumn("size", F.lit(1)))
     out = near_dup.one_of_each(odd)
@@ -337,6 +392,17 @@ def test_numeric_words():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_word_hashes_of_structured_words():
+    """Words that collide under every odd base of a polynomial modulo 2**64, and words that share a long prefix."""
+    tm = "a"
+    for _ in range(11):
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    ws = [tm, tm.translate(str.maketrans("ab", "ba")), "a" * 300, "a" * 301, "a" * 299 + "b", "ab", "ba"]
+    (piece,) = numeric_text.pieces(pa.array([" ".join(ws), " ".join(reversed(ws))]))
+    assert len(set(piece.hashes.tolist())) == len(ws)
+    assert piece.hashes[: len(ws)].tolist() == piece.hashes[len(ws) :][::-1].tolist()
+
+
 DIGESTS = [near_dup.digest, substring.digest, pii.digest, secrets.digest, sharding.digest, mixing.digest, quality.digest, licenses.digest]
 
 
