@@ -55,20 +55,21 @@ def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 #: Places in a word whose numbers are kept in a table; those of later places are made as they come.
 PLACES = 64
-_numbers = mixed(np.arange(PLACES * 256, dtype=U) * STEP + MIX_A)
+SEEDS = [MIX_A, MIX_B]
+_numbers = [mixed(mixed(np.arange(PLACES * 256, dtype=U) * STEP + seed) ^ seed) for seed in SEEDS]
 
 
-def words_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each word; the spans rise and do not overlap."""
+def words_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the bytes of each word, one of two; the spans rise and do not overlap."""
     if not len(starts):
         return np.zeros(0, U)
     begins = np.zeros(len(data), np.int64)
     begins[starts] = starts
     place = np.arange(len(data)) - np.maximum.accumulate(begins)
     key = place * 256 + data
-    numbers = _numbers[np.minimum(key, len(_numbers) - 1)]
+    numbers = _numbers[which][np.minimum(key, PLACES * 256 - 1)]
     far = np.flatnonzero(place >= PLACES)
-    numbers[far] = mixed(key[far].astype(U) * STEP + MIX_A)
+    numbers[far] = mixed(mixed(key[far].astype(U) * STEP + SEEDS[which]) ^ SEEDS[which])
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(numbers, out=sums[1:])
     return mixed(sums[ends] - sums[starts] + (ends - starts).astype(U) * STEP)
@@ -86,6 +87,10 @@ class Piece:
     starts: np.ndarray  # of words, in data
     ends: np.ndarray
 
+    def other_hashes(self) -> np.ndarray:
+        """Hashes of the words that are independent of ``hashes``."""
+        return words_hashed(self.data, self.starts, self.ends, 1)
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of ``k`` words within a document, and their first words."""
         ends = np.repeat(self.bounds[1:], np.diff(self.bounds))

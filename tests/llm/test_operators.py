@@ -152,9 +152,66 @@ def test_index_compacts(spark, docs):
     for k in range(4):
         index.append(rows.where(F.col("doc_id") % 4 == k))
     assert len(index.runs) <= 2
-    want = {r["h"]: r["n"] for r in substring.fingerprints(rows).groupBy("h").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert {r["h"]: r["n"] for r in index.merged().collect()} == want
+    prints = substring.fingerprints(rows).withColumn("batch", (F.col("doc") % 4).cast("int")).collect()
+    want = {}
+    for r in prints:
+        n, first = want.get(r["h"], (0, None))
+        mine = (r["batch"], r["doc"], r["tie"], r["place"])
+        want[r["h"]] = (n + 1, min(first or mine, mine))
+    assert {r["h"]: (r["n"], tuple(r["first"])) for r in index.merged().collect()} == want
+    tables = {r["tableName"] for r in spark.sql("show tables").collect()}
+    assert set(index.runs) <= tables
     index.close()
+    assert not {r["tableName"] for r in spark.sql("show tables").collect() if r["tableName"].startswith("run_")}
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_substrings_of_new_batches(spark, monkeypatch, hot):
+    """Four batches on four calls give what one table gives; only matched old texts are joined."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    r = random.Random(21)
+    passages = [prose(r, n) for n in (20, 26, 45, 70)]
+    rows = []
+    for i in range(60):
+        bits = [prose(r, r.randint(3, 40))] + [x for p in passages if r.random() < 0.4 for x in (p, prose(r, r.randint(0, 6)))]
+        rows.append((i, " ".join(bits)))
+    rows += [(60, rows[3][1]), (61, rows[55][1]), (62, None), (63, passages[0]), (64, passages[3] + " " + passages[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = substring.FingerprintIndex(spark, buckets=3, most_runs=2)
+    got = {}
+    for low, high in ((0, 15), (15, 17), (17, 58), (58, 99)):
+        out = substring.deduplicated(docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high)), index, docs.where(F.col("doc_id") < low), with_texts=False)
+        got |= {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in out.collect()}
+    index.close()
+    assert got == brute.substrings(rows)
+
+
+def test_substrings_structured_and_long(spark):
+    """Words that a polynomial hash takes for equal, and a text of a million words."""
+    tm = "a"
+    for _ in range(11):
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    around = [f"w{k}" for k in range(19)]
+    r = random.Random(2)
+    big = " ".join(f"x{r.randrange(1 << 40)}" for _ in range(1_000_000))
+    part = " ".join(big.split()[500_000:500_050])
+    rows = [(0, " ".join([*around, tm])), (1, " ".join([*around, tm.translate(str.maketrans("ab", "ba"))])), (2, big), (3, f"one two {part} three"), (4, "x y " * 300_000)]
+    got = by_id(substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), with_texts=False))
+    assert [got[d]["n_removed"] for d in range(4)] == [0, 0, 0, 50]
+    assert got[2]["n_words"] == 1_000_000 and got[4]["n_removed"] == 600_000 - 2
+
+
+def test_substrings_odd_ids(spark):
+    """Texts without an id come last, those of one id in the order of their digests; equal rows are one document."""
+    r = random.Random(14)
+    p, q = prose(r, 25), prose(r, 30)
+    rows = [(5, f"{p} end"), (5, f"start {p}"), (None, f"{q} {p}"), (None, p), (7, q), (7, q), (-1, "short"), (9, q), ((1 << 63) - 1, f"one {q}")]
+    key = lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest())
+    order = sorted(set(rows), key=key)
+    want = brute.substrings([(k, t) for k, (_, t) in enumerate(order)])
+    want = sorted((str(x[0]), *want[order.index(x)]) for x in rows)
+    got = substring.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x["doc_id"]), x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got) == want
 
 
 def test_decontamination(spark, docs):
