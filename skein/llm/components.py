@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import broadcast_if_small, checkpointed, release
 
 #: Rounds after which a graph that still changes is reported; each at least doubles the reach.
 MOST_ROUNDS = 60
@@ -16,20 +16,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives a node the least label among its own, its neighbours' and
     that of its label (pointer jumping).  Labels only fall, and the loop ends
-    when no label fell.  Edges and labels stay in tables.
+    when no label fell.  Edges and labels stay in tables; labels are broadcast
+    in rounds in which they were counted to be few.  A round's table is deleted
+    when the next one is written.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     both = checkpointed(both)
+    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     for _ in range(MOST_ROUNDS):
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(seen, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        lower = checkpointed(lower)
-        roots = lower.select(F.col("node").alias("r"), F.col("label").alias("l2"))
-        jumped = lower.join(roots, F.col("label") == F.col("r"), "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
-        jumped = checkpointed(jumped)
-        changed = jumped.where("label < old").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
+        known = broadcast_if_small(labels.select("node", "label"))
+        near = both.join(known.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        least = labels.select("node", "label", F.col("label").alias("old")).union(near).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        roots = known.select(F.col("node").alias("r"), F.col("label").alias("l2"))
+        jumped = least.join(roots, F.col("label") == F.col("r"), "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
+        before, labels = labels, checkpointed(jumped)
+        release(before)
+        if not labels.where("label < old").limit(1).count():
+            release(both)
+            return labels.select("node", "label")
     raise RuntimeError(f"labels still fall after {MOST_ROUNDS} rounds")

@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, shared_path
+from .common import broadcast_if_small, checkpointed, fresh, release, shared_path
 from .components import components
 from .numeric_text import MIX_A, STEP, U, counted, mixed, pieces
 
@@ -224,21 +224,26 @@ def origins(members: DataFrame, links: DataFrame, labels: DataFrame) -> DataFram
 
 
 def sharing_differences(diffs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): nodes of two classes whose differences to one origin may overlap enough for a link."""
+    """(a, b): nodes of two classes whose differences to one origin may overlap enough for a link.
+
+    diffs: (o, node, whole, d, parts); labels: (node, label) of the linked nodes.
+    """
     rows = labelled(labelled(diffs, labels), labels, "o", "main").withColumn("rest", F.col("label") != F.col("main"))
     # Groups with a node outside of the origin's class; any partner's d is at least low, that of one outside at least low_rest.
-    lows = rows.groupBy("o").agg(F.min("d").alias("low"), F.min(F.when(F.col("rest"), F.col("d"))).alias("low_rest")).where("low_rest is not null")
-    parts = rows.select("o", "node", "rest", F.explode("parts").alias("p")).select("o", "node", "rest", "p.*").join(lows.select("o"), "o", "left_semi")
+    lows = checkpointed(rows.groupBy("o").agg(F.min("d").alias("low"), F.min(F.when(F.col("rest"), F.col("d"))).alias("low_rest")).where("low_rest is not null"))
+    known = checkpointed(rows.drop("main").join(broadcast_if_small(lows), "o"))
+    # Dealt by (o, g) and (o, node), as one origin may have a large share of all rows.
+    parts = known.select("o", "node", "rest", F.explode("parts").alias("p")).select("o", "node", "rest", "p.*").repartition("o", "g")
     shared = Window.partitionBy("o", "g")
     posted = parts.select("o", "node", "c", F.count(F.lit(1)).over(shared).alias("n"), F.max("rest").over(shared).alias("wanted"), F.bit_xor(F.xxhash64("node", "c")).over(shared).alias("who"))
-    merged = posted.where("n > 1 and wanted").groupBy("o", "node", "n", "who").agg(F.sum("c").alias("c"))
+    merged = posted.where("n > 1 and wanted").repartition("o", "node").groupBy("o", "node", "n", "who").agg(F.sum("c").alias("c"))
     by_rarity = Window.partitionBy("o", "node").orderBy("n", "who")
     left = F.sum("c").over(by_rarity.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     rest_of = merged.select("o", "node", "n", "who", F.sum("c").over(Window.partitionBy("o", "node")).alias("s"), left.alias("left"))
-    known = rows.drop("parts", "main").join(lows, "o")
     least_c = lambda partner: F.greatest(F.lit(1), F.ceil((F.col("d") + F.col(partner) - F.col("whole")) / (LEAST[0] + LEAST[1])))
-    keyed = rest_of.join(known, ["o", "node"]).withColumns({"near": F.col("left") >= least_c("low_rest"), "far": F.col("left") >= least_c("low")})
-    keyed = keyed.select("o", "n", "who", "node", "label", "rest", "d", "s", "whole", "near", "far").where("near or (rest and far)")
+    keyed = rest_of.join(known.drop("parts").repartition("o", "node"), ["o", "node"]).withColumns({"near": F.col("left") >= least_c("low_rest"), "far": F.col("left") >= least_c("low")})
+    keyed = checkpointed(keyed.select("o", "n", "who", "node", "label", "rest", "d", "s", "whole", "near", "far").where("near or (rest and far)"))
+    release(lows, known)
     x, y = keyed.where("rest and far").alias("x"), keyed.where("near").alias("y")
     same = reduce(and_, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("o", "n", "who")])
     reach = (LEAST[0] + LEAST[1]) * F.least("x.s", "y.s") >= F.col("x.d") + F.col("y.d") - F.col("x.whole")
@@ -270,10 +275,16 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = checkpointed(verified(stars, texts))
-    diffs = checkpointed(differences(origins(members.select("h", "node"), links, components(links)), texts))
-    links = checkpointed(links.union(diffs.where("d <= whole").select(F.col("o").alias("a"), F.col("node").alias("b"))))
-    tried = sharing_differences(diffs, components(links))
-    return marks, heads.drop("bands"), components(checkpointed(links.union(verified(tried, texts))))
+    labels = components(links)
+    diffs = checkpointed(differences(origins(members.select("h", "node"), links, labels), texts))
+    more = checkpointed(links.union(diffs.where("d <= whole").select(F.col("o").alias("a"), F.col("node").alias("b"))))
+    release(members, links)
+    labels = components(more)
+    last = checkpointed(more.union(verified(sharing_differences(diffs, labels), texts)))
+    release(diffs, more)
+    labels = components(last)
+    release(last)
+    return marks, heads.drop("bands"), labels
 
 
 def classes(docs: DataFrame) -> DataFrame:
