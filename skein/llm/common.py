@@ -77,22 +77,46 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Checkpoints are read in partitions of about this size, so that small ones take few tasks.
+PARTITION_BYTES = 8 << 20
+
+#: A checkpoint of at most this size may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder; its lineage ends there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared checkpoint folder; its lineage ends there.
+
+    The result's ``checkpoint_file`` and ``checkpoint_bytes`` say where it is and how large.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    rdd = out._jdf.queryExecution().logical().rdd()
+    file = rdd.getCheckpointFile()
+    path = file.get() if file.isDefined() else None  # an empty table needs none
+    size = _files(spark, path)[1].getContentSummary(_files(spark, path)[0]).getLength() if path else 0
+    parts = 1 + size // PARTITION_BYTES
+    packed = out.coalesce(parts) if parts < rdd.getNumPartitions() else out
+    packed.checkpoint_file, packed.checkpoint_bytes = path, size
+    return packed
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def release(*tables: DataFrame) -> None:
     """Delete the files of checkpoints that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        if file.isDefined():
-            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if df.checkpoint_file:
+            at, files = _files(df.sparkSession, df.checkpoint_file)
+            files.delete(at, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if its checkpoint is known to be small or else it has at most ``rows`` rows; as it is otherwise."""
+    size = getattr(df, "checkpoint_bytes", None)
+    small = size <= BROADCAST_BYTES if size is not None else df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if small else df

@@ -12,26 +12,26 @@ MOST_ROUNDS = 60
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for each node of the (a, b) edges; label is the least node of its component.
+    """(node, old, label) for each node of the (a, b) edges; label is the least node of its component.
 
     Each round gives a node the least label among its own, its neighbours' and
     that of its label (pointer jumping).  Labels only fall, and the loop ends
-    when no label fell.  Edges and labels stay in tables; labels are broadcast
-    in rounds in which they were counted to be few.  A round's table is deleted
-    when the next one is written.
+    when no label fell; ``old`` is the same label then.  Edges and labels stay in
+    tables; labels are broadcast in rounds in which their table is small.  A
+    round's table is deleted when the next one is written.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     both = checkpointed(both)
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     for _ in range(MOST_ROUNDS):
-        known = broadcast_if_small(labels.select("node", "label"))
+        known = broadcast_if_small(labels).select("node", "label")
         near = both.join(known.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
         least = labels.select("node", "label", F.col("label").alias("old")).union(near).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         roots = known.select(F.col("node").alias("r"), F.col("label").alias("l2"))
         jumped = least.join(roots, F.col("label") == F.col("r"), "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
         before, labels = labels, checkpointed(jumped)
         release(before)
-        if not labels.where("label < old").limit(1).count():
+        if labels.where("label < old").isEmpty():
             release(both)
-            return labels.select("node", "label")
+            return labels
     raise RuntimeError(f"labels still fall after {MOST_ROUNDS} rounds")

@@ -206,20 +206,19 @@ def differences(spokes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
     """``rows`` with the class of each node; a node without links is a class of its own."""
-    known = labels.select(F.col("node").alias("n_"), F.col("label").alias("l_"))
+    known = broadcast_if_small(labels).select(F.col("node").alias("n_"), F.col("label").alias("l_"))
     return rows.join(known, F.col(node) == F.col("n_"), "left").withColumn(label, F.coalesce("l_", node)).drop("n_", "l_")
 
 
 def origins(members: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): the origin and each other member of the buckets with several classes."""
-    joined = labelled(members, labels)
-    several = joined.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    open_ = checkpointed(joined.join(several, "h", "left_semi"))
-    sizes = open_.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("h").agg(F.max(F.struct("k", (-F.col("label")).alias("l"))).alias("m")).select("h", (-F.col("m.l")).alias("main"))
+    # A row for each bucket and class, then for each bucket: its classes' number and the largest.
+    sizes = labelled(members, labels).groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("h").agg(F.max(F.struct("k", (-F.col("label")).alias("l"))).alias("m"), F.count(F.lit(1)).alias("classes"))
+    largest = largest.where("classes > 1").select("h", (-F.col("m.l")).alias("main"))
     degree = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
-    hubs = labels.join(degree, "node", "left").groupBy(F.col("label").alias("main")).agg(F.min(F.struct((-F.coalesce("links", F.lit(0))).alias("k"), "node"))["node"].alias("hub"))
-    found = open_.join(largest.join(hubs, "main", "left").select("h", F.coalesce("hub", "main").alias("a")), "h")
+    hubs = labels.drop("old").join(degree, "node", "left").groupBy(F.col("label").alias("main")).agg(F.min(F.struct((-F.coalesce("links", F.lit(0))).alias("k"), "node"))["node"].alias("hub"))
+    found = members.join(largest.join(hubs, "main", "left").select("h", F.coalesce("hub", "main").alias("a")), "h")
     return found.where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
@@ -291,7 +290,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, copy_of, class_id): the least id of the same text, and of its class, for each document."""
     marks, heads, labels = grouped(docs)
     first = heads.select(F.col("node").alias("label"), F.col("copy_of").alias("class_id"), F.lit(True).alias("linked"))
-    by_text = heads.join(labels.join(first, "label").drop("label"), "node", "left")
+    by_text = heads.join(labels.drop("old").join(first, "label").drop("label"), "node", "left")
     by_text = by_text.select("copy_key", "copy_of", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("copy_of")).alias("class_id"))
     return marks.select("doc_id", "copy_key").join(by_text, "copy_key").select("doc_id", "copy_of", "class_id")
 
