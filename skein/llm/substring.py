@@ -50,6 +50,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,7 @@ MOST_RUNS = 4
 
 #: The order of a null id, after all others.
 LAST = (1 << 63) - 1
+NO_ID = "~"  # sorts after digests
 
 KEY = ["doc", "tie"]
 
@@ -110,21 +112,20 @@ def odd_ids(marks: DataFrame) -> DataFrame | None:
 def placed(rows: DataFrame, key: Column, odd: DataFrame | None, always: bool) -> DataFrame:
     """``rows`` with (doc, tie), the place of a document in the order of all.
 
-    ``tie`` is the digest ``key`` of the text for null ids and ids of several
-    texts, else empty; ``always``: for all rows, so that it does not depend on others.
+    ``tie`` is the digest ``key`` of the text for ids of several texts, after
+    ``NO_ID`` for null ids, else empty; ``always``: for all rows, so that it does
+    not depend on others.
     """
-    if always:
-        tie = key
-    elif odd is None:
-        tie = F.when(F.col("doc_id").isNull(), key).otherwise(F.lit(""))
-    else:
+    tie = key if always else F.lit("")
+    if odd is not None and not always:
         rows = rows.join(odd, F.col("doc_id") == F.col("odd"), "left")
-        tie = F.when(F.col("doc_id").isNull() | F.col("odd").isNotNull(), key).otherwise(F.lit(""))
-    return rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("tie", tie).drop("odd")
+        tie = F.when(F.col("odd").isNotNull(), key).otherwise(F.lit(""))
+    tie = F.when(F.col("doc_id").isNull(), F.concat(F.lit(NO_ID), key)).otherwise(tie)
+    return rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("tie", tie).drop("odd", "doc_id")
 
 
 def with_text(docs: DataFrame, odd: DataFrame | None = None, always: bool = False) -> DataFrame:
-    """(doc_id, text, doc, tie) of each document."""
+    """(text, doc, tie) of each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return placed(rows, F.md5("text"), odd, always)
 
@@ -237,12 +238,18 @@ def runs_of(piece: Piece, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return windows, chosen, grams, new
 
 
+def lists_of(piece: Piece, lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The document and the value of each element of the lists of the piece's documents; a null list is empty."""
+    own = lists.slice(piece.first, piece.docs)
+    sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(piece.docs), sizes), own.flatten()
+
+
 def listed_places(piece: Piece, places: pa.Array) -> np.ndarray:
     """Whether each word of the piece is a listed place of its document."""
     listed = np.zeros(len(piece.hashes), bool)
-    for d in range(piece.docs):
-        if places[piece.first + d].is_valid:
-            listed[places[piece.first + d].values.to_numpy(zero_copy_only=False) + piece.bounds[d]] = True
+    doc, values = lists_of(piece, places)
+    listed[values.to_numpy(zero_copy_only=False) + piece.bounds[doc]] = True
     return listed
 
 
@@ -321,24 +328,19 @@ def kept_words(docs: DataFrame, places: DataFrame, firsts: DataFrame, copy_ids:
             out: list[tuple[int, int, str, str | None]] = []
             for piece in pieces(texts):
                 windows, _, _, new = runs_of(piece, listed_places(piece, listed))
-                go = np.ones(len(windows), bool)
-                doc = piece.doc_of(windows[new])
-                ends = np.append(new[1:], len(windows))
-                masks_of: dict[int, dict[int, int]] = {}
-                for k, d in enumerate(doc.tolist()):
-                    if d not in masks_of:
-                        mine = own[piece.first + d]
-                        fields = mine.values if mine.is_valid else None
-                        masks_of[d] = dict(zip(*(fields.field(x).to_pylist() for x in (0, 1)), strict=True)) if fields is not None else {}
-                    mask = masks_of[d].get(int(windows[new[k]] - piece.bounds[d]))
-                    if mask is not None:
-                        go[new[k] : ends[k]] = (mask >> np.arange(ends[k] - new[k])) & 1 == 1
+                # The mask of each run by the window it begins with; all its windows go if it is none of the firsts.
+                doc, fields = lists_of(piece, own)
+                begins, masks_of = (fields.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                by_word = np.full(len(piece.hashes) + 1, -1, np.int64)
+                by_word[begins + piece.bounds[doc]] = masks_of
+                sizes = np.diff(np.append(new, len(windows)))
+                bit = np.arange(len(windows)) - np.repeat(new, sizes)
+                go = (np.repeat(by_word[windows[new]], sizes) >> bit) & 1 == 1
                 edge = np.zeros(len(piece.hashes) + 1, np.int64)
                 np.add.at(edge, windows[go], 1)
                 np.add.at(edge, windows[go] + WINDOW, -1)
                 gone = np.cumsum(edge)[:-1] > 0
-                for d in range(piece.docs):
-                    low, high = piece.bounds[d], piece.bounds[d + 1]
+                for d, (low, high) in enumerate(zip(piece.bounds[:-1].tolist(), piece.bounds[1:].tolist(), strict=True)):
                     if copied[piece.first + d] and high - low >= WINDOW:
                         gone[low:high] = True
                     ws = piece.data[piece.starts[low] : piece.ends[high - 1]].tobytes().split() if high > low else []
@@ -353,7 +355,8 @@ def kept_words(docs: DataFrame, places: DataFrame, firsts: DataFrame, copy_ids:
 
     mine = firsts.groupBy(*KEY).agg(F.collect_list(F.struct("place", "mask")).alias("own"))
     rows = docs.join(places, KEY, "left").join(mine, KEY, "left").join(copy_ids.withColumn("copied", F.lit(True)), KEY, "left")
-    rows = rows.select("doc_id", "text", "places", "own", F.coalesce("copied", F.lit(False)).alias("copied"))
+    doc_id = F.when(~F.startswith("tie", F.lit(NO_ID)), F.col("doc"))
+    rows = rows.select(doc_id.alias("doc_id"), "text", "places", "own", F.coalesce("copied", F.lit(False)).alias("copied"))
     return rows.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
