@@ -54,13 +54,15 @@ def base_spans(text: str) -> list[Span]:
 
 def identifiers(r: random.Random, n: int) -> list[str]:
     """Ordinary names: words of syllables in the styles of code, paths, slugs and headings."""
+    folders = "usr local lib bin home etc var opt src include share main java com org www http https html php assets images site packages python node modules dist build test tests docs static media css js api v1 v2".split()
     parts = "get set user name list item file path value index count data load save read write time date page view node tree text line word table query cache store event state error message config option result number string format parse token model train batch sort join merge group range shard stream window source target index".split()
     syllables = "ing er th en on re an ti es or ou at ed nd ha to nt is st le ve ment tion able ness ung keit lich sch ber eux aux ment cion ado mente que".split()
     out = []
     for _ in range(n):
         ws = [r.choice(parts) if r.random() < 0.6 else "".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(r.randint(2, 7))]
-        style = r.randint(0, 6)
-        s = [lambda: "_".join(ws), lambda: "-".join(ws), lambda: "".join(w.title() for w in ws), lambda: "/".join(ws), lambda: "_".join(ws).upper(), lambda: "".join(ws), lambda: "".join(ws).upper()][style]()
+        style = r.randint(0, 8)
+        path = [r.choice(folders) if r.random() < 0.6 else w for w in ws]
+        s = [lambda: "_".join(ws), lambda: "-".join(ws), lambda: "".join(w.title() for w in ws), lambda: "/".join(ws), lambda: "_".join(ws).upper(), lambda: "".join(ws), lambda: "".join(ws).upper(), lambda: "/" + "/".join(path), lambda: "/".join(path) + r.choice(["", "/", "3", "2", "-1"])][style]()
         if r.random() < 0.3:
             s += r.choice(["_", "-", ""]) + str(r.randint(0, 9999))
         while len(s) < LEAST:
@@ -107,13 +109,17 @@ def model(seed: int = 23) -> tuple[tuple[np.ndarray, np.ndarray], float]:
     return models, max(0.0, held[int(len(held) * (1 - FALSE_RATE)) - 1])
 
 
+#: Identifiers that are random by their nature, but no secrets.
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+
+
 def all_spans(text: str, fitted_model: tuple) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     models, threshold = fitted_model
     more = [
         ("random", *m.span())
         for m in CANDIDATE.finditer(text)
-        if any(c.isalnum() for c in m[0]) and not any(s < m.end() and m.start() < e for _, s, e in base) and ratio(m[0], models) > threshold
+        if any(c.isalnum() for c in m[0]) and not UUID.fullmatch(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in base) and ratio(m[0], models) > threshold
     ]
     order = [*KINDS, "random"]
     return base, sorted(base + more, key=lambda s: (s[1], order.index(s[0])))
