@@ -30,7 +30,12 @@ from placed
 """
 
 ODD_WORD = r"[#*$%&|<>]|[!?]{2}$"
-STOCK = "all rights reserved|cookie policy|enable javascript|privacy policy"
+STOCK = "|".join([
+    "all rights reserved", "cookie policy", "enable javascript", "privacy policy",
+    "alle rechte vorbehalten", "cookie-richtlinie", "javascript aktivieren", "datenschutzerklärung",
+    "tous droits réservés", "politique de cookies", "activer javascript", "politique de confidentialité",
+    "todos los derechos reservados", "política de cookies", "habilite javascript", "política de privacidad",
+])
 
 QUALITY = rf"""
 with a as (select doc_id, coalesce(text, '') as t, {WORDS} as ws from documents),

@@ -6,7 +6,7 @@ Line rules (a line with a word fails if any holds):
   end in two marks of ``!`` and ``?``;
 * navigation: ``NAV_MARKS`` or more separators ``|``, one for ``NAV_WORDS`` words
   or fewer;
-* boilerplate: it has a stock phrase of web pages; or, in a text with repeated
+* boilerplate: it has a stock phrase of web pages in one of four languages; or, in a text with repeated
   five-word windows, ``DULL_WORDS`` or more words of which at most
   ``DULL_SHARE`` are different.
 
@@ -19,7 +19,8 @@ Failing lines are removed.  A document is rejected if it fails the base rules
 repeated five-word windows), or if the lines that are left have fewer than
 ``LEAST_LEFT`` of its words.
 
-Cases: a null text has no words and is rejected; blank lines neither fail nor
+Cases: a null text has no words and is rejected; a text of any length is judged
+by its lines, and null ids stay null; blank lines neither fail nor
 count; repeated rows are judged alike; an empty table gives an empty result;
 further columns pass through :func:`clean` unchanged.
 """
@@ -49,7 +50,12 @@ DULL_SHARE = 0.2
 LEAST_LEFT = 0.5
 
 #: Stock phrases of web pages, matched in either case.
-BOILERPLATE = ["all rights reserved", "cookie policy", "enable javascript", "privacy policy"]
+BOILERPLATE = [
+    "all rights reserved", "cookie policy", "enable javascript", "privacy policy",
+    "alle rechte vorbehalten", "cookie-richtlinie", "javascript aktivieren", "datenschutzerklärung",
+    "tous droits réservés", "politique de cookies", "activer javascript", "politique de confidentialité",
+    "todos los derechos reservados", "política de cookies", "habilite javascript", "política de privacidad",
+]
 
 
 def windows(ws: Column) -> Column:
