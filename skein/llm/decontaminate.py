@@ -19,8 +19,11 @@ of 0.8 or more to it.
 
 Items' shingles are one scalar array, or broadcast, only if they are counted to
 be few; else narrow rows are shuffled.  Cases: null, empty and short texts and items without words
-match nothing; repeated items give a row each id; repeated documents are joined
-by id; an empty table gives an empty result; ``clean`` passes columns through.
+match nothing; repeated items give a row each id; rows of one id, or without an
+id, are one document in ``matches``, whatever their texts; ``clean`` judges each
+text for itself and passes columns through; of equal windows the first counts; a
+text of any length is looked through from end to end; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, let
+from .common import broadcast_if_small, checkpointed, fresh, let
 
 SHINGLE = 5
 LEAST = (4, 5)
@@ -161,5 +164,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a match; columns and rows stay as they are."""
-    bad = checkpointed(matches(docs, benchmark).select(F.col("doc_id").alias("bad_")).distinct())
-    return docs.join(broadcast_if_small(bad), docs["doc_id"] == bad["bad_"], "left_anti")
+    key, bad = fresh(docs, "key", "bad")
+    digest_of = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    found = checkpointed(matches(docs.select(digest_of.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(bad)).distinct())
+    return docs.withColumn(key, digest_of).join(broadcast_if_small(found), F.col(key) == F.col(bad), "left_anti").drop(key)

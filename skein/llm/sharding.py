@@ -6,8 +6,10 @@ goes to the new shard, so only 1/(shards+1) of the rows move.
 
 Cases: a null key is a key of its own (all such rows share a shard); rows that
 repeat a key share its shard and get slots of their own; an empty table gives an
-empty result; further columns are passed through by :func:`shard` and cannot
-clash with its internal ones.
+empty result; further columns are passed through by :func:`assign` and
+:func:`with_slots` and cannot clash with their internal ones; a column with the
+name of a result is an error of :func:`assign`; a text of any length is only
+measured and summed up.
 """
 
 from __future__ import annotations
@@ -61,6 +63,8 @@ def key_of(*columns: str) -> Column:
 
 def assign(df: DataFrame, keys: list[str], shards: int = SHARDS) -> DataFrame:
     """``df`` with columns ``shard`` and ``grown_shard`` (its shard with one more)."""
+    if taken := {"shard", "grown_shard"} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has columns {sorted(taken)} already")
     out = df.withColumn("shard", jump_column(key_of(*keys), shards))
     return out.withColumn("grown_shard", jump_column(key_of(*keys), shards + 1))
 
@@ -73,14 +77,14 @@ def with_slots(df: DataFrame, group: str, order: list[str], slot: str = "slot")
     are then summed up.  Rows in ties are interchangeable, and whichever gets
     which slot is settled once, since both passes read the same checkpoint.
     """
-    piece, number, before = fresh(df, "piece", "number", "before")
+    piece, number, before, group_, piece_ = fresh(df, "piece", "number", "before", "of_group", "of_piece")
     held = checkpointed(df.withColumn(piece, F.spark_partition_id()))
     sizes = held.groupBy(group, piece).agg(F.count(F.lit(1)).alias(number))
     upto = Window.partitionBy(group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(group).alias(f"{group}_"), F.col(piece).alias(f"{piece}_"), F.coalesce(F.sum(number).over(upto), F.lit(0)).alias(before))
+    starts = sizes.select(F.col(group).alias(group_), F.col(piece).alias(piece_), F.coalesce(F.sum(number).over(upto), F.lit(0)).alias(before))
     within = Window.partitionBy(group, piece).orderBy(*order)
     numbered = held.withColumn(number, F.row_number().over(within))
-    joined = numbered.join(starts, (F.col(group) == F.col(f"{group}_")) & (F.col(piece) == F.col(f"{piece}_")))
+    joined = numbered.join(starts, (F.col(group) == F.col(group_)) & (F.col(piece) == F.col(piece_)))
     return joined.withColumn(slot, (F.col(before) + F.col(number) - 1).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns], slot)
 
 

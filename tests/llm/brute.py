@@ -1,6 +1,7 @@
 """Plain reference versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -123,6 +124,73 @@ def secrets(text):
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], kinds.index(x[0]))))
 
 
+def licence_terms(text):
+    ws = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    return Counter(ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])])
+
+
+def licences(files, templates, header, least, margin, reserved):
+    """(license, how, from_path) of each (path, text, is_license_file) file."""
+    n = len(templates)
+    bags = [(name, licence_terms(t)) for name, t in templates]
+    df = Counter(t for _, b in bags for t in b)
+    weight = lambda t: math.log((1 + n) / (0.5 + df.get(t, 1)))
+    norm = lambda b: math.sqrt(sum((c * weight(t)) ** 2 for t, c in b.items()))
+
+    def best(text):
+        bag = licence_terms(text)
+        scores = {}
+        for name, b in bags:
+            dot = sum(c * b.get(t, 0) * weight(t) ** 2 for t, c in bag.items())
+            scores[name] = max(scores.get(name, 0), round(dot / (norm(bag) * norm(b)), 6) if bag else 0)
+        top = sorted((-s, name) for name, s in scores.items()) + [(0, "")]
+        return (top[0][1] == reserved, top[0][0], top[0][1]) if -top[0][0] >= least and top[1][0] - top[0][0] >= margin else None
+
+    own, whole = {}, {}
+    for k, (path, text, is_file) in enumerate(files):
+        text = text or ""
+        lines = text.split("\n")
+        paragraphs, run = [], []
+        for x in [*lines, ""]:
+            if re.search(r"[^\W_]", x):
+                run.append(x)
+            else:
+                paragraphs.append(run)
+                run = []
+        parts = [x for x in lines if re.search(header, x)] + ["\n".join(p) for p in paragraphs if len(p) > 1 and any(re.search(header, x) for x in p)]
+        named = is_file or re.fullmatch(r"(?i)(licen[cs]e|copying)(\..*)?", path.split("/")[-1])
+        found = [f for f in map(best, parts + ([text] if named else [])) if f]
+        if found:
+            own[k] = min(found)
+        if named and (f := best(text)):
+            whole.setdefault(path.rpartition("/")[0], []).append((*f, path))
+    out = []
+    for k, (path, _, is_file) in enumerate(files):
+        if k in own:
+            out.append((own[k][2], "file" if is_file else "header", None))
+            continue
+        at = path.rpartition("/")[0]
+        while at and at not in whole:
+            at = at.rpartition("/")[0]
+        out.append((min(whole[at])[2], "inherited", min(whole[at])[3]) if at in whole else (None, None, None))
+    return out
+
+
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def url_rule(url):
+    """(host, path, rule, verdict or None) by the stated rules."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else None
+
+
 def jump(key, shards):
     key &= (1 << 64) - 1
     b, j = -1, 0
