@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
-from functools import reduce
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -157,14 +158,52 @@ def feed_date(text: Column, today: Column) -> Column:
     return F.coalesce(rfc.cast("date"), F.try_to_date(F.left(text, F.lit(10)), "yyyy-MM-dd"), today)
 
 
-def image_path(urlid: Column, image_url: Column) -> Column:
-    return F.when(F.coalesce(image_url, F.lit("")) == "", "").otherwise(F.concat(F.lit("public://newsfinder_images/"), urlid.cast("string"), F.lit(".jpg")))
+def html_image(page: Column) -> Column:
+    """The address of a page's representative image: the declared one, else that of the first image, else null."""
+    declared = F.regexp_extract(page, r"""(?is)<meta[^>]*property=["']og:image["'][^>]*content=["']([^"']+)["']""", 1)
+    first = F.regexp_extract(page, r"""(?is)<img[^>]*\ssrc=["']([^"']+)["']""", 1)
+    return F.coalesce(F.nullif(declared, F.lit("")), F.nullif(first, F.lit("")))
 
 
-def email_body(body: Column, site: str) -> Column:
-    """Rewrites for the e-mail form: absolute links, no quote wrappers, styled images."""
-    rules = [(r'"/topic/', f'"{site}/topic/'), (r'"/news/', f'"{site}/news/'), (r"<blockquote>\s*<p>", ""), (r"</p>\s*</blockquote>", ""), (r"<img", '<img style="float: right; margin: 5px;"')]
-    return reduce(lambda b, r: F.regexp_replace(b, *r), rules, body)
+def image_path(urlid: Column, image_url: Column, folder: str = "public://images") -> Column:
+    return F.when(F.coalesce(image_url, F.lit("")) == "", "").otherwise(F.concat(F.lit(f"{folder}/"), urlid.cast("string"), F.lit(".jpg")))
+
+
+# Fixed values of the e-mail form: the attributes of its images.
+IMAGE_STYLE = 'align="left" style="margin: 8px 8px 8px 0; border: 1px solid #ccc; padding: 5px; background: white;" '
+
+
+def absolute(text: Column, part: str, site: str) -> Column:
+    """Links to a part of the site ("topic", "news") made absolute."""
+    return F.replace(text, F.lit(f"/{part}/"), F.lit(f"{site}/{part}/"))
+
+
+def unwrapped(body: Column) -> Column:
+    """A body without the quotation and paragraph around it."""
+    return F.regexp_replace(F.regexp_replace(body, r"^(<blockquote>)?<p>", ""), r"</p>(</blockquote>)?$", "")
+
+
+def styled_images(markup: Column) -> Column:
+    return F.replace(markup, F.lit("<img"), F.lit(f"<img {IMAGE_STYLE}"))
+
+
+@pandas_udf(StringType())
+def ranked_summary(contents: pd.Series) -> pd.Series:
+    """The best 30 % of the sentences in the order of the text, the first four of these.
+
+    A sentence's rank is the mean frequency in the text of its different words.
+    """
+    end = re.compile(r"(?<=[.!?])\s+(?=[^\W_a-z]|[\"'(\[])")
+
+    def summary(text: str) -> str:
+        sentences = [s for s in end.split(text) if s.strip()]
+        words = [{w.lower() for w in re.findall(r"\w+", s, re.ASCII)} for s in sentences]
+        count = Counter(w.lower() for w in re.findall(r"\w+", text, re.ASCII))
+        rank = [sum(count[w] for w in ws) / len(ws) if ws else 0.0 for ws in words]
+        best = sorted(range(len(sentences)), key=lambda k: (-rank[k], k))[: math.ceil(0.3 * len(sentences))]
+        return " ".join(sentences[k] for k in sorted(best)[:4]).strip()
+
+    return contents.map(summary, na_action="ignore")
 
 
 def first_pattern(text: Column, patterns: list[str]) -> Column:

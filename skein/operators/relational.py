@@ -67,8 +67,32 @@ def split_at(docs: DataFrame, share: float, predict_share: float = 0.1, key: str
     return placed.select(key, part.alias("part")).where("part is not null")
 
 
+def between(rows: DataFrame, first: int, last: int, key: str = "urlid") -> DataFrame:
+    """The rows whose key is in [first, last]."""
+    return rows.where(F.col(key).between(first, last))
+
+
+def publishable(articles: DataFrame) -> DataFrame:
+    """Articles that may be published, are not yet, and have a date."""
+    return articles.where(F.col("publishable") & ~F.col("published") & F.col("pubdate").isNotNull())
+
+
+def latest_first(rows: DataFrame, key: str = "urlid") -> DataFrame:
+    """The rows in descending order of the key."""
+    return rows.orderBy(F.desc(key))
+
+
 def spread_subsample(rows: DataFrame, label: str, key: str) -> DataFrame:
-    """As many rows of each class as the smallest has, the first by the MD5 of the key."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.withColumn("k_", F.row_number().over(order)).crossJoin(F.broadcast(sizes)).where("k_ <= least").drop("k_", "least")
+    """As many rows of each class as the smallest has, the first by the MD5 of the key.
+
+    Rows are numbered within (class, hash prefix) and the prefixes' counts are
+    summed up, so no task sorts a class; prefixes that lie beyond leave before.
+    """
+    marked = rows.withColumn("m_", F.md5(F.col(key).cast("string"))).withColumn("p_", F.substring("m_", 1, 4))
+    sizes = marked.groupBy(F.col(label).alias("l_"), F.col("p_").alias("q_")).agg(F.count(F.lit(1)).alias("n_"))
+    least = sizes.groupBy("l_").agg(F.sum("n_").alias("n")).agg(F.min("n").alias("least_"))
+    upto = Window.partitionBy("l_").orderBy("q_").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 prefixes at most
+    starts = sizes.select("l_", "q_", F.coalesce(F.sum("n_").over(upto), F.lit(0)).alias("start_")).crossJoin(F.broadcast(least)).where("start_ < least_")
+    kept = marked.join(starts, F.col(label).eqNullSafe(F.col("l_")) & (F.col("p_") == F.col("q_")))
+    at = F.row_number().over(Window.partitionBy("l_", "q_").orderBy("m_", key)) + F.col("start_")
+    return kept.withColumn("k_", at).where("k_ <= least_").select(*rows.columns)

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+
+#: Cutoffs from which pairs are found by an index that leaves out common terms.
+SPARSE = 0.3
+
+#: Documents of a block, on average.
+BLOCK = 1000
+
+#: A side of a join is broadcast only if it was counted and has at most this many rows.
+BROADCAST_ROWS = 1_000_000
+
 
 def prefixes(vectors: DataFrame, norm: float, key: str = "urlid") -> DataFrame:
     """The terms of each vector without the most common ones whose joint norm stays below ``norm``.
@@ -15,24 +28,96 @@ def prefixes(vectors: DataFrame, norm: float, key: str = "urlid") -> DataFrame:
     return vectors.withColumn("below", F.sum(F.col("w") * F.col("w")).over(common_first)).where(F.col("below") >= norm * norm).drop("below")
 
 
-def similar_pairs(vectors: DataFrame, least: float, key: str = "urlid", later: DataFrame | None = None, slack: float = 0.5) -> DataFrame:
-    """(i, j, sim) for i < j with a cosine of ``least`` or more, by an inverted index.
+def similar_pairs(vectors: DataFrame, least: float, key: str = "urlid", later: DataFrame | None = None, slack: float = 0.8) -> DataFrame:
+    """(i, j, sim) for i < j with a cosine of ``least`` or more and a term in common.
 
-    ``later``: (key) of the documents that j may be; it reduces that side before
-    the join.  A pair's cosine over the prefix of j is short of the whole by less
-    than slack * least, so pairs below (1 - slack) * least there are dropped, and
-    the others get their whole cosine.
+    ``later``: (key) of the documents that j may be.  From ``SPARSE`` on, by an
+    inverted index; below, where most documents that share a term are a result,
+    by blocks of documents.
     """
-    left = vectors.select(F.col(key).alias("i"), "term", F.col("w").alias("wi"))
-    right = vectors if later is None else vectors.join(later.select(key), key, "left_semi")
-    short = prefixes(right, slack * least, key).select(F.col(key).alias("j"), "term", F.col("w").alias("wj"))
-    part = left.join(short, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("part"))
-    open_ = part.where(F.col("part") >= (1 - slack) * least - 1e-9).select("i", "j")
-    right = right.select(F.col(key).alias("j"), "term", F.col("w").alias("wj"))
-    whole = open_.join(right, "j").join(left, ["i", "term"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
+    if least < SPARSE:
+        return block_pairs(vectors, least, key, later)
+    return indexed_pairs(vectors, least, key, later, slack)
+
+
+def indexed_pairs(vectors: DataFrame, least: float, key: str, later: DataFrame | None, slack: float) -> DataFrame:
+    """By an inverted index, without the most common terms.
+
+    Both sides leave out the most common terms of each vector whose joint norm is
+    below slack * least.  Terms are left out in one order, that of df, so what a
+    pair misses are terms that one of the two left out entirely: less than
+    slack * least by Cauchy-Schwarz.  Pairs below (1 - slack) * least are
+    dropped, and the others get their whole cosine.
+    """
+    later_side = vectors if later is None else vectors.join(later.select(key), key, "left_semi")
+    named = lambda df, k: df.select(F.col(key).alias(k), "term", F.col("w").alias(f"w{k}"))
+    short = [prefixes(df, slack * least, key) for df in ((vectors,) if later is None else (vectors, later_side))]
+    part = named(short[0], "i").join(named(short[-1], "j"), "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("part"))
+    open_ = checkpointed(part.where(F.col("part") >= (1 - slack) * least - 1e-9).select("i", "j"))
+    whole = open_.join(named(later_side, "j"), "j").join(named(vectors, "i"), ["i", "term"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
     return whole.where(F.col("sim") >= least)
 
 
+def products(a: tuple, b: tuple, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix of dot products of two sets of sparse vectors and how many terms each pair shares; a, b: (row, term, weight) sorted by term."""
+    dots, met = np.zeros(n * m), np.zeros(n * m, bool)
+    terms, first_a, size_a = np.unique(a[1], return_index=True, return_counts=True)
+    others, first_b, size_b = np.unique(b[1], return_index=True, return_counts=True)
+    _, at_a, at_b = np.intersect1d(terms, others, assume_unique=True, return_indices=True)
+    first_a, size_a, first_b, size_b = first_a[at_a], size_a[at_a], first_b[at_b], size_b[at_b]
+    grid, seen = dots.reshape(n, m), met.reshape(n, m)
+    for k in np.flatnonzero(size_a * size_b >= 256):
+        x, y = slice(first_a[k], first_a[k] + size_a[k]), slice(first_b[k], first_b[k] + size_b[k])
+        at = np.ix_(a[0][x], b[0][y])
+        grid[at] += np.outer(a[2][x], b[2][y])
+        seen[at] = True
+    few = np.flatnonzero(size_a * size_b < 256)
+    for chunk in np.array_split(few, 1 + len(few) // 20_000):
+        reps = size_a[chunk] * size_b[chunk]
+        of, start = np.repeat(chunk, reps), np.repeat(np.cumsum(reps) - reps, reps)
+        k = np.arange(len(of)) - start
+        x, y = first_a[of] + k // size_b[of], first_b[of] + k % size_b[of]
+        at = a[0][x] * m + b[0][y]
+        dots += np.bincount(at, a[2][x] * b[2][y], n * m)
+        met[at] = True
+    return grid, seen
+
+
+def block_pairs(vectors: DataFrame, least: float, key: str, later: DataFrame | None) -> DataFrame:
+    """By blocks of ``BLOCK`` documents on average, each pair of blocks in a task of bounded memory.
+
+    Terms are compared by 64-bit hashes.  A document travels once for each block.
+    """
+    packed = vectors.groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("v"))
+    mark = F.lit(True) if later is None else F.coalesce("late", F.lit(False))
+    flagged = packed if later is None else packed.join(later.select(F.col(key).alias("id"), F.lit(True).alias("late")).distinct(), "id", "left")
+    rows = checkpointed(flagged.select("id", F.col("v.t").alias("t"), F.col("v.w").alias("w"), mark.alias("late")))
+    n = 1 + rows.count() // BLOCK
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    placed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("x", "y", "own", "id", "late", "t", "w")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = part["x"].iloc[0], part["y"].iloc[0]
+        sides = []
+        for side in (x, y):
+            mine = part[part["own"] == side]
+            row = np.repeat(np.arange(len(mine)), mine["t"].str.len())
+            terms, weights = (np.concatenate([np.zeros(0, d), *mine[c]]).astype(d) for c, d in (("t", np.int64), ("w", float)))
+            order = np.argsort(terms, kind="stable")
+            sides.append((mine["id"].to_numpy(), mine["late"].to_numpy(), (row[order], terms[order], weights[order])))
+        (ids_a, late_a, a), (ids_b, late_b, b) = sides
+        dots, met = products(a, b, len(ids_a), len(ids_b))
+        i, j = np.nonzero(met & (dots >= least))
+        if x == y:
+            i, j = i[ids_a[i] < ids_b[j]], j[ids_a[i] < ids_b[j]]
+        late = np.where(ids_a[i] > ids_b[j], late_a[i], late_b[j])
+        i, j = i[late.astype(bool)], j[late.astype(bool)]
+        return pd.DataFrame({"i": np.minimum(ids_a[i], ids_b[j]), "j": np.maximum(ids_a[i], ids_b[j]), "sim": dots[i, j]})
+
+    return dealt.repartition("x", "y").groupBy("x", "y").applyInPandas(compare, "i long, j long, sim double")
+
+
 def dense_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -54,7 +139,14 @@ def centroids(vectors: DataFrame, labels: DataFrame, key: str = "urlid") -> Data
 
 
 def sparse_dissimilarity(a: DataFrame, b: DataFrame, i: str, j: str) -> DataFrame:
-    """(i, j, d) of all pairs of two sets of sparse vectors that share a term; norms are taken in full.  Pairs without one have d = 1 and no row."""
+    """(i, j, d) of all pairs of two sets of sparse vectors that share a term; norms are taken in full.  Pairs without one have d = 1 and no row.
+
+    ``b`` is broadcast if it was counted to be small, as a few centroids are;
+    then the sums are begun before the shuffle.
+    """
     norm = lambda df, k, n: df.groupBy(k).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(n))
-    dots = a.select(i, "term", F.col("w").alias("wa")).join(b.select(j, "term", F.col("w").alias("wb")), "term").groupBy(i, j).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return dots.join(norm(a, i, "na"), i).join(norm(b, j, "nb"), j).select(i, j, dissimilarity(F.col("dot") / (F.col("na") * F.col("nb"))).alias("d"))
+    few = b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = F.broadcast if few else (lambda df: df)
+    right = b.select(j, "term", F.col("w").alias("wb")).join(side(norm(b, j, "nb")), j)
+    dots = a.select(i, "term", F.col("w").alias("wa")).join(side(right), "term").groupBy(i, j).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("nb").alias("nb"))
+    return dots.join(norm(a, i, "na"), i).select(i, j, dissimilarity(F.col("dot") / (F.col("na") * F.col("nb"))).alias("d"))

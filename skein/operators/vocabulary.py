@@ -7,7 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.text import ngrams, stemmed, tokens
+from .relational import split_at
+
+#: A list of so many phrases is matched within the row, a longer one by a join.
+LISTED = 1000
 
 
 def term_frequency(docs: DataFrame, key: str = "urlid", text: str = "content", stopwords: tuple[str, ...] = ()) -> DataFrame:
@@ -46,9 +51,13 @@ class Vocabulary:
         return Vocabulary(spark.read.parquet(f"{path}/terms").select(F.col("word").alias("term"), F.col("dftext").alias("df")), spark.read.parquet(f"{path}/documents"))
 
     def commit(self, path: str) -> None:
-        """Write (rowid, word, dftext), replacing what was there.  Ids follow the words' order within range partitions."""
-        ordered = self.terms.repartitionByRange("term").sortWithinPartitions("term")
-        ordered.select(F.monotonically_increasing_id().alias("rowid"), F.col("term").alias("word"), F.col("df").alias("dftext")).write.mode("overwrite").parquet(f"{path}/terms")
+        """Write (rowid, word, dftext), replacing what was there.  Ids count from 1 in the order of the words."""
+        ordered = checkpointed(self.terms.repartitionByRange("term").sortWithinPartitions("term").withColumn("at", F.monotonically_increasing_id()))
+        part, number = F.shiftrightunsigned("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
+        starts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))  # a row for each partition
+        numbered = ordered.withColumn("part", part).join(F.broadcast(starts), "part")
+        numbered.select((F.col("start") + number + 1).alias("rowid"), F.col("term").alias("word"), F.col("df").alias("dftext")).write.mode("overwrite").parquet(f"{path}/terms")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
 
 
@@ -94,6 +103,25 @@ def whitelist_hits(docs: DataFrame, terms: DataFrame, key: str = "urlid", text:
         worded = words.join(stems, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "stem"))).alias("ws")).select(key, F.col("ws.stem").alias("words"))
     else:
         worded = docs.select(key, tokens(F.col(text)).alias("words"))
-    grams = F.concat("words", ngrams(F.col("words"), 2), ngrams(F.col("words"), 3))
-    found = worded.select(key, F.explode_outer(grams).alias("term")).where("term is not null").join(terms, "term", "left_semi")
+    listed = [r["term"] for r in terms.limit(LISTED + 1).collect()]
+    by_size = {n: [t for t in listed if t.count(" ") == n - 1] for n in (1, 2, 3)}
+    if len(listed) > LISTED:
+        grams = F.concat("words", ngrams(F.col("words"), 2), ngrams(F.col("words"), 3))
+        found = worded.select(key, F.explode_outer(grams).alias("term")).where("term is not null").join(terms, "term", "left_semi")
+    else:  # a short list: the grams are filtered within the row
+        one_of = lambda ts: lambda t: t.isin(*ts)
+        hits = [F.filter(ngrams(F.col("words"), n) if n > 1 else F.col("words"), one_of(ts)) for n, ts in by_size.items() if ts]
+        found = worded.select(key, F.explode(F.concat(*hits)).alias("term")) if hits else worded.select(key, F.lit("").alias("term")).where(F.lit(False))
     return found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train_vocabulary(docs: DataFrame, share: float, path: str, key: str = "urlid", text: str = "content", seed: str = "") -> tuple[DataFrame, DataFrame, Vocabulary]:
+    """(training rows, rows to predict, vocabulary): a train split whose frequencies replace those at ``path``.
+
+    The frozen vocabulary of all documents is what :meth:`Vocabulary.read` restores.
+    """
+    parts = docs.join(split_at(docs, share, key=key, seed=seed), key)
+    train, predict = (parts.where(F.col("part") == p).drop("part") for p in ("train", "predict"))
+    fitted = Vocabulary.fit(term_frequency(train, key, text), train)
+    fitted.commit(path)
+    return train, predict, Vocabulary.read(docs.sparkSession, path)

@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import checkpoint_folder, checkpointed
 from ..config import Settings
 from ..functions import text as T
 from ..operators import classify, duplicates, evaluate, relational, rules, similarity, vocabulary
 from ..sources import feeds
+from ..streaming import crawl
 from . import articles as A
 from . import prepare as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = dt.date(2024, 1, 30)
-CUTOFF = 0.5
+CUTOFF = 0.13
+STRONG_CUTOFF = 0.5
 WHITELIST = ["the", "and", "of the", "und", "der", "que", "les", "la"]
 BLACK_WORDS = ["clown", "loser", "idiot"]
 BLACK_URLS = [r"src1\d\.example", r"/fr/", r"src2"]
+FIRST_URL = "case " + " ".join(f"when regexp_matches(url, '{p}') then '{p}'" for p in BLACK_URLS) + " end"
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -61,11 +67,20 @@ def tf(spark: SparkSession, d: str) -> DataFrame:
 # Similarity and duplicates.
 
 
-@query(f"with {VEC} select a.urlid as i, b.urlid as j, round(sum(a.w * b.w), 6) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {CUTOFF}")
+SIMS = "with {vec} select a.urlid as i, b.urlid as j, round(sum(a.w * b.w), 6) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {least}"
+
+
+@query(SIMS.format(vec=VEC, least=CUTOFF))
 def near_dup_pairs(spark, d):
+    """All pairs at the shipped cutoff."""
     return similarity.similar_pairs(checkpointed(vec(spark, d)), CUTOFF).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
+@query(SIMS.format(vec=VEC, least=STRONG_CUTOFF))
+def near_dup_pairs_strong(spark, d):
+    return similarity.similar_pairs(checkpointed(vec(spark, d)), STRONG_CUTOFF).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
 WINDOWED = f"""{VEC}, recent as (select * from art where pubdate between date '2024-01-16' and date '2024-01-30'),
 pairs as (select a.urlid as i, b.urlid as j, sum(a.w * b.w) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid
   where a.urlid in (select urlid from recent) and b.urlid in (select urlid from recent where not processed) group by all having sum(a.w * b.w) >= 0.13)"""
@@ -85,28 +100,35 @@ def near_dup_published_reject(spark, d):
     return duplicates.reject_published(windowed(spark, d)).select("urlid", "first_i", "last_i", F.round("last_sim", 6).alias("last_sim"))
 
 
-STRONG = f"{VEC}, pairs as (select a.urlid as i, b.urlid as j from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {CUTOFF})"
-COMPONENTS = f"""recursive {STRONG}, both_ as (select i as a, j as b from pairs union select j, i from pairs),
+OPEN = f"{WINDOWED}, open as (select i, j from pairs join art on i = urlid where not published)"
+COMPONENTS = f"""recursive {OPEN}, both_ as (select i as a, j as b from open union select j, i from open),
 reach(node, seen) as (select a, a from both_ union select r.node, e.b from reach r join both_ e on r.seen = e.a), comp as (select node as urlid, min(seen) as grp from reach group by node)"""
 
 
+def open_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of the window whose earlier article is not published, of which groups are made."""
+    return checkpointed(windowed(spark, d).where("not i_published").select("i", "j"))
+
+
 @query(f"with {COMPONENTS} select * from comp")
 def dup_components(spark, d):
-    return duplicates.components(checkpointed(near_dup_pairs(spark, d)))
+    return duplicates.components(open_pairs(spark, d))
 
 
 @query(
-    f"""with {COMPONENTS}, lists as (select urlid, count(*) as n_cats from (select doc_id as urlid from labels where quality = 1 union all select doc_id from labels where toxic = 1) group by urlid)
-    select grp, urlid, row_number() over (partition by grp order by source_relevance desc, coalesce(n_cats, 0) desc, urlid) as place from comp join art using (urlid) left join lists using (urlid)"""
+    f"""with {COMPONENTS}, lists as (select urlid, count(*) as n_cats from (select doc_id as urlid from labels where quality = 1 union all select doc_id from labels where toxic = 1) group by urlid),
+    links as (select a as urlid, count(*) as n_dups from both_ group by a)
+    select grp, urlid, row_number() over (partition by grp order by n_dups desc, source_relevance desc, coalesce(n_cats, 0) desc, urlid) as place from comp join art using (urlid) join links using (urlid) left join lists using (urlid)"""
 )
 def dup_winners(spark, d):
     arts = relational.with_categories(A.articles(spark, d), A.categories(spark, d)).withColumn("n_cats", F.size("categories"))
-    return duplicates.winners(dup_components(spark, d), arts)
+    pairs = open_pairs(spark, d)
+    return duplicates.winners(duplicates.components(pairs), arts, pairs)
 
 
 @query()
 def dup_greedy_sets(spark, d):
-    return duplicates.greedy_groups(checkpointed(near_dup_pairs(spark, d)).select("i", "j"))
+    return duplicates.greedy_groups(open_pairs(spark, d))
 
 
 # Terms.
@@ -202,10 +224,7 @@ def rule_content(spark, d):
     return rules.content_rules(A.articles(spark, d), BLACK_WORDS).select("urlid")
 
 
-FIRST = "case " + " ".join(f"when regexp_matches(url, '{p}') then '{p}'" for p in BLACK_URLS) + " end"
-
-
-@query(f"with {ART} select urlid, {FIRST} as pattern from art")
+@query(f"with {ART} select urlid, {FIRST_URL} as pattern from art")
 def rule_url_blacklist_first_match(spark, d):
     return A.articles(spark, d).select("urlid", T.first_pattern(F.col("url"), BLACK_URLS).alias("pattern"))
 
@@ -214,7 +233,7 @@ def rule_url_blacklist_first_match(spark, d):
     f"""with {ART}, {CAT}, l as (select urlid, count(*) as n from cat group by urlid), r as (
     select urlid, list_filter([
       case when pubdate < date '2024-01-23' then 'Rejected because article is too old (earliest valid date is 2024-01-23 while article was published on ' || strftime(pubdate, '%Y-%m-%d') end,
-      'Rejected because url matched blacklisted url ' || {FIRST},
+      'Rejected because url matched blacklisted url ' || {FIRST_URL},
       case when coalesce(n, 0) = 0 then 'Rejected due to no selected categories' end], lambda x: x is not null) as reasons from art left join l using (urlid))
     select urlid, len(reasons) = 0 as publish, array_to_string(reasons, ' | ') as transcript from r"""
 )
@@ -224,11 +243,36 @@ def rule_transcript(spark, d):
     return a.select("urlid", "publish", F.array_join("transcript", " | ").alias("transcript"))
 
 
+SETTINGS = Settings(as_of=AS_OF, whitelist=tuple(WHITELIST), blacklist_urls=tuple(BLACK_URLS))
+
+JUDGED = f"""{WINDOWED}, {CAT}, ncat as (select urlid, count(*) as n_cats from cat group by urlid),
+grams as (select urlid, unnest(list_concat(ws, list_concat(list_transform(range(1, greatest(len(ws), 1)), lambda i: array_to_string(ws[i:i+1], ' ')), list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: array_to_string(ws[i:i+2], ' '))))) as term from (select urlid, {TOK} as ws from art where not processed)),
+white as (select urlid, count(distinct term) as n_white from grams where list_contains(['{"','".join(WHITELIST)}'], term) group by urlid),
+seen as (select j as urlid, min(i) as first_i, arg_min(sim, i) as first_sim from pairs join art on i = urlid where published group by j),
+listed as (select urlid, {FIRST_URL} as pattern from art),
+checked as (select urlid, first_i, first_sim, list_filter([
+  case when pubdate < date '2024-01-23' then 'Rejected because article is too old (earliest valid date is 2024-01-23 while article was published on ' || strftime(pubdate, '%Y-%m-%d') end,
+  'Rejected because url matched blacklisted url ' || pattern,
+  case when coalesce(n_white, 0) < 2 then 'Rejected due to only one or no whitelisted terms' end,
+  case when coalesce(n_cats, 0) = 0 then 'Rejected due to no selected categories' end], lambda x: x is not null) as reasons
+  from art left join white using (urlid) left join ncat using (urlid) left join seen using (urlid) join listed using (urlid) where not processed)
+select urlid, len(reasons) = 0 and first_i is null as publish,
+  array_to_string(case when len(reasons) = 0 and first_i is not null then ['Rejected because duplicate (sim=' || printf('%.3f', first_sim) || ', cutoff=0.130) of already published article ' || first_i] else reasons end, ' | ') as transcript from checked"""
+
+
+@query(f"with {JUDGED}")
+def prepare_rules(spark, d):
+    """All rules of the daily run up to those for published duplicates."""
+    arts = relational.with_categories(A.articles(spark, d).drop("category"), A.categories(spark, d))
+    todo, pairs = P.judged(arts, SETTINGS, stem=False)
+    out = duplicates.without_published(todo, pairs, SETTINGS.duplicate_cutoff)
+    return out.select("urlid", "publish", F.array_join("transcript", " | ").alias("transcript"))
+
+
 @query()
 def prepare_articles(spark, d):
-    settings = Settings(as_of=AS_OF, whitelist=tuple(WHITELIST), blacklist_urls=tuple(BLACK_URLS))
     arts = relational.with_categories(A.articles(spark, d).drop("category"), A.categories(spark, d))
-    return P.prepare(arts, settings, stem=False).select("urlid", "publish", F.array_join("transcript", " | ").alias("transcript"), F.size("duplicates").alias("n_duplicates"))
+    return P.prepare(arts, SETTINGS, stem=False).select("urlid", "publish", F.array_join("transcript", " | ").alias("transcript"), F.size("duplicates").alias("n_duplicates"))
 
 
 # Text functions.
@@ -243,14 +287,15 @@ def trunc_content(spark, d):
 
 
 CLEAN = r"""with {art}, a as (select urlid, title, trim(replace(replace(replace(regexp_replace(content, '[ \t\n\x0b\f\r]+', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as c from art),
-b as (select urlid, regexp_replace(regexp_replace(regexp_replace(c, '[ \t\n\x0b\f\r]*Share this[ \t\n\x0b\f\r]*', '', 'g'), '[ \t\n\x0b\f\r]+,[ \t\n\x0b\f\r]+', ', ', 'g'), '[ \t\n\x0b\f\r]+\.', '.', 'g') as c from a),
+t as (select urlid, case when title = '' then c else regexp_replace(c, regexp_escape(title) || '[ \t\n\x0b\f\r]*-?[ \t\n\x0b\f\r]*', '', 'g') end as c from a),
+b as (select urlid, regexp_replace(regexp_replace(regexp_replace(c, '[ \t\n\x0b\f\r]*Share this[ \t\n\x0b\f\r]*', '', 'g'), '[ \t\n\x0b\f\r]+,[ \t\n\x0b\f\r]+', ', ', 'g'), '[ \t\n\x0b\f\r]+\.', '.', 'g') as c from t),
 p as (select *, left(c, 5000) as part from b)
 select urlid, md5(case when length(c) <= 5000 then c when contains(part, '.') then left(part, 5000 - instr(reverse(part), '.')) when contains(part, ' ') then left(part, 5000 - instr(reverse(part), ' ')) else part end || '...') as digest from p"""
 
 
 @query(CLEAN.format(art=ART))
 def clean_content(spark, d):
-    text = T.cleaned(F.col("content"), F.lit(""), transliterate=False)
+    text = T.cleaned(F.col("content"), F.col("title"), transliterate=False)
     return A.articles(spark, d).select("urlid", F.md5(text).alias("digest"))
 
 
@@ -264,11 +309,23 @@ def html_title(spark, d):
     return A.table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
-@query()
+VISIBLE = r"""with a as (select page_id, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') as t, url, html from pages),
+b as (select page_id, url, html, list_reduce(list_prepend(t, ['head', 'script', 'style', 'nav', 'footer']), lambda x, tag: regexp_replace(x, '(?is)<' || tag || '\b.*?</' || tag || '>', ' ', 'g')) as t from a),
+c as (select page_id, url, html, regexp_replace(t, '(?s)<[^>]*>', ' ', 'g') as t from b),
+e as (select page_id, url, html, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') as t from c)
+select page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, trim(regexp_replace(t, '[ \t\n\x0b\f\r]+', ' ', 'g')) as text from e"""
+
+
+@query(VISIBLE)
 def html_text(spark, d):
     return feeds.page_texts(A.table(spark, d, "pages"))
 
 
+@query()
+def summary_ranked(spark, d):
+    return A.articles(spark, d).select("urlid", T.ranked_summary(F.col("content")).alias("summary"))
+
+
 @query(
     r"""select page_id, case when regexp_matches(t, '^(.*) - (.+)$') then regexp_extract(t, '^(.*) - (.+)$', 1) else t end as title,
     case when regexp_matches(t, '^(.*) - (.+)$') then regexp_extract(t, '^(.*) - (.+)$', 2) || ' via Google News' else 'Google News' end as source
@@ -285,18 +342,19 @@ def summary_two_sentences(spark, d):
     return A.articles(spark, d).select("urlid", T.two_sentences(F.col("content")).alias("summary"))
 
 
-@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as found from orders")
+@query("select o_orderkey, strftime(cast(o_orderdate as date) + case when o_orderkey % 2 = 0 then interval 240 month else interval 0 month end, '%Y-%m-%d') as found from orders")
 def parse_dates(spark, d):
-    """Dates written in one of four formats are found again."""
-    day, form = F.col("o_orderdate").cast("date"), F.pmod("o_orderkey", F.lit(4))
-    written = F.when(form == 0, F.date_format(day, "yyyy-MM-dd")).when(form == 1, F.date_format(day, "MM/dd/yyyy")).when(form == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
-    ambiguous = F.when((form == 2) & (F.dayofmonth(day) <= 12), F.date_format(day, "MM/dd/yyyy")).otherwise(written)
-    # The formats start at 2000 but for MM/DD/YYYY.
-    safe = F.when(F.year(day) < 2000, F.date_format(day, "MM/dd/yyyy")).otherwise(ambiguous)
+    """Dates written in each of the formats are found again, moved to 2000 and later, where all formats hold, but for MM/DD/YYYY."""
+    day, form = F.add_months(F.col("o_orderdate").cast("date"), F.when(F.pmod("o_orderkey", F.lit(2)) == 0, 240).otherwise(0)), F.pmod("o_orderkey", F.lit(len(T.DATES)))
+    plain = F.date_format(day, "MM/dd/yyyy")
+    written = reduce(lambda other, kf: F.when(form == kf[0], F.date_format(day, kf[1])).otherwise(other), list(enumerate(f for _, f in T.DATES)), plain)
+    # Days up to 12 before the month would be taken for months.
+    ambiguous = F.when((form == len(T.DATES) - 1) & (F.dayofmonth(day) <= 12), plain).otherwise(written)
+    safe = F.when(F.year(day) < 2000, plain).otherwise(ambiguous)
     return A.table(spark, d, "orders").select("o_orderkey", T.found_date(F.concat(F.lit("posted on "), safe, F.lit(" by us"))).cast("string").alias("found"))
 
 
-@query("select doc_id as urlid, case when n_chars % 2 = 0 then '' else 'public://newsfinder_images/' || doc_id || '.jpg' end as image_path from documents")
+@query("select doc_id as urlid, case when n_chars % 2 = 0 then '' else 'public://images/' || doc_id || '.jpg' end as image_path from documents")
 def image_paths(spark, d):
     return A.table(spark, d, "documents").select(F.col("doc_id").alias("urlid"), T.image_path(F.col("doc_id"), F.when(F.col("n_chars") % 2 == 1, "x")).alias("image_path"))
 
@@ -324,6 +382,38 @@ def categories_per_doc(spark, d):
     return relational.categories_per_document(A.categories(spark, d))
 
 
+@query(f"with {ART} select urlid, title from art where title like '%(blog)' or title like '%(press release)' or title like '%the'")
+def rule_title_suffix(spark, d):
+    title = F.col("title")
+    return A.articles(spark, d).where(title.endswith("(blog)") | title.endswith("(press release)") | title.endswith("the")).select("urlid", "title")
+
+
+@query(f"with {ART} select urlid, length(title) >= 5 and length(content) >= 1000 as kept from art")
+def rule_min_length(spark, d):
+    kept = rules.content_rules(A.articles(spark, d), []).select("urlid").withColumn("kept", F.lit(True))
+    return A.articles(spark, d).select("urlid").join(kept, "urlid", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+@query(f"with {ART} select urlid, url from art where urlid between 315 and 1500")
+def articles_by_id(spark, d):
+    return relational.between(A.articles(spark, d), 315, 1500).select("urlid", "url")
+
+
+@query(f"with {ART} select urlid from art where category = 'en' and not published")
+def publishable_articles(spark, d):
+    return relational.publishable(A.articles(spark, d).withColumn("publishable", F.col("category") == "en")).select("urlid")
+
+
+@query(f"with {ART}, {CAT} select urlid, string_agg(category, ' ' order by category) as category from cat group by urlid order by urlid desc")
+def corpus_latest_first(spark, d):
+    return relational.latest_first(relational.labelled_corpus(A.articles(spark, d), A.categories(spark, d)).select("urlid", "category"))
+
+
+@query(f"with {CAT} select category, count(*) as n from cat group by category order by category desc")
+def categories_descending(spark, d):
+    return relational.latest_first(relational.category_counts(A.categories(spark, d)), "category")
+
+
 @query("select page_id, url from pages where url not in (select distinct url from pages where url like '%/en/%')")
 def unseen_urls_anti(spark, d):
     pages = A.table(spark, d, "pages").select("page_id", "url")
@@ -362,20 +452,18 @@ def spread_subsample(spark, d):
     return relational.spread_subsample(A.table(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
-# Evaluation.  Gold: documents with equal texts.
+# Evaluation.  Gold: documents of one title; their texts are alike to any degree.
 
 
-def sweep_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    day = A.articles(spark, d).select("urlid", "pubdate")
-    pairs = checkpointed(similarity.similar_pairs(checkpointed(vec(spark, d)), CUTOFF))
-    dated = pairs.join(day.select(F.col("urlid").alias("i"), F.col("pubdate").alias("di")), "i").join(day.select(F.col("urlid").alias("j"), F.col("pubdate").alias("dj")), "j")
-    same = A.articles(spark, d).select("urlid", F.md5("content").alias("m"))
-    gold = pairs.select("i", "j").join(same.select(F.col("urlid").alias("i"), F.col("m").alias("mi")), "i").join(same.select(F.col("urlid").alias("j"), F.col("m").alias("mj")), "j").where("mi = mj").select("i", "j")
-    return dated.select("i", "j", "sim", F.abs(F.datediff("di", "dj")).alias("days_apart")), gold
+def sweep_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all pairs that share a term, dates, gold pairs)."""
+    arts = A.articles(spark, d)
+    sims = similarity.similar_pairs(checkpointed(vec(spark, d)), 0.0)
+    return sims, arts.select("urlid", "pubdate"), evaluate.gold_from_labels(arts.select("urlid", F.col("title").alias("label")))
 
 
-SWEEP = f"""{VEC}, pairs as (select a.urlid as i, b.urlid as j, sum(a.w * b.w) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {CUTOFF}),
-flagged as (select sim, abs(a.pubdate - b.pubdate) as apart, cast(a.content = b.content as integer) as g from pairs join art a on i = a.urlid join art b on j = b.urlid),
+SWEEP = f"""{VEC}, sims as (select a.urlid as i, b.urlid as j, sum(a.w * b.w) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all),
+flagged as (select coalesce(sim, 0) as sim, abs(x.pubdate - y.pubdate) as apart, cast(x.title = y.title as integer) as g from art x join art y on x.urlid < y.urlid left join sims on i = x.urlid and j = y.urlid),
 ks as (select unnest(range(100)) as k),
 counted as (select cast(k as integer) as k, coalesce(cast(sum(g) filter (apart < 14 and floor(sim * 100 + 1e-9) >= k) as bigint), 0) as tp, coalesce(cast(sum(1 - g) filter (apart < 14 and floor(sim * 100 + 1e-9) >= k) as bigint), 0) as fp, sum(g) as pos from ks, flagged group by k),
 pr as (select k, tp, fp, case when tp + fp = 0 then 0.0 else tp / (tp + fp) end as p, case when pos = 0 then 0.0 else tp / pos end as r from counted),
@@ -393,6 +481,18 @@ def best_cutoff(spark, d):
     return evaluate.best_cutoff(cutoff_sweep(spark, d))
 
 
+@query(
+    f"""with {VEC}, sims as (select a.urlid as i, b.urlid as j, sum(a.w * b.w) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {STRONG_CUTOFF})
+    select i, j, round(sim, 6) as sim from sims join art x on i = x.urlid join art y on j = y.urlid where abs(x.pubdate - y.pubdate) <= 14 and x.title <> y.title"""
+)
+def review_pairs(spark, d):
+    """Alike, at most 14 days apart and not of one title."""
+    arts = A.articles(spark, d)
+    sims = similarity.similar_pairs(checkpointed(vec(spark, d)), STRONG_CUTOFF)
+    gold = evaluate.gold_from_labels(arts.select("urlid", F.col("title").alias("label")))
+    return evaluate.review_pairs(sims, arts.select("urlid", "pubdate"), gold, STRONG_CUTOFF).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
 CENTRES = f"{VEC}, cen as (select category, term, sum(w) / max(n) as w from vec join art using (urlid) join (select category, count(*) as n from art where len({TOK}) > 0 group by category) using (category) group by category, term)"
 
 
@@ -451,6 +551,20 @@ def events_per_day(spark, d):
     return A.table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select user_id, min(ts) as ts from events group by user_id")
+def stream_dedup_events(spark, d):
+    """The first sight of each user, by a stream over the events in the order of their times."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    A.table(spark, d, "events").select("ts", "user_id").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
+    stream = crawl.read_parquet(spark, f"{folder}/in", "ts timestamp, user_id long", files=1)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.groupBy("user_id").agg(F.min("ts").alias("ts")).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    crawl.run_batches(stream.withWatermark("ts", "1 day"), keep, f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.min("ts").alias("ts"))
+
+
 # Models.
 
 
@@ -462,6 +576,23 @@ def training(spark: SparkSession, d: str) -> DataFrame:
     return worded_articles(spark, d).join(A.table(spark, d, "labels").select(F.col("doc_id").alias("urlid")), "urlid")
 
 
+@query()
+def bakeoff_accuracy(spark, d):
+    """Percent right of each learner for the topic of good documents, by ten folds."""
+    yes = A.categories(spark, d).where("category = 'good'").select("urlid").distinct().withColumn("label", F.lit(1.0))
+    rows = classify.worded(training(spark, d)).join(yes, "urlid", "left").fillna({"label": 0.0})
+    return spark.createDataFrame([(m, 0, c) for m, c in classify.bake_off(rows)], "model string, tid int, correct double")
+
+
+@query()
+def svm_grid(spark, d):
+    """The best exponents of C and gamma for the label of the vectors, below the median or not."""
+    e = A.table(spark, d, "embeddings")
+    half = e.agg(F.percentile_approx("label", 0.5)).first()[0]
+    rows = e.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") > half).cast("double").alias("label"))
+    return spark.createDataFrame([classify.svm_grid(rows, [-3, 1, 5], [1, -3, -7], folds=3, dims=32)], "c int, g int, accuracy double")
+
+
 @query()
 def predict_topics(spark, d):
     models = classify.train(training(spark, d), A.categories(spark, d), ["good", "toxic"])

@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from .sinks import ordered_text
+
 # Fixed type names of the format.
 TYPES = {"NUMERIC": DoubleType(), "REAL": DoubleType(), "INTEGER": IntegerType(), "STRING": StringType()}
 
@@ -79,8 +82,7 @@ def read(spark: SparkSession, path: str, header_bytes: int = 1 << 20) -> tuple[H
     names = [n for n, _ in header.attributes]
     body = lines.where(~F.col("value").rlike(r"(?i)^\s*(@relation|@attribute|@data|%|$)"))
 
-    @F.udf("array<string>")
-    def split(row: str) -> list[str | None]:
+    def split_row(row: str) -> list[str | None]:
         if row.strip().startswith("{"):
             out: list[str | None] = ["0" if isinstance(k, str) and k != "STRING" else (k[0] if isinstance(k, list) else "") for _, k in kinds]
             for part in filter(None, (x or "" for x in values_of(row.strip().strip("{} ")))):
@@ -89,6 +91,10 @@ def read(spark: SparkSession, path: str, header_bytes: int = 1 << 20) -> tuple[H
             return out
         return values_of(row)
 
+    @F.pandas_udf("array<string>")
+    def split(rows: pd.Series) -> pd.Series:
+        return rows.map(split_row)
+
     kinds = header.attributes
     parsed = body.select(split("value").alias("v"))
     cast = lambda i, f: F.get("v", F.lit(i)).try_cast(f.dataType).alias(names[i])
@@ -120,7 +126,6 @@ def rows_as_text(df: DataFrame, header: Header) -> DataFrame:
 
 
 def write(df: DataFrame, header: Header, path: str) -> None:
-    """A folder of text parts; the header is in a part that sorts first."""
-    top = df.sparkSession.createDataFrame([("\n".join(header_lines(header)),)], "value string").coalesce(1)
-    top.write.mode("overwrite").text(path)
-    rows_as_text(df, header).write.mode("append").text(path)
+    """A folder of text files whose names sort in the order of the text: the header, the rows, three closing comments."""
+    line = lambda text: df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1)
+    ordered_text(path, line("\n".join(header_lines(header))), rows_as_text(df, header), line("%\n%\n%"))

@@ -1,45 +1,143 @@
-"""Exports: XML of processed articles, the e-mail form, matrices, scores."""
+"""Exports: XML of processed articles, the e-mail form, matrices, scores, tables that replace others."""
 
 from __future__ import annotations
 
 import datetime as dt
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import similarity
+
 
 def export_xml(articles: DataFrame, path: str) -> None:
-    """All processed articles, also rejected ones, with publish and transcript."""
-    safe = articles.withColumn("source", F.replace("source", F.lit("&"), F.lit("&amp;")))
-    safe.write.mode("overwrite").format("xml").option("rowTag", "article").option("rootTag", "articles").save(path)
+    """All processed articles, also rejected ones, with publish and transcript.  The writer escapes what XML needs, once."""
+    articles.write.mode("overwrite").format("xml").option("rowTag", "article").option("rootTag", "articles").save(path)
 
 
 def append_articles(articles: DataFrame, path: str) -> None:
     articles.write.mode("append").parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def replace_table(table: DataFrame, path: str) -> None:
+    """Put ``table``, which may be read from ``path``, in its place: written beside it first, then renamed."""
+    spark = table.sparkSession
+    table.write.mode("overwrite").parquet(f"{path}.new")
+    (here, files), (new, _), (old, _) = _files(spark, path), _files(spark, f"{path}.new"), _files(spark, f"{path}.old")
+    files.delete(old, True)
+    if files.exists(here) and not files.rename(here, old):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(new, here):
+        raise OSError(f"cannot put {path} in place")
+    files.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
+def save_text(spark: SparkSession, path: str, content: str) -> None:
+    """One file of a text that the driver holds, on any file system."""
+    at, files = _files(spark, path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
+def ordered_text(path: str, *parts: DataFrame) -> None:
+    """A folder of text files whose names sort in the order of the parts and their partitions."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    whole.write.mode("overwrite").text(path)
+
+
 #: Articles of one e-mail.
 MOST_MAILED = 500
 
 
 def email_form(week: DataFrame, as_of: dt.date) -> tuple[str, str]:
-    """(subject, HTML) of the week's articles; refuses more than MOST_MAILED."""
+    """(subject, HTML) of the week's articles; refuses more than MOST_MAILED.
+
+    The site's own markup (summary, topics, image) is taken as it is, the rest is escaped.
+    """
     rows = week.orderBy(F.desc("pubdate"), "title").limit(MOST_MAILED + 1).collect()
     if len(rows) > MOST_MAILED:
         raise ValueError(f"over {MOST_MAILED} articles for one e-mail")
     text = lambda v: html.escape(str(v or ""))
-    items = [f"<h2><a href=\"{text(r['link'])}\">{text(r['title'])}</a></h2><p>{text(r['source'])}, {r['pubdate']:%B %d, %Y}</p>{r['body'] or ''}<p>{text(r['topics'])}</p>" for r in rows]
+    day = lambda d: f"{d:%B %d, %Y}" if d else ""
+    items = [
+        f"<h2><a href=\"{text(r['link'])}\">{text(r['title'])}</a></h2>{r['image'] or ''}<p><a href=\"{text(r['url'])}\">{text(r['source'])}</a>, {day(r['pubdate'])}</p><p>{r['summary'] or ''}</p><p>{r['topics'] or ''}</p>"
+        for r in rows
+    ]
     return f"AI Alert - {as_of:%B %d, %Y}", f"<html><body>{''.join(items)}<p>Copyright {as_of:%Y}</p></body></html>"
 
 
-def matrix_csv(dissimilarity: DataFrame, path: str, i: str = "i", j: str = "j", most: int = 2000) -> None:
-    """A square matrix with a row and column for each name."""
-    names = [r[0] for r in dissimilarity.select(j).distinct().orderBy(j).limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"over {most} columns")
-    wide = dissimilarity.groupBy(i).pivot(j, names).agg(F.first("d")).orderBy(i)
-    wide.write.mode("overwrite").csv(path, header=True)
+def review_page(subject: str, message: str, action: str, hidden: dict[str, str] | None = None) -> str:
+    """A page that shows the e-mail and posts it to the mailing list at ``action`` when the button is pressed."""
+    safe = lambda v: html.escape(v, quote=True)
+    fields = {**(hidden or {}), "message_subject": subject, "email_format": "HTML"}
+    inputs = "".join(f'<input type="hidden" name="{safe(k)}" value="{safe(v)}">' for k, v in fields.items())
+    form = f'<form action="{safe(action)}" method="post">{inputs}<textarea hidden name="text_message_body">{safe(message)}</textarea><input type="submit" value="Send"></form>'
+    return f"<html><body><h1>{safe(subject)}</h1>{form}<h2>Please review the message below.</h2>{message}</body></html>"
+
+
+def matrix_lines(dissimilarity: DataFrame, names: DataFrame, corner: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The header and the rows of a square matrix as lines, in the order of the names.
+
+    ``names``: (name, at) with the text and the sort key of each; the header has
+    one field less than a row, unless ``corner`` is given.  Pairs without a row
+    of (i, j, d) have d = 1, a name and itself 0.
+    """
+    listed = names.agg(F.array_sort(F.collect_set(F.struct("at", "name"))).alias("all"))
+    heads = F.transform("all", lambda x: x["name"])
+    top = listed.select(F.concat_ws(",", *([corner] if corner is not None else []), heads).alias("value"))
+    known = dissimilarity.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "d"))).alias("ds"))
+    rows = names.distinct().join(known, F.col("name") == F.col("i"), "left").crossJoin(F.broadcast(listed))
+    value = lambda x: F.coalesce(F.try_element_at("ds", x["name"]), F.when(x["name"] == F.col("name"), 0.0).otherwise(1.0)).cast("string")
+    lines = rows.orderBy("at").select(F.concat_ws(",", "name", F.transform("all", value)).alias("value"))
+    return top.coalesce(1), lines
+
+
+def matrix_csv(dissimilarity: DataFrame, path: str) -> None:
+    """A square matrix of (i, j, d); each row begins with its name, the header holds the names only."""
+    names = dissimilarity.select(F.col("i").cast("string").alias("name")).distinct().withColumn("at", F.col("name"))
+    ordered_text(path, *matrix_lines(dissimilarity, names))
+
+
+def corpus_export(vectors: DataFrame, labels: DataFrame, path: str) -> None:
+    """The three kinds of dissimilarity matrices: ``models.csv`` of all centroids, one file for each category with its centroid and documents, ``corpus.csv`` of all documents.
+
+    A document of several categories goes by the last of them in ``corpus.csv``.
+    The categories are a short list that a person wrote.
+    """
+    centres = similarity.centroids(vectors, labels)
+    named = lambda df, k: df.select(F.col("category").alias(k), "term", "w")
+    matrix_csv(similarity.sparse_dissimilarity(named(centres, "i"), named(centres, "j"), "i", "j"), f"{path}/models.csv")
+    last = labels.groupBy("urlid").agg(F.max("category").alias("category"))
+    between = similarity.sparse_dissimilarity(vectors.withColumnRenamed("urlid", "i"), vectors.withColumnRenamed("urlid", "j"), "i", "j")
+    to_centre = similarity.sparse_dissimilarity(vectors, centres, "urlid", "category")
+    label = lambda key, cat: F.concat_ws(" ", F.col(key).cast("string"), cat)
+
+    def with_names(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        one, two = (of.select(F.col("urlid").alias(k), label("urlid", F.col("category")).alias(f"n{k}")) for k in "ij")
+        return pairs.join(one, "i").join(two, "j").select(F.col("ni").alias("i"), F.col("nj").alias("j"), "d")
+
+    names = last.join(vectors.select("urlid").distinct(), "urlid", "left_semi")
+    listed = names.select(label("urlid", F.col("category")).alias("name"), F.col("urlid").alias("at"))
+    ordered_text(f"{path}/corpus.csv", *matrix_lines(with_names(between, names), listed))
+    for row in labels.select("category").distinct().orderBy("category").toLocalIterator():
+        own = labels.where(F.col("category") == row["category"]).join(vectors.select("urlid").distinct(), "urlid", "left_semi").distinct()
+        centre = to_centre.where(F.col("category") == row["category"]).select(label("urlid", F.col("category")).alias("n"), "d")
+        edges = centre.select(F.lit(row["category"]).alias("i"), F.col("n").alias("j"), "d").union(centre.select("n", F.lit(row["category"]), "d"))
+        spots = own.select(label("urlid", F.col("category")).alias("name"), F.col("urlid").alias("at"))
+        head = own.sparkSession.createDataFrame([(row["category"], None)], "name string, at long")
+        ordered_text(f"{path}/{row['category']}.csv", *matrix_lines(with_names(between, own).union(edges), head.union(spots)))
 
 
 def scores_csv(scores: DataFrame, path: str) -> None:

@@ -1,12 +1,15 @@
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from skein.functions import text as T
 from skein.operators import classify, duplicates, evaluate, relational, rules, similarity, vocabulary
 from skein.plans import registry
 
@@ -132,12 +135,87 @@ def test_insert_and_replace(spark):
 
 
 def test_sweep_and_best(spark):
-    pairs = spark.createDataFrame([(1, 2, 0.9, 0), (1, 3, 0.5, 0), (2, 3, 0.2, 20)], "i long, j long, sim double, days_apart int")
-    gold = evaluate.gold_pairs(spark.createDataFrame([([1, 2], "a"), ([2, 3], "b")], "ids array<long>, label string"))
-    rows = {r["k"]: r for r in evaluate.cutoff_sweep(pairs, gold).collect()}
-    assert (rows[0]["tp"], rows[0]["fp"], rows[51]["tp"], rows[51]["fp"], rows[95]["tp"]) == (1, 1, 1, 0, 0)
-    assert rows[95]["precision"] == 0
-    assert evaluate.best_cutoff(evaluate.cutoff_sweep(pairs, gold)).first()["k"] == 51
+    dates = spark.createDataFrame([(1, DAY), (2, DAY), (3, DAY - dt.timedelta(20)), (4, None), (5, DAY)], "urlid long, pubdate date")
+    sims = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.7), (2, 3, 0.2), (1, 5, 0.5), (2, 4, 0.3)], "i long, j long, sim double")
+    gold = evaluate.gold_pairs(spark.createDataFrame([([1, 2], "a"), ([2, 3], "b"), ([4, 5], "c")], "ids array<long>, label string"))
+    rows = {r["k"]: r for r in evaluate.cutoff_sweep(sims, dates, gold).collect()}
+    # Within 14 days: 1-2, 1-4, 1-5, 2-4, 2-5, 3-4, 4-5; gold of these 1-2 and 4-5, the latter with nothing in common.
+    assert (rows[0]["tp"], rows[0]["fp"]) == (2, 5)
+    assert (rows[1]["tp"], rows[1]["fp"]) == (1, 2)
+    assert (rows[51]["tp"], rows[51]["fp"], rows[95]["tp"]) == (1, 0, 0)
+    assert math.isclose(rows[51]["recall"], 1 / 3) and rows[95]["precision"] == 0
+    assert evaluate.best_cutoff(evaluate.cutoff_sweep(sims, dates, gold)).first()["k"] == 51
+
+
+def test_review_includes_the_last_day(spark):
+    dates = spark.createDataFrame([(1, DAY), (2, DAY - dt.timedelta(14)), (3, DAY - dt.timedelta(15)), (4, None)], "urlid long, pubdate date")
+    sims = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9), (1, 4, 0.5), (2, 3, 0.4), (3, 4, 0.9)], "i long, j long, sim double")
+    known = spark.createDataFrame([(3, 4)], "i long, j long")
+    assert sorted((r["i"], r["j"]) for r in evaluate.review_pairs(sims, dates, known, 0.5).collect()) == [(1, 2), (1, 4)]
+
+
+def test_winners_by_links(spark):
+    """The article with the most duplicates of its own wins, before relevance."""
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (2, 4)], "i long, j long")
+    arts = spark.createDataFrame([(1, 9, 1), (2, 1, 1), (3, 9, 2), (4, 9, 1)], "urlid long, source_relevance int, n_cats int")
+    got = {r["urlid"]: r["place"] for r in duplicates.winners(duplicates.components(pairs), arts, pairs).collect()}
+    assert got == {2: 1, 3: 2, 1: 3, 4: 4}
+
+
+def test_spread_subsample(spark):
+    rows = [(i, "a" if i < 200 else None if i < 230 else "b") for i in range(300)]
+    got = relational.spread_subsample(spark.createDataFrame(rows, "id long, label string"), "label", "id").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r[0])
+    md5 = lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)
+    assert sorted(r["id"] for r in got) == sorted(i for ids in by.values() for i in sorted(ids, key=md5)[:30])
+
+
+def test_vocabulary_of_a_train_split(spark, tmp_path):
+    rows = docs(spark, *[f"w{i} common" for i in range(20)])
+    train, predict, voc = vocabulary.train_vocabulary(rows, 0.5, str(tmp_path / "v"))
+    assert (train.count(), predict.count()) == (10, 2)
+    table = spark.read.parquet(str(tmp_path / "v" / "terms")).orderBy("rowid").collect()
+    assert [r["rowid"] for r in table] == list(range(1, 12)) and [r["word"] for r in table] == sorted(r["word"] for r in table)
+    assert {r["term"]: r["df"] for r in voc.terms.collect()}["common"] == 10 and voc.documents.first()["n_docs"] == 10
+    assert vocabulary.tfidf(vocabulary.term_frequency(rows), voc).select("term").distinct().count() == 11
+
+
+def test_whitelist_list_and_join_agree(spark, monkeypatch):
+    rows = docs(spark, "the cat of the house", "a cat", "of the of the")
+    terms = vocabulary.whitelist_terms(spark, ["cat", "of the", "the cat of", "absent"], stem=False)
+    short = sorted(map(tuple, vocabulary.whitelist_hits(rows, terms, stem=False).collect()))
+    monkeypatch.setattr(vocabulary, "LISTED", 0)
+    assert short == sorted(map(tuple, vocabulary.whitelist_hits(rows, terms, stem=False).collect()))
+    assert short == [(0, "cat", 1), (0, "of the", 1), (0, "the cat of", 1), (1, "cat", 1), (2, "of the", 2)]
+
+
+def test_bake_off_and_svm(spark):
+    rows = classify.worded(spark.createDataFrame([(i, "robot arm" if i % 2 else "cooking", "robots move fast" if i % 2 else "soup and bread") for i in range(30)], "urlid long, title string, body string"))
+    scores = dict(classify.bake_off(rows.withColumn("label", F.pmod("urlid", F.lit(2)).cast("double")), folds=3, terms=20))
+    assert set(scores) == {"forest", "naive_bayes", "bayes_net", "tree", "knn"} and min(scores.values()) > 90
+    rng = np.random.default_rng(3)
+    points = [(Vectors.dense(p), float(p @ p < 1)) for p in rng.normal(size=(120, 2))]
+    ring = spark.createDataFrame(points, ["features", "label"])
+    c, g, accuracy = classify.svm_grid(ring, [-1, 5], [1, -9], folds=3)
+    assert g == 1 and accuracy > 0.8
+    p = classify.svm_probability(spark.createDataFrame([(Vectors.dense([x, 1.0]), float(x > 0)) for x in rng.normal(size=80)], ["features", "label"]), 1)
+    out = p.transform(spark.createDataFrame([(Vectors.dense([3.0, 1.0]),), (Vectors.dense([-3.0, 1.0]),)], ["features"])).collect()
+    assert out[0]["probability"][1] > 0.9 > 0.1 > out[1]["probability"][1]
+
+
+def test_tables_by_id_and_state(spark):
+    arts = spark.createDataFrame([(1, True, False, DAY), (2, True, True, DAY), (3, True, False, None), (4, False, False, DAY)], "urlid long, publishable boolean, published boolean, pubdate date")
+    assert [r["urlid"] for r in relational.publishable(arts).collect()] == [1]
+    assert sorted(r["urlid"] for r in relational.between(arts, 2, 3).collect()) == [2, 3]
+    assert [r["urlid"] for r in relational.latest_first(arts).collect()] == [4, 3, 2, 1]
+
+
+def test_ranked_summary(spark):
+    text = "Robots walk. Cats sleep all day long. Robots walk and robots run. The end is near."
+    got = docs(spark, text, None, "").select("urlid", T.ranked_summary("content").alias("s")).orderBy("urlid").collect()
+    assert got[0]["s"] == "Robots walk. Robots walk and robots run." and got[1]["s"] is None and got[2]["s"] == ""
 
 
 def test_mds_keeps_distances():

@@ -3,7 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from skein import config
+from skein import cli, config
+from skein.functions import named
+from skein.operators import vocabulary
 from skein.sources import arff, cluto, feeds, sinks
 from skein.streaming import crawl
 
@@ -56,16 +58,36 @@ def test_cluto(spark, tmp_path):
     assert sorted(map(tuple, labels.collect())) == [(0, "news"), (1, "sport")]
 
 
-def test_sources_and_feed(spark, tmp_path):
-    (tmp_path / "s.csv").write_text("id,title,link,parser,relevance\n1,Google News AI,http://g,rss,5\n2,Other,http://o,rss,7\n")
+SOURCES = "id,title,link,parser,relevance\n1,Google News AI,http://g,rss,5\n2,Other,http://o,rss,7\n3,Atomic,http://a,rss,2\n"
+RSS = (
+    "<rss><channel><item><title>Robots &amp; us - Paper</title><link>http://x/1</link><pubDate>Tue, 05 Jun 2012 10:00:00 +0000</pubDate></item>"
+    "<item><title>No date</title><link>http://x/2</link></item></channel></rss>"
+)
+ATOM = (
+    '<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><link href="http://a"/>'
+    '<entry><title type="html">Entry one</title><link rel="self" href="http://a/s"/><link rel="alternate" href="http://a/1"/><updated>2012-06-04T10:00:00Z</updated></entry>'
+    '<entry><title>Entry two</title><link href="http://a/2"/><published>2012-06-03T10:00:00Z</published><updated>2012-06-05T10:00:00Z</updated></entry></feed>'
+)
+
+
+def test_sources_and_feeds(spark, tmp_path):
+    """Each item gets the source whose id names its feed; RSS and Atom."""
+    (tmp_path / "s.csv").write_text(SOURCES)
     path = str(tmp_path / "s.csv")
-    assert feeds.source_list(spark, path).count() == 2
+    assert feeds.source_list(spark, path).count() == 3
     assert feeds.source_list(spark, path, "Other").first()["relevance"] == 7
     assert feeds.source_list(spark, path, other_options=True).count() == 0
-    (tmp_path / "f.xml").write_text("<rss><channel><item><title>Robots &amp; us - Paper</title><link>http://x/1</link><pubDate>Tue, 05 Jun 2012 10:00:00 +0000</pubDate></item><item><title>No date</title><link>http://x/2</link></item></channel></rss>")
-    got = {r["url"]: r for r in feeds.entries(feeds.rss(spark, str(tmp_path / "f.xml")), feeds.source_list(spark, path, "Google News AI"), dt.date(2012, 6, 6)).collect()}
+    (tmp_path / "feeds").mkdir()
+    (tmp_path / "feeds" / "1.xml").write_text(RSS)
+    (tmp_path / "feeds" / "2.xml").write_text(RSS.replace("http://x", "http://o"))
+    (tmp_path / "feeds" / "3.xml").write_text(ATOM)
+    (tmp_path / "feeds" / "9.xml").write_text(RSS.replace("http://x", "http://unlisted"))
+    got = {r["url"]: r for r in feeds.entries(feeds.items(spark, str(tmp_path / "feeds")), feeds.source_list(spark, path), dt.date(2012, 6, 6)).collect()}
     assert (got["http://x/1"]["title"], got["http://x/1"]["source"], got["http://x/1"]["pubdate"]) == ("Robots &amp; us", "Paper via Google News", dt.date(2012, 6, 5))
+    assert (got["http://o/1"]["title"], got["http://o/1"]["source"], got["http://o/1"]["source_relevance"]) == ("Robots &amp; us - Paper", "Other", 7)
     assert got["http://x/2"]["pubdate"] == dt.date(2012, 6, 6)
+    assert (got["http://a/1"]["title"], got["http://a/1"]["pubdate"], got["http://a/2"]["pubdate"]) == ("Entry one", dt.date(2012, 6, 4), dt.date(2012, 6, 3))
+    assert set(got) == {"http://x/1", "http://x/2", "http://o/1", "http://o/2", "http://a/1", "http://a/2"}
 
 
 def test_lists_and_config(spark, tmp_path):
@@ -83,20 +105,75 @@ def test_page_text(spark):
     assert (r["title"], r["text"]) == ("T", "One & two")
 
 
+def test_stop_words_and_whole_text(spark, tmp_path):
+    (tmp_path / "stop").write_text("the  \n\n of\n")
+    assert feeds.stop_list(spark, str(tmp_path / "stop")) == {"the", "", " of"}
+    assert feeds.stop_list(spark, str(tmp_path / "none")) == set() and feeds.word_list(spark, str(tmp_path / "none")) == []
+    assert feeds.whole_text(spark, str(tmp_path / "stop")) == "the  \n\n of\n" and feeds.whole_text(spark, str(tmp_path / "none")) == ""
+    sinks.save_text(spark, str(tmp_path / "saved"), "é\nx")
+    assert feeds.whole_text(spark, str(tmp_path / "saved")) == "é\nx"
+
+
+def test_page_image(spark):
+    pages = ["<meta property='og:image' content='http://i/1.png'><img src='http://i/2.png'>", "<p><img alt=x src=\"/3.jpg\"></p>", "<p>none</p>", None]
+    got = feeds.extracted(spark.createDataFrame([(str(i), p) for i, p in enumerate(pages)], "url string, html string")).orderBy("url").collect()
+    assert [r["image_url"] for r in got] == ["http://i/1.png", "/3.jpg", None, None]
+
+
 def test_weekly_and_email(spark, tmp_path):
-    (tmp_path / "n.xml").write_text("<nodes><node><Title>A</Title><Source>S</Source><Topics>t</Topics><Publication_date>2012-06-05 x</Publication_date><Body>&lt;a href=\"/topic/x\"&gt;y&lt;/a&gt;</Body><Link>l</Link></node></nodes>")
+    node = (
+        "<nodes><node><Title>A</Title><Source>S &amp; T</Source><Topics>&lt;a href=\"/topic/x\"&gt;y&lt;/a&gt;</Topics><Publication_date>2012-06-05 x</Publication_date>"
+        "<Body>&lt;blockquote&gt;&lt;p&gt;See /topic/z.&lt;/p&gt;&lt;/blockquote&gt;</Body><Original_link>http://o/1</Original_link><Link>/news/a</Link><Representative_image>&lt;img src=\"i.png\"&gt;</Representative_image></node></nodes>"
+    )
+    (tmp_path / "n.xml").write_text(node)
     week = feeds.weekly(spark, str(tmp_path / "n.xml"), "http://site")
+    r = week.first()
+    assert (r["topics"], r["summary"], r["link"], r["url"]) == ('<a href="http://site/topic/x">y</a>', "See /topic/z.", "http://site/news/a", "http://o/1")
+    assert r["image"].startswith('<img align="left"')
     subject, body = sinks.email_form(week, dt.date(2012, 6, 6))
     assert subject == "AI Alert - June 06, 2012"
-    assert 'href="http://site/topic/x"' in body
+    assert 'href="http://site/topic/x"' in body and "S &amp; T" in body and r["image"] in body and "June 05, 2012" in body
+    page = sinks.review_page(subject, body, "http://list?a=1&b=2", {"f": "send"})
+    assert 'action="http://list?a=1&amp;b=2"' in page and 'name="f" value="send"' in page and body in page
+
+
+def lines_of(folder):
+    return [x for f in sorted(folder.glob("part-*")) for x in f.read_text().splitlines()]
 
 
 def test_matrix_and_xml(spark, tmp_path):
-    d = spark.createDataFrame([("a", "a", 0.0), ("a", "b", 0.5), ("b", "a", 0.5), ("b", "b", 0.0)], "i string, j string, d double")
+    d = spark.createDataFrame([("b", "a", 0.5), ("a", "b", 0.5), ("b", "b", 0.0), ("a", "a", 0.0)], "i string, j string, d double")
     sinks.matrix_csv(d, str(tmp_path / "m"))
-    assert spark.read.csv(str(tmp_path / "m"), header=True).columns == ["i", "a", "b"]
+    assert lines_of(tmp_path / "m") == ["a,b", "a,0.0,0.5", "b,0.5,0.0"]
     sinks.export_xml(spark.createDataFrame([(1, "A & B", False, ["no"])], "urlid long, source string, publish boolean, transcript array<string>"), str(tmp_path / "x"))
-    assert spark.read.format("xml").option("rowTag", "article").load(str(tmp_path / "x")).first()["source"] == "A &amp; B"
+    assert "<source>A &amp; B</source>" in "\n".join(lines_of(tmp_path / "x"))
+    assert spark.read.format("xml").option("rowTag", "article").load(str(tmp_path / "x")).first()["source"] == "A & B"
+
+
+def test_corpus_export(spark, tmp_path):
+    texts = ["ant bee", "ant bee cat", "dog elk", "fox"]
+    v = vocabulary.vectors(spark.createDataFrame(list(enumerate(texts)), "urlid long, content string"))
+    labels = spark.createDataFrame([(0, "x"), (1, "x"), (1, "y"), (2, "y"), (3, "x")], "urlid long, category string")
+    sinks.corpus_export(v, labels, str(tmp_path))
+    assert lines_of(tmp_path / "models.csv")[0] == "x,y"
+    corpus = lines_of(tmp_path / "corpus.csv")
+    assert corpus[0] == "0 x,1 y,2 y,3 x" and corpus[3].startswith("2 y,1.0,1.0,0.0,1.0")
+    own = lines_of(tmp_path / "x.csv")
+    assert own[0] == "x,0 x,1 x,3 x" and own[1].startswith("x,0.0,") and len(own) == 5
+    assert own[1].split(",")[2] == own[2].split(",")[1]
+
+
+def test_arff_folder_is_in_order(spark, tmp_path):
+    arff.write(spark.createDataFrame([("a",), ("b",)], "c string").repartition(2), arff.Header("r", "", [("c", "STRING")]), str(tmp_path / "o"))
+    text = lines_of(tmp_path / "o")
+    assert text[0].startswith("@RELATION") and text[-1] == "%" and sorted(text[-5:-3]) == ["'a'", "'b'"]
+
+
+def test_replace_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(3), path)
+    sinks.replace_table(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
 
 
 def test_stream_sees_each_key_once(spark, tmp_path):
@@ -106,3 +183,80 @@ def test_stream_sees_each_key_once(spark, tmp_path):
     stream = crawl.first_seen(crawl.read_parquet(spark, str(tmp_path / "in"), "ts timestamp, url string", 10))
     crawl.run_batches(stream, lambda df, _: seen.extend(r["url"] for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == ["u1", "u2"]
+
+
+def test_stream_windows(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", "a"), ("2024-01-01 23:00:00", "a"), ("2024-01-02 01:00:00", "b")]
+    spark.createDataFrame(rows, "ts string, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
+    counted = crawl.counts(crawl.read_parquet(spark, str(tmp_path / "in"), "ts timestamp, event_type string", 10))
+    seen = []
+    counted.writeStream.outputMode("complete").foreachBatch(lambda df, _: seen.append(sorted((str(r["start"])[:10], r["event_type"], r["n"]) for r in df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert seen[-1] == [("2024-01-01", "a", 2), ("2024-01-02", "b", 1)]
+
+
+def test_named_functions(spark):
+    assert spark.range(1).select(named.named("escape_html")(F.lit("a<b")).alias("x")).first()["x"] == "a&lt;b"
+    with pytest.raises(KeyError, match="known are"):
+        named.named("none")
+    assert "stemmed" in named.register(spark)
+    assert spark.sql("select stemmed('running') as x").first()["x"] == "run"
+
+
+# The command line.
+
+FEED = "<rss><channel>{}</channel></rss>"
+ITEM = "<item><title>{t}</title><link>{u}</link><pubDate>Tue, 05 Jun 2012 10:00:00 +0000</pubDate></item>"
+
+
+@pytest.fixture
+def site(spark, tmp_path):
+    """A data folder with two feeds, extracted pages and lists."""
+    for name in ("feeds", "lists"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "sources.csv").write_text(SOURCES)
+    (tmp_path / "feeds" / "1.xml").write_text(FEED.format(ITEM.format(t="Robots walk far - Paper", u="http://x/1") + ITEM.format(t="Robots run fast - Paper", u="http://x/2")))
+    (tmp_path / "feeds" / "2.xml").write_text(FEED.format(ITEM.format(t="Machines learn to see", u="http://o/1") + ITEM.format(t="Robots walk far", u="http://x/1")))
+    (tmp_path / "lists" / "whitelist").write_text("robot\nmachine\nlearning\n")
+    body = lambda k: f"Robots and machines are learning number {k}. " * 40
+    pages = [(u, body(k) + " ".join(f"w{k}x{n}" for n in range(60)), None, n) for k, (u, n) in enumerate([("http://x/1", 5), ("http://x/2", 2), ("http://o/1", 5)])]
+    spark.createDataFrame(pages, "url string, text string, image_url string, n_lines int").write.parquet(str(tmp_path / "extracted"))
+    return tmp_path
+
+
+def test_cli_crawl_and_prepare(spark, site, capsys):
+    run = lambda *args: cli.main([*args, "--data", str(site), "--as-of", "2012-06-06"])
+    run("crawl")
+    arts = {r["url"]: r for r in spark.read.parquet(str(site / "articles")).collect()}
+    assert {u: (r["source_id"], r["source"]) for u, r in arts.items()} == {"http://x/1": ("1", "Paper via Google News"), "http://o/1": ("2", "Other")}
+    run("crawl")
+    assert spark.read.parquet(str(site / "articles")).count() == 2
+    ids = [(r["urlid"], "news") for r in arts.values()]
+    spark.createDataFrame(ids, "urlid long, category string").write.parquet(str(site / "categories"))
+    run("prepare")
+    first = {r["url"]: r for r in spark.read.parquet(str(site / "prepared")).collect()}
+    assert set(first) == set(arts) and all(r["publish"] in (True, False) and r["transcript"] is not None for r in first.values())
+    assert all(r["processed"] for r in spark.read.parquet(str(site / "articles")).collect())
+    run("prepare")
+    assert spark.read.parquet(str(site / "prepared")).count() == 0
+    assert spark.read.parquet(str(site / "categories")).count() == 2
+
+
+def test_cli_email_and_help(spark, site, capsys):
+    (site / "weekly").mkdir()
+    (site / "weekly" / "n.xml").write_text("<nodes><node><Title>T</Title><Source>S</Source><Topics>t</Topics><Publication_date>2012-06-05</Publication_date><Body>b</Body><Link>/news/1</Link></node></nodes>")
+    cli.main(["email", "--data", str(site), "--as-of", "2012-06-06", "--site", "http://s"])
+    assert "AI Alert - June 06, 2012" in capsys.readouterr().out
+    assert "http://s/news/1" in (site / "email.html").read_text()
+    cli.main(["help"])
+    assert "train_experiment" in capsys.readouterr().out
+
+
+def test_cli_train(spark, site):
+    rows = [(i, "robot arm" if i % 2 else "cooking", "robots move fast" if i % 2 else "soup and bread") for i in range(30)]
+    spark.createDataFrame(rows, "urlid long, title string, body string").write.parquet(str(site / "training"))
+    spark.createDataFrame([(i, "ai") for i in range(1, 30, 2)], "urlid long, category string").write.parquet(str(site / "training_labels"))
+    cli.main(["train", "--data", str(site)])
+    assert set(cli.models_of(spark, str(site))) == {"ai"}
+    cli.main(["train_experiment", "--data", str(site)])
+    scores = {r["model"]: float(r["correct"]) for r in spark.read.csv(str(site / "experiment"), header=True).collect()}
+    assert set(scores) == {"forest", "naive_bayes", "bayes_net", "tree", "knn"} and min(scores.values()) > 90
