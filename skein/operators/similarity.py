@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import broadcast_if_small, checkpointed
 
 #: Cutoffs from which pairs are found by an index that leaves out common terms.
 SPARSE = 0.3
@@ -15,9 +15,6 @@ SPARSE = 0.3
 #: Documents of a block, on average.
 BLOCK = 1000
 
-#: A side of a join is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 1_000_000
-
 
 def prefixes(vectors: DataFrame, norm: float, key: str = "urlid") -> DataFrame:
     """The terms of each vector without the most common ones whose joint norm stays below ``norm``.
@@ -141,12 +138,11 @@ def centroids(vectors: DataFrame, labels: DataFrame, key: str = "urlid") -> Data
 def sparse_dissimilarity(a: DataFrame, b: DataFrame, i: str, j: str) -> DataFrame:
     """(i, j, d) of all pairs of two sets of sparse vectors that share a term; norms are taken in full.  Pairs without one have d = 1 and no row.
 
-    ``b`` is broadcast if it was counted to be small, as a few centroids are;
-    then the sums are begun before the shuffle.
+    ``b`` is written once and broadcast if its table is small, as that of a few
+    centroids is; then the sums are begun before the shuffle.
     """
     norm = lambda df, k, n: df.groupBy(k).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(n))
-    few = b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast if few else (lambda df: df)
-    right = b.select(j, "term", F.col("w").alias("wb")).join(side(norm(b, j, "nb")), j)
-    dots = a.select(i, "term", F.col("w").alias("wa")).join(side(right), "term").groupBy(i, j).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("nb").alias("nb"))
+    total = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(j)))
+    right = broadcast_if_small(checkpointed(b.select(j, "term", F.col("w").alias("wb"), total.alias("nb"))))
+    dots = a.select(i, "term", F.col("w").alias("wa")).join(right, "term").groupBy(i, j).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("nb").alias("nb"))
     return dots.join(norm(a, i, "na"), i).select(i, j, dissimilarity(F.col("dot") / (F.col("na") * F.col("nb"))).alias("d"))

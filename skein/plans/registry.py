@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpoint_folder, checkpointed
+from ..checkpoints import checkpointed, shared_path
 from ..config import Settings
 from ..functions import text as T
 from ..operators import classify, duplicates, evaluate, relational, rules, similarity, vocabulary
@@ -497,7 +496,7 @@ CENTRES = f"{VEC}, cen as (select category, term, sum(w) / max(n) as w from vec
 
 
 def centre_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    v = vec(spark, d)
+    v = checkpointed(vec(spark, d))
     return v, similarity.centroids(v, A.articles(spark, d).select("urlid", "category"))
 
 
@@ -554,7 +553,7 @@ def events_per_day(spark, d):
 @query("select user_id, min(ts) as ts from events group by user_id")
 def stream_dedup_events(spark, d):
     """The first sight of each user, by a stream over the events in the order of their times."""
-    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "stream")
     A.table(spark, d, "events").select("ts", "user_id").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
     stream = crawl.read_parquet(spark, f"{folder}/in", "ts timestamp, user_id long", files=1)
 

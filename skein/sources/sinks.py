@@ -8,6 +8,7 @@ import html
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import files_of
 from ..operators import similarity
 
 
@@ -20,16 +21,11 @@ def append_articles(articles: DataFrame, path: str) -> None:
     articles.write.mode("append").parquet(path)
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def replace_table(table: DataFrame, path: str) -> None:
     """Put ``table``, which may be read from ``path``, in its place: written beside it first, then renamed."""
     spark = table.sparkSession
     table.write.mode("overwrite").parquet(f"{path}.new")
-    (here, files), (new, _), (old, _) = _files(spark, path), _files(spark, f"{path}.new"), _files(spark, f"{path}.old")
+    (here, files), (new, _), (old, _) = files_of(spark, path), files_of(spark, f"{path}.new"), files_of(spark, f"{path}.old")
     files.delete(old, True)
     if files.exists(here) and not files.rename(here, old):
         raise OSError(f"cannot move {path}")
@@ -41,7 +37,7 @@ def replace_table(table: DataFrame, path: str) -> None:
 
 def save_text(spark: SparkSession, path: str, content: str) -> None:
     """One file of a text that the driver holds, on any file system."""
-    at, files = _files(spark, path)
+    at, files = files_of(spark, path)
     out = files.create(at, True)
     try:
         out.write(bytearray(content.encode()))

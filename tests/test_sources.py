@@ -1,4 +1,5 @@
 import datetime as dt
+import functools
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,12 +252,13 @@ def test_cli_email_and_help(spark, site, capsys):
     assert "train_experiment" in capsys.readouterr().out
 
 
-def test_cli_train(spark, site):
+def test_cli_train(spark, site, monkeypatch):
     rows = [(i, "robot arm" if i % 2 else "cooking", "robots move fast" if i % 2 else "soup and bread") for i in range(30)]
     spark.createDataFrame(rows, "urlid long, title string, body string").write.parquet(str(site / "training"))
     spark.createDataFrame([(i, "ai") for i in range(1, 30, 2)], "urlid long, category string").write.parquet(str(site / "training_labels"))
     cli.main(["train", "--data", str(site)])
     assert set(cli.models_of(spark, str(site))) == {"ai"}
+    monkeypatch.setattr(cli.classify, "bake_off", functools.partial(cli.classify.bake_off, folds=2, terms=20))
     cli.main(["train_experiment", "--data", str(site)])
     scores = {r["model"]: float(r["correct"]) for r in spark.read.csv(str(site / "experiment"), header=True).collect()}
     assert set(scores) == {"forest", "naive_bayes", "bayes_net", "tree", "knn"} and min(scores.values()) > 90
