@@ -1,20 +1,19 @@
-"""What the operators of this package share: words, keys, checkpoints, size checks."""
+"""What the operators of this package share: words and names, and the library's checkpoints and size checks."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import broadcast_if_small, checkpointed, release, shared_path
+
+__all__ = ["SEPARATORS", "broadcast_if_small", "checkpointed", "fresh", "let", "n_words", "release", "shared_path", "table", "words"]
+
 #: Separators of words: space and the ASCII controls 0x09 to 0x0D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,73 +49,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         have.add(name.lower())
         out.append(name)
     return out
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder where none is set.
-
-    The session's ``spark.checkpoint.dir`` holds if it is set.  A folder of this
-    machine is chosen in local mode only; a cluster must name a shared one.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "skein-checkpoints")
-    sc.setCheckpointDir(named)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder."""
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
-#: Checkpoints are read in partitions of about this size, so that small ones take few tasks.
-PARTITION_BYTES = 8 << 20
-
-#: A checkpoint of at most this size may be broadcast.
-BROADCAST_BYTES = 16 << 20
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder; its lineage ends there.
-
-    The result's ``checkpoint_file`` and ``checkpoint_bytes`` say where it is and how large.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    rdd = out._jdf.queryExecution().logical().rdd()
-    file = rdd.getCheckpointFile()
-    path = file.get() if file.isDefined() else None  # an empty table needs none
-    size = _files(spark, path)[1].getContentSummary(_files(spark, path)[0]).getLength() if path else 0
-    parts = 1 + size // PARTITION_BYTES
-    packed = out.coalesce(parts) if parts < rdd.getNumPartitions() else out
-    packed.checkpoint_file, packed.checkpoint_bytes = path, size
-    return packed
-
-
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete the files of checkpoints that nothing reads any more."""
-    for df in tables:
-        if df.checkpoint_file:
-            at, files = _files(df.sparkSession, df.checkpoint_file)
-            files.delete(at, True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its checkpoint is known to be small or else it has at most ``rows`` rows; as it is otherwise."""
-    size = getattr(df, "checkpoint_bytes", None)
-    small = size <= BROADCAST_BYTES if size is not None else df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if small else df

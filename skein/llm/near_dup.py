@@ -53,8 +53,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import deleted
+from ..operators.graphs import components
 from .common import broadcast_if_small, checkpointed, fresh, release, shared_path
-from .components import components
 from .numeric_text import MIX_A, STEP, U, counted, mixed, pieces
 
 SHINGLE = 5
@@ -210,6 +211,17 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str
     return rows.join(known, F.col(node) == F.col("n_"), "left").withColumn(label, F.coalesce("l_", node)).drop("n_", "l_")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further (a, b) links, of which only those between classes are looked at, once for each two."""
+    ends = labelled(labelled(links, labels, "a", "x"), labels, "b", "y").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    edges = checkpointed(ends)
+    more = components(edges)
+    moved = labelled(labels.select("node", F.col("label").alias("was")), more, "was").select("node", "label")
+    out = checkpointed(moved.union(more.select("node", "label").join(broadcast_if_small(labels).select("node"), "node", "left_anti")))
+    release(edges, more, labels)
+    return out
+
+
 def origins(members: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): the origin and each other member of the buckets with several classes."""
     # A row for each bucket and class, then for each bucket: its classes' number and the largest.
@@ -217,7 +229,7 @@ def origins(members: DataFrame, links: DataFrame, labels: DataFrame) -> DataFram
     largest = sizes.groupBy("h").agg(F.max(F.struct("k", (-F.col("label")).alias("l"))).alias("m"), F.count(F.lit(1)).alias("classes"))
     largest = largest.where("classes > 1").select("h", (-F.col("m.l")).alias("main"))
     degree = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
-    hubs = labels.drop("old").join(degree, "node", "left").groupBy(F.col("label").alias("main")).agg(F.min(F.struct((-F.coalesce("links", F.lit(0))).alias("k"), "node"))["node"].alias("hub"))
+    hubs = labels.join(degree, "node", "left").groupBy(F.col("label").alias("main")).agg(F.min(F.struct((-F.coalesce("links", F.lit(0))).alias("k"), "node"))["node"].alias("hub"))
     found = members.join(largest.join(hubs, "main", "left").select("h", F.coalesce("hub", "main").alias("a")), "h")
     return found.where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
@@ -276,12 +288,12 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = checkpointed(verified(stars, texts))
     labels = components(links)
     diffs = checkpointed(differences(origins(members.select("h", "node"), links, labels), texts))
-    more = checkpointed(links.union(diffs.where("d <= whole").select(F.col("o").alias("a"), F.col("node").alias("b"))))
     release(members, links)
-    labels = components(more)
-    last = checkpointed(more.union(verified(sharing_differences(diffs, labels), texts)))
-    release(diffs, more)
-    labels = components(last)
+    labels = merged(labels, diffs.where("d <= whole").select(F.col("o").alias("a"), F.col("node").alias("b")))
+    last = checkpointed(verified(sharing_differences(diffs, labels), texts))
+    release(diffs)
+    deleted(docs.sparkSession, path)
+    labels = merged(labels, last)
     release(last)
     return marks, heads.drop("bands"), labels
 
@@ -290,7 +302,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, copy_of, class_id): the least id of the same text, and of its class, for each document."""
     marks, heads, labels = grouped(docs)
     first = heads.select(F.col("node").alias("label"), F.col("copy_of").alias("class_id"), F.lit(True).alias("linked"))
-    by_text = heads.join(labels.drop("old").join(first, "label").drop("label"), "node", "left")
+    by_text = heads.join(labels.join(first, "label").drop("label"), "node", "left")
     by_text = by_text.select("copy_key", "copy_of", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("copy_of")).alias("class_id"))
     return marks.select("doc_id", "copy_key").join(by_text, "copy_key").select("doc_id", "copy_of", "class_id")
 
