@@ -7,8 +7,11 @@ of 0.8 or more to it.
 
 1. Anchors: a similarity of 0.8 to an item of n shingles takes an overlap of 8 n / 9,
    so at least so many places of the window have shingles of items of that size.
-   All windows with so many are laid, at every start, and no other: nothing is
-   lost.  A text that is shorter than the item is one window.
+   Of all windows with so many, at every start, those are laid that share more
+   than their neighbours: a window whose last place is no such one shares no more
+   than the window before it, and one whose first place is none no more than the
+   next if that gains one.  Nothing is lost, as chains of such neighbours end at a
+   window that is laid.  A text that is shorter than the item is one window.
 2. SimHash: 64 bits from the window's shingles; bit b is set if over half of
    them, with multiplicity, have it.
 3. Multi-index blocks: fingerprints are cut into ``RADIUS`` + 1 blocks.  Two
@@ -120,9 +123,11 @@ def windows(docs: DataFrame, grams: DataFrame) -> DataFrame:
     places, n, last = F.col("places"), F.col("n"), F.greatest(F.lit(0), F.col("size") - F.col("n"))
 
     def starts(p: Column, j: Column) -> Column:
+        within = F.slice(places, j + 1, n + 1)
+        best = lambda s: ((s == 0) | F.array_contains(within, s + n - 1)) & ((s == p) | (s == last) | ~F.array_contains(within, s + n))
         low = F.greatest(F.lit(0), F.coalesce(F.get(places, j - 1) + 1, F.lit(0)), F.get(places, j + F.col("need") - 1) - n + 1)
         high = F.least(p, last)
-        return F.when((j + F.col("need") <= F.size(places)) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.when((j + F.col("need") <= F.size(places)) & (low <= high), F.filter(F.sequence(low, high), best)).otherwise(F.array().cast("array<int>"))
 
     laid = at.select("doc_id", "h", "n", F.flatten(F.transform(places, starts)).alias("starts")).where(F.size("starts") > 0)
     cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("h", s + 1, F.col("n")).alias("window")))
