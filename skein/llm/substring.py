@@ -54,6 +54,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import deleted
 from .common import broadcast_if_small, checkpointed, shared_path
 from .numeric_text import WORDS_BASE, Piece, U, mixed, pieces, spans_hashed
 
@@ -178,8 +179,7 @@ class FingerprintIndex:
         """Forget tables and delete their files."""
         for name in names:
             self.spark.sql(f"drop table {name}")
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            deleted(self.spark, f"{self.path}/{name}")
 
     def append(self, rows: DataFrame) -> None:
         """Add a batch of (doc, tie, text) as a run."""
@@ -305,13 +305,11 @@ def firsts_cold(runs: DataFrame) -> DataFrame:
 
 def firsts_hot(runs: DataFrame) -> DataFrame:
     """The same by pre-aggregated shuffles: no task gets a fingerprint's rows."""
-    firsts = checkpointed(runs.groupBy("h", "digest").agg(F.min(F.struct(*START)).alias("start"), F.first("windows").alias("windows")).select("h", "digest", "start.*", "windows"))
+    firsts = runs.groupBy("h", "digest").agg(F.min(F.struct(*START)).alias("start"), F.first("windows").alias("windows")).select("h", "digest", "start.*", "windows")
     here = F.struct("batch", "doc", "tie", (F.col("place") + F.col("i")).alias("at"))
     opened = firsts.select("h", "digest", *START, F.posexplode_outer("windows").alias("i", "w")).withColumn("here", here)
     least = opened.groupBy("h", "w").agg(F.min("here").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "w", "least")
-    later = opened.join(least, ["h", "w"]).where("least < here")
-    found = masks(later, F.lit(True), ["h", "digest"])
-    return firsts.drop("windows").join(found, ["h", "digest"], "left").select("h", "digest", *START, F.coalesce("mask", F.lit(0)).alias("mask"))
+    return masks(opened.join(least, ["h", "w"], "left"), F.col("least") < F.col("here"), ["h", "digest", *START])
 
 
 def kept_words(docs: DataFrame, places: DataFrame, firsts: DataFrame, copy_ids: DataFrame, with_texts: bool = True) -> DataFrame:
