@@ -2,13 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it
 as Parquet to the shared checkpoint folder and gives the next stage what it reads
-back.  All stages but the last return the columns of ``documents``.
+back; what the stage before wrote is deleted then.  All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.checkpoints import deleted
 from skein.llm import decontaminate, mixing, near_dup, quality, sharding
 from skein.llm.common import shared_path, table
 
@@ -51,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            deleted(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,13 +3,14 @@
 A rule (host, path) fits its host and all subdomains if the path starts with the
 rule's; the longest that fits decides.  Other URLs get the verdict of boosted
 trees on lexical features: length, depth, digit ratio, entropy, parameter and
-hyphen counts, and the rate of blocked labels under the host's suffix in the
-training sample.  The trees are trained from labelled URLs, by default a sample
-written here (``SAMPLE`` rows, fixed seed).
+hyphen counts, longest label, and the rates of blocked labels under the last and
+the last two labels of the host in the training sample.  The trees are trained
+from labelled URLs, by default a sample written here (``SAMPLE`` rows, fixed seed).
 
 Cases: null or no ``://``: host and path are empty, no rule fits, and the trees
-judge the empty host; repeated rows are judged alike; an empty table gives an
-empty result.
+judge the empty host; repeated rows are judged alike; of rules of one length the
+first listed counts; a url of any length is read in one pass; null ids stay null;
+further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,8 +78,8 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
 
 
-def suffix_of(host: str) -> str:
-    return host.rpartition(".")[2]
+def suffix_of(host: str, labels: int = 1) -> str:
+    return ".".join(host.split(".")[-labels:])
 
 
 def features(url: str | None, suffixes: dict[str, float]) -> list[float]:
@@ -90,17 +91,20 @@ def features(url: str | None, suffixes: dict[str, float]) -> list[float]:
         float(len(url)), float(len(host)), float(len(path)), float(path.count("/")), float(host.count(".")),
         sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host) / letters, entropy(host), entropy(path),
         float(query.count("=")), float(len(query)), float(host.count("-")), host.count("-") / letters, float(path.count("-")), float(url.count("%")),
-        suffixes.get(suffix_of(host), 0.5),
+        float(max(map(len, host.split(".")))), float(len(host.rpartition(".")[2])), suffixes.get(suffix_of(host), 0.5), suffixes.get(suffix_of(host, 2), suffixes.get(suffix_of(host), 0.5)),
     ]
 
 
 def suffix_rates(labelled: list[tuple[str, int]]) -> dict[str, float]:
-    """The smoothed share of blocked URLs under each last label of the host."""
-    seen, bad = Counter(), Counter()
+    """The smoothed share of blocked URLs under each last label and pair of last labels that several hosts have."""
+    seen, bad, hosts = Counter(), Counter(), {}
     for url, label in labelled:
-        seen[suffix_of(parts(url)[0])] += 1
-        bad[suffix_of(parts(url)[0])] += label
-    return {s: (bad[s] + 5) / (n + 10) for s, n in seen.items()}
+        host = parts(url)[0]
+        for s in {suffix_of(host), suffix_of(host, 2)}:
+            seen[s] += 1
+            bad[s] += label
+            hosts.setdefault(s, set()).add(host)
+    return {s: (bad[s] + 5) / (n + 10) for s, n in seen.items() if "." not in s or len(hosts[s]) > 4}
 
 
 def sample(rows: int = SAMPLE, seed: int = 31) -> list[tuple[str, int]]:
@@ -108,19 +112,22 @@ def sample(rows: int = SAMPLE, seed: int = 31) -> list[tuple[str, int]]:
     r = random.Random(seed)
     ordinary = "news blog shop river garden paper science music travel health city school market museum theatre library weather energy engine forum".split()
     lures = "cheap free casino pills loan bonus win poker replica deals spam farm bet crypto prize click hot best buy discount".split()
-    ends = ["com", "net", "org"]
+    ends = ["com", "net", "org", "de", "fr", "es", "edu", "eu", "co.uk", "io"]
+    shared = ["blogs.com", "pages.net", "sites.org", "web.de"]
+    word = lambda: r.choice(ordinary)
     out = []
     for _ in range(rows):
         bad = r.random() < 0.4
         if bad:
             host = "-".join(r.sample(lures, r.randint(2, 4))) + (str(r.randint(1, 999)) if r.random() < 0.4 else "")
-            host = f"{host}.{r.choice(['example.', '', 'site.'])}{r.choice(ends + ['xyz', 'top', 'info'])}"
-            path = "/" + "/".join(r.choice(["en", "go", "offer", "best-price-now", str(r.randint(1, 99999))]) for _ in range(r.randint(1, 4)))
+            host = f"{host}.{r.choice(ends + shared + ['xyz', 'top', 'info', 'click', 'icu'] * 3)}"
+            path = "/" + "/".join(r.choice(["go", "offer", "best-price-now", "r", "out.php", f"{r.choice(lures)}-{r.choice(lures)}", str(r.randint(1, 99999)), f"{r.randint(0, 1 << 40):x}"]) for _ in range(r.randint(1, 4)))
             query = "&".join(f"{r.choice('abcdefgh')}{i}={r.randint(0, 1 << 30):x}" for i in range(r.randint(0, 6)))
         else:
-            host = f"{r.choice(['', 'www.', 'm.', 'blog.'])}{r.choice(ordinary)}{r.choice(['', r.choice(ordinary)])}.{r.choice(['example.', '', 'site.'])}{r.choice(ends)}"
-            path = r.choice(["", "/", f"/{r.choice(['en', 'de', 'fr', 'es'])}/{r.randint(1, 999)}{r.choice(['', '/', '.html'])}", "/" + "-".join(r.sample(ordinary, 4)), f"/{r.choice(ordinary)}/{r.randint(2000, 2025)}/{r.randint(1, 12)}"])
-            query = r.choice(["", "", "page=2&ref=x", "utm_source=feed", "q=" + r.choice(ordinary)])
+            name = r.choice([word(), word() + word(), f"{word()}-{word()}", "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 5)))])
+            host = f"{r.choice(['', 'www.', 'm.', 'blog.', 'docs.'])}{name}.{r.choice(ends * 3 + shared + ['info'])}"
+            path = r.choice(["", "/", "/index.html", f"/{word()}", f"/{word()}/{r.randint(1, 999)}{r.choice(['', '/', '.html'])}", "/" + "-".join(r.sample(ordinary, 4)), f"/{word()}/{r.randint(2000, 2025)}/{r.randint(1, 12)}/{word()}-{word()}", f"/~{word()}/{word()}.pdf", f"/{r.choice(['a', 'b', 'en', 'it'])}/{r.randint(1, 999)}"])
+            query = r.choice(["", "", "", f"page={r.randint(1, 40)}", f"p={r.randint(1, 99)}&sort=date", "utm_source=feed", "q=" + word(), f"id={r.randint(1, 9999)}&lang=en"])
         out.append((f"{r.choice(['http', 'https'])}://{r.choice(['', 'www.']) if bad else ''}{host}{path}{'?' + query if query else ''}{r.choice(['', '', '#top'])}", int(bad)))
     return out
 

@@ -124,6 +124,63 @@ def secrets(text):
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], kinds.index(x[0]))))
 
 
+STOCK = [
+    "all rights reserved", "cookie policy", "enable javascript", "privacy policy", "alle rechte vorbehalten", "cookie-richtlinie", "javascript aktivieren", "datenschutzerklärung",
+    "tous droits réservés", "politique de cookies", "activer javascript", "politique de confidentialité", "todos los derechos reservados", "política de cookies", "habilite javascript", "política de privacidad",
+]
+
+
+def cleaned(text):
+    """The text without its failing lines, or None if it is rejected."""
+    text = text or ""
+    ws = words(text)
+    grams = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    count = Counter(grams)
+    again = {i + k for i, g in enumerate(grams) if count[g] > 1 for k in range(5)}
+    if len(ws) < 10 or 100 * len(again) > 20 * len(ws):
+        return None
+
+    def fails(line):
+        lw = words(line)
+        odd = sum(bool(re.search(r"[#*$%&|<>]|[!?]{2}$", w)) for w in lw)
+        marks = line.count("|")
+        dull = again and len(lw) >= 10 and len(set(lw)) <= 0.2 * len(lw)
+        return bool(lw) and (odd > 0.3 * len(lw) or (marks >= 3 and 4 * marks >= len(lw)) or any(x in line.lower() for x in STOCK) or bool(dull))
+
+    lines = text.split("\n")
+    good = [x for x in lines if not fails(x)]
+    left = sum(len(words(x)) for x in good)
+    return None if left < 0.5 * len(ws) else "\n".join(good)
+
+
+def targets(sizes):
+    """source -> target of source -> size; None is the last source."""
+    order = sorted((k for k in sizes if k is not None), key=lambda k: k.encode("utf-32-be")) + [k for k in sizes if k is None]
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}
+    capped, total = set(), sum(sizes.values())
+    while True:
+        open_ = [k for k in order if k not in capped]
+        level = (total - sum(3 * sizes[k] for k in capped)) / sum(weight[k] for k in open_) if open_ else 0
+        over = {k for k in open_ if level * weight[k] > 3 * sizes[k]}
+        if not over:
+            return {k: 3.0 * sizes[k] if k in capped else level * weight[k] for k in order}
+        capped |= over
+
+
+def mixed(rows):
+    """How often each (doc_id, source, text) row is taken."""
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += len(words(t))
+    aim, at, out = targets(sizes), Counter(), []
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for row in sorted(rows, key=lambda r: (digest("null" if r[0] is None else str(r[0])), digest(r[2] or ""))):
+        n = len(words(row[2]))
+        out.append((row, sum(n > 0 and r * sizes[row[1]] + at[row[1]] + n / 2 < aim[row[1]] for r in range(3))))
+        at[row[1]] += n
+    return out
+
+
 def licence_terms(text):
     ws = [w for w in re.split(r"[\W_]+", text.lower()) if w]
     return Counter(ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])])

@@ -53,35 +53,30 @@ def test_near_duplicates(docs):
     assert {d: (r["copy_of"], r["class_id"]) for d, r in by_id(near_dup.digest(docs)).items()} == want
 
 
-def test_near_duplicates_join_many_edits(spark):
-    """Edited copies of one text whose classes hang on a few links."""
-    r = random.Random(9)
-    base, rows = prose(r, 150).split(), []
-    for i in range(120):
+def test_near_duplicates_in_large_groups(spark):
+    """Chains of edits, deletions and insertions on both sides of 0.8: with the origin in the table, without it, and edits that nothing shares."""
+    r = random.Random(5)
+    texts = []
+    for origin in (True, False):
+        base = prose(r, 140).split()
+        group = [base] if origin else []
+        for _ in range(220):
+            ws = list(r.choice(group[-150:]) if group and r.random() < 0.3 else base)
+            for _ in range(r.randint(1, 7)):
+                at = r.randrange(len(ws))
+                ws[at : at + r.randint(0, 2)] = r.choice([[], [r.choice(WORDS)], [r.choice(WORDS), r.choice(WORDS)]])
+            group.append(ws)
+        texts += group
+    base = prose(r, 150).split()
+    for _ in range(120):
         ws = list(base)
         for _ in range(r.randint(0, 6)):
             ws[r.randrange(150)] = f"e{r.random()}"
-        rows.append((i, " ".join(ws)))
-    got = by_id(near_dup.digest(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert {d: (x["copy_of"], x["class_id"]) for d, x in got.items()} == brute.classes(rows)
-
-
-@pytest.mark.parametrize("origin", [True, False])
-def test_near_duplicates_in_a_large_group(spark, origin):
-    """Chains of edits, deletions and insertions on both sides of 0.8, with and without the origin in the table."""
-    r = random.Random(5)
-    base = prose(r, 140).split()
-    texts = [base] if origin else []
-    for _ in range(400):
-        ws = list(r.choice(texts[-300:]) if texts and r.random() < 0.3 else base)
-        for _ in range(r.randint(1, 7)):
-            at = r.randrange(len(ws))
-            ws[at : at + r.randint(0, 2)] = r.choice([[], [r.choice(WORDS)], [r.choice(WORDS), r.choice(WORDS)]])
         texts.append(ws)
     rows = [(i, " ".join(ws)) for i, ws in enumerate(texts)]
     got = by_id(near_dup.digest(spark.createDataFrame(rows, "doc_id long, text string")))
     want = brute.classes(rows)
-    assert len({c for _, c in want.values()}) > 5
+    assert len({c for _, c in want.values()}) > 20
     assert {d: (x["copy_of"], x["class_id"]) for d, x in got.items()} == want
 
 
@@ -99,7 +94,7 @@ def test_sharing_differences_finds_all_links(spark):
     bags = [brute.shingles(t) for _, t in rows]
     links = {(a, b) for a in range(150) for b in range(a + 1, 150) if brute.jaccard(bags[a], bags[b]) >= 0.8}
     assert {tuple(x) for x in near_dup.verified(spark.createDataFrame([(a, b) for a in range(150) for b in range(a + 1, 150)], "a long, b long"), texts).collect()} == links
-    for o in (0, 1, 77):
+    for o in (0, 77):
         diffs = near_dup.differences(spark.createDataFrame([(o, x) for x in range(150) if x != o], "a long, b long"), texts).cache()
         near = {o} | {x["node"] for x in diffs.where("d <= whole").collect()}
         assert near == {x for x in range(150) if x == o or (min(o, x), max(o, x)) in links}
@@ -111,14 +106,12 @@ def test_sharing_differences_finds_all_links(spark):
 def test_near_duplicates_without_ids(spark):
     r = random.Random(6)
     a, b, c = prose(r, 50), prose(r, 50), prose(r, 50)
-    rows = [(None, a), (None, b), (None, c), (None, a), (7, a), (7, b + " tail"), (7, "other"), (-1, c), (8, "other"), (8, "other")]
+    rows = [(None, a), (None, b), (None, c), (None, a), (7, a), (7, b + " tail"), (7, "other"), (-1, c), (8, "other"), (8, "other"), (None, "alone 1"), (None, "alone 2")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, near_dup.digest(df).collect()), key=str)
-    assert got == sorted([(None, 7, 7), (None, None, 7), (None, -1, -1), (None, 7, 7), (7, 7, 7), (7, 7, 7), (7, 7, 7), (-1, -1, -1), (8, 7, 7), (8, 7, 7)], key=str)
+    assert got == sorted([(None, 7, 7), (None, None, 7), (None, -1, -1), (None, 7, 7), (7, 7, 7), (7, 7, 7), (7, 7, 7), (-1, -1, -1), (8, 7, 7), (8, 7, 7), (None, None, None), (None, None, None)], key=str)
     kept = [tuple(x) for x in near_dup.one_of_each(df).collect()]
-    assert sorted(kept) == sorted([(7, a), (7, b + " tail"), (7, "other"), (-1, c)])
-    alone = spark.createDataFrame([(None, a), (None, b), (None, "x")], "doc_id long, text string")
-    assert near_dup.one_of_each(alone).count() == 3
+    assert sorted(kept, key=str) == sorted([(7, a), (7, b + " tail"), (7, "other"), (-1, c), (None, "alone 1"), (None, "alone 2")], key=str)
 
 
 def test_one_of_each_keeps_columns(docs):
@@ -355,6 +348,20 @@ def test_url_model_on_held_out():
     assert (p == np.array([y for _, y in held])).mean() > 0.95
 
 
+# Written by hand, not by the generator of the training sample.
+GOOD_URLS = ["https://www.spiegel.de/politik", "https://en.wikipedia.org/wiki/Spark", "http://arxiv.org/abs/1706.03762", "https://docs.python.org/3/library/re.html", "https://www.bbc.co.uk/news/world-12345", "https://elpais.com/cultura/2021/05/una-noticia.html", "http://example.edu/~smith/paper.pdf", "https://github.com/apache/spark"]
+BAD_URLS = [
+    "http://cheap-pills-online-24.xyz/buy/now?a=1&b=2&c=3&d=4", "https://free-casino-bonus777.top/win/win/win/8372", "http://best-loan-offer.click/go/991827?aff=ffa81&sub=88ac&x=1", "http://win-prize-now.info/r/out.php?u=8ac1f&i=3",
+    "https://replica-watches-discount.icu/offer/7721/881?k=aa1&z=bb2", "http://poker-bet-crypto99.xyz/go/best-price-now",
+]
+
+
+def test_url_model_on_urls_of_another_hand():
+    trees, rates = urls.model()
+    judged = lambda xs: (trees.probability(np.array([urls.features(u, rates) for u in xs])) >= trees.threshold).sum()
+    assert judged(GOOD_URLS) <= 1 and judged(BAD_URLS) >= 5
+
+
 def test_boosting_learns_xor():
     r = np.random.default_rng(1)
     x = r.random((2000, 2))

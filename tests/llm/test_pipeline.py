@@ -1,19 +1,20 @@
 """The pipeline's stages against the plain versions, each on its own input."""
 
 import corpus_pipeline
-from skein.llm import mixing, quality
 from tests.llm import brute
 from tests.llm.test_operators import DOCS, corpus
 
 
 def test_stages(spark, tmp_path):
-    docs = spark.createDataFrame([(i, t, "en", f"src{i % 3}", 0) for i, t in corpus()], DOCS)
+    page = "Home | News | About | Help\nA plain sentence of ordinary words that says one thing or two.\nTous droits réservés.\nAnother line with quite different content closes this text."
+    junk = "a### b%%% c*** d$$$ e f### g&&& h### i%%% j k###"
+    docs = spark.createDataFrame([(i, t, "en", f"src{i % 3}", 0) for i, t in [*corpus(), (900, page), (901, junk)]], DOCS)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     item = " ".join(corpus()[30][1].split()[5:45])
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     seen, current = {}, docs
     for name, stage in corpus_pipeline.STAGES:
-        before = [(r["doc_id"], r["text"]) for r in current.collect()]
+        before = [(r["doc_id"], r["text"], r["source"]) for r in current.collect()]
         out = stage(spark, current, str(tmp_path))
         if name != "shards":
             assert out.columns == docs.columns
@@ -21,11 +22,13 @@ def test_stages(spark, tmp_path):
         current = spark.read.parquet(str(tmp_path / name))
         seen[name] = (before, current)
     ids = lambda name: sorted(r["doc_id"] for r in seen[name][1].collect())
-    assert ids("quality_rules") == sorted(r["doc_id"] for r in quality.digest(docs).collect() if r["kept"])
-    assert ids("near_duplicates") == sorted({c for _, c in brute.classes(seen["near_duplicates"][0]).values()})
-    bad = {d for d, _ in brute.contaminated(seen["decontamination"][0], [(0, item)])}
-    assert ids("decontamination") == sorted(d for d, _ in seen["decontamination"][0] if d not in bad)
-    taken = mixing.digest(seen["decontamination"][1]).collect()
-    assert len(ids("source_mix")) == sum(r["taken"] // max(1, r["size"]) for r in taken)
+    texts = lambda name: [(d, t) for d, t, _ in seen[name][0]]
+    want = {d: brute.cleaned(t) for d, t in texts("quality_rules")}
+    assert {r["doc_id"]: r["text"] for r in seen["quality_rules"][1].collect()} == {d: t for d, t in want.items() if t is not None}
+    assert ids("near_duplicates") == sorted({c for _, c in brute.classes(texts("near_duplicates")).values()})
+    bad = {d for d, _ in brute.contaminated(texts("decontamination"), [(0, item)])}
+    assert ids("decontamination") == sorted(d for d, _ in texts("decontamination") if d not in bad)
+    copies = brute.mixed([(d, s, t) for d, t, s in seen["source_mix"][0]])
+    assert ids("source_mix") == sorted(d for (d, _, _), n in copies for _ in range(n))
     assert ids("shards") == ids("source_mix")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids("shards"))
