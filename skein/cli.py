@@ -14,15 +14,17 @@ import os
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from . import config
+from . import config, schemas
 from .checkpoints import checkpointed
 from .operators import classify, relational
 from .plans import prepare as plans
 from .sources import feeds, sinks
 
 
-def read(spark: SparkSession, data: str, name: str, schema: str | None = None) -> DataFrame:
+def read(spark: SparkSession, data: str, name: str, schema: StructType | str | None = None) -> DataFrame:
+    """A table of the folder; one with a schema is empty where it isn't there yet."""
     try:
         return spark.read.parquet(f"{data}/{name}")
     except Exception as e:
@@ -69,12 +71,12 @@ def models_of(spark: SparkSession, data: str) -> dict[str, PipelineModel]:
 
 def prepare(spark: SparkSession, data: str, as_of: dt.date) -> None:
     """Judge unprocessed articles, export them all as XML, replace their categories and mark them as processed."""
-    articles = relational.with_categories(read(spark, data, "articles"), read(spark, data, "categories", "urlid long, category string"))
+    articles = relational.with_categories(read(spark, data, "articles", schemas.ARTICLE).drop("categories"), read(spark, data, "categories", schemas.CATEGORY))
     out = plans.prepare(articles, settings(spark, data, as_of), models_of(spark, data))
     out.write.mode("overwrite").parquet(f"{data}/prepared")
     done = spark.read.parquet(f"{data}/prepared")
     sinks.export_xml(done, f"{data}/export")
-    sinks.replace_table(relational.replace_by_key(read(spark, data, "categories", "urlid long, category string"), done.select("urlid", F.explode("categories").alias("category"))), f"{data}/categories")
+    sinks.replace_table(relational.replace_by_key(read(spark, data, "categories", schemas.CATEGORY), done.select("urlid", F.explode("categories").alias("category"))), f"{data}/categories")
     sinks.replace_table(relational.mark(read(spark, data, "articles"), done, "processed"), f"{data}/articles")
 
 
@@ -92,7 +94,7 @@ def train_experiment(spark: SparkSession, data: str) -> None:
     for k, topic in enumerate(sorted(listed(labels.select("category").distinct(), "category"))):
         yes = labels.where(F.col("category") == topic).select("urlid").distinct().withColumn("label", F.lit(1.0))
         out += [(name, k, correct) for name, correct in classify.bake_off(rows.join(yes, "urlid", "left").fillna({"label": 0.0}))]
-    sinks.scores_csv(spark.createDataFrame(out, "model string, tid int, correct double"), f"{data}/experiment")
+    sinks.scores_csv(spark.createDataFrame(out, schemas.EXPERIMENT), f"{data}/experiment")
 
 
 def email(spark: SparkSession, data: str, as_of: dt.date, site: str, action: str = "") -> str:

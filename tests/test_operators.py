@@ -191,14 +191,11 @@ def test_whitelist_list_and_join_agree(spark, monkeypatch):
     assert short == [(0, "cat", 1), (0, "of the", 1), (0, "the cat of", 1), (1, "cat", 1), (2, "of the", 2)]
 
 
-def test_bake_off_and_svm(spark):
-    rows = classify.worded(spark.createDataFrame([(i, "robot arm" if i % 2 else "cooking", "robots move fast" if i % 2 else "soup and bread") for i in range(30)], "urlid long, title string, body string"))
-    scores = dict(classify.bake_off(rows.withColumn("label", F.pmod("urlid", F.lit(2)).cast("double")), folds=2, terms=20))
-    assert set(scores) == {"forest", "naive_bayes", "bayes_net", "tree", "knn"} and min(scores.values()) > 90
+def test_svm(spark):
     rng = np.random.default_rng(3)
     points = [(Vectors.dense(p), float(p @ p < 1)) for p in rng.normal(size=(120, 2))]
     ring = spark.createDataFrame(points, ["features", "label"])
-    c, g, accuracy = classify.svm_grid(ring, [-1, 5], [1, -9], folds=2, dims=32)
+    c, g, accuracy = classify.svm_grid(ring, [-1, 3], [1, -9], folds=2, dims=32)
     assert g == 1 and accuracy > 0.8
     p = classify.svm_probability(spark.createDataFrame([(Vectors.dense([x, 1.0]), float(x > 0)) for x in rng.normal(size=80)], ["features", "label"]), 1)
     out = p.transform(spark.createDataFrame([(Vectors.dense([3.0, 1.0]),), (Vectors.dense([-3.0, 1.0]),)], ["features"])).collect()
