@@ -362,12 +362,12 @@ def deduplicated(docs: DataFrame, index: FingerprintIndex | None = None, past: D
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of each document, judged against all that the index has seen.
 
     Without an index, the documents are fed to a new one in ``batches`` of rising
-    ids, and it is dropped.  With one, they are one batch; ``past`` is a table
+    ids; its runs are compacted, read and dropped.  With one, they are one batch; ``past`` is a table
     with the texts of the earlier ones, of which only those are read that share
     a fingerprint.
     """
     temporary = index is None
-    index = index or FingerprintIndex(docs.sparkSession, keep=False)
+    index = index or FingerprintIndex(docs.sparkSession, most_runs=1, keep=False)
     marks = checkpointed(marked(docs))
     odd = None if index.keep else odd_ids(marks)
     rows = with_text(docs, odd, index.keep)
