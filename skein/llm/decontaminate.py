@@ -20,8 +20,8 @@ of 0.8 or more to it.
    (standard deviation 2.9); the radius is four deviations beyond.
 4. The weighted similarity of each candidate is computed in full.
 
-Items' shingles are one scalar array, or broadcast, only if they are counted to
-be few; else narrow rows are shuffled.  Cases: null, empty and short texts and items without words
+Items' shingles are a literal set, or broadcast, only if they are counted to be
+few; else narrow rows are shuffled.  Cases: null, empty and short texts and items without words
 match nothing; repeated items give a row each id; rows of one id, or without an
 id, are one document in ``matches``, whatever their texts; ``clean`` judges each
 text for itself and passes columns through; of equal windows the first counts; a
@@ -40,7 +40,7 @@ SHINGLE = 5
 LEAST = (4, 5)
 RADIUS = 22
 BLOCKS = RADIUS + 1
-#: Up to so many different item shingles are looked up as one array, more by a join.
+#: Up to so many different item shingles are looked up in a literal set, more by a join.
 SCALAR_SHINGLES = 20_000
 CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
@@ -85,10 +85,13 @@ def overlap(a: Column, b: Column) -> Column:
 def places_by_array(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(doc_id, h, n, places) of shared shingles, without a row for each shingle and without a shuffle.
 
-    The items' shingles are one scalar.  Texts that share none stop at the
-    intersection; the others meet the shingles of each size.
+    The items' shingles, SCALAR_SHINGLES at most, are a literal set, which is
+    built once and not for each row.  Texts that share none stop there; the
+    others meet the shingles of each size.
     """
-    known = docs.select("doc_id", "h", F.array_intersect("h", grams.agg(F.collect_set("g")).scalar()).alias("shared")).where(F.size("shared") > 0)
+    listed = ",".join(f"{r['g']}L" for r in grams.select("g").distinct().collect()).replace("-9223372036854775808L", "bigint('-9223372036854775808')")
+    shared = F.expr(f"filter(h, x -> x in ({listed}))") if listed else F.array().cast("array<bigint>")
+    known = docs.select("doc_id", "h", shared.alias("shared")).where(F.size("shared") > 0)
     sizes = grams.groupBy("n").agg(F.collect_set("g").alias("gs"))
     pairs = known.join(F.broadcast(sizes), F.arrays_overlap("shared", "gs"))
     h = F.col("h")
@@ -119,19 +122,21 @@ def windows(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """
     known = grams.agg(F.count_distinct("g")).first()[0]
     at = (places_by_array if known <= SCALAR_SHINGLES else places_by_join)(docs, grams).withColumn("size", F.size("h"))
-    at = at.withColumn("need", least_shared("size", "n")).where(F.size("places") >= F.col("need"))
-    places, n, last = F.col("places"), F.col("n"), F.greatest(F.lit(0), F.col("size") - F.col("n"))
+    at = at.withColumn("need", least_shared("size", "n"))
+    n, last = F.col("n"), F.greatest(F.lit(0), F.col("size") - F.col("n"))
 
-    def starts(p: Column, j: Column) -> Column:
+    def starts(places: Column, p: Column, j: Column) -> Column:
         within = F.slice(places, j + 1, n + 1)
         best = lambda s: ((s == 0) | F.array_contains(within, s + n - 1)) & ((s == p) | (s == last) | ~F.array_contains(within, s + n))
         low = F.greatest(F.lit(0), F.coalesce(F.get(places, j - 1) + 1, F.lit(0)), F.get(places, j + F.col("need") - 1) - n + 1)
         high = F.least(p, last)
         return F.when((j + F.col("need") <= F.size(places)) & (low <= high), F.filter(F.sequence(low, high), best)).otherwise(F.array().cast("array<int>"))
 
-    laid = at.select("doc_id", "h", "n", F.flatten(F.transform(places, starts)).alias("starts")).where(F.size("starts") > 0)
-    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("h", s + 1, F.col("n")).alias("window")))
-    return laid.select("doc_id", "n", F.explode_outer(cut).alias("x")).select("doc_id", "n", "x.*")
+    # The places are bound once, and rows without a window leave after the explode: a filter on
+    # an expression is pushed down with a copy of it, which would run in each turn of a lambda.
+    laid = let(F.col("places"), lambda ps: F.flatten(F.transform(ps, lambda p, j: starts(ps, p, j))))
+    cut = lambda ss: F.transform(ss, lambda s: F.struct(s.alias("start"), F.slice("h", s + 1, F.col("n")).alias("window")))
+    return at.select("doc_id", "n", F.explode_outer(let(laid, cut)).alias("x")).where("x is not null").select("doc_id", "n", "x.*")
 
 
 def found_with(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
