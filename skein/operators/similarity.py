@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import broadcast_if_small, checkpointed
 
 #: Cutoffs from which pairs are found by an index that leaves out common terms.
-SPARSE = 0.3
+SPARSE = 0.7
 
 #: Documents of a block, on average.
 BLOCK = 1000
