@@ -3,7 +3,8 @@
 Headers and whole licence files are compared to templates as TF-IDF vectors of
 words and pairs of neighbouring words, so that a version or a family's name
 counts.  A header is a line that mentions a licence or copyright, or a paragraph
-of several lines that holds one, as notices are wrapped.  The best template of
+of several lines that holds one, as notices are wrapped.  Lines of over ``WRAPPED``
+characters are not wrapped; such a line is a header by itself only.  The best template of
 cosine ``LEAST`` or more, and ``MARGIN`` above that of any other licence, names
 the licence; the reservation of all rights does so only where no other licence
 is found, as it stands in many notices.  Files without one inherit from the
@@ -43,6 +44,9 @@ HEADER = r"(?i)licen[cs]e|copyright|spdx|public domain|all rights reserved|creat
 #: Lines without a letter or digit end a paragraph.
 BLANK_LINES = r"(?:\n[^\p{L}\p{N}\n]*)+\n"
 
+#: Lines of a wrapped paragraph have so many characters at most.
+WRAPPED = 160
+
 RESERVED = "proprietary"
 
 # Templates: fixed texts.  Public notices and short licences, whole.
@@ -138,11 +142,16 @@ def terms(text: Column) -> Column:
     return let(words(text), lambda ws: F.concat(ws, pairs(ws)))
 
 
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of wrapped lines that hold a header."""
+    wrapped = F.regexp_replace(text, f"[^\\n]{{{WRAPPED + 1},}}", "")
+    return F.filter(F.split(wrapped, BLANK_LINES, -1), lambda x: F.contains(x, F.lit("\n")) & x.rlike(HEADER))
+
+
 def headers(text: Column) -> Column:
     """The lines that are headers, and the paragraphs of several lines that hold one, once each."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(HEADER))
-    paragraphs = F.filter(F.split(text, BLANK_LINES, -1), lambda x: F.contains(x, F.lit("\n")) & x.rlike(HEADER))
-    return F.when(text.rlike(HEADER), F.array_distinct(F.concat(lines, paragraphs))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(HEADER), F.array_distinct(F.concat(lines, paragraphs(text)))).otherwise(F.array().cast("array<string>"))
 
 
 def scanned(files: DataFrame) -> DataFrame:
@@ -220,17 +229,16 @@ def document_files(docs: DataFrame) -> DataFrame:
 
     A document lies in source, source/lang or source/lang/block by its id modulo
     3, with 1,000 ids to a block; without an id, in the first.  It is its
-    directory's licence file if at least half of its words are in header lines
-    and paragraphs.
+    directory's licence file if at least half of its words are in header lines,
+    or in such paragraphs.
     """
     text = F.coalesce("text", F.lit(""))
     depth = F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0))
     source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
     path = F.concat_ws("/", source, F.when(depth > 0, lang), F.when(depth > 1, F.floor(F.col("doc_id") / 1000).cast("string")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
-    covered = F.filter(F.split(text, BLANK_LINES, -1), lambda x: x.rlike(HEADER))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(HEADER))
     words_in = lambda xs: F.size(words(F.array_join(xs, "\n")))
-    mostly = (2 * words_in(lines) >= F.size(words(text))) | ((F.size(F.split(text, BLANK_LINES, -1)) > 1) & (2 * words_in(covered) >= F.size(words(text))))
+    mostly = 2 * F.greatest(words_in(lines), words_in(paragraphs(text))) >= F.size(words(text))
     is_file = F.when(text.rlike(HEADER), mostly).otherwise(F.lit(False))
     return docs.select("doc_id", path.alias("path"), text.alias("text"), is_file.alias("is_license_file"))
 

@@ -209,7 +209,7 @@ def licences(files, templates, header, least, margin, reserved):
         lines = text.split("\n")
         paragraphs, run = [], []
         for x in [*lines, ""]:
-            if re.search(r"[^\W_]", x):
+            if re.search(r"[^\W_]", x) and len(x) <= 160:
                 run.append(x)
             else:
                 paragraphs.append(run)
