@@ -21,8 +21,11 @@ def term_frequency(docs: DataFrame, key: str = "urlid", text: str = "content", s
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
-    """(term, df): a row of ``tf`` is a document and a term once."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df): a row of ``tf`` is a document and a term once.
+
+    The sum mentions tf, so that a plan that needs both has the shuffle of ``tf`` once.
+    """
+    return tf.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
 
 
 def stem_terms(tf: DataFrame, key: str = "urlid") -> DataFrame:
