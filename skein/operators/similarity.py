@@ -29,8 +29,8 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "urlid", later: D
     """(i, j, sim) for i < j with a cosine of ``least`` or more and a term in common.
 
     ``later``: (key) of the documents that j may be.  From ``SPARSE`` on, by an
-    inverted index; below, where most documents that share a term are a result,
-    by blocks of documents.
+    inverted index; below, where it would have to keep common terms, by blocks
+    of documents.
     """
     if least < SPARSE:
         return block_pairs(vectors, least, key, later)
