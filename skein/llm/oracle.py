@@ -72,4 +72,38 @@ select doc_id, cast(n as bigint) as n_words, cast(length(array_to_string(ws, '')
 from i
 """
 
-ORACLES = {"op6_quality": QUALITY, "op9_mixing": MIXING}
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+DIVERGENCE = rf"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}') as t from documents),
+g as (select distinct lang, source from d),
+w as (select id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*) as everywhere from w group by lang, term having count(distinct id) >= 30),
+v as (select lang, count(*) as v, sum(everywhere) as n_lang from k group by lang),
+c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by lang, source, term),
+n as (select g.lang, g.source, cast(coalesce(sum(c.n), 0) as hugeint) as total from g left join c using (lang, source) group by g.lang, g.source),
+p as (
+  select n.lang, n.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (n.total + 5 * v.v) as p,
+    1 + (1000000000::hugeint * (k.everywhere + 5)) // (cast(v.n_lang as hugeint) + 5 * v.v) as q
+  from n join k on k.lang = n.lang join v on v.lang = n.lang left join c on c.lang = n.lang and c.source = n.source and c.term = k.term),
+far as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(far.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join far on far.lang = a.lang and far.source = a.source and far.item = b.source),
+both_ as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from both_)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 50
+"""
+
+INFILL = r"""
+with a as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+b as (select *, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from a),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as x, greatest(h1 % (n + 1), h2 % (n + 1)) as y,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from b),
+d as (select *, array_slice(t, 1, x) as p, array_slice(t, x + 1, y) as m, array_slice(t, y + 1, n) as s from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(x as bigint) end as prefix_chars, case when form <> 'plain' then cast(y - x as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256 from d
+"""
+
+ORACLES = {"op6_quality": QUALITY, "op9_mixing": MIXING, "op11_divergence": DIVERGENCE, "op12_infill": INFILL}

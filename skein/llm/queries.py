@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, near_dup, pii, quality, secrets, sharding, substring, urls
+from . import decontaminate, divergence, infill, kneser_ney, licenses, mixing, near_dup, pii, quality, secrets, sharding, substring, urls
 from .common import table
 from .oracle import ORACLES
 
@@ -30,6 +30,9 @@ def queries() -> dict[str, Query]:
         "op8_near_duplicates": over(near_dup.digest),
         "op9_mixing": over(mixing.digest),
         "op10_substrings": over(substring.digest),
+        "op11_divergence": over(divergence.digest),
+        "op12_infill": over(infill.digest),
+        "op13_kneser_ney": over(kneser_ney.digest),
     }
 
 

@@ -260,3 +260,85 @@ def jump(key, shards):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def divergence(docs, least=30, ranks=50):
+    """Sorted (lang, source, part, item, value, rank) rows of (lang, source, text) rows."""
+    docs = [tuple(x or "" for x in d) for d in docs]
+    found = [(lang, source, re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))) for lang, source, text in docs]
+    out = []
+    for lang in {d[0] for d in docs}:
+        mine = [(s, ts) for g, s, ts in found if g == lang]
+        seen = Counter(t for _, ts in mine for t in set(ts))
+        kept = {t for t, n in seen.items() if n >= least}
+        counts = {None: Counter(t for _, ts in mine for t in ts if t in kept)}
+        for s, ts in mine:
+            counts.setdefault(s, Counter()).update(t for t in ts if t in kept)
+        share = {s: {t: 1 + 10**9 * (c[t] + 5) // (sum(c.values()) + 5 * len(kept)) for t in kept} for s, c in counts.items()}
+        for s in counts.keys() - {None}:
+            pairs = [(sum(abs(share[s][t] - share[o][t]) for t in kept), o) for o in counts.keys() - {None, s}]
+            terms = [(share[s][t] - share[None][t], t) for t in kept if counts[s][t] and share[s][t] > share[None][t]]
+            for part, rows, most in (("pair", pairs, None), ("term", terms, ranks)):
+                order = sorted(rows, key=lambda r: (-r[0], r[1].encode()))[:most]
+                out += [(lang, s, part, item, value, k) for k, (value, item) in enumerate(order, 1)]
+    return sorted(out)
+
+
+def infill(key, text, unit="char"):
+    """(units, form, code points of prefix and middle, rewritten text)."""
+    text = text or ""
+    digest = hashlib.sha256(f"1:{'null' if key is None else key}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    units = list(text) if unit == "char" else re.findall(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+$" if unit == "word" else r"[^\n]*\n|[^\n]+$", text)
+    assert "".join(units) == text
+    n = len(units)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    form = "spm" if h[3] % 100 < 20 else "psm"
+    out = f"<S>{suffix}<P>{prefix}<M>{middle}" if form == "spm" else f"<P>{prefix}<S>{suffix}<M>{middle}"
+    return n, form, len(prefix), len(middle), out
+
+
+def kneser_ney(rows):
+    """(tokens of training, [(held_out, tokens, known, base score, score)]) of (key, text) rows, with the model's parts in the open."""
+    lists = [[w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)] + ["\n"] for _, t in rows]
+    held = [zlib.crc32(b"" if k is None else str(k).encode()) % 10 == 0 for k, _ in rows]
+    uses, pairs = Counter(), Counter()
+    for ws, out in zip(lists, held, strict=True):
+        if not out:
+            uses.update(ws)
+            pairs.update(zip([" ", *ws], ws, strict=False))
+    follows, before = {}, Counter()
+    for (v, w), n in pairs.items():
+        follows.setdefault(v, []).append(n)
+        before[w] += 1
+
+    def discount(counts):
+        n = Counter(counts)
+        rate = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        ds = [0.0]
+        for k in (1, 2, 3):
+            d = k - (k + 1) * rate * n[k + 1] / n[k] if rate and n[k] and n[k + 1] else -1
+            ds.append(d if 0 < d < k else k / 2)
+        return lambda c: ds[min(c, 3)]
+
+    d2, d1 = discount(pairs.values()), discount(before.values())
+    left = sum(map(d1, before.values())) / len(pairs) if pairs else 1.0
+
+    def alone(w):
+        return (max(before[w] - d1(before[w]), 0) / len(pairs) if pairs else 0) + left / (len(uses) + 1)
+
+    def p(w, v):
+        if v not in follows:
+            return alone(w)
+        total = sum(follows[v])
+        return max(pairs[v, w] - d2(pairs[v, w]), 0) / total + sum(map(d2, follows[v])) / total * alone(w)
+
+    tokens = sum(uses.values())
+    out = []
+    for ws, h in zip(lists, held, strict=True):
+        base = sum(math.log10((uses[w] + 0.1) / (tokens + 0.1 * (len(uses) + 1))) for w in ws)
+        out.append((h, len(ws), sum(uses[w] > 0 for w in ws), base, sum(math.log10(p(w, v)) for v, w in zip([" ", *ws], ws, strict=False))))
+    return tokens, out, p, uses
