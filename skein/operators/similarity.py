@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,11 +12,19 @@ from pyspark.sql import functions as F
 from ..checkpoints import broadcast_if_small, checkpointed
 
 #: Cutoffs from which pairs are found by an index that leaves out common terms.
-SPARSE = 0.7
+SPARSE = 0.4
 
-#: Documents of a block, on average.
+#: Documents that are compared with as many others at once.
 BLOCK = 1000
 
+#: Documents that travel together at most, and the least cutoff for that: below, a pair of such blocks has too many pairs.
+MOST_TOGETHER = 8000
+DENSE_RESULT = 0.1
+
+#: Terms of a dense piece of a block, and the products from which a term is worth a place in it.
+PIECE = 256
+MANY = 64
+
 
 def prefixes(vectors: DataFrame, norm: float, key: str = "urlid") -> DataFrame:
     """The terms of each vector without the most common ones whose joint norm stays below ``norm``.
@@ -55,20 +65,36 @@ def indexed_pairs(vectors: DataFrame, least: float, key: str, later: DataFrame |
     return whole.where(F.col("sim") >= least)
 
 
-def products(a: tuple, b: tuple, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """The matrix of dot products of two sets of sparse vectors and how many terms each pair shares; a, b: (row, term, weight) sorted by term."""
-    dots, met = np.zeros(n * m), np.zeros(n * m, bool)
+def dense(side: tuple, n: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The weights of some terms as a matrix; ``first``, ``size``: where each term's are in ``side``."""
+    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    out = np.zeros((n, len(size)))
+    out[side[0][at], np.repeat(np.arange(len(size)), size)] = side[2][at]
+    return out
+
+
+def products(a: tuple, b: tuple, n: int, m: int, shared: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix of dot products of two sets of sparse vectors and which pairs count as having a term in common.
+
+    a, b: (row, term, weight) sorted by term.  Common terms are multiplied as
+    dense matrices, a piece at a time, the others term by term.  Pairs have a
+    term in common if their product is above 0, or, with ``shared``, even then
+    if all weights of the terms are 0.
+    """
+    grid, met = np.zeros((n, m)), np.zeros((n, m), bool)
     terms, first_a, size_a = np.unique(a[1], return_index=True, return_counts=True)
     others, first_b, size_b = np.unique(b[1], return_index=True, return_counts=True)
     _, at_a, at_b = np.intersect1d(terms, others, assume_unique=True, return_indices=True)
     first_a, size_a, first_b, size_b = first_a[at_a], size_a[at_a], first_b[at_b], size_b[at_b]
-    grid, seen = dots.reshape(n, m), met.reshape(n, m)
-    for k in np.flatnonzero(size_a * size_b >= 256):
-        x, y = slice(first_a[k], first_a[k] + size_a[k]), slice(first_b[k], first_b[k] + size_b[k])
-        at = np.ix_(a[0][x], b[0][y])
-        grid[at] += np.outer(a[2][x], b[2][y])
-        seen[at] = True
-    few = np.flatnonzero(size_a * size_b < 256)
+    often = size_a * size_b >= MANY
+    for some in np.array_split(np.flatnonzero(often), 1 + often.sum() // PIECE):
+        left, right = dense(a, n, first_a[some], size_a[some]), dense(b, m, first_b[some], size_b[some])
+        grid += left @ right.T
+        if shared:
+            there = dense((a[0], None, np.ones(len(a[0]))), n, first_a[some], size_a[some]).astype(np.float32)
+            met |= there @ dense((b[0], None, np.ones(len(b[0]))), m, first_b[some], size_b[some]).astype(np.float32).T > 0
+    few = np.flatnonzero(~often)
+    dots, marks = grid.reshape(-1), met.reshape(-1)
     for chunk in np.array_split(few, 1 + len(few) // 20_000):
         reps = size_a[chunk] * size_b[chunk]
         of, start = np.repeat(chunk, reps), np.repeat(np.cumsum(reps) - reps, reps)
@@ -76,43 +102,98 @@ def products(a: tuple, b: tuple, n: int, m: int) -> tuple[np.ndarray, np.ndarray
         x, y = first_a[of] + k // size_b[of], first_b[of] + k % size_b[of]
         at = a[0][x] * m + b[0][y]
         dots += np.bincount(at, a[2][x] * b[2][y], n * m)
-        met[at] = True
-    return grid, seen
+        marks[at] = True
+    return grid, met | (grid > 0)
 
 
-def block_pairs(vectors: DataFrame, least: float, key: str, later: DataFrame | None) -> DataFrame:
-    """By blocks of ``BLOCK`` documents on average, each pair of blocks in a task of bounded memory.
+def dealt(vectors: DataFrame, key: str, least: float, extra: DataFrame | None = None) -> DataFrame:
+    """(x, y, own, id, t, w and the columns of ``extra``): each document once for each pair of blocks that it is in.
 
-    Terms are compared by 64-bit hashes.  A document travels once for each block.
+    ``t``, ``w``: hashes and weights of its terms.  Blocks are as many as keep all
+    cores busy, of ``BLOCK`` to ``MOST_TOGETHER`` documents on average, so that a
+    document of a large table travels once for so many thousand others.
     """
-    packed = vectors.groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("v"))
-    mark = F.lit(True) if later is None else F.coalesce("late", F.lit(False))
-    flagged = packed if later is None else packed.join(later.select(F.col(key).alias("id"), F.lit(True).alias("late")).distinct(), "id", "left")
-    rows = checkpointed(flagged.select("id", F.col("v.t").alias("t"), F.col("v.w").alias("w"), mark.alias("late")))
-    n = 1 + rows.count() // BLOCK
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    placed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("x", "y", "own", "id", "late", "t", "w")
+    packed = vectors.groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("v")).select("id", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+    rows = checkpointed(packed if extra is None else packed.join(extra, "id", "left"))
+    n, tasks = rows.count(), 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    most = MOST_TOGETHER if least >= DENSE_RESULT else BLOCK
+    blocks = 1 + n // int(np.clip(n / np.sqrt(2 * tasks), BLOCK, most))
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other").repartition("x", "y")
+
+
+def pieces_of(part: pd.DataFrame, own: int) -> list[tuple[pd.DataFrame, tuple]]:
+    """The documents of a block, ``BLOCK`` at once, each with its (row, term, weight) sorted by term."""
+    mine, out = part[part["own"] == own], []
+    for k in range(0, len(mine), BLOCK):
+        some = mine.iloc[k : k + BLOCK]
+        row = np.repeat(np.arange(len(some)), some["t"].str.len())
+        terms, weights = (np.concatenate([np.zeros(0, d), *some[c]]).astype(d) for c, d in (("t", np.int64), ("w", float)))
+        order = np.argsort(terms, kind="stable")
+        out.append((some, (row[order], terms[order], weights[order])))
+    return out
+
+
+def compared(part: pd.DataFrame, shared: bool) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(documents, others, products, pairs that count) of a pair of blocks, in pieces; each pair of documents counts once and has a term in common."""
+    x, y = part["x"].iloc[0], part["y"].iloc[0]
+    left = pieces_of(part, x)
+    right = left if x == y else pieces_of(part, y)
+    for p, (one, a) in enumerate(left):
+        for q, (two, b) in enumerate(right):
+            if x == y and p > q:
+                continue
+            dots, met = products(a, b, len(one), len(two), shared)
+            yield one, two, dots, np.triu(met, 1) if x == y and p == q else met
+
+
+def block_pairs(vectors: DataFrame, least: float, key: str, later: DataFrame | None) -> DataFrame:
+    """By pairs of blocks of documents, each in a task of bounded memory.  Terms are compared by 64-bit hashes."""
+    late = None if later is None else later.select(F.col(key).alias("id"), F.lit(True).alias("late")).distinct()
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = part["x"].iloc[0], part["y"].iloc[0]
-        sides = []
-        for side in (x, y):
-            mine = part[part["own"] == side]
-            row = np.repeat(np.arange(len(mine)), mine["t"].str.len())
-            terms, weights = (np.concatenate([np.zeros(0, d), *mine[c]]).astype(d) for c, d in (("t", np.int64), ("w", float)))
-            order = np.argsort(terms, kind="stable")
-            sides.append((mine["id"].to_numpy(), mine["late"].to_numpy(), (row[order], terms[order], weights[order])))
-        (ids_a, late_a, a), (ids_b, late_b, b) = sides
-        dots, met = products(a, b, len(ids_a), len(ids_b))
-        i, j = np.nonzero(met & (dots >= least))
-        if x == y:
-            i, j = i[ids_a[i] < ids_b[j]], j[ids_a[i] < ids_b[j]]
-        late = np.where(ids_a[i] > ids_b[j], late_a[i], late_b[j])
-        i, j = i[late.astype(bool)], j[late.astype(bool)]
-        return pd.DataFrame({"i": np.minimum(ids_a[i], ids_b[j]), "j": np.maximum(ids_a[i], ids_b[j]), "sim": dots[i, j]})
-
-    return dealt.repartition("x", "y").groupBy("x", "y").applyInPandas(compare, "i long, j long, sim double")
+        found = []
+        for one, two, dots, met in compared(part, least <= 0):
+            i, j = np.nonzero(met & (dots >= least))
+            a, b = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
+            rows = pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "sim": dots[i, j]})
+            if "late" in part:
+                rows = rows[np.where(a > b, one["late"].eq(True).to_numpy()[i], two["late"].eq(True).to_numpy()[j])]
+            found.append(rows)
+        return pd.concat(found)
+
+    return dealt(vectors, key, least, late).groupBy("x", "y").applyInPandas(compare, "i long, j long, sim double")
+
+
+#: Bins of a histogram of similarities.
+BINS = 100
+
+
+def similarity_counts(vectors: DataFrame, described: DataFrame, days: int, key: str = "urlid") -> DataFrame:
+    """(k, near, gold, n): how many pairs with a term in common have a similarity of k/100 or more and less than that of the next bin.
+
+    ``described``: (key, pubdate, label) of the documents; near: less than ``days``
+    apart, as an unknown date is from any; gold: of one label that is not null.
+    Each pair of blocks gives ``BINS`` by four numbers, so no pair leaves its task.
+    """
+    extra = described.select(F.col(key).alias("id"), F.unix_date("pubdate").cast("double").alias("day"), F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label"))
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(BINS * 4, np.int64)
+        for one, two, dots, met in compared(part, True):
+            apart = np.abs(one["day"].to_numpy(float)[:, None] - two["day"].to_numpy(float)[None, :])
+            names, at = np.unique(pd.concat([one["label"], two["label"]]).dropna().to_numpy(np.int64), return_inverse=True)
+            code = np.full(len(one) + len(two), -1)
+            code[pd.concat([one["label"], two["label"]]).notna().to_numpy()] = at
+            left, right = code[: len(one)], code[len(one) :]
+            gold = (left[:, None] == right[None, :]) & (left >= 0)[:, None]
+            bins = np.clip(np.floor(dots * BINS + 1e-9), 0, BINS - 1).astype(np.int64)
+            total += np.bincount((bins * 4 + 2 * ~(apart >= days) + gold)[met], minlength=BINS * 4)
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"k": at // 4, "near": at // 2 % 2 == 1, "gold": at % 2 == 1, "n": total[at]})
+
+    parts = dealt(vectors, key, 1.0, extra).groupBy("x", "y").applyInPandas(count, "k int, near boolean, gold boolean, n long")
+    return parts.groupBy("k", "near", "gold").agg(F.sum("n").alias("n"))
 
 
 def dense_dot(a: Column, b: Column) -> Column:

@@ -454,11 +454,9 @@ def spread_subsample(spark, d):
 # Evaluation.  Gold: documents of one title; their texts are alike to any degree.
 
 
-def sweep_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all pairs that share a term, dates, gold pairs)."""
-    arts = A.articles(spark, d)
-    sims = similarity.similar_pairs(checkpointed(vec(spark, d)), 0.0)
-    return sims, arts.select("urlid", "pubdate"), evaluate.gold_from_labels(arts.select("urlid", F.col("title").alias("label")))
+def titled(spark: SparkSession, d: str) -> DataFrame:
+    """(urlid, pubdate, label) of all documents."""
+    return A.articles(spark, d).select("urlid", "pubdate", F.col("title").alias("label"))
 
 
 SWEEP = f"""{VEC}, sims as (select a.urlid as i, b.urlid as j, sum(a.w * b.w) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all),
@@ -471,7 +469,7 @@ sweep as (select k, tp, fp, round(p, 6) as precision, round(r, 6) as recall, rou
 
 @query(f"with {SWEEP} select * from sweep")
 def cutoff_sweep(spark, d):
-    out = evaluate.cutoff_sweep(*sweep_input(spark, d))
+    out = evaluate.label_sweep(checkpointed(vec(spark, d)), titled(spark, d))
     return out.select("k", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -481,15 +479,14 @@ def best_cutoff(spark, d):
 
 
 @query(
-    f"""with {VEC}, sims as (select a.urlid as i, b.urlid as j, sum(a.w * b.w) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {STRONG_CUTOFF})
+    f"""with {VEC}, sims as (select a.urlid as i, b.urlid as j, sum(a.w * b.w) as sim from vec a join vec b on a.term = b.term and a.urlid < b.urlid group by all having sum(a.w * b.w) >= {CUTOFF})
     select i, j, round(sim, 6) as sim from sims join art x on i = x.urlid join art y on j = y.urlid where abs(x.pubdate - y.pubdate) <= 14 and x.title <> y.title"""
 )
 def review_pairs(spark, d):
-    """Alike, at most 14 days apart and not of one title."""
-    arts = A.articles(spark, d)
-    sims = similarity.similar_pairs(checkpointed(vec(spark, d)), STRONG_CUTOFF)
-    gold = evaluate.gold_from_labels(arts.select("urlid", F.col("title").alias("label")))
-    return evaluate.review_pairs(sims, arts.select("urlid", "pubdate"), gold, STRONG_CUTOFF).select("i", "j", F.round("sim", 6).alias("sim"))
+    """Alike at the shipped cutoff, at most 14 days apart and not of one title."""
+    facts = titled(spark, d)
+    sims = similarity.similar_pairs(checkpointed(vec(spark, d)), CUTOFF)
+    return evaluate.review_pairs(sims, facts, None, CUTOFF, labels=facts).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 CENTRES = f"{VEC}, cen as (select category, term, sum(w) / max(n) as w from vec join art using (urlid) join (select category, count(*) as n from art where len({TOK}) > 0 group by category) using (category) group by category, term)"

@@ -54,6 +54,23 @@ def test_prefix_filter_loses_nothing(spark, least):
     assert all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
+def test_blocks_and_index_find_the_same(spark, monkeypatch):
+    """Several blocks of several pieces, dense and sparse terms, and documents that only come later."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 25) % 60) for _ in range(90)]
+    v = vocabulary.vectors(docs(spark, *texts, "alone", texts[0]))
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    monkeypatch.setattr(similarity, "MOST_TOGETHER", 20)
+    monkeypatch.setattr(similarity, "PIECE", 5)
+    want = naive_pairs(v.collect(), 0.2)
+    for found in (similarity.block_pairs(v, 0.2, "urlid", None), similarity.indexed_pairs(v, 0.2, "urlid", None, 0.8)):
+        got = {(r["i"], r["j"]): r["sim"] for r in found.collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    later = spark.createDataFrame([(k,) for k in range(0, 92, 3)], "urlid long")
+    for found in (similarity.block_pairs(v, 0.2, "urlid", later), similarity.indexed_pairs(v, 0.2, "urlid", later, 0.8)):
+        assert {(r["i"], r["j"]) for r in found.collect()} == {k for k in want if k[1] % 3 == 0}
+
+
 def plain_greedy(pairs):
     """Sets tried in order, as a list."""
     sets = []
@@ -67,11 +84,70 @@ def plain_greedy(pairs):
     return sets
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)).filter(lambda p: p[0] < p[1]), max_size=30))
-def test_greedy_sets(pairs):
-    ordered = sorted(set(pairs))
-    assert duplicates.greedy_sets(ordered) == plain_greedy(ordered)
+def greedy_of(spark, pairs):
+    """The sets of each component in the order of their numbers, by components in the order of their labels."""
+    found = {}
+    for r in duplicates.greedy_groups(spark.createDataFrame(pairs, "i long, j long")).collect():
+        found.setdefault((r["grp"], r["set_no"]), set()).add(r["urlid"])
+    for grp in {g for g, _ in found}:
+        assert {k for g, k in found if g == grp} == set(range(sum(g == grp for g, _ in found)))
+    return [found[k] for k in sorted(found)]
+
+
+def plain_by_component(pairs):
+    label = {}
+
+    def root(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for i, j in pairs:
+        a, b = sorted((root(i), root(j)))
+        label[b] = a
+    sets = plain_greedy(pairs)
+    return [s for grp in sorted({root(i) for i, _ in pairs}) for s in sets if root(min(s)) == grp]
+
+
+def test_greedy_sets_of_random_graphs(spark):
+    """Two hundred graphs of 13 articles at once, as articles of their own, each against the plain version."""
+    r = np.random.default_rng(3)
+    pairs = set()
+    for g in range(200):
+        for _ in range(r.integers(1, 30)):
+            i, j = sorted(int(x) for x in r.integers(0, 13, 2))
+            if i < j:
+                pairs.add((100 * g + i, 100 * g + j))
+    assert greedy_of(spark, sorted(pairs)) == plain_by_component(sorted(pairs))
+
+
+@pytest.mark.parametrize("shape", ["path", "backwards", "star", "zigzag"])
+def test_greedy_sets_of_long_chains(spark, monkeypatch, shape):
+    monkeypatch.setattr(duplicates, "RUN_BITS", 3)
+    n = 300
+    pairs = {
+        "path": [(k, k + 1) for k in range(n)],
+        "backwards": [(n - k - 1, 1000 + k) for k in range(n)] + [(n - k - 2, 1000 + k) for k in range(n - 1)],
+        "star": [(0, k + 1) for k in range(n)] + [(k + 1, 2000) for k in range(0, n, 2)],
+        "zigzag": [(k, 1000 + k) for k in range(n)] + [(k, 999 + k) for k in range(1, n)],
+    }[shape]
+    assert greedy_of(spark, sorted(pairs)) == plain_by_component(sorted(pairs))
+
+
+def test_greedy_sets_of_a_large_component(spark):
+    r = np.random.default_rng(8)
+    pairs = sorted({(int(i), int(j)) for i, j in np.sort(r.zipf(1.3, (350_000, 2)) % 60_000, axis=1) if i < j})
+    assert len(pairs) > 60_000
+    got = greedy_of(spark, pairs)
+    # The plain version with the first set of each article at hand.
+    sets, home = [], {}
+    for i, j in pairs:
+        at = min(home.get(i, len(sets)), home.get(j, len(sets)))
+        if at == len(sets):
+            sets.append(set())
+        sets[at] |= {i, j}
+        home[i] = home[j] = at
+    assert sorted(map(sorted, got)) == sorted(map(sorted, sets))
 
 
 def test_greedy_keeps_overlapping_sets(spark):
@@ -147,6 +223,25 @@ def test_sweep_and_best(spark):
     assert evaluate.best_cutoff(evaluate.cutoff_sweep(sims, dates, gold)).first()["k"] == 51
 
 
+def test_label_sweep_counts_what_lists_of_pairs_say(spark, monkeypatch):
+    """Gold pairs by label against the same pairs as a table: null and shared labels, null dates, pairs without a common term."""
+    monkeypatch.setattr(similarity, "BLOCK", 9)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(1, 12)) % 30) for _ in range(50)] + ["", "only", "here"]
+    rows = [(k, None if k % 11 == 0 else DAY - dt.timedelta(int(rng.integers(0, 40))), None if k % 7 == 0 else f"l{rng.integers(0, 5)}") for k in range(len(texts))]
+    v, described = vocabulary.vectors(docs(spark, *texts)), spark.createDataFrame(rows, "urlid long, pubdate date, label string")
+    gold = spark.createDataFrame([(i, j) for i, _, a in rows for j, _, b in rows if i < j and a and a == b], "i long, j long")
+    want = evaluate.cutoff_sweep(similarity.similar_pairs(v, 0.0), described.select("urlid", "pubdate"), gold).orderBy("k").collect()
+    assert evaluate.label_sweep(v, described).orderBy("k").collect() == want
+    assert want[0]["tp"] > want[30]["tp"] > 0 and want[0]["fp"] > want[1]["fp"] > 0
+    day = {k: d for k, d, _ in rows}
+    near = sum(1 for i in day for j in day if i < j and (day[i] is None or day[j] is None or abs((day[i] - day[j]).days) < 14))
+    assert tuple(evaluate.pairs_within(described, 14).first()) == (len(rows) * (len(rows) - 1) // 2, near)
+    sims, facts = similarity.similar_pairs(v, 0.3), described
+    by_pairs, by_label = (evaluate.review_pairs(sims, facts, known, 0.3, labels=labels).collect() for known, labels in ((gold, None), (None, facts)))
+    assert sorted(by_pairs) == sorted(by_label) and by_label
+
+
 def test_review_includes_the_last_day(spark):
     dates = spark.createDataFrame([(1, DAY), (2, DAY - dt.timedelta(14)), (3, DAY - dt.timedelta(15)), (4, None)], "urlid long, pubdate date")
     sims = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9), (1, 4, 0.5), (2, 3, 0.4), (3, 4, 0.9)], "i long, j long, sim double")
