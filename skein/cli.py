@@ -24,9 +24,9 @@ from .sources import feeds, sinks
 
 
 def read(spark: SparkSession, data: str, name: str, schema: StructType | str | None = None) -> DataFrame:
-    """A table of the folder; one with a schema is empty where it isn't there yet."""
+    """A table of the folder; one with a schema is empty where it isn't there yet.  One that a run left half replaced is put back first."""
     try:
-        return spark.read.parquet(f"{data}/{name}")
+        return spark.read.parquet(sinks.recovered(spark, f"{data}/{name}"))
     except Exception as e:
         if schema and "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)

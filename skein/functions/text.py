@@ -158,11 +158,15 @@ def feed_date(text: Column, today: Column) -> Column:
     return F.coalesce(rfc.cast("date"), F.try_to_date(F.left(text, F.lit(10)), "yyyy-MM-dd"), today)
 
 
+def declared_image(page: Column) -> Column:
+    """The address of the image that a page declares as its own, or null."""
+    return F.nullif(F.regexp_extract(page, r"""(?is)<meta[^>]*property=["']og:image["'][^>]*content=["']([^"']+)["']""", 1), F.lit(""))
+
+
 def html_image(page: Column) -> Column:
     """The address of a page's representative image: the declared one, else that of the first image, else null."""
-    declared = F.regexp_extract(page, r"""(?is)<meta[^>]*property=["']og:image["'][^>]*content=["']([^"']+)["']""", 1)
     first = F.regexp_extract(page, r"""(?is)<img[^>]*\ssrc=["']([^"']+)["']""", 1)
-    return F.coalesce(F.nullif(declared, F.lit("")), F.nullif(first, F.lit("")))
+    return F.coalesce(declared_image(page), F.nullif(first, F.lit("")))
 
 
 def image_path(urlid: Column, image_url: Column, folder: str = "public://images") -> Column:

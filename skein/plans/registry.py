@@ -10,9 +10,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed, shared_path
+from ..checkpoints import checkpointed, deleted, shared_path
 from ..config import Settings
 from ..functions import text as T
+from ..functions.pages import main_parts
 from ..operators import classify, duplicates, evaluate, relational, rules, similarity, vocabulary
 from ..sources import feeds
 from ..streaming import crawl
@@ -320,6 +321,13 @@ def html_text(spark, d):
     return feeds.page_texts(A.table(spark, d, "pages"))
 
 
+@query()
+def main_text(spark, d):
+    """The main text of each page and its first image."""
+    part = A.table(spark, d, "pages").select("page_id", main_parts(F.col("html")).alias("main"))
+    return part.select("page_id", F.size("main.lines").alias("blocks"), F.array_join("main.lines", "\n").alias("text"), "main.image")
+
+
 @query()
 def summary_ranked(spark, d):
     return A.articles(spark, d).select("urlid", T.ranked_summary(F.col("content")).alias("summary"))
@@ -549,16 +557,17 @@ def events_per_day(spark, d):
 
 @query("select user_id, min(ts) as ts from events group by user_id")
 def stream_dedup_events(spark, d):
-    """The first sight of each user, by a stream over the events in the order of their times."""
+    """The first sight of each user, by keyed state over the events in four runs in the order of their times, each from the checkpoint of the one before."""
     folder = shared_path(spark, "stream")
-    A.table(spark, d, "events").select("ts", "user_id").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
-    stream = crawl.read_parquet(spark, f"{folder}/in", "ts timestamp, user_id long", files=1)
-
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.groupBy("user_id").agg(F.min("ts").alias("ts")).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-
-    crawl.run_batches(stream.withWatermark("ts", "1 day"), keep, f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.min("ts").alias("ts"))
+    events = A.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    cuts = [F.timestamp_micros(F.lit(c)) for c in events.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0] or []]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = events if low is None else events.where((F.col("ts") > low) | (F.lit(high is None) & F.col("ts").isNull()))
+        (part if high is None else part.where(F.col("ts") <= high)).write.mode("append").parquet(f"{folder}/in")
+        crawl.record_first_sights(spark, f"{folder}/in", "ts timestamp, user_id long", f"{folder}/out", f"{folder}/state", "user_id", "ts")
+    out = checkpointed(spark.read.schema("user_id long, ts timestamp").parquet(f"{folder}/out"))
+    deleted(spark, folder)
+    return out.select("user_id", "ts")
 
 
 # Models.

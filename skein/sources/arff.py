@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from ..checkpoints import files_of
 from .sinks import ordered_text
 
 # Fixed type names of the format.
@@ -71,14 +72,44 @@ def parse_header(text: str) -> Header:
     return Header(relation, "\n".join(description), attributes)
 
 
-def read(spark: SparkSession, path: str, header_bytes: int = 1 << 20) -> tuple[Header, DataFrame]:
+#: Lines that a header may have.
+MOST_HEADER = 100_000
+
+
+def header_of(spark: SparkSession, path: str, most: int = MOST_HEADER) -> Header:
+    """The header of a file, or of the first files of a folder: the lines up to @DATA.
+
+    They are read in order from the start, so comments among the rows don't
+    matter.  Over ``most`` lines without @DATA are refused, as is a file that ends before it.
+    """
+    at, files = files_of(spark, path)
+    found = sorted((str(f.getPath()) for f in files.globStatus(at) or []), key=str)
+    names = [x for top in found for x in (sorted(str(f.getPath()) for f in files.listStatus(files_of(spark, top)[0]) if not f.getPath().getName().startswith(("_", "."))))]
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    lines: list[str] = []
+    for name in names:
+        file, _ = files_of(spark, name)
+        codec, stream = codecs.getCodec(file), files.open(file)
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec is not None else stream, "UTF-8"))
+        try:
+            while (line := reader.readLine()) is not None:
+                if line.strip().upper().startswith("@DATA"):
+                    return parse_header("\n".join(lines))
+                lines.append(line)
+                if len(lines) > most:
+                    raise ValueError(f"{path} has over {most} lines before @DATA")
+        finally:
+            reader.close()
+    raise ValueError(f"{path} has no @DATA")
+
+
+def read(spark: SparkSession, path: str, most: int = MOST_HEADER) -> tuple[Header, DataFrame]:
     """Header and rows.  The file is split by lines; rows are what follows @DATA.
 
     All header lines start with @ or %, so rows are told apart without order.
     """
     lines = spark.read.text(path)
-    top = lines.where(F.col("value").rlike(r"(?i)^\s*(@relation|@attribute|%)"))
-    header = parse_header("\n".join(r["value"] for r in top.limit(100_000).toLocalIterator()))
+    header = header_of(spark, path, most)
     names = [n for n, _ in header.attributes]
     body = lines.where(~F.col("value").rlike(r"(?i)^\s*(@relation|@attribute|@data|%|$)"))
 

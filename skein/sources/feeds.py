@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import absolute, escape_html, feed_date, google_source, html_image, html_text, html_title, styled_images, to_ascii, unwrapped
+from ..functions.pages import main_parts
+from ..functions.text import absolute, declared_image, escape_html, feed_date, google_source, html_text, html_title, styled_images, to_ascii, unwrapped
 
 
 def source_list(spark: SparkSession, path: str, title: str | None = None, other_options: bool = False) -> DataFrame:
@@ -64,14 +65,21 @@ def word_list(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
     return [r["value"] for r in rows]
 
 
+#: Stop words that the driver takes.
+MOST_STOPS = 1_000_000
+
+
 def stop_list(spark: SparkSession, path: str) -> set[str]:
-    """Stop words: lines are only cut at their end and blank ones count; none without the file."""
+    """Stop words: lines are only cut at their end and blank ones count; none without the file; a list of over MOST_STOPS is refused."""
     try:
-        return {r["w"] for r in spark.read.text(path).select(F.regexp_replace("value", r"\s+$", "").alias("w")).distinct().limit(1_000_000).collect()}
+        rows = spark.read.text(path).select(F.regexp_replace("value", r"\s+$", "").alias("w")).distinct().limit(MOST_STOPS + 1).collect()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return set()
+    if len(rows) > MOST_STOPS:
+        raise ValueError(f"{path} has over {MOST_STOPS} stop words; join it as a table")
+    return {r["w"] for r in rows}
 
 
 def whole_text(spark: SparkSession, path: str) -> str:
@@ -89,9 +97,13 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(url, text, image_url, n_lines) of raw (url, html) pages, as the crawl takes them."""
-    text = html_text(F.col("html"))
-    return pages.select("url", text.alias("text"), html_image(F.col("html")).alias("image_url"), F.when(F.length(text) > 0, 3).otherwise(0).alias("n_lines"))
+    """(url, text, image_url, n_lines) of raw (url, html) pages, as the crawl takes them.
+
+    The main text has a line for each block; the image is the declared one, else
+    the first of the main part.  The lines are those of an extractor's file, which ends with the image and one more.
+    """
+    parts = pages.select("url", main_parts(F.col("html")).alias("main"), declared_image(F.col("html")).alias("declared"))
+    return parts.select("url", F.array_join("main.lines", "\n").alias("text"), F.coalesce("declared", F.nullif("main.image", F.lit(""))).alias("image_url"), (F.size("main.lines") + 2).alias("n_lines"))
 
 
 NODE = "Title string, Source string, Topics string, Publication_date string, Body string, Original_link string, Link string, Representative_image string"

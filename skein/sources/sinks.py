@@ -22,8 +22,14 @@ def append_articles(articles: DataFrame, path: str) -> None:
 
 
 def replace_table(table: DataFrame, path: str) -> None:
-    """Put ``table``, which may be read from ``path``, in its place: written beside it first, then renamed."""
+    """Put ``table``, which may be read from ``path``, in its place: written beside it first, then renamed.
+
+    A run that dies between the two renames leaves the table as ``.old``, from
+    where :func:`recovered` puts it back; one that dies later leaves an ``.old``
+    that is deleted by the next.
+    """
     spark = table.sparkSession
+    recovered(spark, path)
     table.write.mode("overwrite").parquet(f"{path}.new")
     (here, files), (new, _), (old, _) = files_of(spark, path), files_of(spark, f"{path}.new"), files_of(spark, f"{path}.old")
     files.delete(old, True)
@@ -35,6 +41,14 @@ def replace_table(table: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def recovered(spark: SparkSession, path: str) -> str:
+    """``path``, whose table is put back if a run died while it was replacing it."""
+    (here, files), (old, _) = files_of(spark, path), files_of(spark, f"{path}.old")
+    if not files.exists(here) and files.exists(old) and not files.rename(old, here):
+        raise OSError(f"cannot put {path} back")
+    return path
+
+
 def save_text(spark: SparkSession, path: str, content: str) -> None:
     """One file of a text that the driver holds, on any file system."""
     at, files = files_of(spark, path)

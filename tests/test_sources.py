@@ -177,13 +177,65 @@ def test_replace_table(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("left", ["written", "moved", "placed"])
+def test_replace_table_after_a_crash(spark, tmp_path, left):
+    """A run died after the new table was written, after the old one was moved, or before that was deleted: nothing is lost, and the next run goes on."""
+    folder = tmp_path / "categories"
+    spark.range(3).withColumnRenamed("id", "urlid").write.parquet(str(folder))
+    new = spark.range(5).withColumnRenamed("id", "urlid")
+    new.write.parquet(f"{folder}.new")
+    if left != "written":
+        folder.rename(f"{folder}.old")
+    if left == "placed":
+        (tmp_path / "categories.new").rename(folder)
+    want = 5 if left == "placed" else 3
+    assert cli.read(spark, str(tmp_path), "categories", "urlid long").count() == want
+    sinks.replace_table(spark.range(7), str(folder))
+    assert cli.read(spark, str(tmp_path), "categories", "urlid long").count() == 7
+    assert not (tmp_path / "categories.old").exists() and not (tmp_path / "categories.new").exists()
+
+
+def test_lists_and_headers_over_their_bounds_are_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "stop").write_text("a\nb\nc\n")
+    monkeypatch.setattr(feeds, "MOST_STOPS", 3)
+    assert len(feeds.stop_list(spark, str(tmp_path / "stop"))) == 3
+    monkeypatch.setattr(feeds, "MOST_STOPS", 2)
+    with pytest.raises(ValueError, match="over 2 stop words"):
+        feeds.stop_list(spark, str(tmp_path / "stop"))
+    (tmp_path / "x.arff").write_text(ARFF + "% more\n" * 9)
+    assert arff.read(spark, str(tmp_path / "x.arff"), most=5)[1].count() == 2  # comments among the rows don't count
+    with pytest.raises(ValueError, match="over 4 lines"):
+        arff.read(spark, str(tmp_path / "x.arff"), most=4)
+    (tmp_path / "y.arff").write_text("@RELATION r\n@ATTRIBUTE a NUMERIC\n")
+    with pytest.raises(ValueError, match="no @DATA"):
+        arff.read(spark, str(tmp_path / "y.arff"))
+
+
 def test_stream_sees_each_key_once(spark, tmp_path):
-    rows = spark.createDataFrame([("2024-01-01 00:00:00", "u1"), ("2024-01-01 01:00:00", "u1"), ("2024-01-02 00:00:00", "u2")], "ts string, url string").withColumn("ts", F.to_timestamp("ts"))
-    rows.write.parquet(str(tmp_path / "in"))
-    seen = []
-    stream = crawl.first_seen(crawl.read_parquet(spark, str(tmp_path / "in"), "ts timestamp, url string", 10))
-    crawl.run_batches(stream, lambda df, _: seen.extend(r["url"] for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(seen) == ["u1", "u2"]
+    """Runs from one checkpoint: a key is recorded once, also a late one, and a run without new files adds nothing."""
+    paths = [str(tmp_path / x) for x in ("in", "out", "state")]
+
+    def run(*rows):
+        if rows:
+            spark.createDataFrame(rows, "ts string, url string").withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(paths[0])
+        crawl.record_first_sights(spark, paths[0], "ts timestamp, url string", paths[1], paths[2])
+        return sorted(((r["url"], str(r["ts"])[:10] if r["ts"] else None) for r in spark.read.schema("url string, ts timestamp").parquet(paths[1]).collect()), key=str)
+
+    assert run(("2024-01-02 05:00:00", "u1"), ("2024-01-02 00:00:00", "u1"), (None, "u1"), ("2024-01-03 00:00:00", "u2"), (None, "u0")) == [("u0", None), ("u1", "2024-01-02"), ("u2", "2024-01-03")]
+    assert run() == [("u0", None), ("u1", "2024-01-02"), ("u2", "2024-01-03")]
+    late = run(("2023-01-01 00:00:00", "u9"), ("2025-01-01 00:00:00", "u1"), ("2025-01-01 00:00:00", None), ("2025-01-02 00:00:00", "u2"))
+    assert late == sorted([(None, "2025-01-01"), ("u0", None), ("u1", "2024-01-02"), ("u2", "2024-01-03"), ("u9", "2023-01-01")], key=str)
+    assert spark.conf.get(crawl.PROVIDER) != crawl.ROCKS
+
+
+def test_stream_forgets_keys(spark, tmp_path):
+    paths = [str(tmp_path / x) for x in ("in", "out", "state")]
+    counts = []
+    for forget in (1, 1):
+        spark.createDataFrame([("u1",)], "url string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.mode("append").parquet(paths[0])
+        crawl.record_first_sights(spark, paths[0], "url string, ts timestamp", paths[1], paths[2], forget_ms=forget)
+        counts.append(spark.read.schema("url string, ts timestamp").parquet(paths[1]).count())
+    assert counts == [1, 2]
 
 
 def test_stream_windows(spark, tmp_path):
