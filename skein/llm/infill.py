@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import fresh
+from .numeric_text import gathered
 
 # Fixed values of the contract: sentinels, the salt, the shares of rewritten texts and of spm among them.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -86,13 +87,6 @@ def cuts(data: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarr
     return n, np.where(at == n, last, found)
 
 
-def gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The pieces of ``source`` one after another."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-
-
 def characters(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Code points between byte offsets."""
     upto = np.concatenate([np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)])

@@ -43,22 +43,23 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..checkpoints import deleted, files_of
-from .common import checkpointed, fresh, shared_path, words
+from ..checkpoints import deleted
+from . import numeric_text
+from .common import checkpointed, shared_path
+from .numeric_text import STEP, mixed
 
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-#: Marks of the start and the end of a text; no word has blanks.
-START, END = " ", "\n"
+#: The hashes of the marks before and after a text, those of two blanks, which no word has.
+START, END = numeric_text.words_hashed(np.frombuffer(b" \n", np.uint8), np.array([0, 1]), np.array([1, 2]))
 
 #: Fixed values of the contract: the share of held-out keys and what is added to each count.
 FOLDS = 10
 ADDED = 0.1
 
-#: Tokens that are counted or scored at once.
-BATCH = 1 << 21
+#: Tokens that are counted at once, and that are scored at once.
+BATCH = 1 << 22
+SCORED = 1 << 20
 
 #: Bytes of text for a segment, and the least number of segments.
 SEGMENT = 24 << 20
@@ -67,10 +68,6 @@ LEAST_SEGMENTS = 256
 #: Where the place in a segment ends and the segment begins in a word's number.
 PLACE_BITS = 40
 
-# Fixed values of a published 64-bit finalizer (splitmix64).
-MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
-STEP = np.uint64(0x9E3779B97F4A7C15)
-
 
 @dataclass(frozen=True)
 class Model:
@@ -99,13 +96,14 @@ def opened(spark: SparkSession, folder: str) -> Model:
     return Model(folder, row["segments"], row["tokens"], row["kept"], row["pairs"], tuple(row["pair_discounts"]), tuple(row["word_discounts"]), row["word_left"])
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL)
-
-
-def hashes(text: Column) -> Column:
-    """The hashes of a text's words between those of the marks."""
-    return F.concat(F.array(F.xxhash64(F.lit(START))), F.transform(words(lowered(text)), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(END))))
+def hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, texts, hashes, where each text's begin) of some texts at once; a text's words stand between the marks."""
+    for piece in numeric_text.pieces(texts, numeric_text.LOWER):
+        offsets = piece.bounds + 2 * np.arange(piece.docs + 1)
+        flat = np.empty(offsets[-1], np.uint64)
+        flat[offsets[:-1]], flat[offsets[1:] - 1] = START, END
+        flat[np.arange(len(piece.hashes)) + 2 * np.repeat(np.arange(piece.docs), np.diff(piece.bounds)) + 1] = piece.hashes
+        yield piece.first, piece.docs, flat, offsets
 
 
 def held_out(key: Column, folds: int = FOLDS) -> Column:
@@ -116,18 +114,9 @@ def held_out(key: Column, folds: int = FOLDS) -> Column:
 # Arrays in the shared folder.
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Each 64-bit number scrambled; different numbers stay different."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * MIX[1]
-    return x ^ (x >> np.uint64(31))
-
-
 def paired(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A hash for each pair of word numbers."""
-    with np.errstate(over="ignore"):
-        return mixed(mixed(v.astype(np.uint64) + STEP) ^ (w.astype(np.uint64) * STEP))
+    return mixed(mixed(v.astype(np.uint64) + STEP) ^ (w.astype(np.uint64) * STEP))
 
 
 def place_of(path: str) -> tuple[pafs.FileSystem, str]:
@@ -185,35 +174,22 @@ def number(folder: str, h: np.ndarray, segments: int) -> np.ndarray:
 # Counting.
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(batch, its hashes one after another, where each text's begin), of about ``BATCH`` tokens or one text."""
-    for batch in batches:
-        lists = batch.column(column)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        at = 0
-        while at < len(batch):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH, side="right")) - 1)
-            to = min(to, len(batch))
-            yield batch.slice(at, to - at), flat[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-            at = to
-
-
-def joined(parts: Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, whether each begins a text) of about ``BATCH`` tokens, from several batches."""
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, whether each begins a text) of about ``BATCH`` tokens, of one text at least."""
     have, size = [], 0
 
     def flat() -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([h for h, _ in have]), np.concatenate([b for _, b in have])
 
-    for _, h, offsets in parts:
-        begins = np.zeros(len(h), bool)
-        begins[offsets[:-1]] = True
-        have.append((h, begins))
-        size += len(h)
-        if size >= BATCH:
-            yield flat()
-            have, size = [], 0
+    for batch in batches:
+        for _, _, h, offsets in hashes(batch.column(0)):
+            begins = np.zeros(len(h), bool)
+            begins[offsets[:-1]] = True
+            have.append((h, begins))
+            size += len(h)
+            if size >= BATCH:
+                yield flat()
+                have, size = [], 0
     if have:
         yield flat()
 
@@ -228,24 +204,34 @@ def counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
     return values[first], np.add.reduceat(weights[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-def word_counts(tokens: DataFrame, folder: str, segments: int) -> tuple[int, int]:
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes that hold them all."""
+    return n.astype(np.min_scalar_type(int(n.max()))) if n.size else n.astype(np.uint8)
+
+
+def numbers(path: str, n: int, width: int = 1) -> np.ndarray:
+    """``n`` rows of ``width`` numbers that were written by :func:`narrow`."""
+    raw = mapped(path, np.uint8)
+    return raw.view(f"u{len(raw) // (n * width)}").reshape(n, width)
+
+
+def word_counts(texts: DataFrame, folder: str, segments: int) -> tuple[int, int]:
     """(tokens, different tokens) of the training texts, whose words are written with their uses."""
-    start = int(np.int64(tokens.sparkSession.range(1).select(F.xxhash64(F.lit(START))).first()[0]).view(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, _ in joined(pieces(batches, 0)):
+        for h, _ in joined(batches):
             h, n = counted(h)
             yield pa.RecordBatch.from_arrays([pa.array(segment_of(h, segments)), pa.array(h.view(np.int64)), pa.array(n)], ["segment", "h", "n"])
 
     def write(part: pa.Table) -> pa.Table:
         s = part.column("segment")[0].as_py()
         h, n = counted(part.column("h").to_numpy().view(np.uint64), part.column("n").to_numpy())
-        n = np.where(h == start, 0, n)  # the start mark is a context, no token
+        n = np.where(h == START, 0, n)  # the start mark is a context, no token
         put(f"{folder}/words/{s}.h", h)
-        put(f"{folder}/words/{s}.c", n)
+        put(f"{folder}/words/{s}.c", narrow(n))
         return pa.table({"tokens": [int(n.sum())], "kept": [int((n > 0).sum())]})
 
-    rows = tokens.mapInArrow(count, "segment long, h long, n long").groupBy("segment").applyInArrow(write, "tokens long, kept long")
+    rows = texts.mapInArrow(count, "segment long, h long, n long").groupBy("segment").applyInArrow(write, "tokens long, kept long")
     total = rows.agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept")).first()
     return total["tokens"] or 0, total["kept"] or 0
 
@@ -253,24 +239,26 @@ def word_counts(tokens: DataFrame, folder: str, segments: int) -> tuple[int, int
 STATS = ["total", "ones", "twos", "more", "before"]
 
 
-def pair_counts(tokens: DataFrame, folder: str, segments: int) -> DataFrame:
+def pair_counts(texts: DataFrame, folder: str, segments: int) -> DataFrame:
     """(id, total, ones, twos, more, before) of the word numbers of training, whose pairs are written with their uses.
 
     Pairs are dealt by their hash, so that no word's pairs meet in one task; each
-    segment gives its share of the sums for each word.  Rows of id -1 to -4 have
+    segment gives its share of the sums for each word.  They travel in the order
+    of their first words, which shuffles to fewer bytes.  Rows of id -1 to -4 have
     in ``total`` how many pairs were seen so often.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, begins in joined(pieces(batches, 0)):
+        for h, begins in joined(batches):
             names, at = np.unique(h, return_inverse=True)
             ids = number(folder, names, segments)[at]
             second = np.flatnonzero(~begins)
             v, w = ids[second - 1], ids[second]
             key = paired(v, w)
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            at = segment_of(key[first], segments)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(v[first]), pa.array(w[first]), pa.array(n)], ["segment", "v", "w", "n"])
+            key, first, n = np.unique(key, return_index=True, return_counts=True)
+            v, w, at = v[first], w[first], segment_of(key, segments)
+            order = np.lexsort((v, at))
+            yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (at, v, w, n)], ["segment", "v", "w", "n"])
 
     def write(part: pa.Table) -> pa.Table:
         s = part.column("segment")[0].as_py()
@@ -279,7 +267,7 @@ def pair_counts(tokens: DataFrame, folder: str, segments: int) -> DataFrame:
         _, n = counted(paired(v, w), n)
         v, w = v[first], w[first]
         put(f"{folder}/pairs/{s}.h", key)
-        put(f"{folder}/pairs/{s}.c", n.astype(np.min_scalar_type(int(n.max()))))
+        put(f"{folder}/pairs/{s}.c", narrow(n))
         ids, at = np.unique(np.concatenate([v, w]), return_inverse=True)
         of_v, of_w = at[: len(v)], at[len(v) :]
         sums = [np.bincount(of_v, n, len(ids)), *(np.bincount(of_v, test, len(ids)) for test in (n == 1, n == 2, n > 2)), np.bincount(of_w, minlength=len(ids))]
@@ -289,21 +277,31 @@ def pair_counts(tokens: DataFrame, folder: str, segments: int) -> DataFrame:
         return pa.table({"id": np.concatenate([ids, [-1, -2, -3, -4]]), **dict(zip(STATS, columns, strict=True))})
 
     schema = ", ".join(f"{c} long" for c in ["id", *STATS])
-    rows = tokens.mapInArrow(count, "segment long, v long, w long, n long").groupBy("segment").applyInArrow(write, schema)
+    rows = texts.mapInArrow(count, "segment long, v long, w long, n long").groupBy("segment").applyInArrow(write, schema)
     return rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in STATS])
 
 
-def write_stats(stats: DataFrame, folder: str) -> None:
-    """The sums of each word, next to its hash."""
+def write_stats(stats: DataFrame, folder: str) -> dict[str, int]:
+    """The sums of each word are written next to its hash.
+
+    Returns how many pairs were seen once to four times (``seen1`` to ``seen4``),
+    how many words come after one to four different ones (``before1`` to
+    ``before4``) and after more than two (``more``), and all pairs (``pairs``).
+    """
 
     def write(part: pa.Table) -> pa.Table:
-        s = part.column("segment")[0].as_py()
+        s, ids = part.column("segment")[0].as_py(), part.column("id").to_numpy()
+        if s < 0:
+            return pa.table({"name": [f"seen{-k}" for k in ids], "n": part.column("total")})
         out = np.zeros((len(mapped(f"{folder}/words/{s}.h", np.uint64)), len(STATS)), np.int64)
-        out[part.column("id").to_numpy() & ((1 << PLACE_BITS) - 1)] = np.stack([part.column(c).to_numpy() for c in STATS], axis=1)
-        put(f"{folder}/words/{s}.stats", out)
-        return pa.table({"segment": [s]})
+        out[ids & ((1 << PLACE_BITS) - 1)] = np.stack([part.column(c).to_numpy() for c in STATS], axis=1)
+        put(f"{folder}/words/{s}.stats", narrow(out))
+        before = out[:, STATS.index("before")]
+        sums = {f"before{k}": int((before == k).sum()) for k in (1, 2, 3, 4)} | {"more": int((before > 2).sum()), "pairs": int(before.sum())}
+        return pa.table({"name": list(sums), "n": list(sums.values())})
 
-    stats.where("id >= 0").withColumn("segment", F.shiftright("id", PLACE_BITS)).groupBy("segment").applyInArrow(write, "segment long").write.format("noop").mode("overwrite").save()
+    rows = stats.withColumn("segment", F.shiftright("id", PLACE_BITS)).groupBy("segment").applyInArrow(write, "name string, n long")
+    return {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.sum("n").alias("n")).collect()}
 
 
 def discounts(seen: list[int]) -> tuple[float, ...]:
@@ -323,18 +321,13 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
     folder = folder or shared_path(spark, "kneser-ney")
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     segments = max(LEAST_SEGMENTS, 1 + size // SEGMENT)
-    tokens = docs.select(hashes(F.col(f"`{text}`")).alias("h"))
-    n, kept = word_counts(tokens, folder, segments)
-    stats = checkpointed(pair_counts(tokens, folder, segments))
-    write_stats(stats, folder)
-    times = {r["id"]: r["total"] for r in stats.where("id < 0").collect()}
-    own = stats.where("id >= 0 and before > 0")
-    count = lambda k: F.count(F.when(F.col("before") == k, 1))
-    level = own.agg(F.sum("before").alias("pairs"), *[count(k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count(F.when(F.col("before") > 2, 1)).alias("more")).first()
-    taken = discounts([level[f"n{k}"] for k in (1, 2, 3, 4)])
-    pairs = level["pairs"] or 0
-    left = sum(d * c for d, c in zip(taken, [level["n1"], level["n2"], level["more"]], strict=True)) / pairs if pairs else 1.0
-    return Model(folder, segments, n, kept, pairs, discounts([times.get(-k, 0) for k in (1, 2, 3, 4)]), taken, left).saved(spark)
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
+    n, kept = word_counts(texts, folder, segments)
+    sums = write_stats(pair_counts(texts, folder, segments), folder)
+    count = lambda name: [sums.get(f"{name}{k}", 0) for k in (1, 2, 3, 4)]
+    taken, pairs = discounts(count("before")), sums.get("pairs", 0)
+    left = sum(d * c for d, c in zip(taken, [*count("before")[:2], sums["more"]], strict=True)) / pairs if pairs else 1.0
+    return Model(folder, segments, n, kept, pairs, discounts(count("seen")), taken, left).saved(spark)
 
 
 # Scoring.
@@ -350,9 +343,10 @@ def looked_up(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     for s, part, hit, spot in found(f"{model.folder}/words", h, model.segments):
         at, where = spot[hit], np.arange(part.start, part.stop)[hit]
         if len(at):
+            size = len(mapped(f"{model.folder}/words/{s}.h", np.uint64))
             ids[where] = (s << PLACE_BITS) + at
-            uses[where] = mapped(f"{model.folder}/words/{s}.c", np.int64)[at]
-            stats[where] = mapped(f"{model.folder}/words/{s}.stats", np.int64).reshape(-1, len(STATS))[at]
+            uses[where] = numbers(f"{model.folder}/words/{s}.c", size)[at, 0]
+            stats[where] = numbers(f"{model.folder}/words/{s}.stats", size, len(STATS))[at]
     return ids, uses, stats
 
 
@@ -362,9 +356,7 @@ def pair_uses(model: Model, keys: np.ndarray) -> np.ndarray:
     for s, part, hit, spot in found(f"{model.folder}/pairs", keys, model.segments):
         if hit.any():
             size = len(mapped(f"{model.folder}/pairs/{s}.h", np.uint64))
-            raw = mapped(f"{model.folder}/pairs/{s}.c", np.uint8)
-            counts = raw.view(f"u{len(raw) // size}")
-            out[np.arange(part.start, part.stop)[hit]] = counts[spot[hit]]
+            out[np.arange(part.start, part.stop)[hit]] = numbers(f"{model.folder}/pairs/{s}.c", size)[spot[hit], 0]
     return out
 
 
@@ -390,18 +382,18 @@ def token_scores(model: Model, h: np.ndarray, begins: np.ndarray) -> tuple[np.nd
 
 
 def text_scores(model: Model, h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """[tokens, known tokens, base score, score] of texts, ``BATCH`` tokens at once."""
+    """[tokens, known tokens, base score, score] of texts, ``SCORED`` tokens at once."""
     begins = np.zeros(len(h), bool)
     begins[offsets[:-1]] = True
     n = len(offsets) - 1
     text = np.repeat(np.arange(n), np.diff(offsets))
     sums = [np.diff(offsets) - 1, np.zeros(n, np.int64), np.zeros(n), np.zeros(n)]
-    for a in range(0, len(h), BATCH):
+    for a in range(0, len(h), SCORED):
         early = max(a - 1, 0)  # the word before the piece is its first context
-        first = begins[early : a + BATCH].copy()
+        first = begins[early : a + SCORED].copy()
         first[0] = True
-        known, base, score = (x[a - early :] for x in token_scores(model, h[early : a + BATCH], first))
-        of = text[a : a + BATCH]
+        known, base, score = (x[a - early :] for x in token_scores(model, h[early : a + SCORED], first))
+        of = text[a : a + SCORED]
         sums[1] += np.bincount(of, known, n).astype(np.int64)
         sums[2] += np.bincount(of, base, n)
         sums[3] += np.bincount(of, score, n)
@@ -414,18 +406,31 @@ RESULTS = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, n_known, base_score, score and perplexity of each text."""
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS])
-    (own,) = fresh(kept, "h")
-    given = kept.withColumn(own, hashes(F.col(f"`{text}`")))
-    width, names = len(kept.columns), kept.columns
+    names, at = kept.columns, kept.columns.index(text)
     kinds = [LongType(), LongType(), DoubleType(), DoubleType(), DoubleType()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, h, offsets in pieces(batches, width):
-            sums = text_scores(model, h, offsets)
+        for batch in batches:
+            parts: list[list[np.ndarray]] = []
+            have: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def flush() -> None:
+                sizes = np.concatenate([np.diff(o) for _, o in have])
+                parts.append(text_scores(model, np.concatenate([h for h, _ in have]), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])))
+                have.clear()
+
+            for _, _, h, offsets in hashes(batch.column(at)):
+                have.append((h, offsets))
+                if sum(len(x) for x, _ in have) >= SCORED:
+                    flush()
+            if have:
+                flush()
+            sums = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(4)]
             sums.append(10.0 ** (-sums[3] / sums[0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(x) for x in sums)], [*names, *RESULTS])
+            whole = [pa.array(x.astype(np.int64 if k < 2 else float)) for k, x in enumerate(sums)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *whole], [*names, *RESULTS])
 
-    return given.mapInArrow(score, StructType([*kept.schema.fields, *(StructField(c, t) for c, t in zip(RESULTS, kinds, strict=True))]))
+    return kept.mapInArrow(score, StructType([*kept.schema.fields, *(StructField(c, t) for c, t in zip(RESULTS, kinds, strict=True))]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

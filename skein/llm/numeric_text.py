@@ -111,8 +111,20 @@ class Piece:
         return np.concatenate([self.doc_of(at), short]), np.concatenate([hashes, whole])
 
 
-def pieces(texts: pa.Array) -> Iterator[Piece]:
-    """The documents of a text column, in order; null is an empty text."""
+#: Byte values that are in words: all but space and 0x09 to 0x0D.
+INSIDE = np.ones(256, bool)
+INSIDE[[32, *range(9, 14)]] = False
+
+#: What bytes are read as where the letters A to Z stand for small ones.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def pieces(texts: pa.Array, read_as: np.ndarray | None = None, inside: np.ndarray = INSIDE) -> Iterator[Piece]:
+    """The documents of a text column, in order; null is an empty text.
+
+    ``read_as``: what each of the 256 byte values is read as; ``inside``: which of them are in words.
+    """
     texts = texts.fill_null("").cast(pa.large_string())
     buffers = texts.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -120,13 +132,14 @@ def pieces(texts: pa.Array) -> Iterator[Piece]:
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, side="right")) - 1)
-        yield cut(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        part = data[offsets[first] : offsets[last]]
+        yield cut(first, part if read_as is None else read_as[part], offsets[first : last + 1] - offsets[first], inside)
         first = last
 
 
-def cut(first: int, data: np.ndarray, offsets: np.ndarray) -> Piece:
+def cut(first: int, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = INSIDE) -> Piece:
     docs = len(offsets) - 1
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    word = inside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
@@ -136,6 +149,13 @@ def cut(first: int, data: np.ndarray, offsets: np.ndarray) -> Piece:
     return Piece(first, docs, words_hashed(data, starts, ends), np.searchsorted(starts, offsets).astype(np.int64), data, starts, ends)
 
 
+def gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of ``source`` one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
 def counted(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, hash) and how often each occurs."""
     if not len(hashes):

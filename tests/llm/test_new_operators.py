@@ -116,6 +116,7 @@ def test_kneser_ney_in_pieces(docs, rows, monkeypatch):
     trained = [(k, t) for k, t, *_ in rows if zlib.crc32(b"" if k is None else str(k).encode()) % 10]
     model = kneser_ney.train(docs.where(~kneser_ney.held_out(F.col("doc_id"))))
     monkeypatch.setattr(kneser_ney, "BATCH", 7)
+    monkeypatch.setattr(kneser_ney, "SCORED", 7)
     monkeypatch.setattr(kneser_ney, "LEAST_SEGMENTS", 5)
     small = kneser_ney.train(docs.where(~kneser_ney.held_out(F.col("doc_id"))))
     assert (small.tokens, small.kept, small.pairs) == (model.tokens, model.kept, model.pairs) and small.segments == 5
