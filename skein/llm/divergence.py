@@ -29,13 +29,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpointed
+from .numeric_text import LOWER, STEP, U, gathered, mixed, pieces
 
 # Fixed values of the contract.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS = 30
 ADDED = 5
 SCALE = 1_000_000_000
@@ -47,12 +48,9 @@ CHUNK = 512
 #: Sources along each side of a tile.
 TILE = 256
 
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def terms(text: Column) -> Column:
-    """The terms of a text in order: runs of letters A to Z in either case and of all characters beyond ASCII."""
-    return F.regexp_extract_all(F.translate(text, CAPITALS, SMALL), F.lit(TERM), F.lit(0))
+#: Byte values that are in terms: the letters A to Z in either case, and all of characters beyond ASCII.
+IN_TERMS = np.zeros(256, bool)
+IN_TERMS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -68,15 +66,49 @@ def read(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
     return docs.select(given(lang).alias("lang"), given(source).alias("source"), given(text).alias("text"))
 
 
+def summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(an order in which equal keys are neighbours, where each different one begins in it, how often it is there)."""
+    order = np.argsort(keys)
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[order][1:] != keys[order][:-1]]))
+    return order, new, np.diff(np.append(new, len(keys)))
+
+
+def batch_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, source, term, n, documents) of a batch of (lang, source, text): uses of the term, and documents that have it.
+
+    Terms are told apart by 64-bit hashes within the batch, and written out once for each group.
+    """
+    lang, source = (batch.column(k).dictionary_encode() for k in (0, 1))
+    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    found, base = [], 0
+    for piece in pieces(batch.column(2), LOWER, IN_TERMS):
+        doc = np.repeat(np.arange(piece.docs), np.diff(piece.bounds))
+        order, new, n = summed(mixed(piece.hashes + mixed(doc.astype(U) * STEP)))
+        at = order[new]
+        found.append((group[piece.first + doc[at]], piece.hashes[at], n, base + piece.starts[at], piece.ends[at] - piece.starts[at], piece.data))
+        base += len(piece.data)
+    if not found:
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())], COUNTED)
+    of, h, n, starts, sizes, data = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, new, documents = summed(mixed(h + mixed(of.astype(U) * STEP)))
+    at = order[new]
+    uses = np.add.reduceat(n[order], new) if len(new) else n
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[at])])
+    term = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(gathered(data, starts[at], sizes[at]))).cast(pa.string())
+    names = [column.dictionary.take(pa.array(code)).cast(pa.string()) for column, code in ((lang, of[at] // len(source.dictionary)), (source, of[at] % len(source.dictionary)))]
+    return pa.RecordBatch.from_arrays([*names, term, pa.array(uses), pa.array(documents)], COUNTED)
+
+
+COUNTED = ["lang", "source", "term", "n", "documents"]
+
+
 def vectors(rows: DataFrame, least: int) -> DataFrame:
     """(lang, term, total, counts) of the kept terms; counts: (source, n) of the sources that have it, in order.
 
-    A document's terms are sorted, so that its first use of each is known in the
-    row, and uses and documents are summed up in one pass.
+    Each batch of texts is counted as a whole, so that a group's term is one row of it.
     """
-    in_order = F.transform(F.array(F.array_sort(terms(F.col("text")))), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (t == F.get(ts, i - 1)), 0).otherwise(1).alias("first"))))
-    uses = rows.select("lang", "source", F.inline(F.get(in_order, F.lit(0))))
-    counts = uses.groupBy("lang", "term", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("documents"))
+    parts = rows.mapInArrow(lambda batches: map(batch_counts, batches), "lang string, source string, term string, n long, documents long")
+    counts = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     by_term = counts.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("counts"))
     return by_term.where(F.col("documents") >= least).select("lang", "term", "total", F.array_sort("counts").alias("counts"))
 
