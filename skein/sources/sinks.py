@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import html
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import files_of
+from ..checkpoints import checkpointed, files_of
 from ..operators import similarity
 
 
@@ -97,27 +97,61 @@ def review_page(subject: str, message: str, action: str, hidden: dict[str, str]
     return f"<html><body><h1>{safe(subject)}</h1>{form}<h2>Please review the message below.</h2>{message}</body></html>"
 
 
-def matrix_lines(dissimilarity: DataFrame, names: DataFrame, corner: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The header and the rows of a square matrix as lines, in the order of the names.
+#: Columns of a matrix that are written as one piece of a line.
+COLUMNS = 1000
+
+
+def numbered(names: DataFrame) -> DataFrame:
+    """(name, at, ord): the names in the order of ``at``, numbered from 0 without a task for all."""
+    ordered = checkpointed(names.distinct().orderBy("at", "name").withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row for each partition
+    return ordered.withColumn("part", part).join(F.broadcast(starts), "part").select("name", "at", (F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord"))
+
+
+def write_matrix(dissimilarity: DataFrame, names: DataFrame, path: str, corner: str | None = None) -> None:
+    """A square matrix as text, in the order of the names: a header of the names, then each name with its row.
 
     ``names``: (name, at) with the text and the sort key of each; the header has
     one field less than a row, unless ``corner`` is given.  Pairs without a row
     of (i, j, d) have d = 1, a name and itself 0.
+
+    Lines are made in pieces of ``COLUMNS`` columns, which meet the distances of
+    their columns only; no table of all names is sent to the lines.  The pieces of
+    a line are joined in order, as a line is one row of a text file.
     """
-    listed = names.agg(F.array_sort(F.collect_set(F.struct("at", "name"))).alias("all"))
-    heads = F.transform("all", lambda x: x["name"])
-    top = listed.select(F.concat_ws(",", *([corner] if corner is not None else []), heads).alias("value"))
-    known = dissimilarity.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "d"))).alias("ds"))
-    rows = names.distinct().join(known, F.col("name") == F.col("i"), "left").crossJoin(F.broadcast(listed))
-    value = lambda x: F.coalesce(F.try_element_at("ds", x["name"]), F.when(x["name"] == F.col("name"), 0.0).otherwise(1.0)).cast("string")
-    lines = rows.orderBy("at").select(F.concat_ws(",", "name", F.transform("all", value)).alias("value"))
-    return top.coalesce(1), lines
+    listed = checkpointed(numbered(names))
+    n = listed.count()
+    blocks, block = -(-n // COLUMNS), F.floor(F.col("ord") / COLUMNS)
+    heads = listed.groupBy(block.alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ",").alias("text"))
+    comma = F.lit(",") if corner is not None else F.when(F.col("b") > 0, F.lit(",")).otherwise(F.lit(""))
+    first = F.when(F.col("b") == 0, F.lit(corner or "")).otherwise(F.lit(""))
+    header = heads.select(F.lit(-1).cast("long").alias("line"), "b", F.concat(first, comma, "text").alias("value"))
+    one, two = (listed.select(F.col("name").alias(k), F.col("ord").alias(f"o{k}")) for k in "ij")
+    cells = dissimilarity.join(one, "i").join(two, "j").select(F.col("oi").alias("line"), F.floor(F.col("oj") / COLUMNS).alias("b"), F.struct((F.col("oj") % COLUMNS).alias("at"), "d").alias("cell"))
+    known = cells.groupBy("line", "b").agg(F.map_from_entries(F.collect_list("cell")).alias("ds"))
+    pieces = listed.select("name", F.col("ord").alias("line"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b")).join(known, ["line", "b"], "left")
+    width = F.least(F.lit(COLUMNS), F.lit(n) - F.col("b") * COLUMNS)
+    own = lambda x: F.when(F.col("b") * COLUMNS + x == F.col("line"), 0.0).otherwise(1.0)
+    values = F.transform(F.sequence(F.lit(0).cast("long"), width - 1), lambda x: F.coalesce(F.try_element_at("ds", x), own(x)).cast("string"))
+    body = pieces.select("line", "b", F.concat(F.when(F.col("b") == 0, F.col("name")).otherwise(F.lit("")), F.lit(","), F.array_join(values, ",")).alias("value"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "value"))), lambda x: x["value"]), "")
+    header.union(body).groupBy("line").agg(whole.alias("value")).orderBy("line").select("value").write.mode("overwrite").text(path)
 
 
 def matrix_csv(dissimilarity: DataFrame, path: str) -> None:
     """A square matrix of (i, j, d); each row begins with its name, the header holds the names only."""
     names = dissimilarity.select(F.col("i").cast("string").alias("name")).distinct().withColumn("at", F.col("name"))
-    ordered_text(path, *matrix_lines(dissimilarity, names))
+    write_matrix(dissimilarity, names, path)
+
+
+def all_dissimilarities(vectors: DataFrame) -> DataFrame:
+    """(i, j, d) of all ordered pairs of documents that share a term, compared by blocks."""
+    norms = vectors.groupBy("urlid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = checkpointed(vectors.join(norms, "urlid").where("norm > 0").select("urlid", "term", (F.col("w") / F.col("norm")).alias("w")))
+    pairs = similarity.block_pairs(unit, 0.0, "urlid", None).select("i", "j", similarity.dissimilarity(F.col("sim")).alias("d"))
+    return pairs.select(F.inline(F.array(F.struct("i", "j", "d"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "d"))))
 
 
 def corpus_export(vectors: DataFrame, labels: DataFrame, path: str) -> None:
@@ -126,28 +160,29 @@ def corpus_export(vectors: DataFrame, labels: DataFrame, path: str) -> None:
     A document of several categories goes by the last of them in ``corpus.csv``.
     The categories are a short list that a person wrote.
     """
-    centres = similarity.centroids(vectors, labels)
+    centres = checkpointed(similarity.centroids(vectors, labels))
     named = lambda df, k: df.select(F.col("category").alias(k), "term", "w")
     matrix_csv(similarity.sparse_dissimilarity(named(centres, "i"), named(centres, "j"), "i", "j"), f"{path}/models.csv")
     last = labels.groupBy("urlid").agg(F.max("category").alias("category"))
-    between = similarity.sparse_dissimilarity(vectors.withColumnRenamed("urlid", "i"), vectors.withColumnRenamed("urlid", "j"), "i", "j")
-    to_centre = similarity.sparse_dissimilarity(vectors, centres, "urlid", "category")
+    between = checkpointed(all_dissimilarities(vectors))
+    to_centre = checkpointed(similarity.sparse_dissimilarity(vectors, centres, "urlid", "category"))
     label = lambda key, cat: F.concat_ws(" ", F.col(key).cast("string"), cat)
 
     def with_names(pairs: DataFrame, of: DataFrame) -> DataFrame:
         one, two = (of.select(F.col("urlid").alias(k), label("urlid", F.col("category")).alias(f"n{k}")) for k in "ij")
         return pairs.join(one, "i").join(two, "j").select(F.col("ni").alias("i"), F.col("nj").alias("j"), "d")
 
-    names = last.join(vectors.select("urlid").distinct(), "urlid", "left_semi")
+    there = vectors.select("urlid").distinct()
+    names = last.join(there, "urlid", "left_semi")
     listed = names.select(label("urlid", F.col("category")).alias("name"), F.col("urlid").alias("at"))
-    ordered_text(f"{path}/corpus.csv", *matrix_lines(with_names(between, names), listed))
+    write_matrix(with_names(between, names), listed, f"{path}/corpus.csv")
     for row in labels.select("category").distinct().orderBy("category").toLocalIterator():
-        own = labels.where(F.col("category") == row["category"]).join(vectors.select("urlid").distinct(), "urlid", "left_semi").distinct()
+        own = labels.where(F.col("category") == row["category"]).join(there, "urlid", "left_semi").distinct()
         centre = to_centre.where(F.col("category") == row["category"]).select(label("urlid", F.col("category")).alias("n"), "d")
         edges = centre.select(F.lit(row["category"]).alias("i"), F.col("n").alias("j"), "d").union(centre.select("n", F.lit(row["category"]), "d"))
         spots = own.select(label("urlid", F.col("category")).alias("name"), F.col("urlid").alias("at"))
         head = own.sparkSession.createDataFrame([(row["category"], None)], "name string, at long")
-        ordered_text(f"{path}/{row['category']}.csv", *matrix_lines(with_names(between, own).union(edges), head.union(spots)))
+        write_matrix(with_names(between, own).union(edges), head.union(spots), f"{path}/{row['category']}.csv")
 
 
 def scores_csv(scores: DataFrame, path: str) -> None:

@@ -290,7 +290,7 @@ def test_svm(spark):
     rng = np.random.default_rng(3)
     points = [(Vectors.dense(p), float(p @ p < 1)) for p in rng.normal(size=(120, 2))]
     ring = spark.createDataFrame(points, ["features", "label"])
-    c, g, accuracy = classify.svm_grid(ring, [-1, 3], [1, -9], folds=2, dims=32)
+    c, g, accuracy = classify.svm_grid(ring, [-1, 3], [1, -9], folds=2)
     assert g == 1 and accuracy > 0.8
     p = classify.svm_probability(spark.createDataFrame([(Vectors.dense([x, 1.0]), float(x > 0)) for x in rng.normal(size=80)], ["features", "label"]), 1)
     out = p.transform(spark.createDataFrame([(Vectors.dense([3.0, 1.0]),), (Vectors.dense([-3.0, 1.0]),)], ["features"])).collect()
@@ -332,6 +332,62 @@ def test_nearest(spark):
     assert classify.vote(classify.nearest(v, v.where("vec_id = 0"), 3)).count() == 1
 
 
+def test_svm_finds_the_margin():
+    """On four points the machine is the one known in closed form, and the whole grid is searched."""
+    x, y = np.array([[-1.0], [1.0], [-3.0], [3.0]]), np.array([-1.0, 1.0, -1.0, 1.0])
+    weights = classify.trained_svm(x @ x.T + 1, y, 10.0)
+    assert np.allclose(weights, [-0.5, 0.5, 0, 0], atol=1e-2)
+    assert len(classify.C_EXPONENTS) * len(classify.G_EXPONENTS) == 110
+
+
+def test_svm_scores_of_all_points(spark):
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(90, 2))
+    inside = (points**2).sum(1) < 1
+    rows = spark.createDataFrame([(Vectors.dense(p), float(i)) for p, i in zip(points, inside, strict=True)], ["features", "label"])
+    got = {(r["c"], r["g"]): r["accuracy"] for r in classify.svm_scores(rows).collect()}
+    assert len(got) == 110
+    best = max(got.values())
+    assert best > 0.9 > got[-5, -15]
+    assert classify.svm_grid(rows)[2] == best
+
+
+@pytest.mark.parametrize("together", [17, 2000])
+def test_knn_by_blocks_is_the_plain_vote(spark, monkeypatch, together):
+    monkeypatch.setattr(classify, "TOGETHER", together)
+    rng = np.random.default_rng(2)
+    x, label, fold = rng.poisson(0.7, (80, 6)).astype(float), rng.integers(0, 2, 80).astype(float), rng.integers(0, 4, 80)
+    rows = spark.createDataFrame([(k, Vectors.dense(x[k]), float(label[k]), int(fold[k])) for k in range(80)], ["urlid", "features", "label", "fold"])
+    right = 0
+    for k in range(80):
+        near = sorted((((x[k] - x[j]) ** 2).sum(), j) for j in range(80) if fold[j] != fold[k])[:3]
+        right += (sum(label[j] for _, j in near) >= 2) == (label[k] == 1)
+    assert classify.knn_accuracy(rows) == pytest.approx(right / 80)
+
+
+def test_landmarks_keep_the_distances_of_a_plane(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(120, 2))
+    far = lambda a, b: float(np.linalg.norm(points[a] - points[b]))
+    near = spark.createDataFrame([(i, j, far(i, j)) for i in range(120) for j in range(0, 120, 12)], "i long, j long, d double")
+    found = {r["i"]: (r["y1"], r["y2"]) for r in evaluate.placed(near, spark.createDataFrame([(j,) for j in range(0, 120, 12)], "j long")).collect()}
+    assert len(found) == 120
+    for a, b in [(0, 1), (5, 77), (13, 119), (50, 51)]:
+        assert math.dist(found[a], found[b]) == pytest.approx(far(a, b), abs=1e-6)
+
+
+def test_scaled_documents_keep_groups_apart(spark):
+    """Three groups of documents with words of their own, and one document without a common word."""
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"g{k % 3}w{int(x)}" for x in r.zipf(1.3, 30) % 25) for k in range(60)] + ["alone"]
+    v = vocabulary.vectors(docs(spark, *texts))
+    found = {r["urlid"]: np.array([r["y1"], r["y2"]]) for r in evaluate.scaled_documents(v, landmarks=30).collect()}
+    assert set(found) == set(range(61))
+    centres = [np.mean([found[k] for k in range(g, 60, 3)], axis=0) for g in range(3)]
+    spread = max(np.linalg.norm(found[k] - centres[k % 3]) for k in range(60))
+    assert all(np.linalg.norm(centres[a] - centres[b]) > 2 * spread for a in range(3) for b in range(a))
+
+
 def test_dissimilarity_clamps(spark):
     assert spark.range(1).select(similarity.dissimilarity(F.lit(1.0)).alias("d")).first()["d"] == 0
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import functools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,24 @@ def test_corpus_export(spark, tmp_path):
     assert own[1].split(",")[2] == own[2].split(",")[1]
 
 
+def test_matrix_in_pieces(spark, tmp_path, monkeypatch):
+    """Lines in pieces of three columns over several files are the bytes of the plain matrix."""
+    r = random.Random(4)
+    names = [f"n{k}" for k in range(20)]
+    cells = {(a, b): round(r.random(), 3) for a in names for b in names if a != b and r.random() < 0.3}
+    d = spark.createDataFrame([(a, b, x) for (a, b), x in cells.items()] + [("n3", "n3", 0.25)], "i string, j string, d double").repartition(5)
+    spots = spark.createDataFrame([(n, 100 - k) for k, n in enumerate(names)], "name string, at int").repartition(4)
+    order = names[::-1]
+    want = ",".join(order) + "\n" + "".join(f"{a}," + ",".join(str(cells.get((a, b), 0.25 if a == b == "n3" else 0.0 if a == b else 1.0)) for b in order) + "\n" for a in order)
+    for width in (3, 1000):
+        monkeypatch.setattr(sinks, "COLUMNS", width)
+        sinks.write_matrix(d, spots, str(tmp_path / f"m{width}"))
+        sinks.write_matrix(d, spots, str(tmp_path / f"c{width}"), corner="x")
+        whole = lambda name: "".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*")))
+        assert whole(f"m{width}") == want
+        assert whole(f"c{width}") == "x," + want
+
+
 def test_arff_folder_is_in_order(spark, tmp_path):
     arff.write(spark.createDataFrame([("a",), ("b",)], "c string").repartition(2), arff.Header("r", "", [("c", "STRING")]), str(tmp_path / "o"))
     text = lines_of(tmp_path / "o")
