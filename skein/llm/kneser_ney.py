@@ -36,6 +36,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -315,6 +316,18 @@ def discounts(seen: list[int]) -> tuple[float, ...]:
     return tuple(out)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each query that is run in this block are deleted when it ends; none is run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Model:
     """A model of the texts, written to ``folder``, a new one in the checkpoint folder if there is none."""
     spark = docs.sparkSession
@@ -322,8 +335,9 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     segments = max(LEAST_SEGMENTS, 1 + size // SEGMENT)
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    n, kept = word_counts(texts, folder, segments)
-    sums = write_stats(pair_counts(texts, folder, segments), folder)
+    with shuffles_deleted(spark):
+        n, kept = word_counts(texts, folder, segments)
+        sums = write_stats(pair_counts(texts, folder, segments), folder)
     count = lambda name: [sums.get(f"{name}{k}", 0) for k in (1, 2, 3, 4)]
     taken, pairs = discounts(count("before")), sums.get("pairs", 0)
     left = sum(d * c for d, c in zip(taken, [*count("before")[:2], sums["more"]], strict=True)) / pairs if pairs else 1.0
