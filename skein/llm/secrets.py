@@ -4,9 +4,12 @@ The base patterns find assignments to secret-like names, access key ids and long
 hex runs.  The method adds strings that look random: tokens of 20 or more key
 characters, but rules of signs only, are scored by the log-likelihood ratio,
 per character, of two character Markov models of order two, one of random
-strings and one of ordinary identifiers.  Both are trained on labelled samples
-written here (``SAMPLE`` strings each, fixed seed); the threshold leaves
-``FALSE_RATE`` of held-out identifiers above it.
+strings and one of ordinary names: identifiers of code, paths and slugs, and
+long words and compounds of four languages.  Both are trained on labelled
+samples written here (``SAMPLE`` strings each, fixed seed).  The threshold is
+calibrated on held-out strings: it loses ``MISS_RATE`` of random ones of the
+least length, and if over ``FALSE_RATE`` of the names were above that, it is the
+one that leaves as many.
 
 Cases: as in :mod:`.pii`; added spans have the kind ``random`` and do not
 overlap base spans.
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 KINDS = ["assign", "access", "hex"]
 SAMPLE = 4000
 FALSE_RATE = 0.001
+MISS_RATE = 0.003
 LEAST = 20
 
 # Fixed patterns of the base spans.
@@ -52,6 +56,29 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+# Words whose letters stand for those of ordinary long words, by language; compounds are made of them.
+STEMS = {
+    "en": "electro encephalo graphic ally pneumono ultra micro scopic silico volcano coniosis counter revolution ary under standing inter national ization photo synthesis character istic psycho logical responsi bility environ mental straight forward know ledge through thought strength neighbour hood develop ment government experience question because",
+    "de": "donau dampf schiff fahrts gesellschaft kapitän rechts schutz versicherungs arbeits platz geschwindig keits begrenzung kraft fahrzeug haft pflicht grund stücks verkehrs genehmigung zuständig wissen schaft licher unab hängig keits erklärung straßen bahn halte stelle möglich über setzung freund schaft entwick lung zwischen",
+    "fr": "anti constitution nelle ment inter gouverne mentale électro magnétique développe ment extra ordinaire ment aujourd hui quelque fois beaucoup longue ment compréhen sible environne mental responsabil ité philosophique heureuse malheureuse ment vraisembl able travail leurs chercheuse lumière",
+    "es": "electro encefalo grafista anti constitucional mente desafortunada mente responsabil idad inter nacionaliz ación extra ordinaria conocimi ento desarrollo sostenible medio ambiental otorrino laringólogo imprescindible agradecimi ento trabaja dores pueblos ciudades llegar siempre caracter ística",
+}
+
+
+def long_words(r: random.Random, n: int) -> list[str]:
+    """Compounds of one language in the cases of a text, without letters that keys don't have."""
+    plain = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "é": "e", "è": "e", "ó": "o", "í": "i"})
+    parts = {lang: words.translate(plain).split() for lang, words in STEMS.items()}
+    out = []
+    for _ in range(n):
+        own = parts[r.choice(list(parts))]
+        word = r.choice(own)
+        while len(word) < LEAST:
+            word += r.choice(["", "", "", "-"]) + r.choice(own)
+        out.append(r.choice([str, str, str.capitalize, str.upper])(word))
+    return out
+
+
 def identifiers(r: random.Random, n: int) -> list[str]:
     """Ordinary names: words of syllables in the styles of code, paths, slugs and headings."""
     folders = "usr local lib bin home etc var opt src include share main java com org www http https html php assets images site packages python node modules dist build test tests docs static media css js api v1 v2".split()
@@ -104,9 +131,10 @@ def ratio(s: str, models: tuple[np.ndarray, np.ndarray]) -> float:
 def model(seed: int = 23) -> tuple[tuple[np.ndarray, np.ndarray], float]:
     """Both models, and the threshold of the ratio."""
     r = random.Random(seed)
-    models = (fitted(randoms(r, SAMPLE)).astype(np.float32), fitted(identifiers(r, SAMPLE)).astype(np.float32))
-    held = sorted(ratio(s, models) for s in identifiers(r, SAMPLE))
-    return models, max(0.0, held[int(len(held) * (1 - FALSE_RATE)) - 1])
+    names = lambda: identifiers(r, SAMPLE // 2) + long_words(r, SAMPLE // 2)
+    models = (fitted(randoms(r, SAMPLE)).astype(np.float32), fitted(names()).astype(np.float32))
+    ordinary, odd = (sorted(ratio(s, models) for s in held) for held in (names(), [s[:LEAST] for s in randoms(r, SAMPLE)]))
+    return models, max(ordinary[int(SAMPLE * (1 - FALSE_RATE)) - 1], odd[int(SAMPLE * MISS_RATE)])
 
 
 #: Identifiers that are random by their nature, but no secrets.

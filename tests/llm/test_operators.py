@@ -321,6 +321,17 @@ def test_secrets_recall_of_spans(alphabet):
     assert not any(found(c * 30) for c in "-_=+/")
 
 
+@pytest.mark.parametrize(
+    "word",
+    "electroencephalographically pneumonoultramicroscopicsilicovolcanoconiosis Donaudampfschifffahrtsgesellschaft Betaeubungsmittelverschreibungsverordnung "
+    "Siebentausendzweihundertvierundfuenfzig supercalifragilisticexpialidocious floccinaucinihilipilification hydrochlorofluorocarbon otorrinolaringologico anticonstitutionnellement "
+    "antidisestablishmentarianism Kraftfahrzeughaftpflichtversicherung getUserAccountSettingsController".split(),
+)
+def test_long_words_are_no_secrets(word):
+    for form in (word, word.lower(), word.upper()):
+        assert secrets.all_spans(f"the word {form} here", secrets.model()) == ([], [])
+
+
 def test_urls(spark):
     rows = ["http://A.COM/en/x?q#f", "https://example.com/en/7", "http://x.example.net/de/81", "http://example.net/de/9", "no scheme", None, "http://example.org/es/?a", "http://org", "ftp://a.notcom/en/1", "http://h?x/y", "http://.com/en/"]
     got = {r["page_id"]: r for r in urls.digest(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
