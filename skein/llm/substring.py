@@ -15,7 +15,9 @@ changed.  Runs have one bucketing, so they are merge-joined without a shuffle,
 with one another and with a new batch's; ``compact`` merges them into one.
 Fingerprints that occur twice or more over the runs are candidates.  An index
 that is kept also holds, as runs of the same form, the first place of each
-different passage of the candidates seen so far.
+different passage of the candidates seen so far.  What it holds is written down
+with each batch that is done, so another session goes on with :meth:`FingerprintIndex.reopened`;
+runs of a batch that was not done are dropped then, and the batch can be judged again.
 
 Verification.  Only windows whose fingerprint is a candidate are hashed in full,
 with word hashes that are independent of the fingerprint's, so windows count as
@@ -54,7 +56,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import deleted
+from ..checkpoints import deleted, files_of
 from .common import broadcast_if_small, checkpointed, shared_path
 from .numeric_text import WORDS_BASE, Piece, U, mixed, pieces, spans_hashed
 
@@ -156,8 +158,9 @@ def fingerprints(rows: DataFrame) -> DataFrame:
 class FingerprintIndex:
     """Runs of (h, n, first): a fingerprint, how often it occurred and its first (batch, doc, tie, place).
 
-    ``passages``: runs of (h, digest, first) of the different arrays of candidates,
+    ``passages``: runs of (h, first) of the different arrays of candidates,
     written by an index that is kept (``keep``).  ``buckets`` is fixed for all runs.
+    ``states`` counts how often what it holds was written down.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, most_runs: int = MOST_RUNS, keep: bool = True):
@@ -166,9 +169,42 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.most_runs = most_runs
         self.keep = keep
-        self.batches = 0
+        self.batches = self.states = 0
         self.runs: list[str] = []
         self.passages: list[str] = []
+        self.merged_away: list[str] = []
+
+    def commit(self) -> None:
+        """Write down what the index holds, as the state that :meth:`reopened` finds; the one before, and runs that were merged, are deleted after that."""
+        self.states += 1
+        row = (self.buckets, self.most_runs, self.batches, self.runs, self.passages)
+        state = self.spark.createDataFrame([row], "buckets int, most_runs int, batches int, runs array<string>, passages array<string>")
+        state.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state_{self.states}")
+        deleted(self.spark, f"{self.path}/state_{self.states - 1}")
+        self.drop(self.merged_away)
+        self.merged_away = []
+
+    @classmethod
+    def reopened(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index at ``path`` as it was last written down, also by another session, whose tables are declared again."""
+        at, files = files_of(spark, path)
+        names = [f.getPath().getName() for f in files.listStatus(at)]
+        done = [int(n.removeprefix("state_")) for n in names if n.startswith("state_") and files.exists(files_of(spark, f"{path}/{n}/_SUCCESS")[0])]
+        if not done:
+            raise ValueError(f"no index at {path}")
+        row = spark.read.parquet(f"{path}/state_{max(done)}").first()
+        index = cls(spark, path, row["buckets"], row["most_runs"])
+        index.batches, index.states, index.runs, index.passages = row["batches"], max(done), list(row["runs"]), list(row["passages"])
+        held = {*index.runs, *index.passages}
+        for name in names:
+            if name.startswith("run_") and name not in held:
+                spark.sql(f"drop table if exists {name}")
+                deleted(spark, f"{path}/{name}")
+        for name in sorted(held):
+            schema = spark.read.parquet(f"{path}/{name}").schema
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+            spark.sql(f"create table if not exists {name} ({columns}) using parquet clustered by (h) sorted by (h) into {index.buckets} buckets location '{path}/{name}'")
+        return index
 
     def write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
@@ -203,9 +239,14 @@ class FingerprintIndex:
         return out
 
     def compact(self) -> None:
-        """Merge the runs into one; the old ones are dropped after that is written."""
+        """Merge the runs into one, and those of passages; the old ones are dropped then, or, if a state that was written down needs them, with the next."""
         old, self.runs = self.runs, [self.write(self.merged())]
-        self.drop(old)
+        if len(self.passages) > 1:
+            old, self.passages = old + self.passages, [self.write(reduce(DataFrame.union, [self.spark.table(p).select("h", "first") for p in self.passages]).distinct())]
+        if self.states:
+            self.merged_away += old
+        else:
+            self.drop(old)
 
     def repeated(self) -> DataFrame:
         return self.merged().where("n > 1")
@@ -218,8 +259,9 @@ class FingerprintIndex:
 
     def close(self) -> None:
         """Drop all runs and their files."""
-        self.drop([*self.runs, *self.passages])
-        self.runs, self.passages = [], []
+        self.drop([*self.runs, *self.passages, *self.merged_away])
+        deleted(self.spark, f"{self.path}/state_{self.states}")
+        self.runs, self.passages, self.merged_away = [], [], []
 
 
 def copies(marks: DataFrame) -> DataFrame:
@@ -396,6 +438,7 @@ def deduplicated(docs: DataFrame, index: FingerprintIndex | None = None, past: D
     if index.keep:
         now = checkpointed(now)
         index.passages.append(index.write(now.select("h", F.struct("batch", *KEY, F.col("gram").alias("place")).alias("first"))))
+        index.commit()
     places = flagged.select(*KEY, F.concat("cold", "hot").alias("places"))
     out = kept_words(dealt, places, now.select(*KEY, "place", "mask"), copy_ids, with_texts)
     if temporary:

@@ -179,6 +179,30 @@ def test_substrings_of_new_batches(spark, monkeypatch, hot):
     assert got == brute.substrings(rows)
 
 
+def test_index_is_reopened(spark, tmp_path):
+    """Each batch by a session of its own that knows no table; one dies after it added its run, and the batch is judged again."""
+    r = random.Random(5)
+    passages = [prose(r, n) for n in (22, 40, 61)]
+    rows = [(i, " ".join([prose(r, r.randint(3, 30))] + [x for p in passages if r.random() < 0.5 for x in (p, prose(r, 4))])) for i in range(40)]
+    docs, path, got = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "index"), {}
+    with pytest.raises(Exception, match="index"):
+        substring.FingerprintIndex.reopened(spark, path)
+    for k, (low, high) in enumerate([(0, 8), (8, 20), (20, 22), (22, 33), (33, 40)]):
+        batch, past = docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high)), docs.where(F.col("doc_id") < low)
+        index = substring.FingerprintIndex.reopened(spark, path) if k else substring.FingerprintIndex(spark, path, buckets=3, most_runs=2)
+        if k in (2, 3):
+            index.append(substring.with_text(batch, always=True))  # and dies; the third of these merges runs that the last state needs
+            index = substring.FingerprintIndex.reopened(spark, path)
+        out = substring.deduplicated(batch, index, past, with_texts=False)
+        got |= {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in out.collect()}
+        assert index.batches == k + 1 and len(index.runs) <= 2 and len(index.passages) <= 3
+        kept = {f.name for f in (tmp_path / "index").iterdir() if f.name.startswith("run_")}
+        assert kept == {*index.runs, *index.passages}
+        for name in kept:
+            spark.sql(f"drop table {name}")
+    assert got == brute.substrings(rows)
+
+
 def test_substrings_structured_and_long(spark):
     """Words that a polynomial hash takes for equal, and a text of a million words."""
     tm = "a"
