@@ -46,14 +46,50 @@ def unescape_html(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+# Letters of other scripts in Latin ones, the longest first where several are one sound.
+SPELT = {"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "œ": "oe", "Œ": "OE", "đ": "d", "ł": "l", "Ł": "L", "–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "€": "EUR"}
+GREEK = {
+    "ου": "ou", "αυ": "au", "ευ": "eu", "γγ": "ng", "γχ": "nch",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x",
+    "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "ґ": "g", "д": "d", "е": "e", "ё": "io", "є": "ie", "ж": "zh", "з": "z", "и": "i", "й": "i", "і": "i", "ї": "i", "ј": "j", "к": "k", "л": "l",
+    "љ": "lj", "м": "m", "н": "n", "њ": "nj", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "ћ": "c", "ђ": "dj", "у": "u", "ў": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "џ": "dz",
+    "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+}
+
+
+def in_latin() -> tuple[re.Pattern, dict[str, str]]:
+    """A pattern that matches the longest letters of the tables, and what each is in Latin; a capital's first letter is one.
+
+    Letters are found after marks were taken off, but for those that are letters of their own (as й and ё).
+    """
+    table = dict(SPELT)
+    for letters, latin in (GREEK | CYRILLIC).items():
+        table[letters] = latin
+        for other in {letters.upper(), letters.capitalize()}:
+            table.setdefault(other, latin.upper() if len(letters) > 1 and other.isupper() else latin.capitalize())
+    return re.compile("|".join(sorted(map(re.escape, table), key=len, reverse=True))), table
+
+
+LETTERS, LATIN = in_latin()
+
+
+def ascii_text(text: str) -> str:
+    """Closest ASCII: Greek and Cyrillic letters and a few others spelt out, then other letters without their marks, the rest dropped."""
+    if text.isascii():
+        return text
+    spelt = LETTERS.sub(lambda m: LATIN[m[0]], unicodedata.normalize("NFC", text))
+    # Marks go one letter at a time, so that marked letters of the tables are found without them.
+    plain = "".join(c for c in unicodedata.normalize("NFKD", spelt) if not unicodedata.combining(c))
+    return LETTERS.sub(lambda m: LATIN[m[0]], plain).encode("ascii", "ignore").decode()
+
+
 @pandas_udf(StringType())
 def to_ascii(texts: pd.Series) -> pd.Series:
-    """Closest ASCII: compatibility decomposition without marks, a few letters spelt out, the rest dropped.
-
-    An approximation of full transliteration, which needs tables of whole scripts.
-    """
-    spelt = str.maketrans({"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "œ": "oe", "Œ": "OE", "đ": "d", "ł": "l", "Ł": "L", "–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "€": "EUR"})
-    return texts.map(lambda t: unicodedata.normalize("NFKD", t.translate(spelt)).encode("ascii", "ignore").decode(), na_action="ignore")
+    """Closest ASCII, as :func:`ascii_text`; scripts other than Latin, Greek and Cyrillic are dropped."""
+    return texts.map(ascii_text, na_action="ignore")
 
 
 def unescape_backslashes(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import broadcast_if_small, checkpointed
 
 #: Cutoffs from which pairs are found by an index that leaves out common terms.
-SPARSE = 0.4
+SPARSE = 0.7
 
 #: Documents that are compared with as many others at once.
 BLOCK = 1000

@@ -271,8 +271,9 @@ def prepare_rules(spark, d):
 
 @query()
 def prepare_articles(spark, d):
+    """The whole daily run, by stems."""
     arts = relational.with_categories(A.articles(spark, d).drop("category"), A.categories(spark, d))
-    return P.prepare(arts, SETTINGS, stem=False).select("urlid", "publish", F.array_join("transcript", " | ").alias("transcript"), F.size("duplicates").alias("n_duplicates"))
+    return P.prepare(arts, SETTINGS).select("urlid", "publish", F.array_join("transcript", " | ").alias("transcript"), F.size("duplicates").alias("n_duplicates"))
 
 
 # Text functions.
@@ -299,6 +300,12 @@ def clean_content(spark, d):
     return A.articles(spark, d).select("urlid", F.md5(text).alias("digest"))
 
 
+@query()
+def clean_content_ascii(spark, d):
+    """The same with all letters in ASCII, as the crawl keeps it."""
+    return A.articles(spark, d).select("urlid", F.md5(T.cleaned(F.col("content"), F.col("title"))).alias("digest"))
+
+
 @query(r"select doc_id as urlid, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as digest from documents")
 def escape_html(spark, d):
     return A.articles(spark, d).select("urlid", F.md5(T.escape_html(F.col("content"))).alias("digest"))

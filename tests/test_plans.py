@@ -1,6 +1,7 @@
 """Plans, and the queries that SQL cannot express, against plain versions on a small fixture."""
 
 import datetime as dt
+import hashlib
 import math
 import re
 from collections import Counter
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.config import Settings
 from skein.functions.porter import stem
+from skein.functions.text import ascii_text
 from skein.plans import prepare, registry
 from skein.streaming import crawl
 from tests.test_operators import plain_greedy
@@ -36,8 +38,8 @@ def small(spark, tmp_path_factory):
     return str(path), rows
 
 
-def vectors(rows):
-    tokens = {i: [w.lower() for w in re.findall(r"\w+", t, re.ASCII)] for i, t, *_ in rows}
+def vectors(rows, form=str):
+    tokens = {i: [form(w.lower()) for w in re.findall(r"\w+", t, re.ASCII)] for i, t, *_ in rows}
     df = Counter(w for ws in tokens.values() for w in set(ws))
     out = {}
     for i, ws in tokens.items():
@@ -47,9 +49,9 @@ def vectors(rows):
     return out
 
 
-def window_pairs(rows):
+def window_pairs(rows, form=str):
     """(i, j, sim, i is published) of the query's window."""
-    v = vectors(rows)
+    v = vectors(rows, form)
     day = {i: dt.date(2024, 1, 1) + dt.timedelta(n % 30) for i, *_, n in rows}
     source = {i: s for i, _, _, s, _ in rows}
     recent = [i for i in day if dt.date(2024, 1, 16) <= day[i] <= dt.date(2024, 1, 30)]
@@ -67,11 +69,18 @@ def test_greedy_sets_of_the_window(spark, small):
 
 
 def test_prepared_articles(spark, small):
-    """What the daily run says of duplicates, step by step."""
+    """What the daily run, by stems, says of duplicates, step by step; the rules before it are the same without stems, as the text's listed words are their own."""
     path, rows = small
     out = {r["urlid"]: r for r in registry.prepare_articles(spark, path).collect()}
-    judged = {r["urlid"]: r for r in registry.prepare_rules(spark, path).collect()}
-    pairs = window_pairs(rows)
+    pairs = window_pairs(rows, stem)
+    assert {p[:2] for p in pairs} != {p[:2] for p in window_pairs(rows)}
+    arts = registry.relational.with_categories(registry.A.articles(spark, path).drop("category"), registry.A.categories(spark, path))
+    todo, found = prepare.judged(arts, registry.SETTINGS)
+    assert {(r["i"], r["j"]): (round(r["sim"], 9), r["i_published"]) for r in found.collect()} == {(i, j): (round(s, 9), p) for i, j, s, p in pairs}
+    judged = {r["urlid"]: {"publish": r["publish"], "transcript": " | ".join(r["transcript"])} for r in registry.duplicates.without_published(todo, found, 0.13).collect()}
+    unstemmed = {r["urlid"]: r for r in registry.prepare_rules(spark, path).collect()}
+    duplicate = lambda r: "already published" in r["transcript"]
+    assert all(r["transcript"] == unstemmed[u]["transcript"] for u, r in judged.items() if not duplicate(r) and not duplicate(unstemmed[u]))
     source = {i: s for i, _, _, s, _ in rows}
     assert set(out) == {i for i in source if source[i] in ("src18", "src19")}
     dups, last = {u: 0 for u in out}, {}
@@ -134,3 +143,25 @@ def test_prepare_by_stems_and_by_stream(spark, small, tmp_path):
     columns = ["urlid", "publish", F.array_join("transcript", "|")]
     want = sorted(map(tuple, prepare.prepare(arts, settings).select(*columns).collect()))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect())) == want and want
+
+
+def test_clean_content_in_ascii(spark, tmp_path):
+    """The query against the steps one by one, and letters of three scripts."""
+    texts = ["Щука и ёж. Щука и ёж - плывут ,  к реке . Ουρανός < γη & naïve ß Share this  конец", "Plain title. all ASCII", "Ψυχή μου. " + "слово " * 1200]
+    spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def plain(text):
+        title, c = text.split(".")[0], re.sub(r"\s+", " ", text)
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = c.replace(a, b)
+        c = ascii_text(c).strip()
+        c = re.sub(re.escape(title) + r"\s*-?\s*", "", c)
+        c = re.sub(r"\s+\.", ".", re.sub(r"\s+,\s+", ", ", re.sub(r"\s*Share this\s*", "", c)))
+        if len(c) > 5000:
+            part = c[:5000]
+            c = part[: part.rfind(".")] if "." in part else part[: part.rfind(" ")] if " " in part else part
+        return hashlib.md5((c + "...").encode()).hexdigest()
+
+    assert {r["urlid"]: r["digest"] for r in registry.clean_content_ascii(spark, str(tmp_path)).collect()} == {i: plain(t) for i, t in enumerate(texts)}
+    for given, want in [("Щука и ёж, Йод", "Shchuka i iozh, Iod"), ("Ουρανός ΟΥΡΑΝΟΣ Ψυχή", "Ouranos OURANOS Psukhe"), ("naïve ß € Ærø", "naive ss EUR AEro"), ("日本 x", " x"), ("Київ", "Kiiv"), ("е\u0301", "e")]:
+        assert ascii_text(given) == want
