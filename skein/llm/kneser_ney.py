@@ -10,7 +10,7 @@ them up in one pass, so a worker holds a batch and touched pages, never a model.
 word: what follows it in all, how many followers were seen once, twice, more
 often, and how many different words it follows).  ``pairs/<segment>``: ``h``
 (hashes of pairs of word numbers) and ``c`` (uses).  A word's number is its
-segment and its place there, so pairs are exact but for 64-bit hashes: two of n
+segment and, in the last ``bits``, its place there, so pairs are exact but for 64-bit hashes: two of n
 words, or of n pairs, have one hash with a probability of n * n / 2**65.
 
 With ``c`` the uses of a pair, ``C`` those of its first word as a context, ``k`` the number of different
@@ -59,16 +59,13 @@ FOLDS = 10
 ADDED = 0.1
 
 #: Tokens that are counted at once, and that are scored at once.
-BATCH = 1 << 22
-SCORED = 1 << 20
+BATCH = 1 << 21
+SCORED = 1 << 19
 
 #: Bytes of text for a segment, and the least number of segments.
 SEGMENT = 24 << 20
 LEAST_SEGMENTS = 256
 
-#: Where the place in a segment ends and the segment begins in a word's number.
-PLACE_BITS = 40
-
 
 @dataclass(frozen=True)
 class Model:
@@ -76,6 +73,7 @@ class Model:
 
     folder: str
     segments: int
+    bits: int
     tokens: int
     kept: int
     pairs: int
@@ -85,8 +83,8 @@ class Model:
 
     def saved(self, spark: SparkSession) -> Model:
         """The same, described in its folder, so that :func:`opened` finds it in another session."""
-        row = (self.segments, self.tokens, self.kept, self.pairs, list(self.pair_discounts), list(self.word_discounts), self.word_left)
-        schema = "segments int, tokens long, kept long, pairs long, pair_discounts array<double>, word_discounts array<double>, word_left double"
+        row = (self.segments, self.bits, self.tokens, self.kept, self.pairs, list(self.pair_discounts), list(self.word_discounts), self.word_left)
+        schema = "segments int, bits int, tokens long, kept long, pairs long, pair_discounts array<double>, word_discounts array<double>, word_left double"
         spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/about")
         return self
 
@@ -94,7 +92,7 @@ class Model:
 def opened(spark: SparkSession, folder: str) -> Model:
     """The model that was written to ``folder``."""
     row = spark.read.parquet(f"{folder}/about").first()
-    return Model(folder, row["segments"], row["tokens"], row["kept"], row["pairs"], tuple(row["pair_discounts"]), tuple(row["word_discounts"]), row["word_left"])
+    return Model(folder, row["segments"], row["bits"], row["tokens"], row["kept"], row["pairs"], tuple(row["pair_discounts"]), tuple(row["word_discounts"]), row["word_left"])
 
 
 def hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -164,11 +162,11 @@ def found(folder: str, h: np.ndarray, segments: int) -> Iterator[tuple[int, slic
         yield int(s), part, hit, spot
 
 
-def number(folder: str, h: np.ndarray, segments: int) -> np.ndarray:
+def number(folder: str, h: np.ndarray, segments: int, bits: int) -> np.ndarray:
     """The numbers of sorted different words, -1 for those that training didn't have."""
     out = np.full(len(h), -1, np.int64)
     for s, part, hit, spot in found(f"{folder}/words", h, segments):
-        out[part] = np.where(hit, (s << PLACE_BITS) + spot, -1)
+        out[part] = np.where(hit, (s << bits) + spot, -1)
     return out
 
 
@@ -216,8 +214,8 @@ def numbers(path: str, n: int, width: int = 1) -> np.ndarray:
     return raw.view(f"u{len(raw) // (n * width)}").reshape(n, width)
 
 
-def word_counts(texts: DataFrame, folder: str, segments: int) -> tuple[int, int]:
-    """(tokens, different tokens) of the training texts, whose words are written with their uses."""
+def word_counts(texts: DataFrame, folder: str, segments: int) -> tuple[int, int, int]:
+    """(tokens, different tokens, bits of a place) of the training texts, whose words are written with their uses."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, _ in joined(batches):
@@ -230,17 +228,17 @@ def word_counts(texts: DataFrame, folder: str, segments: int) -> tuple[int, int]
         n = np.where(h == START, 0, n)  # the start mark is a context, no token
         put(f"{folder}/words/{s}.h", h)
         put(f"{folder}/words/{s}.c", narrow(n))
-        return pa.table({"tokens": [int(n.sum())], "kept": [int((n > 0).sum())]})
+        return pa.table({"tokens": [int(n.sum())], "kept": [int((n > 0).sum())], "size": [len(h)]})
 
-    rows = texts.mapInArrow(count, "segment long, h long, n long").groupBy("segment").applyInArrow(write, "tokens long, kept long")
-    total = rows.agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept")).first()
-    return total["tokens"] or 0, total["kept"] or 0
+    rows = texts.mapInArrow(count, "segment long, h long, n long").groupBy("segment").applyInArrow(write, "tokens long, kept long, size long")
+    total = rows.agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept"), F.max("size").alias("size")).first()
+    return total["tokens"] or 0, total["kept"] or 0, max(4, (total["size"] or 0).bit_length())
 
 
 STATS = ["total", "ones", "twos", "more", "before"]
 
 
-def pair_counts(texts: DataFrame, folder: str, segments: int) -> DataFrame:
+def pair_counts(texts: DataFrame, folder: str, segments: int, bits: int) -> DataFrame:
     """(id, total, ones, twos, more, before) of the word numbers of training, whose pairs are written with their uses.
 
     Pairs are dealt by their hash, so that no word's pairs meet in one task; each
@@ -252,11 +250,12 @@ def pair_counts(texts: DataFrame, folder: str, segments: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, begins in joined(batches):
             names, at = np.unique(h, return_inverse=True)
-            ids = number(folder, names, segments)[at]
+            ids = number(folder, names, segments, bits)[at]
+            del names, at, h
             second = np.flatnonzero(~begins)
             v, w = ids[second - 1], ids[second]
-            key = paired(v, w)
-            key, first, n = np.unique(key, return_index=True, return_counts=True)
+            del ids, second
+            key, first, n = np.unique(paired(v, w), return_index=True, return_counts=True)
             v, w, at = v[first], w[first], segment_of(key, segments)
             order = np.lexsort((v, at))
             yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (at, v, w, n)], ["segment", "v", "w", "n"])
@@ -282,7 +281,7 @@ def pair_counts(texts: DataFrame, folder: str, segments: int) -> DataFrame:
     return rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in STATS])
 
 
-def write_stats(stats: DataFrame, folder: str) -> dict[str, int]:
+def write_stats(stats: DataFrame, folder: str, bits: int) -> dict[str, int]:
     """The sums of each word are written next to its hash.
 
     Returns how many pairs were seen once to four times (``seen1`` to ``seen4``),
@@ -295,13 +294,13 @@ def write_stats(stats: DataFrame, folder: str) -> dict[str, int]:
         if s < 0:
             return pa.table({"name": [f"seen{-k}" for k in ids], "n": part.column("total")})
         out = np.zeros((len(mapped(f"{folder}/words/{s}.h", np.uint64)), len(STATS)), np.int64)
-        out[ids & ((1 << PLACE_BITS) - 1)] = np.stack([part.column(c).to_numpy() for c in STATS], axis=1)
+        out[ids & ((1 << bits) - 1)] = np.stack([part.column(c).to_numpy() for c in STATS], axis=1)
         put(f"{folder}/words/{s}.stats", narrow(out))
         before = out[:, STATS.index("before")]
         sums = {f"before{k}": int((before == k).sum()) for k in (1, 2, 3, 4)} | {"more": int((before > 2).sum()), "pairs": int(before.sum())}
         return pa.table({"name": list(sums), "n": list(sums.values())})
 
-    rows = stats.withColumn("segment", F.shiftright("id", PLACE_BITS)).groupBy("segment").applyInArrow(write, "name string, n long")
+    rows = stats.withColumn("segment", F.shiftright("id", bits)).groupBy("segment").applyInArrow(write, "name string, n long")
     return {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -336,12 +335,12 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
     segments = max(LEAST_SEGMENTS, 1 + size // SEGMENT)
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
     with shuffles_deleted(spark):
-        n, kept = word_counts(texts, folder, segments)
-        sums = write_stats(pair_counts(texts, folder, segments), folder)
+        n, kept, bits = word_counts(texts, folder, segments)
+        sums = write_stats(pair_counts(texts, folder, segments, bits), folder, bits)
     count = lambda name: [sums.get(f"{name}{k}", 0) for k in (1, 2, 3, 4)]
     taken, pairs = discounts(count("before")), sums.get("pairs", 0)
     left = sum(d * c for d, c in zip(taken, [*count("before")[:2], sums["more"]], strict=True)) / pairs if pairs else 1.0
-    return Model(folder, segments, n, kept, pairs, discounts(count("seen")), taken, left).saved(spark)
+    return Model(folder, segments, bits, n, kept, pairs, discounts(count("seen")), taken, left).saved(spark)
 
 
 # Scoring.
@@ -358,7 +357,7 @@ def looked_up(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         at, where = spot[hit], np.arange(part.start, part.stop)[hit]
         if len(at):
             size = len(mapped(f"{model.folder}/words/{s}.h", np.uint64))
-            ids[where] = (s << PLACE_BITS) + at
+            ids[where] = (s << model.bits) + at
             uses[where] = numbers(f"{model.folder}/words/{s}.c", size)[at, 0]
             stats[where] = numbers(f"{model.folder}/words/{s}.stats", size, len(STATS))[at]
     return ids, uses, stats
@@ -417,10 +416,12 @@ def text_scores(model: Model, h: np.ndarray, offsets: np.ndarray) -> list[np.nda
 RESULTS = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, base_score, score and perplexity of each text."""
+def scored(docs: DataFrame, model: Model, text: str = "text", with_text: bool = True) -> DataFrame:
+    """``docs`` with n_tokens, n_known, base_score, score and perplexity of each text, which itself is left out without ``with_text``."""
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS])
-    names, at = kept.columns, kept.columns.index(text)
+    at = kept.columns.index(text)
+    back = [k for k in range(len(kept.columns)) if with_text or k != at]
+    names = [kept.columns[k] for k in back]
     kinds = [LongType(), LongType(), DoubleType(), DoubleType(), DoubleType()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,9 +443,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             sums = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(4)]
             sums.append(10.0 ** (-sums[3] / sums[0]))
             whole = [pa.array(x.astype(np.int64 if k < 2 else float)) for k, x in enumerate(sums)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *whole], [*names, *RESULTS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in back), *whole], [*names, *RESULTS])
 
-    return kept.mapInArrow(score, StructType([*kept.schema.fields, *(StructField(c, t) for c, t in zip(RESULTS, kinds, strict=True))]))
+    return kept.mapInArrow(score, StructType([*(kept.schema.fields[k] for k in back), *(StructField(c, t) for c, t in zip(RESULTS, kinds, strict=True))]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -453,6 +454,6 @@ def digest(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     model = train(rows.where(~F.col("held_out")))
     short = rows.select("doc_id", "held_out", "text")
-    out = checkpointed(scored(short, model).drop("text"))
+    out = checkpointed(scored(short, model, with_text=False))
     deleted(spark, model.folder)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
