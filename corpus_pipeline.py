@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.checkpoints import deleted
+from skein.checkpoints import checkpointed, deleted
 from skein.llm import decontaminate, mixing, near_dup, quality, sharding
 from skein.llm.common import shared_path, table
 
@@ -60,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             deleted(spark, before)
         before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = checkpointed(STAGES[-1][1](spark, docs, sf_dir))
+    deleted(spark, before)
+    return out
