@@ -219,7 +219,7 @@ def absolute(text: Column, part: str, site: str) -> Column:
 
 
 def unwrapped(body: Column) -> Column:
-    """A body without the quotation and paragraph around it."""
+    """A body without the quotation and paragraph around it (fixed patterns of the site's markup)."""
     return F.regexp_replace(F.regexp_replace(body, r"^(<blockquote>)?<p>", ""), r"</p>(</blockquote>)?$", "")
 
 

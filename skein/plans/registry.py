@@ -591,7 +591,7 @@ def worded_articles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def training(spark: SparkSession, d: str) -> DataFrame:
-    return worded_articles(spark, d).join(A.table(spark, d, "labels").select(F.col("doc_id").alias("urlid")), "urlid")
+    return classify.training_rows(worded_articles(spark, d), A.table(spark, d, "labels").select(F.col("doc_id").alias("urlid")))
 
 
 @query()

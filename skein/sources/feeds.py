@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.pages import main_parts
-from ..functions.text import absolute, declared_image, escape_html, feed_date, google_source, html_text, html_title, styled_images, to_ascii, unwrapped
+from ..functions.text import absolute, declared_image, escape_html, feed_date, google_source, html_image, html_text, html_title, styled_images, to_ascii, unwrapped
 
 
 def source_list(spark: SparkSession, path: str, title: str | None = None, other_options: bool = False) -> DataFrame:
@@ -100,10 +100,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(url, text, image_url, n_lines) of raw (url, html) pages, as the crawl takes them.
 
     The main text has a line for each block; the image is the declared one, else
-    the first of the main part.  The lines are those of an extractor's file, which ends with the image and one more.
+    the first of the main part, else of the page.  The lines are those of an extractor's file, which ends with the image and one more.
     """
-    parts = pages.select("url", main_parts(F.col("html")).alias("main"), declared_image(F.col("html")).alias("declared"))
-    return parts.select("url", F.array_join("main.lines", "\n").alias("text"), F.coalesce("declared", F.nullif("main.image", F.lit(""))).alias("image_url"), (F.size("main.lines") + 2).alias("n_lines"))
+    parts = pages.select("url", main_parts(F.col("html")).alias("main"), declared_image(F.col("html")).alias("declared"), html_image(F.col("html")).alias("first"))
+    return parts.select("url", F.array_join("main.lines", "\n").alias("text"), F.coalesce("declared", F.nullif("main.image", F.lit("")), "first").alias("image_url"), (F.size("main.lines") + 2).alias("n_lines"))
 
 
 NODE = "Title string, Source string, Topics string, Publication_date string, Body string, Original_link string, Link string, Representative_image string"

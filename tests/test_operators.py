@@ -332,6 +332,14 @@ def test_nearest(spark):
     assert classify.vote(classify.nearest(v, v.where("vec_id = 0"), 3)).count() == 1
 
 
+def test_training_rows_are_bounded(spark):
+    rows = spark.range(200).select(F.col("id").alias("urlid"), F.lit("x").alias("title"))
+    labelled = spark.createDataFrame([(k,) for k in list(range(0, 100)) + [3, 3, None, 500]], "urlid long")
+    assert sorted(r["urlid"] for r in classify.training_rows(rows, labelled).collect()) == list(range(100))
+    few = classify.training_rows(rows, labelled, most=30)
+    assert few.count() in (28, 29, 30) and sorted(few.collect()) == sorted(classify.training_rows(rows.repartition(7), labelled.repartition(3), most=30).collect())
+
+
 def test_svm_finds_the_margin():
     """On four points the machine is the one known in closed form, and the whole grid is searched."""
     x, y = np.array([[-1.0], [1.0], [-3.0], [3.0]]), np.array([-1.0, 1.0, -1.0, 1.0])
