@@ -1,8 +1,10 @@
 """The pipeline's stages against the plain versions, each on its own input."""
 
+import random
+
 import corpus_pipeline
 from tests.llm import brute
-from tests.llm.test_operators import DOCS, corpus
+from tests.llm.test_operators import DOCS, corpus, prose
 
 
 def test_stages(spark, tmp_path):
@@ -32,3 +34,22 @@ def test_stages(spark, tmp_path):
     assert ids("source_mix") == sorted(d for (d, _, _), n in copies for _ in range(n))
     assert ids("shards") == ids("source_mix")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids("shards"))
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and shared ids, repeated rows and null texts: each different clean text stays once up to the mix; an empty table gives nothing."""
+    r = random.Random(40)
+    clean = [prose(r, 60) for _ in range(8)]
+    rows = [(None, clean[0]), (None, clean[1]), (1, clean[2]), (1, clean[3]), (2, clean[4]), (2, clean[4]), (3, clean[4]), (None, clean[4]), (4, None), (None, None), (5, ""), (6, clean[5]), (None, clean[5]), (7, clean[6]), (-1, clean[7])]
+    docs = spark.createDataFrame([(i, t, "en" if i else None, "src1" if i != 2 else None, None) for i, t in rows], DOCS)
+    spark.createDataFrame([(0, prose(r, 30)), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    current = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, current, str(tmp_path)).write.parquet(str(tmp_path / name))
+        current = spark.read.parquet(str(tmp_path / name))
+    assert sorted(x["text"] for x in current.collect()) == sorted(clean)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert 0 < corpus_pipeline.run(spark, str(tmp_path)).count() <= 3 * len(clean)
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
