@@ -15,6 +15,9 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: A run ends when its files are read; state by the clock would have it go on with empty batches.
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
 
 class FirstSight(StatefulProcessor):
     """Lets a key's first row through, with the least time among its rows of that batch, and no other until the key is forgotten."""
@@ -50,13 +53,15 @@ def first_seen(events: DataFrame, key: str = "url", time: str = "ts", forget_ms:
 
 @contextmanager
 def disk_state(spark: SparkSession) -> Iterator[None]:
-    """Streams that are started in this block keep their state on disk."""
-    before = spark.conf.get(PROVIDER, None)
+    """Streams that are started in this block keep their state on disk and make no empty batches."""
+    before = {name: spark.conf.get(name, None) for name in (PROVIDER, EMPTY_BATCHES)}
     spark.conf.set(PROVIDER, ROCKS)
+    spark.conf.set(EMPTY_BATCHES, "false")
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def record_first_sights(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, key: str = "url", time: str = "ts", forget_ms: int | None = None) -> None:
