@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 # Fixed tables of the published algorithm: suffix, replacement; the measure of the stem must be above 0.
 STEP_2 = [
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"),
@@ -89,7 +87,6 @@ def step_5(word: str) -> str:
     return word[:-1] if word.endswith("ll") and measure(word) > 1 else word
 
 
-@lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
     """The stem; words of two letters or fewer stay, as do those not starting in lower case."""
     if len(word) <= 2 or not word[0].islower():
