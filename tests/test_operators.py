@@ -415,3 +415,14 @@ def test_topics_of_unlabelled_documents(spark, tmp_path, monkeypatch):
     got = {r["urlid"]: r["categories"] for r in registry.predict_topics(spark, str(tmp_path)).collect()}
     assert seen == [(20, 1000)]
     assert got == {i: "good" if i % 2 else "" for i in range(40)}
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch):
+    """The pieces face each other where they are read; the mark of i, also an unknown one, comes along."""
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    v = vocabulary.vectors(docs(spark, *[f"a{k % 4} b{k % 3} c" for k in range(12)]))
+    marks = spark.createDataFrame([(k, None if k % 3 == 0 else k % 3 == 1) for k in range(12)], "urlid long, mark boolean")
+    found = similarity.block_pairs(v, 0.1, "urlid", marks.where("urlid > 5").select("urlid"), marks)
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    want = naive_pairs(v.collect(), 0.1)
+    assert {(r["i"], r["j"]): r["mark"] for r in found.collect()} == {(i, j): None if i % 3 == 0 else i % 3 == 1 for i, j in want if j > 5}
