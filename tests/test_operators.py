@@ -7,10 +7,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import classify, duplicates, evaluate, relational, rules, similarity, vocabulary
+from skein.operators import classify, duplicates, evaluate, graphs, relational, rules, similarity, vocabulary
 from skein.plans import registry
 
 DAY = dt.date(2024, 1, 30)
@@ -426,3 +427,33 @@ def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch):
     assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     want = naive_pairs(v.collect(), 0.1)
     assert {(r["i"], r["j"]): r["mark"] for r in found.collect()} == {(i, j): None if i % 3 == 0 else i % 3 == 1 for i, j in want if j > 5}
+
+
+def test_nearest_by_pieces_is_that_of_all_pairs(spark, monkeypatch):
+    """Copies, null and zero vectors, null elements and other lengths, in several pieces; no row per pair leaves a task."""
+    for name, size in (("FACED", 7), ("ASKED", 3), ("CHUNK", 2)):
+        monkeypatch.setattr(classify, name, size)
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=4)], k % 3) for k in range(30)]
+    rows += [(30, rows[2][1], 1), (31, rows[2][1], 2), (32, None, 0), (33, [0.0] * 4, 0), (34, [1.0, None, 1.0, 1.0], 1), (35, [1.0], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    few = v.where("vec_id in (2, 5, 32, 33, 34, 35)")
+    cosine = similarity.dense_cosine(F.col("embedding"), F.col("q")).alias("sim")
+    pairs = v.join(few.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", cosine)
+    want = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))).where("place <= 33")
+    got = classify.nearest(v, few, 33)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert "MapInPandas" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_corpus_labels_do_not_depend_on_the_text(spark):
+    corpus = spark.createDataFrame([(0, "a"), (1, "?!"), (2, None), (2, "b"), (3, "c")], "urlid long, content string")
+    cats = spark.createDataFrame([(0, "y"), (0, "x"), (1, "NotRelated"), (2, "z")], "urlid long, category string")
+    assert sorted(map(tuple, relational.joined_labels(corpus, cats).collect())) == [(0, "x y"), (1, "NotRelated"), (2, "z z")]
+
+
+def test_edges_are_reduced_to_stars(spark):
+    edges = [(a, b) for a in range(40) for b in range(a + 1, 40)] + [(50, 51), (52, 51), (60, 60)]
+    df = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    assert graphs.stars(df).count() == 39 + 2
+    assert {tuple(r) for r in graphs.components(df).collect()} == {(k, 0) for k in range(40)} | {(50, 50), (51, 50), (52, 50)}
