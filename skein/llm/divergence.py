@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed
+from .common import broadcast_if_small, checkpointed, small_batches
 from .numeric_text import LOWER, STEP, U, gathered, mixed, pieces
 
 # Fixed values of the contract.
@@ -193,7 +193,8 @@ def pair_distances(kept: DataFrame, known: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST_DOCUMENTS, ranks: int = RANKS) -> tuple[DataFrame, DataFrame]:
     """(distances of pairs of sources, terms above their language), each ranked within its group."""
     rows = read(docs, lang, source, text)
-    kept = checkpointed(vectors(rows, least))
+    with small_batches(docs.sparkSession):
+        kept = checkpointed(vectors(rows, least))
     known = checkpointed(groups(rows, kept))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pair_distances(kept, known).withColumn("rank", F.row_number().over(order))

@@ -48,7 +48,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..checkpoints import deleted
 from . import numeric_text
-from .common import checkpointed, shared_path
+from .common import checkpointed, shared_path, small_batches
 from .numeric_text import STEP, mixed
 
 #: The hashes of the marks before and after a text, those of two blanks, which no word has.
@@ -178,7 +178,9 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
     have, size = [], 0
 
     def flat() -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([h for h, _ in have]), np.concatenate([b for _, b in have])
+        whole = np.concatenate([h for h, _ in have]), np.concatenate([b for _, b in have])
+        have.clear()
+        return whole
 
     for batch in batches:
         for _, _, h, offsets in hashes(batch.column(0)):
@@ -187,8 +189,8 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             have.append((h, begins))
             size += len(h)
             if size >= BATCH:
+                size = 0
                 yield flat()
-                have, size = [], 0
     if have:
         yield flat()
 
@@ -203,6 +205,17 @@ def counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
     return values[first], np.add.reduceat(weights[order], first) if len(first) else np.zeros(0, np.int64)
 
 
+#: Rows that are sent from a worker at once.
+SENT = 1 << 16
+
+
+def sent(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The columns in batches of ``SENT`` rows."""
+    size = len(next(iter(columns.values())))
+    for k in range(0, size, SENT):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + SENT]) for x in columns.values()], list(columns))
+
+
 def narrow(n: np.ndarray) -> np.ndarray:
     """Whole numbers in the fewest bytes that hold them all."""
     return n.astype(np.min_scalar_type(int(n.max()))) if n.size else n.astype(np.uint8)
@@ -220,7 +233,7 @@ def word_counts(texts: DataFrame, folder: str, segments: int) -> tuple[int, int,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, _ in joined(batches):
             h, n = counted(h)
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(h, segments)), pa.array(h.view(np.int64)), pa.array(n)], ["segment", "h", "n"])
+            yield from sent({"segment": segment_of(h, segments), "h": h.view(np.int64), "n": n})
 
     def write(part: pa.Table) -> pa.Table:
         s = part.column("segment")[0].as_py()
@@ -257,8 +270,9 @@ def pair_counts(texts: DataFrame, folder: str, segments: int, bits: int) -> Data
             del ids, second
             key, first, n = np.unique(paired(v, w), return_index=True, return_counts=True)
             v, w, at = v[first], w[first], segment_of(key, segments)
+            del key, first, begins
             order = np.lexsort((v, at))
-            yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (at, v, w, n)], ["segment", "v", "w", "n"])
+            yield from sent({"segment": at[order], "v": v[order], "w": w[order], "n": n[order]})
 
     def write(part: pa.Table) -> pa.Table:
         s = part.column("segment")[0].as_py()
@@ -334,7 +348,7 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     segments = max(LEAST_SEGMENTS, 1 + size // SEGMENT)
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    with shuffles_deleted(spark):
+    with shuffles_deleted(spark), small_batches(spark):
         n, kept, bits = word_counts(texts, folder, segments)
         sums = write_stats(pair_counts(texts, folder, segments, bits), folder, bits)
     count = lambda name: [sums.get(f"{name}{k}", 0) for k in (1, 2, 3, 4)]
@@ -454,6 +468,7 @@ def digest(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     model = train(rows.where(~F.col("held_out")))
     short = rows.select("doc_id", "held_out", "text")
-    out = checkpointed(scored(short, model, with_text=False))
+    with small_batches(spark):
+        out = checkpointed(scored(short, model, with_text=False))
     deleted(spark, model.folder)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
