@@ -457,3 +457,11 @@ def test_edges_are_reduced_to_stars(spark):
     df = spark.createDataFrame(edges, "a long, b long").coalesce(1)
     assert graphs.stars(df).count() == 39 + 2
     assert {tuple(r) for r in graphs.components(df).collect()} == {(k, 0) for k in range(40)} | {(50, 50), (51, 50), (52, 50)}
+
+
+def test_dealt_texts_are_counted_where_they_are(spark):
+    """Also where a document has two rows; the terms are not shuffled."""
+    df = spark.createDataFrame([(1, "a b a"), (1, "A c"), (2, ""), (3, None), (4, "d")], "urlid long, content string")
+    got = vocabulary.term_frequency(df, dealt=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, vocabulary.term_frequency(df).collect()))
+    assert "hashpartitioning(urlid" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", term#" not in plan.split("hashpartitioning(", 1)[1].split(")")[0]
