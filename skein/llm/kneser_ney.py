@@ -33,19 +33,17 @@ nothing and gives each token the probability 1; further columns pass through
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..arrays import mapped, put
 from ..checkpoints import deleted
 from . import numeric_text
 from .common import checkpointed, shared_path, small_batches
@@ -118,32 +116,6 @@ def paired(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(mixed(v.astype(np.uint64) + STEP) ^ (w.astype(np.uint64) * STEP))
 
 
-def place_of(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
-def put(path: str, array: np.ndarray) -> None:
-    """An array written under its name at once; a task that runs again replaces it by the same."""
-    files, at = place_of(path)
-    files.create_dir(os.path.dirname(at), recursive=True)
-    part = f"{at}.{uuid.uuid4().hex}"
-    with files.open_output_stream(part) as out:
-        out.write(pa.py_buffer(np.ascontiguousarray(array)))
-    files.move(part, at)
-
-
-def mapped(path: str, kind: type | np.dtype) -> np.ndarray:
-    """An array of the folder, mapped into memory where the store is mounted, else read; empty if there is none."""
-    files, at = place_of(path)
-    info = files.get_file_info(at)
-    if info.type == pafs.FileType.NotFound or not info.size:
-        return np.zeros(0, kind)
-    if isinstance(files, pafs.LocalFileSystem):
-        return np.memmap(at, kind, "r")
-    with files.open_input_file(at) as stream:
-        return np.frombuffer(stream.read_buffer(), kind)
-
-
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     """The segment of hashes: ranges of equal width of their scrambled upper half."""
     return ((h.astype(np.uint64) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
