@@ -110,20 +110,29 @@ def plan(docs: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop(own, piece, mark, offset, "o_", "p_", "b_", "z_", "r_", "t_")
 
 
+def laid(planned: DataFrame) -> DataFrame:
+    """The training order: a row for each copy of :func:`plan`, range-sorted by its position ``where``."""
+    copies = planned.withColumn("where", F.explode("positions"))
+    return copies.repartitionByRange("where", "doc_id").sortWithinPartitions("where", "doc_id")
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    """What the mix takes of each document; see :func:`plan`.  ``position`` is its first copy's."""
+    """What the training order takes of each document; see :func:`plan`.
+
+    The order is laid out and written, without the texts; a document's words and
+    ``position``, that of its first copy, are read off it.
+    """
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
-    return plan(checkpointed(rows), ["text_md5"]).select(
-        "doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position")
-    )
+    planned = checkpointed(plan(checkpointed(rows.withColumn("row", F.monotonically_increasing_id())), ["text_md5"]).select("row", "doc_id", "size", "source_size", "target", "positions"))
+    order = checkpointed(laid(planned.select("row", "doc_id", "size", "positions")).select("row", "size", "where"))
+    found = order.groupBy("row").agg(F.sum("size").alias("taken"), F.min("where").alias("first"))
+    return planned.join(found, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.round("first", 9).alias("position"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The training order: each copy that the mix takes, with the columns of ``docs``, range-sorted by position."""
+    """The training order with the columns of ``docs``: each copy that the mix takes."""
     kept = docs.columns
     own = {c: f"own_{i}" if c not in ("doc_id", "source", "text") else c for i, c in enumerate(kept)}
     safe = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in kept])
     safe = safe.withColumns({"size": n_words(F.col("text")), "text_md5": F.md5(F.coalesce("text", F.lit("")))})
-    copies = plan(safe, ["text_md5"]).withColumn("where", F.explode("positions"))
-    ordered = copies.repartitionByRange("where", "doc_id").sortWithinPartitions("where", "doc_id")
-    return ordered.select(*[F.col(own[c]).alias(c) for c in kept])
+    return laid(plan(safe, ["text_md5"])).select(*[F.col(own[c]).alias(c) for c in kept])
