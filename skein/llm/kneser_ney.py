@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..arrays import mapped, put
+from ..arrays import mapped, put, restored, squeezed
 from ..checkpoints import deleted
 from . import numeric_text
 from .common import checkpointed, shared_path, small_batches
@@ -60,6 +60,9 @@ ADDED = 0.1
 BATCH = 1 << 21
 SCORED = 1 << 19
 
+#: Bytes of text that are hashed at once; a byte takes some 60 bytes of memory then.
+HASHED = 1 << 18
+
 #: Bytes of text for a segment, and the least number of segments.
 SEGMENT = 24 << 20
 LEAST_SEGMENTS = 256
@@ -95,7 +98,7 @@ def opened(spark: SparkSession, folder: str) -> Model:
 
 def hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, texts, hashes, where each text's begin) of some texts at once; a text's words stand between the marks."""
-    for piece in numeric_text.pieces(texts, numeric_text.LOWER):
+    for piece in numeric_text.pieces(texts, numeric_text.LOWER, size=HASHED):
         offsets = piece.bounds + 2 * np.arange(piece.docs + 1)
         flat = np.empty(offsets[-1], np.uint64)
         flat[offsets[:-1]], flat[offsets[1:] - 1] = START, END
@@ -167,16 +170,44 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         yield flat()
 
 
+def begun(values: np.ndarray) -> np.ndarray:
+    """Where each of the different values in order begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+
+
 def counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(different values in order, how often each is there or the sum of its weights)."""
     if weights is None:
-        return np.unique(values, return_counts=True)
+        values = np.sort(values)
+        first = begun(values)
+        return values[first], np.diff(first, append=len(values))
     order = np.argsort(values, kind="stable")
     values = values[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+    first = begun(values)
     return values[first], np.add.reduceat(weights[order], first) if len(first) else np.zeros(0, np.int64)
 
 
+#: What a pair has of its second word.
+LOWER_HALF = 0xFFFFFFFF
+
+
+def pairs_in(h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different words in order, different pairs in order, how often each is there) of texts; a pair is the places of its words, the first in the upper half.
+
+    Pairs are sorted where they are, by themselves: sorted by hashes they would need an order and copies of it.
+    """
+    names = np.unique(h)
+    at = np.searchsorted(names, h)
+    pairs = at[:-1] << 32
+    pairs |= at[1:]
+    del at
+    pairs[begins[1:]] = -1  # what ends a text and begins the next one is no pair
+    pairs.sort()
+    pairs = pairs[np.count_nonzero(begins[1:]) :]
+    first = begun(pairs)
+    return names, pairs[first], np.diff(first, append=len(pairs))
+
+
 #: Rows that are sent from a worker at once.
 SENT = 1 << 16
 
@@ -199,6 +230,18 @@ def numbers(path: str, n: int, width: int = 1) -> np.ndarray:
     return raw.view(f"u{len(raw) // (n * width)}").reshape(n, width)
 
 
+def packed(n: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes, all first bytes before all second ones, compressed."""
+    n = narrow(n)
+    return squeezed(np.ascontiguousarray(n.view(np.uint8).reshape(len(n), -1).T))
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    """The ``size`` numbers of :func:`packed`."""
+    raw = np.ascontiguousarray(restored(data, np.uint8).reshape(-1, size).T)
+    return raw.view(f"u{raw.shape[1]}").ravel().astype(np.uint64)
+
+
 def word_counts(texts: DataFrame, folder: str, segments: int) -> tuple[int, int, int]:
     """(tokens, different tokens, bits of a place) of the training texts, whose words are written with their uses."""
 
@@ -228,34 +271,48 @@ def pair_counts(texts: DataFrame, folder: str, segments: int, bits: int) -> Data
 
     Pairs are dealt by their hash, so that no word's pairs meet in one task; each
     segment gives its share of the sums for each word.  They travel in the order
-    of their first words, which shuffles to fewer bytes.  Rows of id -1 to -4 have
-    in ``total`` how many pairs were seen so often.
+    of their first words, those of a batch and a segment packed in a row, so that
+    Spark sorts rows of many pairs and its executors hold few of them at once.
+    Rows of id -1 to -4 have in ``total`` how many pairs were seen so often.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, begins in joined(batches):
-            names, at = np.unique(h, return_inverse=True)
-            ids = number(folder, names, segments, bits)[at]
-            del names, at, h
-            second = np.flatnonzero(~begins)
-            v, w = ids[second - 1], ids[second]
-            del ids, second
-            key, first, n = np.unique(paired(v, w), return_index=True, return_counts=True)
-            v, w, at = v[first], w[first], segment_of(key, segments)
-            del key, first, begins
-            order = np.lexsort((v, at))
-            yield from sent({"segment": at[order], "v": v[order], "w": w[order], "n": n[order]})
+            names, pairs, n = pairs_in(h, begins)
+            del h, begins
+            ids = number(folder, names, segments, bits)
+            at = np.empty(len(pairs), np.min_scalar_type(segments))
+            for k in range(0, len(pairs), SENT):
+                part = pairs[k : k + SENT]
+                at[k : k + SENT] = segment_of(paired(ids[part >> 32], ids[part & LOWER_HALF]), segments)
+            order = np.argsort(at, kind="stable")  # within a segment by first words, whose numbers rise with their hashes
+            edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(at, minlength=segments))])
+            del at
+            for s in np.flatnonzero(np.diff(edges)):
+                part = order[edges[s] : edges[s + 1]]
+                v, w = ids[pairs[part] >> 32], ids[pairs[part] & LOWER_HALF]
+                row = [s, len(part), packed(np.diff(v.view(np.uint64), prepend=np.uint64(0))), packed(w.view(np.uint64)), packed(n[part])]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["segment", "size", *"vwn"])
+            del names, pairs, n, ids, order
 
     def write(part: pa.Table) -> pa.Table:
-        s = part.column("segment")[0].as_py()
-        v, w, n = (part.column(c).to_numpy() for c in "vwn")
-        key, first = np.unique(paired(v, w), return_index=True)
-        _, n = counted(paired(v, w), n)
-        v, w = v[first], w[first]
+        s, sizes = part.column("segment")[0].as_py(), part.column("size").to_pylist()
+        v, w, n = (np.concatenate([unpacked(x.as_py(), size) for x, size in zip(part.column(c), sizes, strict=True)]) for c in "vwn")
+        ends = np.cumsum(sizes)
+        for a, b in zip(ends - sizes, ends, strict=True):
+            np.cumsum(v[a:b], out=v[a:b])
+        v, w, n = (x.view(np.int64) for x in (v, w, n))
+        key = paired(v, w)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = begun(key)
+        n = np.add.reduceat(n[order], first)
+        key, v, w = key[first], v[order[first]], w[order[first]]
+        del order, first
         put(f"{folder}/pairs/{s}.h", key)
         put(f"{folder}/pairs/{s}.c", narrow(n))
-        ids, at = np.unique(np.concatenate([v, w]), return_inverse=True)
-        of_v, of_w = at[: len(v)], at[len(v) :]
+        ids = np.union1d(np.unique(v), np.unique(w))
+        of_v, of_w = np.searchsorted(ids, v), np.searchsorted(ids, w)
         sums = [np.bincount(of_v, n, len(ids)), *(np.bincount(of_v, test, len(ids)) for test in (n == 1, n == 2, n > 2)), np.bincount(of_w, minlength=len(ids))]
         seen = [[int((n == k).sum())] for k in (1, 2, 3, 4)]
         columns = [np.concatenate([x.astype(np.int64), np.zeros(4, np.int64)]) for x in sums]
@@ -263,7 +320,7 @@ def pair_counts(texts: DataFrame, folder: str, segments: int, bits: int) -> Data
         return pa.table({"id": np.concatenate([ids, [-1, -2, -3, -4]]), **dict(zip(STATS, columns, strict=True))})
 
     schema = ", ".join(f"{c} long" for c in ["id", *STATS])
-    rows = texts.mapInArrow(count, "segment long, v long, w long, n long").groupBy("segment").applyInArrow(write, schema)
+    rows = texts.mapInArrow(count, "segment long, size long, v binary, w binary, n binary").groupBy("segment").applyInArrow(write, schema)
     return rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in STATS])
 
 

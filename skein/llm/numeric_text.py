@@ -120,10 +120,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def pieces(texts: pa.Array, read_as: np.ndarray | None = None, inside: np.ndarray = INSIDE) -> Iterator[Piece]:
+def pieces(texts: pa.Array, read_as: np.ndarray | None = None, inside: np.ndarray = INSIDE, size: int = PIECE) -> Iterator[Piece]:
     """The documents of a text column, in order; null is an empty text.
 
-    ``read_as``: what each of the 256 byte values is read as; ``inside``: which of them are in words.
+    ``read_as``: what each of the 256 byte values is read as; ``inside``: which of them are in words; ``size``: bytes of a piece.
     """
     texts = texts.fill_null("").cast(pa.large_string())
     buffers = texts.buffers()
@@ -131,7 +131,7 @@ def pieces(texts: pa.Array, read_as: np.ndarray | None = None, inside: np.ndarra
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and len(buffers[2]) else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
         part = data[offsets[first] : offsets[last]]
         yield cut(first, part if read_as is None else read_as[part], offsets[first : last + 1] - offsets[first], inside)
         first = last

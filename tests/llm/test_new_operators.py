@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from skein.arrays import put
 from skein.llm import divergence, infill, kneser_ney
 from tests.llm import brute
 
@@ -161,3 +164,38 @@ def test_kneser_ney_of_nothing(spark, empty):
     model = kneser_ney.train(empty)
     out = kneser_ney.scored(spark.createDataFrame([("a b",), (None,)], "text string"), model).collect()
     assert [(r["n_tokens"], r["n_known"], r["score"]) for r in out] == [(3, 0, 0.0), (1, 0, 0.0)]
+
+
+class Caught:
+    """Stands for a table and keeps the functions that workers would get."""
+
+    def mapInArrow(self, count, schema):
+        self.count = count
+        return self
+
+    def groupBy(self, *names):
+        return self
+
+    def applyInArrow(self, write, schema):
+        self.write = write
+        return self
+
+    def agg(self, *sums):
+        return self
+
+
+def test_kneser_ney_counts_pairs_in_little_memory(spark, tmp_path):
+    """A worker's arrays have at most 60 bytes a token while it counts a batch of texts."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in (r.random(2000) ** 3 * 30_000).astype(int)) for _ in range(524)]
+    h = np.unique(np.concatenate([h for _, _, h, _ in kneser_ney.hashes(pa.array(texts))]))
+    for s in range(16):
+        put(f"{tmp_path}/words/{s}.h", h[kneser_ney.segment_of(h, 16) == s])
+    table, tokens = Caught(), 524 * 2002
+    kneser_ney.pair_counts(table, str(tmp_path), 16, 20)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]
+    tracemalloc.start()
+    sent = sum(b.num_rows for b in table.count(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent and peak < 60 * tokens
