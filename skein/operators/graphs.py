@@ -19,21 +19,27 @@ MOST_ROUNDS = 60
 STARRED = 1 << 20
 
 
+def starred(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the same components as those between ``one`` and ``two``: of each node but the least of its component, to that."""
+    ids, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+    a, b = np.split(at, 2)
+    label, old = np.arange(len(ids)), None
+    while old is None or (label != old).any():
+        old = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[own], ids[label[own]]
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """(a, b) edges of the same components: of ``STARRED`` edges each node keeps one, to the least node that they join it to."""
 
     def reduced(have: list[pd.DataFrame]) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([part[c].to_numpy() for c in "ab" for part in have]), return_inverse=True)
-        a, b = np.split(at, 2)
-        label, old = np.arange(len(ids)), None
-        while old is None or (label != old).any():
-            old = label.copy()
-            least = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, b, least)
-            label = label[label]
-        own = np.flatnonzero(label != np.arange(len(ids)))
-        return pd.DataFrame({"a": ids[own], "b": ids[label[own]]})
+        a, b = starred(*(np.concatenate([part[c].to_numpy() for part in have]) for c in "ab"))
+        return pd.DataFrame({"a": a, "b": b})
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         have, size = [], 0
